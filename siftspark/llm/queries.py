@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.llm import licenses, line_dedup, line_rules, packing, url_filter
+from siftspark.llm import licenses, line_dedup, line_rules, minhash_dedup, packing, pu_quality, secret_scan, sentencepiece_ops, topk_search, url_filter
 from siftspark.llm._shared import small_batches, table
 
 SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -18,6 +18,17 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def held_out_rows(id_col: str = "doc_id"):
+    """A quarter of the ids, by crc32 of their text; their labels are never learned from."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    scored = pu_quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out_rows())
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -29,6 +40,16 @@ def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.apply_line_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
@@ -44,7 +65,22 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_line_rules, op6_packing, op8_url_filter, op9_licenses)}
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return found.drop("_t1", "_t2")
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes every text and decodes its ids again."""
+    small_batches(spark, 4000)
+    model = tokenizer_file("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents")
+    coded = sentencepiece_ops.decode(sentencepiece_ops.encode(docs, model), model)
+    return coded.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_line_rules, op4_minhash_dedup, op5_topk_search, op6_packing, op7_secret_scan, op8_url_filter, op9_licenses, op10_sentencepiece)}
 
 ORACLES = {
     "op2_line_dedup": f"""
@@ -76,6 +112,13 @@ s AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)
   FROM d LEFT JOIN ws USING (doc_id) LEFT JOIN dl USING (doc_id) LEFT JOIN rw USING (doc_id) LEFT JOIN rm USING (doc_id))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= 0.5 * n_words AS kept FROM s""",
+    "op5_topk_search": """
+WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e::DOUBLE[], v.e::DOUBLE[])::BIGINT AS score
+  FROM v AS q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op8_url_filter": f"""
 WITH u AS (SELECT page_id, {LOWER_SQL.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
