@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict = {}
+from siftspark.plans import analytics, relational  # noqa: F401  registers
+from siftspark.plans.core import ORACLES, QUERIES
+
+FLAGSHIP = "d2_family_scores"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
