@@ -7,8 +7,11 @@ so nothing is padded and no sequence crosses documents. The job is one scan with
 
 from __future__ import annotations
 
+import array
 import functools
+import json
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Ids of words that a worker keeps; the cache is emptied beyond that.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 _SPACE_RUN = re.compile(r" \s| $")
 _CUT = re.compile(r" (?=\S)")
 
@@ -25,8 +28,9 @@ class WordCachedEncoder:
     """Ids of whole texts as little-endian 32-bit bytes, equal to `Tokenizer.encode(text, add_special_tokens=False)`.
 
     The byte-level pattern always starts a new word at a space before a non-space, whatever stands around it, so a text
-    is cut there, each part is encoded once, and the parts' ids are joined. Texts with a special token's string go
-    through the tokenizer whole.
+    is cut there, each part is encoded once, and the parts' ids are joined. Parts are merged by tiktoken with the ranks
+    that the tokenizer's own file gives, which is the same merging in less time; a file whose ids don't rise with its
+    merges, and texts with a special token's string, go through the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -35,24 +39,47 @@ class WordCachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ids: dict[str, bytes] = {}
+        self.merge = _ranked(path, self.special)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, text: str) -> bytes:
+        if self.merge is None:
+            return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array.array("I", self.merge(text)).tobytes()
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
         if any(s in text for s in self.special):
-            return self._encode([text])[0]
+            return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         parts = _CUT.split(text) if _SPACE_RUN.search(text) else text.split(" ")
         first, rest = parts[0], parts[1:]
         if len(self.ids) > CACHED_WORDS:
             self.ids.clear()
-        if new := list(set(rest).difference(self.ids)):
-            self.ids.update(zip(new, self._encode([f" {w}" for w in new]), strict=True))
-        return (self._encode([first])[0] if first else b"") + b"".join(map(self.ids.__getitem__, rest))
+        known, encode = self.ids, self._encode
+        for w in set(rest).difference(known):
+            known[w] = encode(" " + w)
+        return encode(first) + b"".join(map(known.__getitem__, rest))
+
+
+def _ranked(path: str, special: list[str]):
+    """tiktoken's merging with the file's vocabulary; None if its ids aren't the merges' order or its pattern isn't the byte-level one."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    pre = model.get("pre_tokenizer") or {}
+    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or model.get("normalizer") or sys.byteorder != "little":
+        return None
+    vocab, merges = model["model"]["vocab"], model["model"]["merges"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+    if [vocab.get(a + b) for a, b in pairs] != list(range(256, 256 + len(pairs))):
+        return None
+    # the byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    ranks = {bytes(byte_of[c] for c in w): i for w, i in vocab.items() if w not in special}
+    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 @functools.cache
