@@ -125,6 +125,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append(("\n".join(x for i, x in enumerate(parts) if i not in drop) if drop else text or "", len(parts), len(drop)))
         return pd.DataFrame(out, columns=["kept_text", "n_lines", "n_dropped"])
 
+    # the row travels as one struct, so that its column names can't clash with those used here
     own = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
-    out = docs.select(*own, row_id(id_col).alias("_id"), h1.alias("_t1"), h2.alias("_t2")).join(lost, ["_id", "_t1", "_t2"], "left")
-    return out.withColumn("_out", without(F.col(text_col).cast("string"), "_lost")).select(*own, "_out.kept_text", "_out.n_lines", "_out.n_dropped")
+    out = docs.select(F.struct("*").alias("_row"), row_id(id_col).alias("_id"), h1.alias("_t1"), h2.alias("_t2")).join(lost, ["_id", "_t1", "_t2"], "left")
+    out = out.withColumn("_out", without(F.col("_row")[text_col].cast("string"), "_lost"))
+    return out.select(*[F.col("_row")[c].alias(c) for c in own], "_out.kept_text", "_out.n_lines", "_out.n_dropped")

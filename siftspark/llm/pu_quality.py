@@ -157,7 +157,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, id_col:
 
     own = docs.select(F.col(id_col).alias("_id"), h1.alias("_t1"), h2.alias("_t2"), F.col(text_col).cast("string").alias("_text"))
     table = stored(own.mapInArrow(extract, f"_id {id_type}, _t1 long, _t2 long, _x array<float>"), "features")
-    ids = table.select(F.col("_id").alias(id_col), "*").withColumn("held_out", F.coalesce(held_out, F.lit(False))).drop(id_col)
+    ids = table.withColumnRenamed("_id", id_col).withColumn("held_out", F.coalesce(held_out, F.lit(False))).withColumnRenamed(id_col, "_id")
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).filter("_id IS NOT NULL AND _y IS NOT NULL").groupBy("_id").agg(F.min("_y").alias("_y")).filter("_y = 1").select("_id")
     positives = stored(ids.filter("NOT held_out").join(marks, "_id", "left_semi").select("_x", "_t1"), "positives")
     unlabelled = ids.filter("NOT held_out").select("_x", "_t1")
@@ -185,5 +185,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: f
     h1, h2 = text_hash(text_col)
     scored = score_quality(docs, labels, held_out, id_col, text_col, **more)
     bad = stored(scored.filter(F.col("score") < threshold).select(row_id(id_col).alias("_rid"), "_t1", "_t2").distinct(), "rejected")
-    own = docs.withColumns({"_rid": row_id(id_col), "_t1": h1, "_t2": h2})
-    return own.join(bad, ["_rid", "_t1", "_t2"], "left_anti").select(*docs.columns)
+    own = docs.select(F.struct("*").alias("_row"), row_id(id_col).alias("_rid"), h1.alias("_t1"), h2.alias("_t2"))
+    return own.join(bad, ["_rid", "_t1", "_t2"], "left_anti").select("_row.*")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from siftspark.llm._shared import ascii_lower, stored
 
 #: Host, path prefix, verdict.
-RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
+RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 #: A host is listed if a label of it has one of these words between hyphens.
 LISTED_WORDS = ("spam", "pills", "casino", "bets", "adult", "ads")
 #: Keys of a shard, and its bits a key at even and odd levels.
