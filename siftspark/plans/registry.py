@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftspark.plans import analytics, relational  # noqa: F401  registers
+from siftspark.plans import analytics, extended, relational  # noqa: F401  registers
 from siftspark.plans.core import ORACLES, QUERIES
 
 FLAGSHIP = "d2_family_scores"
