@@ -7,7 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from siftspark.sources import readers
+from siftspark.sources import readers, writers
 from siftspark.streaming import jobs
 
 
@@ -67,3 +67,46 @@ def test_manifest(spark):
     r = readers.manifest(spark, path).first()
     assert r.bytes == 3
     assert r.sha256.startswith("ba7816bf")
+
+
+def test_safe_csv_and_replace(spark):
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    df = spark.createDataFrame([("=1+1", 1), ("plain", 2), (None, 3)], "c string, n int")
+    writers.write_csv(df.coalesce(1), f"{path}/out")
+    got = readers.read_strings(spark, f"{path}/out", ["c", "n"])
+    assert [r.c for r in got.orderBy("n").collect()] == ["'=1+1", "plain", None]
+    writers.replace(df, f"{path}/t")
+    writers.replace(df.filter("n > 1"), f"{path}/t")
+    assert spark.read.parquet(f"{path}/t").count() == 2
+
+
+def test_zipped_csv_and_latest_report(spark):
+    import json
+    import os
+    import zipfile
+
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    with zipfile.ZipFile(f"{path}/a.zip", "w") as z:
+        z.writestr("x.csv", "﻿id,v\n1,a\n2,b\n")
+        z.writestr("note.txt", "no")
+    assert [tuple(r) for r in writers.zipped_csv(spark, f"{path}/*.zip", ["id", "v", "w"]).orderBy("id").collect()] == [("x.csv", "1", "a", None), ("x.csv", "2", "b", None)]
+    for name, at in (("old", 1_700_000_000), ("new", 1_700_000_900)):
+        with open(f"{path}/{name}.json", "w") as f:
+            json.dump({"name": name}, f)
+        os.utime(f"{path}/{name}.json", (at, at))
+    assert [r.name for r in writers.latest_report(spark, f"{path}/*.json").collect()] == ["new"]
+
+
+def test_latest_votes(spark, stream):
+    s, events, path = stream
+    seen = []
+    q = jobs.latest_votes(s.select("user_id", "event_type", "value", "ts"), ["user_id", "event_type"], "ts", lambda df, n: seen.extend(df.collect()))
+    q = q.option("checkpointLocation", f"{path}/votes").trigger(availableNow=True).start()
+    assert q.awaitTermination(180)
+    assert len({(r.user_id, r.event_type) for r in seen}) == events.select("user_id", "event_type").distinct().count()
+
+
+def test_sessions_and_valid(spark, stream):
+    s, events, path = stream
+    got = drain(jobs.session_counts(jobs.valid(s, ("view", "click")), ["user_id"]), path, "sessions", "append")
+    assert got.count() >= 0
