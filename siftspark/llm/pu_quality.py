@@ -159,17 +159,21 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, id_col:
     table = stored(own.mapInArrow(extract, f"_id {id_type}, _t1 long, _t2 long, _x array<float>"), "features")
     ids = table.withColumnRenamed("_id", id_col).withColumn("held_out", F.coalesce(held_out, F.lit(False))).withColumnRenamed(id_col, "_id")
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).filter("_id IS NOT NULL AND _y IS NOT NULL").groupBy("_id").agg(F.min("_y").alias("_y")).filter("_y = 1").select("_id")
-    positives = stored(ids.filter("NOT held_out").join(marks, "_id", "left_semi").select("_x", "_t1"), "positives")
-    unlabelled = ids.filter("NOT held_out").select("_x", "_t1")
-    # equal texts have equal hashes: a bounded sample of texts, the same in every run
-    sample = lambda df: _matrix(df.orderBy(F.xxhash64("_t1"), "_t1").select("_x").limit(fit_rows).collect())
+    positives = stored(ids.filter("NOT held_out").join(marks, "_id", "left_semi").select("_x", F.xxhash64("_id", "_t1").alias("_h")), "positives")
+    unlabelled = ids.filter("NOT held_out").select("_x", F.xxhash64("_id", "_t1").alias("_h"))
+
+    def sample(df: DataFrame):
+        """The rows with the smallest hashes, the same in every run. A first cut by hash leaves few more than asked for, so no task sends many."""
+        cut = F.pmod("_h", F.lit(1 << 30)) < math.ceil((1.2 * fit_rows + 1000) / max(1, df.count()) * (1 << 30))
+        return _matrix(df.filter(cut).orderBy(F.pmod("_h", F.lit(1 << 30)), "_h").select("_x").limit(fit_rows).collect())
+
     p, u = sample(positives), sample(unlabelled)
     if not len(p):
         return ids.select(F.col("_id").alias(id_col), "_t1", "_t2", "held_out", F.lit(0.5).alias("score"))
     first = fit_nnpu(p, u, 0.5, epochs=15)
 
     def bins(df: DataFrame) -> list[int]:
-        found = _with_scores(df, first, ["_t1"]).groupBy(F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).count().collect()
+        found = _with_scores(df, first, ["_h"]).groupBy(F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).count().collect()
         out = [0] * BINS
         for r in found:
             out[r.bin] = r["count"]
