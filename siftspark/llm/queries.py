@@ -73,10 +73,8 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every text and decodes its ids again."""
-    small_batches(spark, 4000)
-    model = tokenizer_file("piece_bpe_32k.model")
-    docs = table(spark, sf_dir, "documents")
-    coded = sentencepiece_ops.decode(sentencepiece_ops.encode(docs, model), model)
+    small_batches(spark, 2000)
+    coded = sentencepiece_ops.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), decoded_col="text")
     return coded.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 

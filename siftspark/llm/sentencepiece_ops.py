@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Words and pairs of pieces that a worker keeps; a cache is emptied beyond that.
-CACHED, PAIRS = 400_000, 4_000_000
+CACHED, PAIRS = 400_000, 2_000_000
 #: Longer words are merged as a whole.
 LONGEST = 64
 #: Characters of distinct words that are indexed at once.
-INDEXED = 2_000_000
+INDEXED = 300_000
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -55,6 +55,7 @@ class Pieces:
         for k, p in enumerate(known):
             self.codes[k, : len(p)] = np.frombuffer(p.encode("utf-32-le", "surrogatepass"), np.uint32)
         self.length_of = list(map(len, self.text))
+        self.length_array = np.array(self.length_of)
         self.packed = [i.to_bytes(4, "little") for i in range(n)]
         #: Whether the merges lead to a piece at all.
         self.alone = np.array([self.merged(p) == [p] for p in known], bool)
@@ -104,9 +105,6 @@ class Pieces:
             at = np.searchsorted(self.border_keys, keys)
         return self.border_kept[at]
 
-    def bytes_of_char(self, c: str) -> bytes:
-        return self.ids_of([c])
-
     def ids_of(self, pieces: list[str]) -> bytes:
         """Ids as little-endian 32-bit bytes; a character outside the vocabulary as its bytes, or as unknown."""
         out = []
@@ -195,7 +193,7 @@ def encode_words(words: list[str], pieces: Pieces) -> list[bytes]:
     begins = np.concatenate([[0], stops[:-1] + 1])
     begin_of = np.repeat(begins, stops - begins + 1)  # of each position, its word's
     offset = place + length - begin_of[place]
-    by_end = np.argsort(offset)  # the edges, sorted by the position in their word that they reach
+    by_end = np.argsort(offset.astype(np.uint8 if offset.max(initial=0) < 256 else np.int64), kind="stable")  # the edges, sorted by the position in their word that they reach
     place, length, piece, offset = place[by_end], length[by_end], piece[by_end], offset[by_end]
     sizes = stops - begins
     most = int(sizes.max())
@@ -217,19 +215,30 @@ def encode_words(words: list[str], pieces: Pieces) -> list[bytes]:
         ends = begins[long_ones[: np.searchsorted(ordered, -i, side="right")]] + i
         bare = ends[last[ends] == none]
         last[bare] = odd
-    out = []
-    chain, sizes_of = last.tolist(), pieces.length_of
-    for w, begin, n in zip(words, begins.tolist(), sizes.tolist(), strict=True):
-        own, i = [], n
-        while i > 0:
-            k = chain[begin + i]
-            if k == odd:
-                own.append(pieces.bytes_of_char(w[i - 1]))
-                i -= 1
-            else:
-                own.append(pieces.packed[k])
-                i -= sizes_of[k]
-        out.append(b"".join(own[::-1]))
+    # walk all words back from their ends at once; a step's tokens stand before those of the steps before it
+    word, at = np.arange(len(words)), begins + sizes
+    found = []
+    while len(word):
+        token = last[at]
+        found.append((word, token))
+        at = at - np.where(token == odd, 1, pieces.length_array[np.minimum(token, odd - 1)])
+        more = at > begins[word]
+        word, at = word[more], at[more]
+    found.reverse()
+    word, token = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    order = np.argsort(word, kind="stable")
+    token = token[order]
+    counts = np.bincount(word, minlength=len(words))
+    stop = np.cumsum(counts)
+    packed, bounds = token.astype("<u4").tobytes(), (4 * stop).tolist()
+    out = [packed[low:high] for low, high in zip([0, *bounds[:-1]], bounds, strict=True)]
+    for k in np.unique(np.searchsorted(stop, np.flatnonzero(token == odd), side="right")).tolist():
+        # characters that no piece holds stand as their bytes
+        own, i = [], 0
+        for x in token[stop[k] - counts[k] : stop[k]].tolist():
+            own.append(pieces.ids_of([words[k][i]]) if x == odd else pieces.packed[x])
+            i += 1 if x == odd else pieces.length_of[x]
+        out[k] = b"".join(own)
     return out
 
 
@@ -283,21 +292,28 @@ def decode_ids(ids, pieces: Pieces) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id_col, ids (binary: little-endian unsigned 32-bit), n_pieces.
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", decoded_col: str | None = None) -> DataFrame:
+    """One row per row of docs: id_col, ids (binary: little-endian unsigned 32-bit), n_pieces, and the ids' text as decoded_col, if named.
 
     A null or empty text has no pieces. Repeated rows are encoded each, null ids are passed on, an empty table gives
     none, and other columns don't matter. One scan, without a shuffle.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
+    names = ["_id", "ids", "n_pieces", *(["_decoded"] if decoded_col else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         pieces = pieces_of(model_path)
         for batch in batches:
             ids = encode_texts([t or "" for t in batch.column(1).to_pylist()], pieces)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], ["_id", "ids", "n_pieces"])
+            columns = [batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            if decoded_col:
+                columns.append(pa.array([decode_ids(np.frombuffer(x, "<u4"), pieces) for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"_id {id_type}, ids binary, n_pieces long").withColumnRenamed("_id", id_col)
+    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"_id {id_type}, ids binary, n_pieces long" + ", _decoded string" * bool(decoded_col))
+    return out.select(F.col("_id").alias(id_col), "ids", "n_pieces", *([F.col("_decoded").alias(decoded_col)] if decoded_col else []))
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
