@@ -4,7 +4,8 @@ Texts of equal shingle sets form one class first. One hash a shingle fills the s
 from a bin that a fixed random sequence names. In each bucket of a band, the smallest id is the centre, and only edges
 from it to the members are candidates. Candidates are confirmed on full shingle sets. Members that the centre isn't
 linked with get two more stars in their bucket: around the linked member that is nearest to the centre, and around
-their own smallest. Linked classes become components by alternating large-star and small-star steps.
+their own smallest. Linked classes become components by alternating large-star and small-star steps. The classes of
+buckets that still hold several components are then joined exactly, by a prefix filter, so no pair of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftspark.llm._shared import NULL_ID, row_id, stored
@@ -112,6 +113,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(count, "a long, b long, linked boolean, similarity double")
 
 
+def _as_longs(c: str):
+    """A binary column of packed 64-bit hashes as an array, in Arrow batches."""
+
+    @F.pandas_udf("array<long>")
+    def unpack(x):
+        import numpy as np
+
+        return x.map(lambda v: np.frombuffer(v, np.int64))
+
+    return unpack(F.col(c))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the edges (a, b): component is the smallest node it reaches."""
 
@@ -133,6 +146,24 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different `_component` that can be linked, by sets (_id, _component, set): none that is linked is missing.
+
+    Shingles are ordered by the number of sets that hold them, rarest first. If the first one that two sets share is at
+    place i of n and j of m, they share at most the lesser of n - i and m - j; a pair stays if that is enough.
+    """
+    shingles = sets.select("_id", "_component", F.xxhash64("set").alias("_set"), F.explode(_as_longs("set")).alias("w"), (F.octet_length("set") / 8).cast("int").alias("n"))
+    shared = shingles.withColumn("held", F.count("*").over(Window.partitionBy("w"))).filter("held > 1")
+    # shingles of one set alone come first and are never shared, so only their number matters
+    own = Window.partitionBy("_id", "_set")
+    place = F.row_number().over(own.orderBy("held", "w")) - 1 + F.col("n") - F.count("*").over(own)
+    postings = stored(shared.withColumn("left", F.col("n") - place).filter(f"100 * left >= {percent} * n").select("w", "_id", "_component", "n", "left"), "postings")
+    x, y = postings.alias("x"), postings.alias("y")
+    enough = F.least(F.col("x.left"), F.col("y.left")) * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
+    pairs = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x._id") < F.col("y._id")) & (F.col("x._component") != F.col("y._component")) & enough)
+    return pairs.select(F.col("x._id").alias("a"), F.col("y._id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id (smallest id reachable, itself included), kept.
 
@@ -203,8 +234,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links.append(stored(confirmed(more, sets, percent), "star"))
     edges = links[0].unionByName(links[1]).filter("linked").select("a", "b")
 
-    reached = components(edges)
-    placed = stored(classes.select("d1", "d2", "_id").join(reached.withColumnRenamed("node", "_id"), "_id", "left").select("d1", "d2", F.coalesce("component", "_id").alias("_component")), "placed")
+    reached = stored(components(edges).select(F.col("node").alias("_id"), "component"), "reached")
+    # every pair of a bucket that still holds several components
+    inside = members.select("key", "_id").unionByName(centres.select("key", F.col("a").alias("_id"))).join(reached, "_id", "left").select("key", "_id", F.coalesce("component", "_id").alias("_component"))
+    inside = stored(inside, "inside")
+    mixed = inside.groupBy("key").agg(F.min("_component").alias("_least"), F.max("_component").alias("_most")).filter("_least != _most").select("key")
+    unsettled = inside.join(mixed, "key", "left_semi").select("_id", "_component").distinct()
+    found = stored(confirmed(stored(prefix_pairs(sets.join(unsettled, "_id"), percent), "pairs"), sets, percent).filter("linked").select("a", "b"), "found")
+    of = lambda k: reached.select(F.col("_id").alias(k), F.col("component").alias(f"of_{k}"))
+    merged = components(found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+    first_of = classes.select("d1", "d2", "_id").join(reached, "_id", "left").select("d1", "d2", F.coalesce("component", "_id").alias("node"))
+    placed = stored(first_of.join(merged, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("_component")), "placed")
     out = sketches.select("_id", "n_shingles", "d1", "d2").join(placed, ["d1", "d2"], "left").withColumn("_component", F.coalesce("_component", "_id"))
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).cast(id_type)
     return out.select(back("_id").alias(id_col), "n_shingles", back("_component").alias("component_id"), (F.col("_id") == F.col("_component")).alias("kept"))

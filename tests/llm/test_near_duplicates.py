@@ -60,3 +60,17 @@ def test_long_chains_become_one_component(spark):
     got = {r.node: r.component for r in minhash_dedup.components(edges).collect()}
     assert all(got[i] == 0 for i in range(101))
     assert got[201] == 200
+
+
+def test_pairs_of_a_template_family(make, prose):
+    base, rows = prose(77, 400, 10**6), []
+    for g in range(200):  # pairs are 0.87 alike, strangers 0.80: their buckets hold the whole family
+        origin = edited(base, 3, 10 * g)
+        rows += [(2 * g, edited(origin, 4, 10 * g + 1)), (2 * g + 1, edited(origin, 5, 10 * g + 2))]
+    random.Random(5).shuffle(rows)
+    rows = [(n, text) for n, (_, text) in enumerate(rows)]
+    want = brute(rows, 3, 85)
+    assert sum(want[i] != i for i in want) > 150
+    assert len(set(want.values())) > 150
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(make(rows), words=3, percent=85).collect()}
+    assert got == want
