@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import string
 
 from siftspark.llm import secret_scan
 
@@ -44,3 +46,13 @@ def test_held_out_findings(spark, make, prose, tokenizer):
     right = sum(forest.predict(Vectors.dense(v)) == y for v, y in x)
     assert len(x) > 100
     assert right / len(x) > 0.95
+
+
+def test_hints_lose_no_candidate(monkeypatch):
+    rng = random.Random(3)
+    texts = ["see kQzRw7XbTnVyPmLsDfGh here", "kQ2", "a/b/c-" * 9, "1234567890" * 3]
+    texts += [f"on {''.join(rng.choices(string.ascii_letters + string.digits, k=n))} it" for n in (19, 20, 21, 22, 24, 32) for _ in range(200)]
+    got = [secret_scan.candidates(t) for t in texts]
+    monkeypatch.setattr(secret_scan, "_HINT", secret_scan.re.compile(""))
+    assert got == [secret_scan.candidates(t) for t in texts]
+    assert got[0] == [(4, 24, "random")]
