@@ -22,18 +22,25 @@ from pyspark.sql import functions as F
 
 from siftspark.llm._shared import row_id, stored, text_hash
 
+#: The value of an assignment: all up to the closing quote on the line, else up to a space, a quote or the next `&name=`.
+_VALUE = (
+    r"(?:(?P<q>[\"'])(?=(?:(?!(?P=q))[^\\\n]|\\.)*+(?P=q)))?+[\"']?"
+    r"(?P<v>(?(q)(?:(?!(?P=q))[^\\\n]|\\.){8,}+|(?:(?:(?![&,;](?:[a-z_][\w.\-]*[=:][^\s=]|\s|$))[^\s\"'<>]){8,}+|[^\s\"'<>]{8,}+)))"
+)
 #: Patterns of candidates, by kind; the group `v` is the candidate. Published key formats.
 PATTERNS = {
-    "assigned": r"(?i)\b(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential|bearer)s?[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?(?P<v>[^\s\"'<>,;!*#$%&]{8,400})",
+    "assigned": r"(?i)(?<![A-Za-z0-9])(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential|bearer)s?[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}" + _VALUE,
     "cloud_key": r"\b(?P<v>(?:AKIA|ASIA)[0-9A-Z]{16})\b",
-    "hub_token": r"\b(?P<v>gh[pousr]_[A-Za-z0-9]{36,251})\b",
-    "pay_key": r"\b(?P<v>[sr]k_(?:live|test)_[A-Za-z0-9]{16,247})\b",
-    "chat_token": r"\b(?P<v>xox[abprs]-[A-Za-z0-9-]{10,250})",
+    "hub_token": r"\b(?P<v>gh[pousr]_[A-Za-z0-9]{36,})\b",
+    "pay_key": r"\b(?P<v>[sr]k_(?:live|test)_[A-Za-z0-9]{16,})\b",
+    "chat_token": r"\b(?P<v>xox[abprs]-[A-Za-z0-9-]{10,})",
     "map_key": r"\b(?P<v>AIza[0-9A-Za-z_\-]{35})\b",
-    "web_token": r"\b(?P<v>eyJ[A-Za-z0-9_\-]{8,2000}\.[A-Za-z0-9_\-]{8,2000}\.[A-Za-z0-9_\-]{8,2000})",
-    "private_key": r"(?P<v>-----BEGIN (?:[A-Z]{2,10} ){0,2}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{1,8000}-----END (?:[A-Z]{2,10} ){0,2}PRIVATE KEY-----)?)",
-    "random": r"(?<![A-Za-z0-9+/_=\-])(?P<v>(?=[A-Za-z+/_=\-]{0,200}[0-9])(?=[0-9+/_=\-]{0,200}[A-Za-z])[A-Za-z0-9+/_=\-]{20,200})(?![A-Za-z0-9+/_=\-])",
+    "web_token": r"\b(?P<v>eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+)",
+    "private_key": r"(?P<v>-----BEGIN (?:[A-Z]{2,10} ){0,2}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]++-----END (?:[A-Z]{2,10} ){0,2}PRIVATE KEY-----)?)",
+    "random": r"(?<![A-Za-z0-9+/_=\-])(?P<v>(?=[A-Za-z+/_=\-]*[0-9])(?=[0-9+/_=\-]*[A-Za-z])[A-Za-z0-9+/_=\-]{20,}+)",
 }
+#: Formats of any value; the others are specific.
+_GENERAL = ("assigned", "random")
 #: A text with none of these has no candidate but a random one.
 _HINT = re.compile(r"(?i)token|secret|passw|pwd|api_?-?key|access_?-?key|auth|credential|bearer|AKIA|ASIA|gh[pousr]_|k_live_|k_test_|xox|AIza|eyJ|PRIVATE KEY")
 #: Implied by the random pattern, so a text without it has no random one either.
@@ -76,18 +83,38 @@ def transitions(counts) -> list[list[float]]:
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind), without overlaps: the first pattern that finds a place keeps it."""
-    found: list[tuple[int, int, str]] = []
+    """(start, end, kind), without overlaps: values and formats that overlap are one candidate of the most specific kind.
+
+    A random run that goes on behind one lengthens it; what is before it stays a candidate if it is a random one alone.
+    """
     kinds = [*PATTERNS] if _HINT.search(text) else ["random"] if _RANDOM_HINT.search(text) else []
-    for kind in kinds:
-        for m in _COMPILED[kind].finditer(text):
-            found.append((*m.span("v"), kind))
-    rank = {k: i for i, k in enumerate(PATTERNS)}
+    found = {kind: [m.span("v") for m in _COMPILED[kind].finditer(text)] for kind in kinds}
+    rank = {k: (k in _GENERAL, i) for i, k in enumerate(PATTERNS)}
     out: list[tuple[int, int, str]] = []
-    for x in sorted(found, key=lambda x: (x[0], rank[x[2]])):
-        if not out or x[0] >= out[-1][1]:
-            out.append(x)
-    return out
+    for start, end, kind in sorted((*span, kind) for kind, spans in found.items() if kind != "random" for span in spans):
+        if out and start < out[-1][1]:
+            first, last, other = out[-1]
+            out[-1] = (first, max(last, end), min(kind, other, key=rank.get))
+        else:
+            out.append((start, end, kind))
+    fixed, alone = len(out), []
+    at = 0
+    for start, end in found.get("random", []):
+        while at < fixed and out[at][1] <= start:
+            at += 1
+        while at < fixed and out[at][0] < end:
+            first, last, kind = out[at]
+            if _COMPILED["random"].fullmatch(text[start:first]):
+                alone.append((start, first, "random"))
+            if last >= end or at + 1 == fixed or out[at + 1][0] >= end:
+                out[at] = (first, max(last, end), kind)
+            start = out[at][1]
+            if start >= end:
+                break
+            at += 1
+        if start < end:
+            alone.append((start, end, "random"))
+    return sorted(out + alone)
 
 
 def describe(value: str, kind: str, before: str, after: str, path: str | None, table: list[list[float]], words: frozenset[str]) -> list[float]:

@@ -56,3 +56,19 @@ def test_hints_lose_no_candidate(monkeypatch):
     monkeypatch.setattr(secret_scan, "_HINT", secret_scan.re.compile(""))
     assert got == [secret_scan.candidates(t) for t in texts]
     assert got[0] == [(4, 24, "random")]
+
+
+def test_whole_values(make, prose, tokenizer):
+    hub, long = "ghp_" + "aB3dE7fG9h" * 4, "aB3dE7fG9hKq" * 40
+    forms = [
+        ("password=", "aB3dE7f!9Xy2", "assigned"), ("pwd: ", "hunter2abc!xyz9", "assigned"), *(("password=", f"aB3dE7f{c}9Xy2", "assigned") for c in "!*#$%&,;"),
+        ('DB_PASSWORD: "', "s3cr3tpw9", "assigned"), ("client_secret: ", "Zx81kLmQ", "assigned"), ('password = "', "aB3d E7f'9Xy2", "assigned"), ("auth=", long, "assigned"), ("so ", long, "random"),
+        ("GITHUB_TOKEN=", hub, "hub_token"), ("see ", hub + long, "hub_token"), ("secret=", f"{hub}!x9", "hub_token"), ("token=", "AKIA" + "Q7RT" * 4 + "/wJalrXUtnF", "cloud_key"),
+    ]
+    rows = [(i, f'some {lead}{value}{lead[-1] if lead[-1] == chr(34) else ""} more') for i, (lead, value, _) in enumerate(forms)]
+    got = {}
+    for r in secret_scan.scan_secrets(make([*rows, *((1000 + i, prose(i, 40)) for i in range(60))]), tokenizer("byte_bpe_50k.json")).collect():
+        got.setdefault(r.doc_id, []).append((rows[r.doc_id][1][r.start : r.start + r.length], r.kind))
+    assert got == {i: [(value, kind)] for i, (_, value, kind) in enumerate(forms)}
+    assert [("token=abcd1234&user=bob"[a:b]) for a, b, _ in secret_scan.candidates("token=abcd1234&user=bob")] == ["abcd1234"]
+    assert secret_scan.candidates("token=abcd1234;") == [(6, 14, "assigned")]
