@@ -24,19 +24,24 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], left_at:
     return best.join(left, left_id).select(*left.columns, F.col(f"_b.{right_id}").alias(right_id), F.col("_b.gap_us").alias("gap_us")) if own else best
 
 
-def token_candidates(left: DataFrame, right: DataFrame, left_text: str, right_text: str, left_id: str, right_id: str, most_rows: int = 1000) -> DataFrame:
+def token_candidates(left: DataFrame, right: DataFrame, left_text: str, right_text: str, left_id: str, right_id: str) -> DataFrame:
     """(left_id, right_id, shared, similarity): pairs that share a word, with the Jaccard similarity of their word sets.
 
-    Words that more than most_rows right rows hold don't make candidates, but count in the similarity.
+    Equal word sets are compared once. The right sets of a word that more than 1000 hold are cut into parts, and each left
+    one asks every part; a pair comes from its first shared word only.
     """
-    a = left.select(left_id, tokens(F.col(left_text)).alias("_a"))
-    b = right.select(right_id, tokens(F.col(right_text)).alias("_b"))
-    words = b.select(right_id, F.explode("_b").alias("_w"))
-    useful = words.groupBy("_w").agg(F.count("*").alias("_n")).filter(F.col("_n") <= most_rows).select("_w")
-    pairs = a.select(left_id, F.explode("_a").alias("_w")).join(words.join(useful, "_w", "left_semi"), "_w").select(left_id, right_id).distinct()
-    both = pairs.join(a, left_id).join(b, right_id)
-    shared = F.size(F.array_intersect("_a", "_b"))
-    return both.select(left_id, right_id, shared.alias("shared"), F.round(shared / F.size(F.array_union("_a", "_b")), 6).alias("similarity"))
+    a = left.select(left_id, F.array_sort(tokens(F.col(left_text))).alias("_a"))
+    b = right.select(right_id, F.array_sort(tokens(F.col(right_text))).alias("_b"))
+    asks, there = a.select("_a").distinct().withColumn("_w", F.explode("_a")), b.select("_b").distinct().withColumn("_w", F.explode("_b"))
+    hot = F.broadcast(there.groupBy("_w").agg(F.ceil(F.count("*") / 1000).alias("_parts")).filter("_parts > 1"))
+    parts = F.coalesce("_parts", F.lit(1))
+    asks = asks.join(hot, "_w", "left").select("_w", "_a", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_part"))
+    there = there.join(hot, "_w", "left").select("_w", "_b", F.pmod(F.xxhash64("_b"), parts).alias("_part"))
+    both = F.array_intersect("_a", "_b")
+    shared = F.size(both)
+    pairs = asks.join(there, ["_w", "_part"]).filter(F.col("_w") == F.array_min(both))
+    pairs = pairs.select("_a", "_b", shared.alias("shared"), F.round(shared / F.size(F.array_union("_a", "_b")), 6).alias("similarity"))
+    return pairs.join(a, "_a").join(b, "_b").select(left_id, right_id, "shared", "similarity")
 
 
 def best_match(pairs: DataFrame, left_id: str, right_id: str, least: float) -> DataFrame:
