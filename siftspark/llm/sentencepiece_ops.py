@@ -4,8 +4,9 @@ A batch's distinct words are concatenated and indexed with a suffix array. Every
 in it by binary search; its range of suffixes are the places where it occurs, each an edge of the word's lattice.
 Edges are sorted by position and relaxed from left to right. The model is a byte-pair one, so what decides is not a sum
 of scores: an edge may follow another if the model's merges keep the border between the two pieces, and the chain of
-such edges is unique. That gives the library's own ids. The border test of two pieces merges them by score, once for
-each pair. Words with runs of spaces are merged as a whole, since the pieces of spaces share one score.
+such edges is unique. That gives the library's own ids. Whether a border is kept is read off the two pieces' own last
+merges, for all pairs of a step at once: going back in time, no merge over the border may come before one that is
+undone. Words with runs of spaces are merged as a whole, since the pieces of spaces share one score.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Words and pairs of pieces that a worker keeps; a cache is emptied beyond that.
-CACHED, PAIRS = 400_000, 2_000_000
-#: Longer words are merged as a whole.
-LONGEST = 64
+#: Words that a worker keeps; the cache is emptied beyond that.
+CACHED = 400_000
+#: Longer words are indexed and relaxed apart from the others, whose number of steps is their longest word's length.
+LONG = 64
 #: Characters of distinct words that are indexed at once.
-INDEXED = 300_000
+INDEXED = 500_000
+#: Slots (a power of two of 2**SLOTS) that tell most pairs without a joint piece from those with one.
+SLOTS = 22
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -57,14 +60,53 @@ class Pieces:
         self.length_of = list(map(len, self.text))
         self.length_array = np.array(self.length_of)
         self.packed = [i.to_bytes(4, "little") for i in range(n)]
-        #: Whether the merges lead to a piece at all.
-        self.alone = np.array([self.merged(p) == [p] for p in known], bool)
         self.words: dict[str, bytes] = {}
-        self.border_keys = np.zeros(0, np.int64)
-        self.border_kept = np.zeros(0, bool)
+        self._index_merges(known)
+
+    def _index_merges(self, known: list[str]) -> None:
+        """Each piece's place in the order of merges, the halves it is made of last, and the pieces that two make together."""
+        import numpy as np
 
-    def merged(self, text: str) -> list[str]:
-        """Pieces of a text after all merges, best score first, leftmost among equals; single characters where nothing merges."""
+        n = len(self.text)
+        if any(self.score[self.id[p]] % 1 for p in known):
+            raise ValueError("not a byte-pair model: its scores aren't an order of merges")
+        self.rank = np.full(n, -1, np.int64)  # -1: a single character, there from the start
+        self.first_half, self.second_half = np.arange(n), np.arange(n)
+        self.regular = np.zeros(n, bool)
+        #: Whether the merges lead to a piece at all.
+        self.alone = np.zeros(len(known), bool)
+        for k in sorted(range(len(known)), key=lambda k: len(known[k])):
+            p, last = known[k], []
+            i = self.id[p]
+            self.alone[k] = self.merged(p, last) == [p]
+            if len(p) == 1:
+                self.regular[i] = True
+            elif self.alone[k]:
+                a, b = (self.id.get(x) for x in last)
+                self.rank[i] = int(-self.score[i])
+                if a is not None and b is not None and self.regular[a] and self.regular[b] and max(self.rank[a], self.rank[b]) < self.rank[i]:
+                    self.regular[i], self.first_half[i], self.second_half[i] = True, a, b
+        joint = {}
+        for p in known:
+            for k in range(1, len(p)):
+                if (a := self.id.get(p[:k])) is not None and (b := self.id.get(p[k:])) is not None:
+                    joint[a * n + b] = int(-self.score[self.id[p]])
+        self.joint_keys = np.array(sorted(joint), np.int64)
+        self.joint_rank = np.array([joint[k] for k in sorted(joint)], np.int64)
+        self.slots = np.zeros(1 << SLOTS, bool)
+        self.slots[self._slot(self.joint_keys)] = True
+
+    @staticmethod
+    def _slot(keys):
+        import numpy as np
+
+        with np.errstate(over="ignore"):
+            return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)
+
+    def merged(self, text: str, last: list[str] | None = None) -> list[str]:
+        """Pieces of a text after all merges, best score first, leftmost among equals; single characters where nothing merges.
+
+        last: gets the two parts of the merge that was made last."""
         part: list[str | None] = list(text)
         after, before = [*range(1, len(part)), -1], [-1, *range(len(part) - 1)]
         heap: list[tuple[float, int, int, str]] = []
@@ -79,6 +121,8 @@ class Pieces:
             _, i, j, both = heapq.heappop(heap)
             if part[i] is None or part[j] is None or after[i] != j or part[i] + part[j] != both:
                 continue
+            if last is not None:
+                last[:] = part[i], part[j]
             part[i], part[j], after[i] = both, None, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
@@ -87,23 +131,36 @@ class Pieces:
         return [p for p in part if p is not None]
 
     def borders_kept(self, left, right):
-        """Whether the merges of each two pieces keep the border between them; every pair is merged once."""
+        """Whether the merges of each two pieces keep the border between them.
+
+        The two pieces are taken apart again, the later merge first. At each step a merge of the two parts beside the
+        border must not come before the merge that was undone last; among equals the one further left comes first.
+        """
         import numpy as np
 
-        keys = left * len(self.text) + right
-        at = np.minimum(np.searchsorted(self.border_keys, keys), max(0, len(self.border_keys) - 1))
-        known = self.border_keys[at] == keys if len(self.border_keys) else np.zeros(len(keys), bool)
-        if not known.all():
-            new = np.unique(keys[~known])
-            kept = np.array([self.merged(self.text[a] + self.text[b]) == [self.text[a], self.text[b]] for a, b in zip((new // len(self.text)).tolist(), (new % len(self.text)).tolist(), strict=True)], bool)
-            if len(self.border_keys) + len(new) > PAIRS:  # emptied, but for those asked for now
-                asked = np.isin(self.border_keys, keys)
-                self.border_keys, self.border_kept = self.border_keys[asked], self.border_kept[asked]
-            order = np.argsort(np.concatenate([self.border_keys, new]), kind="stable")
-            self.border_keys = np.concatenate([self.border_keys, new])[order]
-            self.border_kept = np.concatenate([self.border_kept, kept])[order]
-            at = np.searchsorted(self.border_keys, keys)
-        return self.border_kept[at]
+        kept = np.ones(len(left), bool)
+        odd = ~(self.regular[left] & self.regular[right])
+        for k in np.flatnonzero(odd).tolist():
+            a, b = self.text[left[k]], self.text[right[k]]
+            kept[k] = self.merged(a + b) == [a, b]
+        at = np.flatnonzero(~odd)
+        a, b = left[at], right[at]
+        limit = np.full(len(at), 1 << 62)  # twice the place in the order; an odd number takes in the place itself
+        while len(at):
+            keys = a * len(self.text) + b
+            maybe = np.flatnonzero(self.slots[self._slot(keys)])
+            found = np.minimum(np.searchsorted(self.joint_keys, keys[maybe]), len(self.joint_keys) - 1)
+            crossed = np.zeros(len(at), bool)
+            if len(self.joint_keys):
+                crossed[maybe] = (self.joint_keys[found] == keys[maybe]) & (2 * self.joint_rank[found] < limit[maybe])
+            kept[at[crossed]] = False
+            rank_a, rank_b = self.rank[a], self.rank[b]
+            more = ~crossed & ((rank_a >= 0) | (rank_b >= 0))
+            at, a, b, rank_a, rank_b = at[more], a[more], b[more], rank_a[more], rank_b[more]
+            undo_a = rank_a > rank_b
+            limit = np.where(undo_a, 2 * rank_a, 2 * rank_b + 1)
+            a, b = np.where(undo_a, self.second_half[a], a), np.where(undo_a, b, self.first_half[b])
+        return kept
 
     def ids_of(self, pieces: list[str]) -> bytes:
         """Ids as little-endian 32-bit bytes; a character outside the vocabulary as its bytes, or as unknown."""
@@ -258,16 +315,17 @@ def encode_texts(texts: list[str], pieces: Pieces) -> list[bytes]:
     if len(known) + len(new) > CACHED:
         known.clear()
         new = list(every)
-    plain, whole = [], []
+    plain, long, whole = [], [], []
     for u in new:
-        (plain if u and not u.startswith(SPACE * 2) and "\x00" not in u and len(u) <= LONGEST else whole).append(u)
-    part, size = [], 0
-    for k, u in enumerate(plain):
-        part.append(u)
-        size += len(u)
-        if size >= INDEXED or k == len(plain) - 1:
-            known.update(zip(part, encode_words([SPACE + x for x in part], pieces), strict=True))
-            part, size = [], 0
+        (whole if not u or u.startswith(SPACE * 2) or "\x00" in u else plain if len(u) <= LONG else long).append(u)
+    for kind in (plain, long):
+        part, size = [], 0
+        for k, u in enumerate(kind):
+            part.append(u)
+            size += len(u)
+            if size >= INDEXED or k == len(kind) - 1:
+                known.update(zip(part, encode_words([SPACE + x for x in part], pieces), strict=True))
+                part, size = [], 0
     for u in whole:
         known[u] = pieces.ids_of(pieces.merged(u[2:] if u.startswith(SPACE * 2) else SPACE + u))
     return [b"".join(map(known.__getitem__, own)) for own in units]

@@ -25,11 +25,32 @@ def test_decoding_is_the_librarys(pieces, prose):
         assert S.decode_ids(ids, pieces) == pieces.model.decode(ids)
 
 
-def test_pairs_beyond_the_cache(pieces, prose, monkeypatch):
-    monkeypatch.setattr(S, "PAIRS", 50)
-    pieces.words.clear()
-    t = prose(77, 300)
-    assert np.frombuffer(S.encode_texts([t], pieces)[0], "<u4").tolist() == pieces.model.encode(t)
+def test_borders_are_the_merges(pieces):
+    rng = np.random.default_rng(5)
+    known = np.array([i for p, i in pieces.id.items() if pieces.merged(p) == [p] and "▁▁" not in p])
+    left, right = rng.choice(known, 20000), rng.choice(known, 20000)
+    short = known[[len(pieces.text[i]) <= 2 for i in known]]
+    left[:10000], right[:10000] = rng.choice(short, 10000), rng.choice(short, 10000)
+    left[-300:] = right[-300:]  # a piece beside itself: ties
+    want = [pieces.merged(pieces.text[a] + pieces.text[b]) == [pieces.text[a], pieces.text[b]] for a, b in zip(left, right, strict=True)]
+    assert pieces.borders_kept(left, right).tolist() == want
+    assert 0.05 < np.mean(want) < 0.999
+
+
+def test_long_words(pieces):
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abeinrst"), 3000)), "日本語テスト" * 200, "x" * 1000, "ab" * 70 + " " + "a" * 65]
+    for t, ids in zip(texts, S.encode_texts(texts, pieces), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == pieces.model.encode(t), t[:20]
+
+
+def test_other_models_are_refused(pieces):
+    class Other(S.Pieces):
+        def __init__(self):
+            self.text, self.score, self.id = ["a"], [-1.5], {"a": 0}
+
+    with pytest.raises(ValueError, match="byte-pair"):
+        Other()._index_merges(["a"])
 
 
 def test_frames(spark, make, tokenizer, prose):
