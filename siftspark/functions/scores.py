@@ -12,6 +12,11 @@ ROLE = {"primary": 1.0, "primary_with_lab": 0.96, "supportive": 0.74, "supportiv
 SOURCE = {"official_fact_sheet": 1.0, "official_consumer_fact_sheet": 0.92, "official_health_resource": 0.90, "medical_reference": 0.86, "internal_rules": 0.70}
 LAB = {"no": 1.0, "optional": 0.95, "preferred": 0.90, "required": 0.72}
 RISK = {"low": 0.0, "low_moderate": 0.03, "moderate": 0.07, "moderate_high": 0.14, "high": 0.25}
+#: What a perceived benefit adds to a reward.
+BENEFIT = {"claro": 0.10, "leve": 0.05}
+#: Weights of a product's commercial score without and with a budget.
+COMMERCIAL = {"match": 0.26, "unit": 0.14, "price_stock": 0.16, "review": 0.20, "quality": 0.12, "shop": 0.06, "fresh": 0.04, "exposure": 0.03, "verified": 0.03}
+COMMERCIAL_BUDGET = {"match": 0.24, "unit": 0.13, "price_stock": 0.24, "review": 0.14, "quality": 0.11, "shop": 0.05, "fresh": 0.04, "exposure": 0.03, "verified": 0.02}
 
 
 def clip(c: Column, low: float, high: float) -> Column:
@@ -26,56 +31,95 @@ def weight(c: Column, weights: dict[str, float], default: float) -> Column:
 
 
 def reward(rating: Column, purchased: Column, still: Column, benefit: Column) -> Column:
-    """Rating 1 to 5 with outcomes; a rating alone counts whole."""
-    base = (rating - 1) / F.lit(4.0)
+    """Rating, held to 1 to 5, with outcomes; a rating alone counts whole, no rating counts as none of it."""
+    base = F.coalesce((clip(rating.cast("double"), 1.0, 5.0) - 1) / F.lit(4.0), F.lit(0.0))
     alone = purchased.isNull() & still.isNull() & benefit.isNull()
-    full = 0.40 * base + F.when(purchased, 0.20).otherwise(0.0) + F.when(still, 0.30).otherwise(0.0) + F.when(benefit == "clear", 0.10).when(benefit == "slight", 0.05).otherwise(0.0)
+    full = 0.40 * base + F.when(purchased, 0.20).otherwise(0.0) + F.when(still, 0.30).otherwise(0.0) + weight(F.lower(F.trim(benefit)), BENEFIT, 0.0)
     return clip(F.when(alone, base).otherwise(full), 0.0, 1.0)
 
 
 def bayesian_mean(n: Column, mean: Column, prior: float = 0.70, m: float = 8) -> Column:
-    return (n * F.coalesce(mean, F.lit(0.0)) + m * prior) / (n + m)
+    """The mean, held to 0 to 1, drawn toward the prior; the prior itself without votes."""
+    return F.when((n <= 0) | n.isNull() | mean.isNull(), F.lit(prior)).otherwise((n * clip(mean, 0.0, 1.0) + m * prior) / (n + m))
 
 
 def exploration(n: Column, total: Column, c: float = 0.01) -> Column:
     return c * F.sqrt(F.log(total + 1) / (n + 1))
 
 
-def chosen_signal(context_n: Column, context_mean: Column, global_n: Column, global_mean: Column, least: int = 5) -> Column:
-    """struct(level, value): the context's mean with enough votes, else the global one, else none."""
+def chosen_signal(context_n: Column, context_mean: Column, global_n: Column, global_mean: Column, least_context: int = 5, least_global: int = 10, prior: float = 0.70, m: float = 8) -> Column:
+    """struct(level, value, used): the context's votes if they are enough, else the global ones, else the prior and no votes."""
+    cn, gn = F.coalesce(context_n, F.lit(0)), F.coalesce(global_n, F.lit(0))
+    out = lambda level, value, used: F.struct(F.lit(level).alias("level"), value.alias("value"), used.cast("long").alias("used"))
     return (
-        F.when(context_n >= least, F.struct(F.lit("context").alias("level"), context_mean.alias("value")))
-        .when(global_n >= least, F.struct(F.lit("global").alias("level"), global_mean.alias("value")))
-        .when(global_n > 0, F.struct(F.lit("insufficient").alias("level"), F.lit(None).cast("double").alias("value")))
-        .otherwise(F.struct(F.lit("none").alias("level"), F.lit(None).cast("double").alias("value")))
+        F.when((cn >= least_context) & context_mean.isNotNull(), out("context", bayesian_mean(cn, context_mean, prior, m), cn))
+        .when((gn >= least_global) & global_mean.isNotNull(), out("global", bayesian_mean(gn, global_mean, prior, m), gn))
+        .when((gn > 0) | (cn > 0), out("insufficient", F.lit(prior), F.lit(0)))
+        .otherwise(out("none", F.lit(prior), F.lit(0)))
     )
 
 
-def evidence_score(grade: Column, role: Column, source: Column, lab: Column, risk: Column, penalty: Column) -> Column:
-    parts = 0.36 * weight(grade, GRADE, 0.55) + 0.22 * weight(role, ROLE, 0.70) + 0.18 * weight(source, SOURCE, 0.70) + 0.14 * weight(lab, LAB, 0.90) + 0.10 * (1 - weight(risk, RISK, 0.08))
+def evidence_score(grade: Column, role: Column, source: Column, lab: Column, risk: Column, penalty: Column, strength: Column | None = None) -> Column:
+    """strength: an older mark, read where the grade is unknown."""
+    known = weight(grade, GRADE, -1.0)
+    fallback = F.lit(0.55) if strength is None else weight(strength, STRENGTH, 0.55)
+    parts = 0.36 * F.when(known >= 0, known).otherwise(fallback) + 0.22 * weight(role, ROLE, 0.70) + 0.18 * weight(source, SOURCE, 0.70) + 0.14 * weight(lab, LAB, 0.90) + 0.10 * (1 - weight(risk, RISK, 0.08))
     return F.greatest(F.lit(0.05), parts - penalty)
 
 
+def commercial_score(terms: dict[str, Column], has_budget: Column, added: Column, taken: Column) -> Column:
+    """A product's score: the terms named in COMMERCIAL by their weights, plus boosts, less penalties, held to 0 to 1."""
+    of = lambda weights: sum((F.lit(v) * terms[k] for k, v in weights.items()), F.lit(0.0))
+    return clip(F.when(has_budget, of(COMMERCIAL_BUDGET)).otherwise(of(COMMERCIAL)) + added - taken, 0.0, 1.0)
+
+
 def exposure(share: Column, slope: float = 3.0, least: float = 0.25, most: float = 0.75) -> Column:
     return F.greatest(F.lit(least), 1 - F.least(F.lit(most), slope * share))
 
 
 def price_score(p: Column, low: Column, high: Column) -> Column:
+    """Of a price against a budget from low to high, either of which may be null; the numbers are fixed values."""
     return (
         F.when(p.isNull() | (p <= 0), 0.65)
-        .when(high.isNotNull() & (p > high), F.greatest(F.lit(0.05), 0.4 * (1 - F.least(F.lit(1.0), (p - high) / high))))
-        .when(low.isNotNull() & high.isNotNull() & (high > low), 1 - 0.30 * F.greatest(F.lit(0.0), (p - low) / (high - low)))
-        .when(high.isNotNull(), F.greatest(F.lit(0.30), 1 - 0.30 * p / high))
+        .when(high.isNotNull() & (p > high), F.greatest(F.lit(0.05), 0.4 * (1 - F.least(F.lit(1.0), (p - high) / F.greatest(high, F.lit(1.0))))))
+        .when(low.isNotNull() & high.isNotNull(), clip(1 - 0.30 * ((p - low) / F.greatest(high - low, F.lit(1.0))), 0.0, 1.0))
+        .when(high.isNotNull(), clip(1 - 0.30 * p / high, 0.30, 1.0))
         .otherwise(clip(1 / (1 + p / 100), 0.05, 1.0))
     )
 
 
-def stock_score(n: Column) -> Column:
-    return F.when(n <= 0, 0.25).when(n < 5, 0.40).when(n < 20, 0.75).otherwise(1.0)
+def stock_score(n: Column, availability: Column) -> Column:
+    """Only what says `available` counts by its stock; an unknown stock is .75."""
+    there = F.contains(F.lower(F.coalesce(availability, F.lit(""))), F.lit("available"))
+    return F.when(~there, 0.25).when(n.isNull(), 0.75).when(n <= 0, 0.40).when(n < 5, 0.75).otherwise(1.0)
+
+
+def traceability_score(registry: Column, status: Column) -> Column:
+    """By whether a registry number is there and what the regulatory status says."""
+    has, says = F.length(F.trim(F.coalesce(registry, F.lit("")))) > 0, F.lower(F.coalesce(status, F.lit("")))
+    match = F.contains(says, F.lit("match"))
+    return F.when(has & (F.contains(says, F.lit("digemid")) | match), 1.0).when(has, 0.85).when(F.contains(says, F.lit("trace")) | match, 0.70).otherwise(0.45)
+
+
+def shop_score(times: Column) -> Column:
+    """Less for a shop that was used before."""
+    return F.greatest(F.lit(0.35), 1 - 0.20 * times)
+
+
+def confidence_of(trace: Column, has_price: Column, is_available: Column, label: Column) -> Column:
+    """Trust in a product without a stated one; label: 1 for a verified label, .35 for an inferred one, else 0."""
+    return clip(0.50 * trace + F.when(has_price, 0.20).otherwise(0.0) + F.when(is_available, 0.15).otherwise(0.0) + 0.15 * label, 0.0, 1.0)
+
+
+def quality_score(trace: Column, registered: Column, has_amount: Column, has_price: Column, has_stock: Column, verified_label: Column, unit: Column, confidence: Column) -> Column:
+    """Of a catalog entry, from what it states."""
+    add = lambda c, w: F.when(c, w).otherwise(0.0)
+    stated = add(registered, 0.20) + add(has_amount, 0.12) + add(has_price, 0.12) + add(has_stock, 0.08) + add(verified_label, 0.08) + add(unit >= 0.95, 0.05)
+    return clip(0.35 * trace + stated + F.when(confidence >= 0.85, 0.06).when(confidence >= 0.68, 0.03).otherwise(0.0), 0.0, 1.0)
 
 
 def unit_score(n: Column) -> Column:
-    return F.when(n == 1, 1.0).when(n == 2, 0.78).when(n <= 4, 0.62).otherwise(0.45)
+    return F.when(n <= 1, 1.0).when(n == 2, 0.78).when(n <= 4, 0.62).otherwise(0.45)
 
 
 def freshness(days: Column) -> Column:
@@ -111,17 +155,38 @@ def hash_split(c: Column, percent: int = 50) -> Column:
 
 def hash_sample(c: Column, ratio: float) -> Column:
     """Whether the first eight bytes of the sha-256, as a share of 2^64, are below the ratio."""
-    head = F.conv(F.substring(F.sha2(c.cast("binary"), 256), 1, 12), 16, 10).cast("double")
-    return head / F.lit(float(1 << 48)) < ratio
+    head = F.conv(F.substring(F.sha2(c.cast("binary"), 256), 1, 16), 16, 10).cast("decimal(20,0)").cast("double")
+    return head / F.lit(float(1 << 64)) < ratio
 
 
 def coverage(covered: Column, useful: Column) -> Column:
     return F.when(F.size(useful) > 0, F.size(F.array_intersect(covered, useful)) / F.size(F.array_distinct(useful))).otherwise(0.0)
 
 
-def status_ladder(value: Column, critical_low: float, low: float, high: float) -> Column:
-    """Borders belong to the lower step on the low side and to normal on the high side."""
-    return F.when(value.isNull(), "missing").when(value <= critical_low, "critical_low").when(value <= low, "low").when(value > high, "high").otherwise("normal")
+def status_ladder(value: Column, critical_low: Column, critical_high: Column, low: Column, high: Column, borderline: Column, own_low: Column | None = None, own_high: Column | None = None) -> Column:
+    """Status of a laboratory value; borders are normal, and null borders don't count.
+
+    own_low, own_high: the report's own range, which wins over the definition's. Between low and borderline a value is
+    borderline, unless the report has a low border of its own.
+    """
+    of_low = low if own_low is None else F.coalesce(own_low, low)
+    of_high = high if own_high is None else F.coalesce(own_high, high)
+    near = (value < borderline) & of_low.isNotNull()
+    if own_low is not None:
+        near = near & own_low.isNull()
+    return (
+        F.when(value.isNull(), "missing")
+        .when(value < critical_low, "critical_low")
+        .when(value > critical_high, "critical_high")
+        .when(value < of_low, "low")
+        .when(value > of_high, "high")
+        .when(near, "borderline")
+        .otherwise("normal")
+    )
+
+
+def severity(status: Column) -> Column:
+    return F.when(status.startswith("critical"), "critical").when(status.isin("low", "high"), "warning").when(status == "borderline", "info").otherwise("normal")
 
 
 def coverage_status(n: Column, target: int = 3) -> Column:

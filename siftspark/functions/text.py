@@ -72,18 +72,28 @@ def price(c: Column) -> Column:
     return locale_number(F.regexp_extract(c, r"([0-9][0-9.,]*)", 1))
 
 
+#: What marks a review as a medical claim, as holding personal data, or as unsafe dosing.
+MEDICAL_CLAIM = ("cura", "curó", "curo", "garantizado", "milagro", "sanó", "sano mi")
+PERSONAL_DATA = ("dni", "telefono", "teléfono", "whatsapp", "direccion", "dirección")
+UNSAFE_DOSING = ("mg/kg", "sobredosis", "megadosis", "duplicar dosis", "triplicar dosis")
+#: Signs that are no part of a word at its ends.
+WORD_ENDS = ".,;:!?¡¿()[]{}"
+
+
 def spam_flags(c: Column) -> Column:
-    """Names of the spam signs of a review: short, link, contact, shouting, repeated character, few distinct words, repeated sign."""
-    words = F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+    """Names of the spam signs of a review, in a fixed order; an empty review has none."""
+    text = F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", ""))
+    has = lambda *parts: F.array_max(F.array(*[F.contains(text, F.lit(p)) for p in parts]))
+    words = F.filter(F.transform(F.split(text, r"(?U)\s+"), lambda w: F.btrim(w, F.lit(WORD_ENDS))), lambda w: w != "")
     flag = lambda name, test: F.when(test, F.lit(name))
     found = F.array(
-        flag("short", F.length(F.trim(c)) < 10),
-        flag("link", c.rlike(r"(?i)https?://|www\.")),
-        flag("contact", c.rlike(r"[0-9]{9}|@[A-Za-z0-9]+\.")),
-        flag("shouting", (F.length(F.regexp_replace(c, "[^A-Z]", "")) > 0.6 * F.length(F.regexp_replace(c, "[^A-Za-z]", ""))) & (F.length(c) >= 20)),
-        flag("repeated_character", c.rlike(r"(.)\1{7}")),
-        flag("few_words", (F.size(words) >= 6) & (F.size(F.array_distinct(words)) <= 0.45 * F.size(words))),
-        flag("many_signs", c.rlike(r"[!?]{4,}")),
+        flag("contains_url", has("http://", "https://", "www.")),
+        flag("contains_contact", has("@") & has(".")),
+        flag("repeated_characters", text.rlike(r"(?s)(.)\1{7}")),
+        flag("medical_claim", has(*MEDICAL_CLAIM)),
+        flag("personal_data", has(*PERSONAL_DATA)),
+        flag("unsafe_dosing", has(*UNSAFE_DOSING)),
+        flag("repeated_words", (F.size(words) >= 8) & (F.size(F.array_distinct(words)) / F.size(words) <= 0.45)),
     )
     return F.array_compact(found)
 

@@ -14,8 +14,9 @@ RULES = [
     ("debt", "c_acctbal", "lte", "500", 0.42), ("debt", "n_orders", "lt", "5", 0.20), ("debt", "max_price", "gte", "300000", 0.16), ("debt", "c_mktsegment", "eq", "BUILDING", 0.22),
     ("growth", "n_orders", "gte", "12", 0.35), ("growth", "max_price", "gte", "400000", 0.15), ("growth", "c_mktsegment", "in", "MACHINERY|AUTOMOBILE", 0.30), ("growth", "c_name", "contains", "99", 0.10),
 ]
-FAMILIES = [("c_acctbal", "money", True), ("max_price", "money", True), ("n_orders", "activity", False)]
-PROXIES = [("c_acctbal", ["a", "b"]), ("n_orders", ["b"]), ("max_price", ["c"]), ("c_mktsegment", ["a"])]
+FAMILIES = [("c_acctbal", "c_acctbal", True), ("max_price", "spend", False), ("n_orders", "activity", False)]
+PROXIES = [("c_mktsegment", ["spend", "c_acctbal"]), ("c_name", ["activity"])]
+BASE = [("debt", 0.70), ("growth", 0.52), ("quiet", 0.30)]
 FIELDS = ["c_acctbal", "n_orders", "max_price", "c_mktsegment", "c_name"]
 
 
@@ -25,12 +26,23 @@ def _rows(rows):
 
 _HITS = f"""WITH w AS (SELECT c_custkey, c_acctbal, c_mktsegment, c_name, coalesce(n, 0) AS n_orders, m AS max_price FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_totalprice) AS m FROM orders GROUP BY 1) ON o_custkey = c_custkey),
 rule(cond, field, op, val, weight) AS (VALUES {_rows(RULES)}), fam(field, family, is_lab) AS (VALUES {_rows(FAMILIES)}), prox(field, components) AS (VALUES {_rows(PROXIES)}),
-h AS (SELECT c_custkey, cond, field, weight::DOUBLE AS weight FROM w, rule WHERE CASE field
+h AS (SELECT c_custkey, cond, field, op, weight::DOUBLE AS weight FROM w, rule WHERE CASE field
   WHEN 'c_acctbal' THEN c_acctbal >= 0 AND c_acctbal <= val::DOUBLE
   WHEN 'n_orders' THEN CASE op WHEN 'lt' THEN n_orders < val::DOUBLE ELSE n_orders >= val::DOUBLE END
   WHEN 'max_price' THEN max_price >= val::DOUBLE WHEN 'c_mktsegment' THEN list_contains(string_split(val, '|'), c_mktsegment) ELSE contains(c_name, val) END)"""
 
 
+def _fold(source: str, key: str) -> str:
+    """Score by family, step by step: `source` has (key, cond, field, w), a row a field. The result is `scored`."""
+    return f"""raw AS (SELECT {key}, cond, coalesce(family, s.field) AS family, max(w) AS w, bool_or(coalesce(is_lab, false)) AS lab FROM {source} s LEFT JOIN fam ON fam.field = s.field WHERE s.field NOT IN (SELECT field FROM prox) GROUP BY ALL),
+b AS (SELECT k.{key}, k.cond, coalesce(sum(r.w), 0) AS raw_score, count(r.family) AS n, coalesce(bool_or(lab), false) AS lab, coalesce(list(r.family) FILTER (WHERE r.family IS NOT NULL), []) AS claimed FROM (SELECT DISTINCT {key}, cond FROM {source}) k LEFT JOIN raw r ON r.{key} = k.{key} AND r.cond = k.cond GROUP BY ALL),
+y AS (SELECT {key}, cond, s.field, w, components AS c, row_number() OVER (PARTITION BY {key}, cond ORDER BY w DESC, s.field) AS i FROM {source} s JOIN prox ON prox.field = s.field),
+f AS (WITH RECURSIVE z AS (SELECT {key}, cond, 0::BIGINT AS i, raw_score, 0::DOUBLE AS p, n, lab, claimed, []::VARCHAR[] AS counted FROM b UNION ALL
+  SELECT z.{key}, z.cond, y.i, raw_score, CASE WHEN list_has_any(claimed, c) THEN p ELSE p + w END, CASE WHEN list_has_any(claimed, c) THEN n ELSE n + 1 END, lab, CASE WHEN list_has_any(claimed, c) THEN claimed ELSE claimed || c END, CASE WHEN list_has_any(claimed, c) THEN counted ELSE counted || ['proxy:' || y.field] END
+  FROM z JOIN y ON y.{key} = z.{key} AND y.cond = z.cond AND y.i = z.i + 1) SELECT * FROM z),
+scored AS (SELECT {key}, cond, round(arg_max(raw_score + p, i), 4)::DOUBLE AS score, arg_max(n, i)::INT AS n_families, bool_or(lab) OR max(n) >= 2 AS corroborated, arg_max(counted, i) AS proxies FROM f GROUP BY ALL)"""
+
+
 def _dims(spark):
     r = spark.createDataFrame(RULES, "cond string, field string, op string, value string, weight double")
     f = spark.createDataFrame(FAMILIES, "field string, family string, is_lab boolean")
@@ -51,15 +63,16 @@ def _hits(t):
 
 @query(_HITS + " SELECT c_custkey, cond, field, weight FROM h")
 def p1_rule_predicates(t):
-    return _hits(t)[0]
+    return _hits(t)[0].drop("op")
+
 
+_PF = ", pf AS (SELECT c_custkey, cond, field, sum(weight) AS w FROM h GROUP BY ALL), "
 
-@query(_HITS + """, pf AS (SELECT c_custkey, cond, field, sum(weight) AS w FROM h GROUP BY ALL),
-ff AS (SELECT c_custkey, cond, coalesce(family, pf.field) AS family, max(w) AS w, bool_or(coalesce(is_lab, false)) AS lab FROM pf LEFT JOIN fam ON fam.field = pf.field GROUP BY ALL)
-SELECT c_custkey, cond, round(sum(w), 4) AS score, count(*) AS n_families, bool_or(lab) OR count(*) >= 2 AS corroborated FROM ff GROUP BY ALL""")
+
+@query(_HITS + _PF + _fold("pf", "c_custkey") + " SELECT c_custkey, cond, score, n_families, corroborated FROM scored")
 def d2_family_scores(t):
-    h, _, f, _ = _hits(t)
-    return rules.family_scores(h, "c_custkey", f)
+    h, _, f, p = _hits(t)
+    return rules.family_scores(h, "c_custkey", f, p).drop("raw_score", "proxies")
 
 
 @query(_HITS + " SELECT c_custkey, cond, round(sum(weight), 4) AS score, count(*) AS n_rules FROM h GROUP BY ALL")
@@ -67,14 +80,24 @@ def d3_sum_scores(t):
     return rules.sum_scores(_hits(t)[0], "c_custkey")
 
 
-@query(_HITS + """, x AS (SELECT c_custkey, cond, h.field, sum(weight) AS w, any_value(components) AS c FROM h JOIN prox ON prox.field = h.field GROUP BY ALL),
-y AS (SELECT *, row_number() OVER (PARTITION BY c_custkey, cond ORDER BY w DESC, field) AS i FROM x),
-f AS (WITH RECURSIVE z AS (SELECT c_custkey, cond, i, w AS score, c AS claimed FROM y WHERE i = 1 UNION ALL
-  SELECT y.c_custkey, y.cond, y.i, CASE WHEN list_has_any(claimed, c) THEN score ELSE score + w END, CASE WHEN list_has_any(claimed, c) THEN claimed ELSE list_distinct(claimed || c) END FROM z JOIN y ON y.c_custkey = z.c_custkey AND y.cond = z.cond AND y.i = z.i + 1) SELECT * FROM z)
-SELECT c_custkey, cond, round(arg_max(score, i), 4) AS score FROM f GROUP BY ALL""")
+@query(_HITS + _PF + _fold("pf", "c_custkey") + " SELECT c_custkey, cond, len(proxies)::INT AS n_proxies, array_to_string(proxies, '|') AS counted FROM scored")
 def d2_proxy_fold(t):
-    h, _, _, p = _hits(t)
-    return rules.proxy_scores(h, "c_custkey", p)
+    h, _, f, p = _hits(t)
+    return rules.family_scores(h, "c_custkey", f, p).select("c_custkey", "cond", F.size("proxies").alias("n_proxies"), F.array_join("proxies", "|").alias("counted"))
+
+
+@query(_HITS + f""", r AS (SELECT DISTINCT cond, field, op, weight FROM h), own AS (SELECT * FROM r WHERE field NOT IN (SELECT field FROM fam WHERE is_lab)),
+chosen AS (SELECT 1 AS k, cond, field, coalesce(sum(weight) FILTER (WHERE op = 'gte'), 0) + coalesce(max(weight) FILTER (WHERE op <> 'gte'), 0) AS w FROM own GROUP BY ALL), {_fold("chosen", "k")},
+ss AS (SELECT cond, round(sum(w), 4) AS sum_max FROM chosen GROUP BY 1),
+ff AS (SELECT cond, coalesce(family, own.field) AS family, own.field, CASE WHEN bool_and(op = 'gte') THEN sum(weight) ELSE max(weight) END AS w FROM own LEFT JOIN fam ON fam.field = own.field WHERE own.field NOT IN (SELECT field FROM prox) GROUP BY ALL),
+fm AS (SELECT cond, family, max(w) AS w FROM ff GROUP BY ALL), tw AS (SELECT cond, round(sum(w) FILTER (WHERE rn <= 2), 4) AS two FROM (SELECT *, row_number() OVER (PARTITION BY cond ORDER BY w DESC, family) AS rn FROM fm) GROUP BY 1 HAVING count(*) >= 2),
+base(cond, threshold) AS (VALUES {_rows(BASE)}), al AS (SELECT base.cond, threshold::DOUBLE AS t, coalesce(score, 0) AS family_max, coalesce(sum_max, 0) AS sum_max, two FROM base LEFT JOIN scored USING (cond) LEFT JOIN ss USING (cond) LEFT JOIN tw USING (cond))
+SELECT cond, family_max, sum_max::DOUBLE AS sum_max, (CASE WHEN family_max >= t OR sum_max < t THEN t ELSE coalesce(least(t, two), t) END)::DOUBLE AS threshold FROM al""")
+def d4_thresholds(t):
+    """Over the rules that some customer meets."""
+    h, _, f, p = _hits(t)
+    seen = h.select("cond", "field", "op", "weight").distinct()
+    return rules.thresholds(seen, f, p, h.sparkSession.createDataFrame(BASE, "cond string, threshold double"))
 
 
 @query("""WITH h AS (SELECT c_custkey, abs(c_acctbal) / 20000 AS p, (c_custkey % 10) / 10.0::DOUBLE AS s, c_custkey % 3 = 0 AS ok FROM customer)
@@ -84,14 +107,15 @@ def d9_rule_lift(t):
     return t("customer").select("c_custkey", F.round(p, 8).alias("probability"))
 
 
-@query("""WITH k AS (SELECT p_partkey, p_brand, round(greatest(0.05, 0.36 * CASE p_size % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.82 WHEN 2 THEN 0.72 ELSE 0.55 END + 0.22 * CASE p_size % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.74 ELSE 0.70 END
+@query("""WITH k AS (SELECT p_partkey, p_brand, round(greatest(0.05, 0.36 * CASE p_size % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.82 WHEN 2 THEN 0.72 ELSE CASE p_size % 3 WHEN 0 THEN 0.96 WHEN 1 THEN 0.66 ELSE 0.55 END END + 0.22 * CASE p_size % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.74 ELSE 0.70 END
   + 0.18 * 0.90 + 0.14 * CASE WHEN p_size > 25 THEN 0.72 ELSE 1.0 END + 0.10 * (1 - CASE WHEN p_size > 40 THEN 0.25 ELSE 0.08 END) - CASE WHEN p_size % 7 = 0 THEN 0.1 ELSE 0 END), 4)::DOUBLE AS score FROM part),
 r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey) AS rank FROM k) SELECT p_brand, p_partkey, score, rank FROM r WHERE rank <= 3""")
 def d14_evidence_ranking(t):
     s = F.col("p_size")
     grade = F.when(s % 4 == 0, "high").when(s % 4 == 1, "moderate").when(s % 4 == 2, "low").otherwise("none")
+    strength = F.when(s % 3 == 0, "strong_with_lab").when(s % 3 == 1, "contextual").otherwise("unknown")
     role = F.when(s % 3 == 0, "primary").when(s % 3 == 1, "supportive").otherwise("other")
-    score = S.evidence_score(grade, role, F.lit("official_health_resource"), F.when(s > 25, "required").otherwise("no"), F.when(s > 40, "high").otherwise("unknown"), F.when(s % 7 == 0, 0.1).otherwise(0.0))
+    score = S.evidence_score(grade, role, F.lit("official_health_resource"), F.when(s > 25, "required").otherwise("no"), F.when(s > 40, "high").otherwise("unknown"), F.when(s % 7 == 0, 0.1).otherwise(0.0), strength)
     return ranking.best_per_key(t("part").select("p_brand", "p_partkey", F.round(score, 4).alias("score")), ["p_brand"], [F.desc("score"), F.col("p_partkey")], 3)
 
 
@@ -109,11 +133,18 @@ def _steps(t):
     return t("events").select("event_id", "ts", "user_id", session.alias("session"), (F.col("event_id") % 4).cast("int").alias("step"), kind.alias("kind"))
 
 
-@query(f"""WITH l AS (SELECT session, arg_max(step, ts) FILTER (WHERE kind = 'view') AS step, bool_or(kind = 'submit') AS done FROM {_STEPS} GROUP BY 1),
-a AS (SELECT step, count(*) AS abandons FROM l WHERE NOT done GROUP BY 1), n AS (SELECT step, count_if(kind = 'view') AS views, count_if(kind = 'complete') AS completes FROM {_STEPS} GROUP BY 1)
-SELECT step, views::BIGINT AS views, completes::BIGINT AS completes, coalesce(abandons, 0) AS abandons, CASE WHEN views > 0 THEN round(completes / views, 4) END AS completion FROM n LEFT JOIN a USING (step)""")
+@query(f"""WITH e AS (SELECT *, CASE WHEN event_id % 5 <> 0 THEN event_id % 7 END AS place FROM {_STEPS}),
+l AS (SELECT session, arg_max(step, (ts, event_id)) FILTER (WHERE kind = 'view') AS step, bool_or(kind = 'submit') AS done FROM e GROUP BY 1), a AS (SELECT step, count(*) AS abandoned FROM l WHERE NOT done AND step IS NOT NULL GROUP BY 1),
+n AS (SELECT step, count(DISTINCT session) FILTER (WHERE kind = 'view') AS viewed, count(DISTINCT session) FILTER (WHERE kind = 'complete') AS completed, coalesce(avg(place) FILTER (WHERE kind = 'view'), 999) AS place FROM e GROUP BY 1)
+SELECT step, viewed, completed, coalesce(abandoned, 0) AS abandoned_here, round(coalesce(abandoned, 0) / viewed, 4) AS drop_rate, round(place, 4) AS mean_position FROM n LEFT JOIN a USING (step) WHERE viewed > 0""")
 def d42_funnel(t):
-    return events.funnel(_steps(t), "session", "step", "kind", "ts")
+    place = F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 7)
+    return events.funnel(_steps(t).withColumn("place", place), "session", "step", "kind", "ts", "event_id", "place")
+
+
+@query(f"SELECT count(DISTINCT session) FILTER (WHERE kind IN ('view', 'submit')) AS sessions, count(DISTINCT session) FILTER (WHERE kind = 'submit') AS submitted, round(count(DISTINCT session) FILTER (WHERE kind = 'submit') / count(DISTINCT session) FILTER (WHERE kind IN ('view', 'submit')), 4) AS completion_rate FROM {_STEPS}")
+def d42_funnel_summary(t):
+    return events.funnel_summary(_steps(t), "session", "kind")
 
 
 @query(f"SELECT session, arg_max(step, ts) FILTER (WHERE kind = 'view') AS last_step, max(ts) AS last_at FROM {_STEPS} GROUP BY 1")
@@ -130,9 +161,13 @@ def w4_mean_position(t):
     return p.groupBy("step").agg(F.round(F.coalesce(F.avg(F.when(F.col("kind") == "view", F.col("position"))), F.lit(999.0)), 4).alias("mean_position"))
 
 
-@query("""SELECT event_id, count(*) OVER w AS in_window, count(*) OVER w <= 2 AS allowed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts)) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)""")
+@query("""WITH e AS (SELECT event_id, user_id, epoch_us(ts) / 1000000 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+z AS (WITH RECURSIVE r AS (SELECT user_id, i, event_id, 0 AS in_window, true AS allowed, [s] AS hits FROM e WHERE i = 1 UNION ALL
+  SELECT user_id, i, event_id, len(live)::INT, len(live) < 2, CASE WHEN len(live) < 2 THEN list_append(live, s) ELSE live END
+  FROM (SELECT e.user_id, e.i, e.event_id, e.s, list_filter(r.hits, lambda x: x >= e.s - 7200) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)) SELECT * FROM r)
+SELECT event_id, in_window, allowed FROM z""")
 def w13_rate_limit(t):
-    return events.rate_limited(t("events"), ["user_id"], "ts", 3600, 2).select("event_id", "in_window", "allowed")
+    return events.rate_limited(t("events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 7200, 2).select("event_id", "in_window", "allowed")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -227,10 +262,19 @@ def f22_personal_data(t):
     return t("documents").select("doc_id", c.rlike(r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}").alias("mail"), c.rlike(r"\b9[0-9]{8}\b").alias("phone"), c.rlike(r"\b[0-9]{8}\b").alias("id_number"))
 
 
-@query()
+def _any_of(words):
+    return "(" + " OR ".join(f"contains(x, '{w}')" for w in words) + ")"
+
+
+@query(f"""WITH x AS (SELECT doc_id, lower(regexp_replace(CASE WHEN doc_id % 5 = 0 THEN text || ' DNI 12 ' WHEN doc_id % 7 = 0 THEN 'Cura cura cura cura, cura CURA cura (cura) sobredosis' WHEN doc_id % 11 = 0 THEN 'muy' || repeat('o', 8) || ' bueno' ELSE text END, '^\\s+|\\s+$', '', 'g')) AS x FROM documents),
+w AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(x, '\\s+'), lambda w: trim(w, '.,;:!?¡¿()[]{{}}')), lambda w: w <> '') AS w FROM x)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN {_any_of(["http://", "https://", "www."])} THEN 'contains_url' END, CASE WHEN contains(x, '@') AND contains(x, '.') THEN 'contains_contact' END,
+  CASE WHEN len(list_filter(list_distinct(string_split(x, '')), lambda c: contains(x, repeat(c, 8)))) > 0 THEN 'repeated_characters' END, CASE WHEN {_any_of(X.MEDICAL_CLAIM)} THEN 'medical_claim' END, CASE WHEN {_any_of(X.PERSONAL_DATA)} THEN 'personal_data' END,
+  CASE WHEN {_any_of(X.UNSAFE_DOSING)} THEN 'unsafe_dosing' END, CASE WHEN len(w) >= 8 AND len(list_distinct(w)) / len(w) <= 0.45 THEN 'repeated_words' END], lambda f: f IS NOT NULL), ';') AS flags FROM x JOIN w USING (doc_id)""")
 def f23_spam_flags(t):
-    """The repeated character needs a back-reference, which the other engine's patterns lack."""
-    return t("conversations").select("conv_id", "turn", X.spam_flags(F.col("text")).alias("flags"))
+    i = F.col("doc_id")
+    text = F.when(i % 5 == 0, F.concat("text", F.lit(" DNI 12 "))).when(i % 7 == 0, "Cura cura cura cura, cura CURA cura (cura) sobredosis").when(i % 11 == 0, F.concat(F.lit("muy"), F.repeat(F.lit("o"), 8), F.lit(" bueno"))).otherwise(F.col("text"))
+    return t("documents").select("doc_id", F.array_join(X.spam_flags(text), ";").alias("flags"))
 
 
 @query("""SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1) AS base, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '\\1', 'g'), '&&+', '&', 'g'), '\\?&+', '?', 'g'), '[?&]+$', '') AS clean FROM pages""")

@@ -36,21 +36,84 @@ def d23_restriction_adjustment(t):
 _COMP = "(p_name || ' ' || p_size || ' mg, Zinc (sulfate) ' || (p_size * 2) || ' mcg, Vitamin D ' || (p_size * 100) || ' IU')"
 
 
-@query(f"""WITH x AS (SELECT p_partkey, unnest([1, 2, 3]) - 1 AS place, p_name, p_size FROM part)
-SELECT p_partkey, place::INT AS place, CASE place WHEN 0 THEN p_name WHEN 1 THEN 'Zinc' ELSE 'Vitamin D' END AS ingredient, CASE place WHEN 1 THEN 'sulfate' END AS salt_form,
-  (p_size * CASE place WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 100 END)::DOUBLE AS amount, CASE place WHEN 0 THEN 'mg' WHEN 1 THEN 'mcg' ELSE 'iu' END AS unit,
-  round(p_size * CASE place WHEN 0 THEN 1.0 WHEN 1 THEN 2 * 0.001 ELSE 100 * 0.000025 END, 6)::DOUBLE AS amount_mg FROM x""")
+@query("""WITH p AS (SELECT p_partkey, upper(p_name) AS n, p_size AS z, p_partkey % 4 AS k FROM part), x AS (
+SELECT p_partkey, 0 AS place, n AS ingredient, NULL AS salt_form, z::DOUBLE AS amount, 'mg' AS unit, z::DOUBLE AS amount_mg FROM p WHERE k = 0
+UNION ALL SELECT p_partkey, 1, 'VITAMINA D3', NULL, 2000 + z, 'ui', NULL FROM p WHERE k = 0
+UNION ALL SELECT p_partkey, 0, n, 'COMO SULFATO DE ZINC', z + 0.5, 'g', (z + 0.5) * 1000 FROM p WHERE k = 1
+UNION ALL SELECT p_partkey, 0, n || ' (EPA)', 'EQUIVALENTE A ' || z || ' MG DE SAL', z * 1000, 'mcg', z * 1000 * 0.001 FROM p WHERE k = 2
+UNION ALL SELECT p_partkey, 1, 'OMEGA 3', NULL, 500, 'mg', 500 FROM p WHERE k = 2
+UNION ALL SELECT p_partkey, 0, 'LACTOBACILLUS', NULL, z * 1e6, 'UFC', NULL FROM p WHERE k = 3
+UNION ALL SELECT p_partkey, 1, n, NULL, 1000.5, 'kg', NULL FROM p WHERE k = 3)
+SELECT p_partkey, place::INT AS place, ingredient, salt_form, amount::DOUBLE AS amount, unit, round(amount_mg, 6)::DOUBLE AS amount_mg FROM x""")
 def x1_compositions(t):
-    text = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit(" mg, Zinc (sulfate) "), (F.col("p_size") * 2).cast("string"), F.lit(" mcg, Vitamin D "), (F.col("p_size") * 100).cast("string"), F.lit(" IU"))
-    return extraction.compositions(t("part").select("p_partkey", text.alias("text")), "text", ["p_partkey"])
+    """Names and sizes of the parts in the shapes that compositions take."""
+    n, z, k = F.col("p_name"), F.col("p_size"), F.col("p_partkey") % 4
+    c = lambda *x: F.concat(*[y if not isinstance(y, str) else F.lit(y) for y in x])
+    d = lambda x: x.cast("string")
+    text = (
+        F.when(k == 0, c("POR DOSIS 15.00 mL - ", n, " ", d(z), ".000000 mg VITAMINA D3 ", F.format_string("%,d", z + 2000), ".000000 UI"))
+        .when(k == 1, c(n, " (COMO SULFATO DE ZINC) ", d(z), ",5 g"))
+        .when(k == 2, c(n, " (EPA) ", d(z), " 000 mcg (equivalente a ", d(z), " mg de sal) OMEGA 3 500 mg"))
+        .otherwise(c("Lactobacillus ", d(z), " x 10^6 CFU, ", n, " 1.000,5 kg"))
+    )
+    return extraction.compositions(t("part").select("p_partkey", text.alias("text")), "text", ["p_partkey"]).withColumn("amount_mg", F.round("amount_mg", 6))
+
+
+@query("""WITH c AS (SELECT c_custkey, c_nationkey * 10 + 1 AS g, c_custkey % 9 + 1 AS h, c_custkey % 4 AS k FROM customer)
+SELECT c_custkey, 'glucose' AS code, g::DOUBLE AS value, 'mg/dL' AS unit, CASE WHEN k IN (0, 2) THEN 70 END::DOUBLE AS low, CASE WHEN k < 3 THEN 100 END::DOUBLE AS high, k = 2 AS next_line FROM c
+UNION ALL SELECT c_custkey, 'calcium', h + 0.5, 'mg/dL', CASE WHEN k = 1 THEN 2 WHEN k <> 3 THEN 8.5 END, CASE WHEN k <> 1 AND k <> 3 THEN 10.5 END, false FROM c""")
+def x2_lab_lines(t):
+    """Reports of customers' numbers: a range on the line, one-sided ones, a vertical block, none."""
+    g, h, k = (F.col("c_nationkey") * 10 + 1).cast("string"), (F.col("c_custkey") % 9 + 1).cast("string"), F.col("c_custkey") % 4
+    lit = F.lit
+    glucose = (
+        F.when(k == 0, F.concat(lit("Glucosa en Ayunas: "), g, lit(" mg / dl 70 - 100")))
+        .when(k == 1, F.concat(lit("GLUCOSA "), g, lit(" mg/dl (VN < 100)")))
+        .when(k == 2, F.concat(lit("Glucosa\nResultado: "), g, lit(" mg/dL\nReferencia 70 a 100")))
+        .otherwise(F.concat(lit("Glucosa|"), g, lit(" mg/dl")))
+    )
+    calcium = F.concat(lit("Calcio "), h, lit(",5 mg/dl"), F.when(k == 1, " > 2").when(k == 3, "").otherwise(" 8,5 hasta 10,5"))
+    text = F.concat(glucose, lit("\n\n"), calcium, lit("\nCalcio 99 mg/dl"))
+    c = t("customer")
+    aliases = c.sparkSession.createDataFrame([("glucosa", "glucose"), ("glucosa en ayunas", "glucose"), ("calcio", "calcium")], "alias string, code string")
+    return extraction.lab_values(c.select("c_custkey", text.alias("text")), "text", ["c_custkey"], aliases).drop("confidence")
 
 
-@query("""WITH x AS (SELECT c_custkey, unnest([0, 1]) AS place, c_nationkey * 10 AS g, c_custkey % 9 + 1 AS h FROM customer)
-SELECT c_custkey, place::INT AS place, CASE place WHEN 0 THEN 'glucosa en ayunas' ELSE 'calcio' END AS analyte, CASE place WHEN 0 THEN g ELSE h END::DOUBLE AS value, 'mg/dL' AS unit, CASE place WHEN 0 THEN 70 ELSE 2 END::DOUBLE AS low, CASE place WHEN 0 THEN 100 ELSE 5.5 END::DOUBLE AS high,
-  CASE place WHEN 0 THEN CASE WHEN g < 70 THEN 'low' WHEN g > 100 THEN 'high' ELSE 'normal' END ELSE CASE WHEN h < 2 THEN 'low' WHEN h > 5.5 THEN 'high' ELSE 'normal' END END AS status FROM x""")
-def x2_lab_lines(t):
-    text = F.concat(F.lit("Glucosa en Ayunas "), (F.col("c_nationkey") * 10).cast("string"), F.lit(" mg/dL 70 - 100\nCalcio: "), (F.col("c_custkey") % 9 + 1).cast("string"), F.lit(" mg/dL 2,0 - 5,5"))
-    return extraction.lab_lines(t("customer").select("c_custkey", text.alias("text")), "text", ["c_custkey"])
+@query("""SELECT p_partkey, round(p_size * CASE p_partkey % 5 WHEN 0 THEN 0.000025 WHEN 1 THEN 0.67 WHEN 2 THEN 0.45 WHEN 3 THEN 0.0003 ELSE 1000 END, 8)::DOUBLE AS mg FROM part""")
+def f12_milligrams(t):
+    k = F.col("p_partkey") % 5
+    name = F.when(k == 0, "Colecalciferol").when(k == 1, "Vitamina E").when(k == 2, "Vitamina E dl-alfa").when(k == 3, "Retinol").otherwise(F.col("p_name"))
+    mg = extraction.in_milligrams(F.col("p_size").cast("double"), F.when(k == 4, "g").otherwise("UI"), name)
+    return t("part").select("p_partkey", F.round(mg, 8).alias("mg"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE 100 END::DOUBLE AS amount, CASE WHEN p_partkey % 2 = 0 THEN 'mcg' ELSE 'mg' END AS unit, CASE WHEN p_partkey % 2 = 0 THEN p_size::DOUBLE ELSE NULL END AS declared_mcg, p_size AS units FROM part""")
+def f13_doses_in_names(t):
+    """An amount near a word, the declared dose of an ingredient, and the pack's size, out of names made of the parts' fields."""
+    even = F.col("p_partkey") % 2 == 0
+    size = F.col("p_size").cast("string")
+    name = F.concat(F.lit("Frasco 100 mg "), F.lit("." * 60), F.when(even, F.lit(" magnesio ")).otherwise(F.lit(" otro ")), size, F.lit(" mcg"), F.lit(" " * 50), F.lit("x "), size, F.lit(" tabletas"))
+    p = t("part").select("p_partkey", name.alias("name"))
+    near, pack = extraction.amount_near(F.col("name"), F.array(F.lit("Magnesio"))), extraction.pack_size(F.col("name"))
+    return p.select("p_partkey", near["amount"].alias("amount"), near["unit"].alias("unit"), extraction.declared_micrograms(F.col("name"), "magnesio").alias("declared_mcg"), pack["units"].alias("units"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_name LIKE 'blue%' THEN 'blue' WHEN p_name LIKE 'red%' THEN 'red' WHEN split_part(p_name, ' ', 1) <> 'green' THEN split_part(p_name, ' ', 1) ELSE '' END AS brand,
+  CASE WHEN p_name LIKE 'blue%' OR p_name LIKE 'red%' THEN 'high' WHEN split_part(p_name, ' ', 1) <> 'green' THEN 'medium' END AS brand_confidence FROM part""")
+def f14_brands(t):
+    p = t("part")
+    brands = p.sparkSession.createDataFrame([("blue",), ("red",)], "brand string")
+    return extraction.brand_of(p.select("p_partkey", "p_name"), "p_name", brands, ("green",)).drop("p_name")
+
+
+@query("""SELECT c_custkey, round(CASE WHEN c_nationkey % 3 = 0 THEN c_acctbal * 18 ELSE c_acctbal END, 6) AS value, 'mg/dL' AS unit, CASE WHEN c_nationkey % 3 = 0 THEN 72 ELSE 4 END::DOUBLE AS low, c_nationkey % 3 = 0 AS converted, c_nationkey % 3 = 2 AS unit_assumed FROM customer""")
+def m16_canonical_units(t):
+    c = t("customer")
+    unit = F.when(F.col("c_nationkey") % 3 == 0, "mmol/L").when(F.col("c_nationkey") % 3 == 1, "mg/dl")
+    v = c.select("c_custkey", F.lit("glucose").alias("code"), F.col("c_acctbal").alias("value"), unit.alias("unit"), F.lit(4.0).alias("low"), F.lit(None).cast("double").alias("high"))
+    d = c.sparkSession.createDataFrame([("glucose", "mg/dL")], "code string, canonical string")
+    k = c.sparkSession.createDataFrame([("glucose", "mmol/l", 18.0)], "code string, from_unit string, factor double")
+    return extraction.in_canonical_unit(v, d, k).select("c_custkey", "value", "unit", "low", "converted", "unit_assumed")
 
 
 @query("""SELECT p_partkey, round(least(0.96, greatest(0.35, 0.62 + CASE WHEN length(p_name) >= 10 THEN 0.12 WHEN length(p_name) >= 6 THEN 0.08 ELSE -0.08 END + CASE WHEN p_size > 10 THEN 0.08 ELSE -0.08 END
@@ -280,9 +343,11 @@ def f15_flags(t):
     return t("part").select("p_partkey", F.col("p_type").rlike("STEEL|BRASS").alias("metal"), F.col("p_type").rlike("^PROMO").alias("promo"), F.col("p_name").rlike("blue|green").alias("coloured"), (F.col("p_size") <= 5).alias("tiny"))
 
 
-@query("""SELECT p_partkey, round(CASE WHEN p_retailprice > 1500 THEN greatest(0.05, 0.4 * (1 - least(1.0, (p_retailprice - 1500) / 1500))) ELSE 1 - 0.30 * greatest(0, (p_retailprice - 900) / 600) END, 5)::DOUBLE AS price_score FROM part""")
+@query("""SELECT p_partkey, round(CASE WHEN p_retailprice > h THEN greatest(0.05, 0.4 * (1 - least(1.0, (p_retailprice - h) / greatest(h, 1)))) WHEN l IS NULL THEN greatest(0.30, 1 - 0.30 * p_retailprice / h) ELSE least(1, greatest(0, 1 - 0.30 * ((p_retailprice - l) / greatest(h - l, 1)))) END, 5)::DOUBLE AS price_score
+FROM (SELECT *, CASE WHEN p_size % 3 = 0 THEN 1300 ELSE 1500 END AS h, CASE WHEN p_size % 3 = 0 THEN 1299.5 WHEN p_size % 3 = 1 THEN 1000 END AS l FROM part)""")
 def m8_price_score(t):
-    return t("part").select("p_partkey", F.round(S.price_score(F.col("p_retailprice"), F.lit(900.0), F.lit(1500.0)), 5).alias("price_score"))
+    k = F.col("p_size") % 3
+    return t("part").select("p_partkey", F.round(S.price_score(F.col("p_retailprice"), F.when(k == 0, 1299.5).when(k == 1, 1000.0), F.when(k == 0, 1300.0).otherwise(1500.0)), 5).alias("price_score"))
 
 
 @query("""SELECT o_custkey, round(CASE WHEN len(u) > 0 THEN len(list_intersect(c, u)) / len(u) ELSE 0 END, 5)::DOUBLE AS coverage FROM (SELECT o_custkey, list(DISTINCT o_orderpriority) AS c, ['1-URGENT', '2-HIGH', '5-LOW'] AS u FROM orders GROUP BY 1)""")

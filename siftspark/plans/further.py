@@ -213,7 +213,7 @@ def m9_confidence(t):
     return t("part").select("p_partkey", c.alias("confidence"), F.when(c >= 0.5, "high").otherwise("low").alias("level"))
 
 
-@query("SELECT p_partkey, ('0x' || substr(sha256('fixed' || p_partkey::VARCHAR), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < 0.05 AS sampled FROM part")
+@query("SELECT p_partkey, ('0x' || substr(sha256('fixed' || p_partkey::VARCHAR), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE < 0.05 AS sampled FROM part")
 def m20_hash_sample(t):
     return t("part").select("p_partkey", S.hash_sample(F.concat(F.lit("fixed"), F.col("p_partkey").cast("string")), 0.05).alias("sampled"))
 
@@ -229,15 +229,6 @@ def m31_rounding(t):
     return t("orders").select("o_orderkey", F.bround("o_totalprice", 0).alias("half_even"), F.round("o_totalprice", 0).alias("half_up"))
 
 
-@query("SELECT cond, round(sum(w), 4)::DOUBLE AS most, round(greatest(0.30, sum(w) * 0.5), 4)::DOUBLE AS threshold FROM (SELECT cond, fam, max(w) AS w FROM (VALUES ('debt', 'money', 0.42), ('debt', 'activity', 0.20), ('debt', 'money', 0.16), ('debt', 'c_mktsegment', 0.22), ('growth', 'activity', 0.35), ('growth', 'money', 0.15), ('growth', 'c_mktsegment', 0.30), ('growth', 'c_name', 0.10)) v(cond, fam, w), (SELECT count(*) AS n FROM customer) GROUP BY 1, 2) GROUP BY 1")
-def d4_thresholds(t):
-    from siftspark.operators import rules
-    from siftspark.plans.analytics import _hits
-
-    _, r, f, _ = _hits(t)
-    return rules.thresholds(r, f)
-
-
 @query("SELECT c_custkey, least(10, n) AS orders_capped, CASE WHEN n = 0 THEN 0 ELSE 1 END AS implied, round(c_acctbal * 0.008 + CASE WHEN n > 12 THEN 5 ELSE 0 END, 4)::DOUBLE AS estimate, (n < 8)::INT + (c_acctbal < 2000)::INT + (c_nationkey < 6)::INT >= 2 AS deficient FROM (SELECT c.*, coalesce(n, 0) AS n FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey)")
 def d8_survey_payload(t):
     n = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))

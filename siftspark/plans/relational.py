@@ -244,41 +244,43 @@ def a1_rollup(t):
     return t("orders").groupingSets([[F.col("o_custkey"), F.col("o_orderpriority")], [F.col("o_custkey")]], F.col("o_custkey"), F.col("o_orderpriority")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"), F.count("*").alias("n"))
 
 
-_VOTES = """(SELECT l_partkey AS item, l_returnflag AS context, (l_linenumber % 5 + 1) AS rating, CASE WHEN l_quantity > 30 THEN l_linestatus = 'O' END AS purchased,
-  CASE WHEN l_quantity > 40 THEN l_discount > 0.05 END AS still FROM lineitem)"""
-_REWARD = """least(greatest(CASE WHEN purchased IS NULL AND still IS NULL THEN (rating - 1) / 4.0::DOUBLE ELSE 0.40::DOUBLE * ((rating - 1) / 4.0::DOUBLE) + CASE WHEN purchased THEN 0.20 ELSE 0.0 END::DOUBLE + CASE WHEN still THEN 0.30 ELSE 0.0 END::DOUBLE END, 0), 1)"""
+_VOTES = """(SELECT l_partkey AS item, l_returnflag AS context, CASE WHEN l_linenumber < 7 THEN l_linenumber END AS rating, CASE WHEN l_quantity > 30 THEN l_linestatus = 'O' END AS purchased,
+  CASE WHEN l_quantity > 40 THEN l_discount > 0.05 END AS still, CASE WHEN l_tax > 0.07 THEN ' CLARO' WHEN l_tax > 0.06 THEN 'leve' WHEN l_tax > 0.05 THEN 'ninguno' END AS benefit FROM lineitem)"""
+_RATED = "coalesce((least(5, greatest(1, rating)) - 1) / 4.0::DOUBLE, 0)"
+_REWARD = f"""least(greatest(CASE WHEN purchased IS NULL AND still IS NULL AND benefit IS NULL THEN {_RATED} ELSE 0.40::DOUBLE * {_RATED} + CASE WHEN purchased THEN 0.20 ELSE 0.0 END::DOUBLE + CASE WHEN still THEN 0.30 ELSE 0.0 END::DOUBLE
+  + CASE lower(trim(benefit)) WHEN 'claro' THEN 0.10 WHEN 'leve' THEN 0.05 ELSE 0.0 END::DOUBLE END, 0), 1)"""
 
 
 def _votes(t):
-    q = F.col("l_quantity")
-    return t("lineitem").select(
-        F.col("l_partkey").alias("item"), F.col("l_returnflag").alias("context"), (F.col("l_linenumber") % 5 + 1).alias("rating"), F.when(q > 30, F.col("l_linestatus") == "O").alias("purchased"), F.when(q > 40, F.col("l_discount") > 0.05).alias("still")
-    )
+    q, x = F.col("l_quantity"), F.col("l_tax")
+    benefit = F.when(x > 0.07, " CLARO").when(x > 0.06, "leve").when(x > 0.05, "ninguno")
+    rating = F.when(F.col("l_linenumber") < 7, F.col("l_linenumber"))
+    return t("lineitem").select(F.col("l_partkey").alias("item"), F.col("l_returnflag").alias("context"), rating.alias("rating"), F.when(q > 30, F.col("l_linestatus") == "O").alias("purchased"), F.when(q > 40, F.col("l_discount") > 0.05).alias("still"), benefit.alias("benefit"))
+
+
+def _rewards(t):
+    return _votes(t).withColumn("r", S.reward(F.col("rating"), F.col("purchased"), F.col("still"), F.col("benefit")))
 
 
 @query(f"SELECT item, context, round(sum({_REWARD}), 4) AS reward, sum(rating)::BIGINT AS rating, count(*) AS n FROM {_VOTES} GROUP BY 1, 2")
 def m1_reward_by_context(t):
-    r = S.reward(F.col("rating"), F.col("purchased"), F.col("still"), F.lit(None).cast("string"))
-    return _votes(t).groupBy("item", "context").agg(F.round(F.sum(r), 4).alias("reward"), F.sum("rating").alias("rating"), F.count("*").alias("n"))
+    return _rewards(t).groupBy("item", "context").agg(F.round(F.sum("r"), 4).alias("reward"), F.sum("rating").alias("rating"), F.count("*").alias("n"))
 
 
 @query(f"""WITH c AS (SELECT item, context, avg({_REWARD}) AS m, count(*) AS n FROM {_VOTES} GROUP BY 1, 2), g AS (SELECT item, avg({_REWARD}) AS m, count(*) AS n FROM {_VOTES} GROUP BY 1)
-SELECT item, context, CASE WHEN c.n >= 12 THEN 'context' WHEN g.n >= 12 THEN 'global' WHEN g.n > 0 THEN 'insufficient' ELSE 'none' END AS level,
-  round(CASE WHEN c.n >= 12 THEN (c.n * c.m + 8 * 0.7::DOUBLE) / (c.n + 8) WHEN g.n >= 12 THEN (g.n * g.m + 8 * 0.7::DOUBLE) / (g.n + 8) END, 9) AS value FROM c JOIN g USING (item)""")
+SELECT item, context, CASE WHEN c.n >= 5 THEN 'context' WHEN g.n >= 10 THEN 'global' WHEN g.n > 0 OR c.n > 0 THEN 'insufficient' ELSE 'none' END AS level, (CASE WHEN c.n >= 5 THEN c.n WHEN g.n >= 10 THEN g.n ELSE 0 END)::BIGINT AS used,
+  round(CASE WHEN c.n >= 5 THEN (c.n * c.m + 8 * 0.7::DOUBLE) / (c.n + 8) WHEN g.n >= 10 THEN (g.n * g.m + 8 * 0.7::DOUBLE) / (g.n + 8) ELSE 0.7 END, 9)::DOUBLE AS value FROM c JOIN g USING (item)""")
 def m3_signal_choice(t):
-    v = _votes(t).withColumn("r", S.reward(F.col("rating"), F.col("purchased"), F.col("still"), F.lit(None).cast("string")))
-    sums = v.groupBy("item", "context").agg(F.sum("r").alias("s"), F.count("*").alias("n"))
+    sums = _rewards(t).groupBy("item", "context").agg(F.sum("r").alias("s"), F.count("*").alias("n"))
     glob = sums.groupBy("item").agg(F.sum("s").alias("gs"), F.sum("n").alias("gn"))
-    smooth = lambda s, n: S.bayesian_mean(F.col(n), F.col(s) / F.col(n))
-    pick = S.chosen_signal(F.col("n"), smooth("s", "n"), F.col("gn"), smooth("gs", "gn"), 12)
-    return sums.join(glob, "item").withColumn("p", pick).select("item", "context", F.col("p.level").alias("level"), F.round("p.value", 9).alias("value"))
+    pick = S.chosen_signal(F.col("n"), F.col("s") / F.col("n"), F.col("gn"), F.col("gs") / F.col("gn"))
+    return sums.join(glob, "item").withColumn("p", pick).select("item", "context", F.col("p.level").alias("level"), F.col("p.used").alias("used"), F.round("p.value", 9).alias("value"))
 
 
 @query(f"""WITH s AS (SELECT item, count(*) AS n, avg({_REWARD}) AS m FROM {_VOTES} GROUP BY 1), a AS (SELECT sum(n) AS total FROM s)
 SELECT item, round((n * m + 5.6::DOUBLE) / (n + 8) + 0.01::DOUBLE * sqrt(ln(total + 1) / (n + 1)), 5) AS score FROM s, a""")
 def m4_exploration(t):
-    r = S.reward(F.col("rating"), F.col("purchased"), F.col("still"), F.lit(None).cast("string"))
-    s = _votes(t).groupBy("item").agg(F.count("*").alias("n"), F.avg(r).alias("m"))
+    s = _rewards(t).groupBy("item").agg(F.count("*").alias("n"), F.avg("r").alias("m"))
     return s.crossJoin(F.broadcast(s.agg(F.sum("n").alias("total")))).select("item", F.round(S.bayesian_mean(F.col("n"), F.col("m")) + S.exploration(F.col("n"), F.col("total")), 5).alias("score"))
 
 
@@ -406,13 +408,46 @@ def d22_greedy_selection(t):
     return ranking.greedy_selection(li, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
-@query("""SELECT p_partkey, round(0.26 * m + 0.14 * u + 0.16 * ((pr + st) / 2) + 0.20 * 0.7 + 0.12 * 0.8 + 0.06 * 0.5 + 0.04 * 0.7 + 0.03 * 0.9, 4)::DOUBLE AS score FROM (SELECT p_partkey, p_size / 50.0 AS m,
-  CASE WHEN p_size % 5 = 1 THEN 1.0 WHEN p_size % 5 = 2 THEN 0.78 WHEN p_size % 5 <= 4 THEN 0.62 ELSE 0.45 END AS u, greatest(0.05, least(1.0, 1 / (1 + p_retailprice / 100))) AS pr, CASE WHEN p_size <= 0 THEN 0.25 WHEN p_size < 5 THEN 0.40 WHEN p_size < 20 THEN 0.75 ELSE 1.0 END AS st FROM part)""")
+_OFFERS = """WITH li AS (SELECT l_partkey, l_suppkey, count(*) AS shown, avg(l_quantity / 50) AS review, count_if(l_returnflag = 'A') / count(*) AS verified, max(o_orderdate) AS seen, avg(l_extendedprice / l_quantity) AS price, count(DISTINCT l_linenumber) AS parts FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),
+pp AS (SELECT l_partkey, sum(shown) AS n FROM li GROUP BY 1), ss AS (SELECT l_suppkey, sum(shown) AS n FROM li GROUP BY 1), tot AS (SELECT sum(shown) AS n, max(seen) AS now FROM li),
+o AS (SELECT li.*, p_size, p_brand, pp.n / tot.n AS p_share, ss.n / tot.n AS s_share, date_diff('day', seen, now) AS days, l_partkey % 3 = 0 AS budget FROM li JOIN part ON p_partkey = l_partkey JOIN pp USING (l_partkey) JOIN ss USING (l_suppkey), tot),
+x AS (SELECT *, CASE WHEN p_size % 4 = 0 THEN 1.0 WHEN p_size % 4 = 1 THEN 0.85 WHEN p_size % 4 = 2 THEN 0.70 ELSE 0.45 END AS trace, p_size % 4 <= 1 AS registered,
+  CASE WHEN budget AND price > 1500 THEN greatest(0.05, 0.4 * (1 - least(1.0, (price - 1500) / 1500))) WHEN budget THEN least(1, greatest(0, 1 - 0.30 * ((price - 900) / 600))) ELSE greatest(0.05, least(1, 1 / (1 + price / 100))) END AS pr,
+  CASE WHEN p_size % 6 = 5 THEN 0.25 WHEN p_size % 5 = 0 THEN 0.75 WHEN shown - 1 <= 0 THEN 0.40 WHEN shown - 1 < 5 THEN 0.75 ELSE 1.0 END AS st, CASE WHEN parts <= 1 THEN 1.0 WHEN parts = 2 THEN 0.78 WHEN parts <= 4 THEN 0.62 ELSE 0.45 END AS unit FROM o),
+q AS (SELECT *, 0.50 * trace + 0.20 + 0.15 * (p_size % 6 <> 5)::INT + 0.15 * CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.35 END AS conf FROM x),
+c AS (SELECT *, least(1, greatest(0, 0.35 * trace + 0.20 * registered::INT + 0.12 * (p_size > 10)::INT + 0.12 * (pr > 0.05)::INT + 0.08 + 0.08 * (p_size % 2 = 0)::INT + 0.05 * (unit >= 0.95)::INT + CASE WHEN conf >= 0.85 THEN 0.06 WHEN conf >= 0.68 THEN 0.03 ELSE 0 END)) AS quality,
+  greatest(0.35, 1 - 0.20 * (l_suppkey % 5)) AS shop, CASE WHEN days <= 7 THEN 1.0 WHEN days <= 30 THEN 0.85 WHEN days <= 90 THEN 0.65 ELSE 0.45 END AS fresh, 0.60 * greatest(0.25, 1 - least(0.75, 4 * p_share)) + 0.40 * greatest(0.40, 1 - least(0.60, 2.5 * s_share)) AS expo FROM q)
+SELECT l_partkey, l_suppkey, round(least(1, greatest(0, CASE WHEN budget THEN 0.24 * (p_size / 50.0) + 0.13 * unit + 0.24 * (pr + st) / 2 + 0.14 * review + 0.11 * quality + 0.05 * shop + 0.04 * fresh + 0.03 * expo + 0.02 * verified
+  ELSE 0.26 * (p_size / 50.0) + 0.14 * unit + 0.16 * (pr + st) / 2 + 0.20 * review + 0.12 * quality + 0.06 * shop + 0.04 * fresh + 0.03 * expo + 0.03 * verified END + 0.04 * (p_brand = 'Brand#12')::INT - 0.12 * (p_size % 9 = 0)::INT)), 8)::DOUBLE AS score FROM c"""
+
+
+@query(_OFFERS)
 def d20_product_score(t):
-    n = F.lit(None).cast("double")
-    s = F.col("p_size")
-    score = 0.26 * (s / 50.0) + 0.14 * S.unit_score(s % 5) + 0.16 * ((S.price_score(F.col("p_retailprice"), n, n) + S.stock_score(s)) / 2) + 0.20 * 0.7 + 0.12 * 0.8 + 0.06 * 0.5 + 0.04 * S.freshness(F.lit(None).cast("int")) + 0.03 * 0.9
-    return t("part").select("p_partkey", F.round(score, 4).alias("score"))
+    """Offers of a product by a shop: every term comes from the tables."""
+    li = t("lineitem").join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
+    q = F.col("l_quantity")
+    offers = li.groupBy("l_partkey", "l_suppkey").agg(
+        F.count("*").alias("shown"), F.avg(q / 50).alias("review"), (F.count_if(F.col("l_returnflag") == "A") / F.count("*")).alias("verified"), F.max("o_orderdate").alias("seen"), F.avg(F.col("l_extendedprice") / q).alias("price"), F.size(F.collect_set("l_linenumber")).alias("parts")
+    )
+    total = offers.agg(F.sum("shown").alias("all"), F.max("seen").alias("now"))
+    share = lambda key, name: offers.groupBy(key).agg(F.sum("shown").alias(name))
+    p = t("part").select(F.col("p_partkey").alias("l_partkey"), "p_size", "p_brand")
+    o = offers.join(p, "l_partkey").join(share("l_partkey", "pn"), "l_partkey").join(share("l_suppkey", "sn"), "l_suppkey").crossJoin(F.broadcast(total))
+    s, budget = F.col("p_size"), F.col("l_partkey") % 3 == 0
+    trace = S.traceability_score(F.when(s % 4 <= 1, "DE1"), F.when(s % 4 == 0, "digemid").when(s % 4 == 2, "trace").otherwise(""))
+    low, high = F.when(budget, 900.0), F.when(budget, 1500.0)
+    price, there = S.price_score(F.col("price"), low, high), F.when(s % 6 == 5, "out of stock").otherwise("Available")
+    stock = S.stock_score(F.when(s % 5 != 0, F.col("shown") - 1), there)
+    unit, flag = S.unit_score(F.col("parts")), lambda c, w: F.when(c, w).otherwise(0.0)
+    confidence = S.confidence_of(trace, F.lit(True), s % 6 != 5, F.when(s % 2 == 0, 1.0).otherwise(0.35))
+    quality = S.quality_score(trace, s % 4 <= 1, s > 10, price > 0.05, F.lit(True), s % 2 == 0, unit, confidence)
+    exposure = 0.60 * S.exposure(F.col("pn") / F.col("all"), 4.0) + 0.40 * S.exposure(F.col("sn") / F.col("all"), 2.5, 0.40, 0.60)
+    terms = {
+        "match": s / 50.0, "unit": unit, "price_stock": (price + stock) / 2, "review": F.col("review"), "quality": quality, "shop": S.shop_score(F.col("l_suppkey") % 5),
+        "fresh": S.freshness(F.datediff("now", "seen")), "exposure": exposure, "verified": F.least("verified", F.lit(1.0)),
+    }
+    score = S.commercial_score(terms, budget, flag(F.col("p_brand") == "Brand#12", 0.04), flag(s % 9 == 0, 0.12))
+    return o.select("l_partkey", "l_suppkey", F.round(score, 8).alias("score"))
 
 
 @query("SELECT n_name, list(s_suppkey::VARCHAR || ' ' || s_name ORDER BY s_suppkey) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
@@ -445,9 +480,14 @@ def m13_egfr(t):
     return t("customer").select("c_custkey", F.round(S.egfr(F.abs("c_acctbal") / 5000 + 0.3, 20 + F.col("c_custkey") % 60, F.col("c_nationkey") % 2 == 0), 3).alias("egfr"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_acctbal <= -500 THEN 'critical_low' WHEN c_acctbal <= 1000 THEN 'low' WHEN c_acctbal > 9000 THEN 'high' ELSE 'normal' END AS status FROM customer")
+@query("""WITH x AS (SELECT c_custkey, c_acctbal AS v, CASE WHEN c_nationkey % 3 = 0 THEN 1500 END AS ol, CASE WHEN c_nationkey % 4 = 0 THEN 7000 END AS oh FROM customer),
+s AS (SELECT *, CASE WHEN v < -500 THEN 'critical_low' WHEN v > 9500 THEN 'critical_high' WHEN v < coalesce(ol, 1000) THEN 'low' WHEN v > coalesce(oh, 9000) THEN 'high' WHEN v < 3000 AND ol IS NULL THEN 'borderline' ELSE 'normal' END AS status FROM x)
+SELECT c_custkey, status, CASE WHEN status LIKE 'critical%' THEN 'critical' WHEN status IN ('low', 'high') THEN 'warning' WHEN status = 'borderline' THEN 'info' ELSE 'normal' END AS severity FROM s""")
 def m14_status_ladder(t):
-    return t("customer").select("c_custkey", S.status_ladder(F.col("c_acctbal"), -500.0, 1000.0, 9000.0).alias("status"))
+    border = lambda x: F.lit(float(x))
+    own_low, own_high = F.when(F.col("c_nationkey") % 3 == 0, 1500.0), F.when(F.col("c_nationkey") % 4 == 0, 7000.0)
+    status = S.status_ladder(F.col("c_acctbal"), border(-500), border(9500), border(1000), border(9000), border(3000), own_low, own_high)
+    return t("customer").select("c_custkey", status.alias("status"), S.severity(status).alias("severity"))
 
 
 @query("SELECT n_name, round(sum(c_acctbal * (c_mktsegment = 'BUILDING')::INT) / sum(c_acctbal), 5) AS weighted FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 GROUP BY 1")

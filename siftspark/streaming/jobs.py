@@ -40,25 +40,33 @@ def click_rate(events: DataFrame, keys: list[str], shown: Column, clicked: Colum
 
 
 def limited(events: DataFrame, key: str, at: str = "ts", seconds: int = 60, most: int = 60) -> DataFrame:
-    """(key, ts, in_window, allowed): a sliding limit with the key's recent times as state."""
+    """(key, ts, in_window, allowed): a sliding limit with the times of the key's last let-through requests as state.
+
+    Refused requests don't count. A key's state goes once no event of it came for the window's length.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(k, frames, state: GroupState):
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         recent = list(state.get[0]) if state.exists else []
         rows = sorted(t for f in frames for t in f[at])
         out = []
         for t in rows:
             s = t.timestamp()
-            recent = [r for r in recent if s - r <= seconds][-(most + 1) :]
-            recent.append(s)
-            out.append((k[0], t, len(recent), len(recent) <= most))
+            recent = [r for r in recent if r >= s - seconds]
+            out.append((k[0], t, len(recent), len(recent) < most))
+            if len(recent) < most:
+                recent.append(s)
         state.update((recent,))
+        state.setTimeoutDuration(seconds * 1000)
         yield pd.DataFrame(out, columns=[key, at, "in_window", "allowed"])
 
     kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {at} timestamp, in_window long, allowed boolean", "recent array<double>", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {at} timestamp, in_window long, allowed boolean", "recent array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def latest_votes(votes: DataFrame, keys: list[str], at: str, sink: Callable[[DataFrame, int], None]):

@@ -48,10 +48,51 @@ def test_locale_number(spark, raw, want):
     assert one(spark, X.locale_number(F.col("c")), c=raw) == want
 
 
-def test_spam_flags(spark):
-    flags = one(spark, X.spam_flags(F.col("c")), c="good good good good good good aaaaaaaaaa!!!! www.x.com")
-    assert set(flags) == {"link", "repeated_character", "few_words", "many_signs"} or {"link", "repeated_character", "many_signs"} <= set(flags)
-    assert one(spark, X.spam_flags(F.col("c")), c="a calm and useful review") == []
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Compra aquí https://example.com te cura garantizado", {"contains_url", "medical_claim"}), ("bueno bueno bueno bueno bueno bueno bueno bueno", {"repeated_words"}), ("bueno, (bueno) bueno bueno bueno bueno bueno", set()),
+        ("muy buenooooooooo", {"repeated_characters"}), ("escribe a a@b.pe o WhatsApp", {"contains_contact", "personal_data"}), ("duplicar dosis y 5 mg/kg", {"unsafe_dosing"}), ("a calm and useful review of it all", set()), ("   ", set()), (None, set()),
+    ],
+)
+def test_spam_flags(spark, text, want):
+    assert set(one(spark, X.spam_flags(F.col("c")), c=text)) == want
+
+
+@pytest.mark.parametrize(("rating", "purchased", "still", "benefit", "want"), [(None, True, None, None, 0.20), (7.0, True, None, None, 0.60), (0.0, None, None, None, 0.0), (9.0, None, None, None, 1.0), (5.0, True, True, "claro", 1.0), (3.0, None, None, "ninguno", 0.2), (5.0, False, None, " LEVE", 0.45), (None, None, None, None, 0.0), (1.0, False, False, None, 0.0)])
+def test_reward_with_outcomes(spark, rating, purchased, still, benefit, want):
+    r = S.reward(F.lit(rating).cast("double"), F.lit(purchased).cast("boolean"), F.lit(still).cast("boolean"), F.lit(benefit).cast("string"))
+    assert one(spark, r, c="") == pytest.approx(want)
+
+
+@pytest.mark.parametrize(
+    ("context", "everywhere", "level", "used", "side"),
+    [((0.9, 5), (0.2, 40), "context", 5, 1), ((0.9, 4), (0.2, 40), "global", 40, -1), ((0.9, 4), (0.2, 9), "insufficient", 0, 0), ((0.9, 3), (None, 0), "insufficient", 0, 0), ((None, 0), (None, 0), "none", 0, 0)],
+)
+def test_signal_choice(spark, context, everywhere, level, used, side):
+    x = one(spark, S.chosen_signal(F.lit(context[1]), F.lit(context[0]).cast("double"), F.lit(everywhere[1]), F.lit(everywhere[0]).cast("double")), c="")
+    assert (x.level, x.used) == (level, used)
+    assert (x.value > 0.70, x.value < 0.70) == (side > 0, side < 0)
+
+
+def test_stock_price_and_ladder(spark):
+    val = lambda c: one(spark, c, c="")
+    none = F.lit(None).cast("double")
+    assert [val(S.stock_score(F.lit(n).cast("int"), F.lit(a))) for n, a in ((5, "Available"), (4, "available"), (0, "available"), (None, "available"), (9, "sold out"), (9, None))] == [1.0, 0.75, 0.40, 0.75, 0.25, 0.25]
+    assert val(S.price_score(F.lit(10.5), F.lit(10.0), F.lit(10.2))) == pytest.approx(0.4 * (1 - 0.3 / 10.2))
+    assert val(S.price_score(F.lit(10.1), F.lit(10.0), F.lit(10.2))) == pytest.approx(0.97)
+    assert val(S.price_score(F.lit(0.9), none, F.lit(0.5))) == pytest.approx(0.4 * 0.6)
+    assert val(S.price_score(F.lit(5.0), F.lit(20.0), F.lit(50.0))) == 1.0
+    ladder = lambda v, own=None: val(S.status_ladder(F.lit(float(v)), F.lit(10.0), F.lit(150.0), F.lit(20.0), F.lit(100.0), F.lit(30.0), F.lit(own).cast("double"), none))
+    assert [ladder(v) for v in (9, 10, 19.9, 20, 29.9, 30, 100, 100.1, 150, 151)] == ["critical_low", "low", "low", "borderline", "borderline", "normal", "normal", "high", "high", "critical_high"]
+    assert (ladder(25, 22.0), ladder(25, 26.0)) == ("normal", "low")
+
+
+def test_evidence_falls_back_to_strength(spark):
+    of = lambda g, s: one(spark, S.evidence_score(F.lit(g), F.lit("primary"), F.lit("official_fact_sheet"), F.lit("no"), F.lit("low"), F.lit(0.0), F.lit(s)), c="")
+    assert of("none", "strong_with_lab") == pytest.approx(0.36 * 0.96 + 0.64)
+    assert of("low", "high") == pytest.approx(0.36 * 0.72 + 0.64)
+    assert of("none", "none") == pytest.approx(0.36 * 0.55 + 0.64)
 
 
 def test_pack_key_ignores_order(spark):
@@ -65,29 +106,42 @@ def test_context_key(spark):
     assert one(spark, S.context_key(F.array(*map(F.lit, ["z", "healthy", "b", "z", "a", "q"]))), c="") == "a+b+z"
 
 
-def rule_rows(spark, rows):
-    return spark.createDataFrame(rows, "id long, cond string, field string, weight double")
-
-
-def test_family_keeps_its_strongest_field(spark):
-    hits = rule_rows(spark, [(1, "c", "fruit", 0.22), (1, "c", "status", 0.42), (1, "c", "illness", 0.16)])
-    fam = spark.createDataFrame([("fruit", "fruit_veg", False), ("status", "fruit_veg", False)], "field string, family string, is_lab boolean")
-    got = rules.family_scores(hits, "id", fam).first()
-    assert (got.score, got.n_families, got.corroborated) == (0.58, 2, True)
-    assert rules.sum_scores(hits, "id").first().score == 0.8
-
-
-def test_a_field_adds_up(spark):
-    hits = rule_rows(spark, [(1, "c", "loss", 0.20), (1, "c", "loss", 0.15)])
-    fam = spark.createDataFrame([], "field string, family string, is_lab boolean")
-    got = rules.family_scores(hits, "id", fam).first()
-    assert (got.score, got.corroborated) == (0.35, False)
-
-
-def test_proxies_claim_components(spark):
-    hits = rule_rows(spark, [(1, "c", "p1", 0.3), (1, "c", "p2", 0.2), (1, "c", "p3", 0.1)])
-    prox = spark.createDataFrame([("p1", ["a"]), ("p2", ["a", "b"]), ("p3", ["b"])], "field string, components array<string>")
-    assert rules.proxy_scores(hits, "id", prox).first().score == 0.4
+#: Fields, their families and the components of proxies, as the known answers name them.
+FAMILIES = [
+    ("fruit_veg_servings_day", "fruit_veg", False), ("benchmark_diet_vitamin_c_status", "fruit_veg", False), ("enfermedad_frecuente", "illness", False), ("iron_loss_risk", "iron_loss", False), ("fatiga_general", "fatigue", False),
+    ("problemas_sueno", "sleep", False), ("sun_hours", "sun", False), ("age_years", "age", False), ("lab_vitamin_d_status", "lab_vitamin_d_status", True),
+]
+DIET = ["fruit_veg", "fish", "dairy", "diet_general"]
+PROXIES = [("vitamin_c_diet_signal", ["fruit_veg", "illness", *DIET]), ("dieta_deficiente", DIET), ("meta_cognitivo", ["sleep", "stress"]), ("cognitive_context_signal", ["sleep", "stress", "brain_fog", "fatigue"])]
+
+
+@pytest.mark.parametrize(
+    ("matched", "score", "families", "corroborated", "plain_sum"),
+    [
+        ([("fruit_veg_servings_day", 0.22), ("vitamin_c_diet_signal", 0.20), ("benchmark_diet_vitamin_c_status", 0.42), ("enfermedad_frecuente", 0.16)], 0.58, 2, True, 1.00), ([("iron_loss_risk", 0.20), ("iron_loss_risk", 0.15)], 0.35, 1, False, 0.35),
+        ([("dieta_deficiente", 0.28), ("fruit_veg_servings_day", 0.22)], 0.22, 1, False, 0.50), ([("dieta_deficiente", 0.28), ("fatiga_general", 0.24)], 0.52, 2, True, 0.52), ([("meta_cognitivo", 0.18), ("problemas_sueno", 0.18), ("cognitive_context_signal", 0.24)], 0.18, 1, False, 0.60),
+        ([("lab_vitamin_d_status", 0.6)], 0.6, 1, True, 0.6), ([("sun_hours", 0.3), ("age_years", 0.12)], 0.42, 2, True, 0.42), ([("meta_cognitivo", 0.18), ("cognitive_context_signal", 0.24)], 0.24, 1, False, 0.42),
+    ],
+)
+def test_one_score_by_family(spark, matched, score, families, corroborated, plain_sum):
+    hits = spark.createDataFrame([(1, "c", f, w) for f, w in matched], "id long, cond string, field string, weight double")
+    fam = spark.createDataFrame(FAMILIES, "field string, family string, is_lab boolean")
+    prox = spark.createDataFrame(PROXIES, "field string, components array<string>")
+    got = rules.family_scores(hits, "id", fam, prox).first()
+    assert (got.score, got.n_families, got.corroborated) == (pytest.approx(score), families, corroborated)
+    assert rules.sum_scores(hits, "id").first().score == pytest.approx(plain_sum)
+
+
+def test_thresholds(spark):
+    fam = spark.createDataFrame(FAMILIES, "field string, family string, is_lab boolean")
+    prox = spark.createDataFrame(PROXIES, "field string, components array<string>")
+    own = [
+        ("a", "fruit_veg_servings_day", "lt", 0.22), ("a", "vitamin_c_diet_signal", "eq", 0.20), ("a", "benchmark_diet_vitamin_c_status", "eq", 0.42), ("a", "enfermedad_frecuente", "eq", 0.16), ("a", "lab_vitamin_d_status", "eq", 0.9),
+        ("b", "iron_loss_risk", "gte", 0.20), ("b", "iron_loss_risk", "gte", 0.15), ("b", "fatiga_general", "eq", 0.1), ("b", "fatiga_general", "in", 0.3),
+    ]
+    got = rules.thresholds(spark.createDataFrame(own, "cond string, field string, op string, weight double"), fam, prox, spark.createDataFrame([("a", 0.80), ("b", 0.60), ("c", 0.5)], "cond string, threshold double"))
+    got = {r.cond: (r.family_max, r.sum_max, r.threshold) for r in got.collect()}
+    assert got == {"a": (0.58, 1.0, 0.58), "b": (0.65, 0.65, 0.6), "c": (0.0, 0.0, 0.5)}
 
 
 def test_predicates(spark):

@@ -41,7 +41,7 @@ def test_limiter(spark, stream):
     s, events, path = stream
     got = drain(jobs.limited(s.select("user_id", "ts"), "user_id", seconds=3600, most=1), path, "limits")
     assert got.count() == events.count()
-    assert got.filter("allowed != (in_window <= 1)").count() == 0
+    assert got.filter("allowed != (in_window < 1)").count() == 0
 
 
 def test_strings_with_mark_and_missing_file(spark):
