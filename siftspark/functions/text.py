@@ -127,4 +127,73 @@ def title(html: Column) -> Column:
 
 
 def camel_words(c: Column) -> Column:
-    return F.split(c, r"(?<=[a-z0-9])(?=[A-Z])")
+    """Words of a name that are joined without spaces; a new one begins at a capital after a small letter, digit or bracket."""
+    return F.filter(F.transform(F.split(c, r"(?<=[a-z0-9\)])(?=[A-Z])"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+#: Words of a product's name that are units or packaging.
+UNIT_WORDS = ("MG", "MCG", "UG", "UI", "IU", "ML", "GR", "KG", "UN", "UND", "CAP", "CAPS", "TAB", "TABS", "CT", "OZ")
+PACKAGING_WORDS = (
+    "CON", "PARA", "LOS", "LAS", "DEL", "POR", "THE", "AND", "PLUS", "WITH", "FROM", "FRASCO", "CAJA", "LATA", "POTE", "SOBRE", "SOBRES", "BOLSA", "TUBO", "PACK", "TABLETAS", "TABLETA", "CAPSULAS", "CAPSULA",
+    "COMPRIMIDO", "COMPRIMIDOS", "SOFTGELS", "SOFTGEL", "GOMITAS", "UNIDADES", "BLANDAS", "BLANDA", "MASTICABLES", "POLVO", "SABOR", "VAINILLA", "FRESA", "CHOCOLATE", "NARANJA",
+)
+#: Spanish names of nutrients and salts and the form they share with English ones.
+SYNONYMS = {
+    "VITAMINA": "VITAMIN", "VITAMINAS": "VITAMIN", "VITAMINS": "VITAMIN", "CALCIO": "CALCIUM", "MAGNESIO": "MAGNESIUM", "ZINC": "ZN", "HIERRO": "IRON", "POTASIO": "POTASSIUM", "SELENIO": "SELENIUM", "CROMO": "CHROMIUM", "YODO": "IODINE",
+    "COBRE": "COPPER", "MANGANESO": "MANGANESE", "COLAGENO": "COLLAGEN", "BIOTINA": "BIOTIN", "LUTEINA": "LUTEIN", "ZEAXANTINA": "ZEAXANTHIN", "GLUCOSAMINA": "GLUCOSAMINE", "CONDROITINA": "CHONDROITIN", "CREATINA": "CREATINE",
+    "PROTEINA": "PROTEIN", "GLICINATO": "GLYCINATE", "GLUCONATO": "GLUCONATE", "CITRATO": "CITRATE", "CARBONATO": "CARBONATE", "SULFATO": "SULFATE", "OXIDO": "OXIDE", "CLORURO": "CHLORIDE", "PICOLINATO": "PICOLINATE",
+    "BISGLICINATO": "BISGLYCINATE", "COMPLEJO": "COMPLEX", "ELECTROLITOS": "ELECTROLYTES", "ACIDO": "ACID", "FOLICO": "FOLIC", "PROBIOTICOS": "PROBIOTICS", "PROBIOTICO": "PROBIOTICS", "ACEITE": "OIL", "PESCADO": "FISH", "HIGADO": "LIVER",
+    "BACALAO": "COD", "MELATONINA": "MELATONIN", "CURCUMA": "TURMERIC", "JENGIBRE": "GINGER", "AJO": "GARLIC",
+}
+
+
+def comparable_tokens(c: Column) -> Column:
+    """Distinct words of a product's name, sorted, without units and packaging, Spanish and English names of a nutrient as one."""
+    t = F.upper(F.translate(F.lower(F.coalesce(c, F.lit(""))), ACCENTED, PLAIN))
+    t = F.regexp_replace(F.regexp_replace(t, r"([0-9])[,. ]([0-9]{3})\b", "$1$2"), r"\b([A-Z])-([0-9])", "$1$2")
+    words = F.filter(F.regexp_extract_all(t, F.lit("([A-Z0-9]+)"), 1), lambda w: (F.length(w) >= 2) & ~w.isin(*UNIT_WORDS, *PACKAGING_WORDS))
+    names = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
+    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.coalesce(F.try_element_at(names, w), w))))
+
+
+def names_agree(a: Column, b: Column) -> Column:
+    """Whether two names share a comparable word; an empty second one agrees with all."""
+    x, y = comparable_tokens(a), comparable_tokens(b)
+    return (F.size(y) == 0) | F.arrays_overlap(x, y)
+
+
+def without_accents(c: Column) -> Column:
+    """Every accent of any script removed: what the bounded table of plain_text can't do. In Arrow batches."""
+
+    @F.pandas_udf("string")
+    def fold(x):
+        import unicodedata
+
+        return x.map(lambda v: None if v is None else "".join(ch for ch in unicodedata.normalize("NFKD", v) if not unicodedata.combining(ch)))
+
+    return fold(c)
+
+
+def json_text(c: Column, skip: tuple[str, ...] = ("image", "thumb", "url", "link")) -> Column:
+    """All words and numbers in a JSON value in order, but those under a key that holds one of `skip`; null if it isn't JSON."""
+
+    @F.pandas_udf("string")
+    def flat(x):
+        import json
+
+        def walk(v):
+            if isinstance(v, dict):
+                return [p for k, child in v.items() if not any(s in k.lower() for s in skip) for p in walk(child)]
+            if isinstance(v, list):
+                return [p for child in v for p in walk(child)]
+            return [] if v is None else [" ".join(str(v).split())]
+
+        def one(v):
+            try:
+                return None if v is None else " ".join(p for p in walk(json.loads(v)) if p)
+            except (ValueError, RecursionError):
+                return None
+
+        return x.map(one)
+
+    return flat(c)

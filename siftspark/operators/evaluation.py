@@ -32,19 +32,33 @@ def calibration_error(df: DataFrame, keys: list[str], p: Column, y: Column, bins
     return own.groupBy(*keys).agg(F.round(F.sum(F.col("_n") * F.abs(F.col("_p") - F.col("_y"))) / F.sum("_n"), 6).alias("ece"))
 
 
+def _running(df: DataFrame, keys: list[str], score: Column, y: Column, parts: int = 1024) -> DataFrame:
+    """keys, _s, _n, _pos of each distinct score, with the running sums _cn and _cp in rising order.
+
+    Scores are cut into ranges of 1/parts; a window runs inside a range, and another over the ranges' sums, so no task
+    orders all scores of a key.
+    """
+    by = df.groupBy(*keys, score.alias("_s")).agg(F.count("*").alias("_n"), F.sum(y.cast("long")).alias("_pos")).withColumn("_part", F.floor(F.col("_s") * parts))
+    sums = by.groupBy(*keys, "_part").agg(F.sum("_n").alias("_pn"), F.sum("_pos").alias("_pp"))
+    over = Window.partitionBy(*keys).orderBy("_part")
+    before = sums.select(*keys, "_part", (F.sum("_pn").over(over) - F.col("_pn")).alias("_bn"), (F.sum("_pp").over(over) - F.col("_pp")).alias("_bp"))
+    w = Window.partitionBy(*keys, "_part").orderBy("_s")
+    inside = by.withColumn("_cn", F.sum("_n").over(w)).withColumn("_cp", F.sum("_pos").over(w))
+    same = F.lit(True)
+    for c in [*keys, "_part"]:
+        same = same & inside[c].eqNullSafe(before[c])
+    return inside.join(before, same).select(*[inside[c] for c in keys], "_s", "_n", "_pos", (F.col("_cn") + F.col("_bn")).alias("_cn"), (F.col("_cp") + F.col("_bp")).alias("_cp"))
+
+
 def auc(df: DataFrame, keys: list[str], score: Column, y: Column) -> DataFrame:
     """Area under the curve by rank sums with shared ranks for ties; scores are summed up first, so a window holds distinct scores only."""
-    by = df.groupBy(*keys, score.alias("_s")).agg(F.count("*").alias("_n"), F.sum(y.cast("long")).alias("_pos"))
-    w = Window.partitionBy(*keys).orderBy("_s")
-    ranked = by.withColumn("_below", F.sum("_n").over(w) - F.col("_n")).withColumn("_rank", F.col("_below") + (F.col("_n") + 1) / 2)
+    ranked = _running(df, keys, score, y).withColumn("_rank", F.col("_cn") - F.col("_n") + (F.col("_n") + 1) / 2)
     s = ranked.groupBy(*keys).agg(F.sum(F.col("_rank") * F.col("_pos")).alias("r"), F.sum("_pos").alias("p"), F.sum("_n").alias("n"))
     return s.select(*keys, F.round(F.when((F.col("p") > 0) & (F.col("n") > F.col("p")), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))), 6).alias("auc"))
 
 
 def average_precision(df: DataFrame, keys: list[str], score: Column, y: Column) -> DataFrame:
-    by = df.groupBy(*keys, score.alias("_s")).agg(F.count("*").alias("_n"), F.sum(y.cast("long")).alias("_pos"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("_s"))
-    run = by.withColumn("_cn", F.sum("_n").over(w)).withColumn("_cp", F.sum("_pos").over(w))
+    run = _running(df, keys, -score, y)
     return run.groupBy(*keys).agg(F.round(F.sum(F.col("_pos") * F.col("_cp") / F.col("_cn")) / F.sum("_pos"), 6).alias("average_precision"))
 
 

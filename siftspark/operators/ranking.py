@@ -38,10 +38,11 @@ def packs(items: DataFrame, key: str, item: str, order: list[Column], most: int
     return each.withColumn("pack_no", no).filter(F.col("pack_no") <= first).select(key, "pack_no", "items").unionByName(one)
 
 
-def greedy_selection(candidates: DataFrame, pack: str, slot: str, product: str, shop: str, score: str) -> DataFrame:
-    """One product per slot of a pack, slots in order: the best score times max(.35, 1 - .20 * times the shop was used), each product once.
+def greedy_selection(candidates: DataFrame, pack: str, slot: str, product: str, shop: str, score: str, shop_weight: float = 0.06) -> DataFrame:
+    """One product per slot of a pack, slots in order: the best of score + shop_weight * max(.35, 1 - .20 * times the shop was used), each product once; ties to the smaller product, then shop.
 
-    The choice of a slot depends on those before it, within one pack only; packs are dealt over the cluster.
+    The choice of a slot depends on those before it, within one pack only; packs are dealt over the cluster, and a pack has
+    as many candidates as its components have offers. score is a product's score without its shop's term.
     """
     schema = candidates.select(pack, slot, product, shop, score).schema
 
@@ -55,7 +56,7 @@ def greedy_selection(candidates: DataFrame, pack: str, slot: str, product: str,
         for _, own in sorted(slots.items(), key=lambda x: x[0]):
             free = [r for r in own if r[product] not in used]
             if free:
-                best = min(free, key=lambda r: (-r[score] * max(0.35, 1 - 0.20 * shops.get(r[shop], 0)), r[product], r[shop]))
+                best = min(free, key=lambda r: (-(r[score] + shop_weight * max(0.35, 1 - 0.20 * shops.get(r[shop], 0))), r[product], r[shop]))
                 used.add(best[product])
                 shops[best[shop]] = shops.get(best[shop], 0) + 1
                 out.append(best)

@@ -401,11 +401,16 @@ def d17_packs(t):
     return out.select("o_custkey", "pack_no", S.pack_key(F.transform("items", lambda v: v.cast("string"))).alias("pack_key"))
 
 
-@query()
+@query("""WITH c AS (SELECT DISTINCT l_orderkey % 500 AS pack, l_linenumber AS slot, l_partkey AS product, l_suppkey % 7 AS shop, l_quantity / 50 AS score FROM lineitem WHERE l_linenumber <= 4),
+z AS (WITH RECURSIVE r AS (SELECT DISTINCT pack, 0 AS slot, NULL::BIGINT AS product, NULL::BIGINT AS shop, []::BIGINT[] AS used, []::BIGINT[] AS shops FROM c UNION ALL
+  SELECT pack, slot, product, shop, CASE WHEN product IS NULL THEN used ELSE list_append(used, product) END, CASE WHEN product IS NULL THEN shops ELSE list_append(shops, shop) END FROM (
+    SELECT r.pack, r.slot + 1 AS slot, c.product, c.shop, r.used, r.shops, row_number() OVER (PARTITION BY r.pack ORDER BY c.score + 0.06::DOUBLE * greatest(0.35::DOUBLE, 1 - 0.20::DOUBLE * len(list_filter(r.shops, lambda x: x = c.shop))) DESC NULLS LAST, c.product, c.shop) AS rn
+    FROM r LEFT JOIN c ON c.pack = r.pack AND c.slot = r.slot + 1 AND NOT list_contains(r.used, c.product) WHERE r.slot < 4) WHERE rn = 1) SELECT * FROM r)
+SELECT pack, slot, product, shop FROM z WHERE product IS NOT NULL""")
 def d22_greedy_selection(t):
-    """Each order is a pack, its line numbers the slots, suppliers the shops; sequential within an order, so there is no SQL."""
-    li = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").distinct()
-    return ranking.greedy_selection(li, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    """Groups of orders are packs, line numbers the slots, suppliers by number the shops."""
+    li = t("lineitem").filter("l_linenumber <= 4").select((F.col("l_orderkey") % 500).alias("pack"), F.col("l_linenumber").alias("slot"), F.col("l_partkey").alias("product"), (F.col("l_suppkey") % 7).alias("shop"), (F.col("l_quantity") / 50).alias("score")).distinct()
+    return ranking.greedy_selection(li, "pack", "slot", "product", "shop", "score").drop("score")
 
 
 _OFFERS = """WITH li AS (SELECT l_partkey, l_suppkey, count(*) AS shown, avg(l_quantity / 50) AS review, count_if(l_returnflag = 'A') / count(*) AS verified, max(o_orderdate) AS seen, avg(l_extendedprice / l_quantity) AS price, count(DISTINCT l_linenumber) AS parts FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),

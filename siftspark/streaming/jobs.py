@@ -39,10 +39,11 @@ def click_rate(events: DataFrame, keys: list[str], shown: Column, clicked: Colum
     return n.select(F.col("w.start").alias("start"), *keys, "shown", "clicked", F.when(F.col("shown") > 0, F.round(F.col("clicked") / F.col("shown"), 4)).alias("rate"))
 
 
-def limited(events: DataFrame, key: str, at: str = "ts", seconds: int = 60, most: int = 60) -> DataFrame:
+def limited(events: DataFrame, key: str, at: str = "ts", seconds: int = 60, most: int = 60, late: str = "1 hour") -> DataFrame:
     """(key, ts, in_window, allowed): a sliding limit with the times of the key's last let-through requests as state.
 
-    Refused requests don't count. A key's state goes once no event of it came for the window's length.
+    Refused requests don't count. A key's state goes once the watermark is past its last request by the window's length;
+    requests older than the watermark are dropped.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -62,11 +63,12 @@ def limited(events: DataFrame, key: str, at: str = "ts", seconds: int = 60, most
             if len(recent) < most:
                 recent.append(s)
         state.update((recent,))
-        state.setTimeoutDuration(seconds * 1000)
+        last = max(recent, default=0.0)
+        state.setTimeoutTimestamp(max(int((last + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=[key, at, "in_window", "allowed"])
 
     kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {at} timestamp, in_window long, allowed boolean", "recent array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark(at, late).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {at} timestamp, in_window long, allowed boolean", "recent array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_votes(votes: DataFrame, keys: list[str], at: str, sink: Callable[[DataFrame, int], None]):
