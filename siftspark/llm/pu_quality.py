@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftspark.llm._shared import row_id, stored, text_hash
+from siftspark.llm._shared import stored, text_hash
 
 #: The ASCII punctuation whose shares are features.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -67,6 +67,22 @@ def _expanded(x):
     return np.hstack([x, x * x, np.minimum(x, 0.05) * 20])
 
 
+def risk(zp, zu, prior: float):
+    """The non-negative unbiased risk of log odds zp of positives and zu of unlabelled rows, its part that may not be negative, and the slopes by zp and zu.
+
+    The logistic loss of a negative is log(1 + e^z): its mean over unlabelled rows, less the positives' part. Where that
+    falls below zero, only that part is walked back.
+    """
+    import numpy as np
+
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    gp, gu = _sigmoid(zp) / len(zp), _sigmoid(zu) / len(zu)
+    total = prior * np.logaddexp(0, -zp).mean() + max(0.0, negative)
+    if negative >= 0:
+        return total, negative, prior * (_sigmoid(zp) - 1) / len(zp) - prior * gp, gu
+    return total, negative, prior * gp, -gu
+
+
 def fit_nnpu(positive, unlabelled, prior: float, epochs: int = 60, rate: float = 0.02, ridge: float = 1e-4, seed: int = 7) -> dict:
     """Weights of the logistic model with the least non-negative risk; positive and unlabelled are feature matrices."""
     import numpy as np
@@ -86,13 +102,7 @@ def fit_nnpu(positive, unlabelled, prior: float, epochs: int = 60, rate: float =
                 continue
             x, y = p[part_p], u[part_u]
             zp, zu = x @ w + b, y @ w + b
-            # the logistic loss of a negative is log(1 + e^z): its mean over unlabelled, less the positives' part
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            gp, gu = _sigmoid(zp) / len(x), _sigmoid(zu) / len(y)
-            if negative >= 0:
-                toward_p, toward_u = prior * (_sigmoid(zp) - 1) / len(x) - prior * gp, gu
-            else:  # the estimate went below zero: only that part is walked back
-                toward_p, toward_u = prior * gp, -gu
+            _, _, toward_p, toward_u = risk(zp, zu, prior)
             g = np.append(toward_p @ x + toward_u @ y + ridge * w, toward_p.sum() + toward_u.sum())
             t += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -138,15 +148,8 @@ def _with_scores(table: DataFrame, model: dict, columns: list[str]) -> DataFrame
     return table.select("_x", *columns).mapInArrow(score, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", score double")
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """id_col, _t1, _t2 (the text's hash), held_out and score (0 to 1) of every row of docs.
-
-    Positives are the rows of labels with label 1 and no held_out; unlabelled are all rows not held out. The model is
-    fitted on `fit_rows` of each at most, those with the smallest hashes. Null and empty texts are scored by the model
-    like any other. Without any positive every score is 0.5. Labels of ids that docs lacks, null labels and contradicting
-    labels (an id with both) are no positives. Repeated rows are scored alike; an empty table gives none. held_out is
-    an expression over id_col.
-    """
+def _trained(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str, text_col: str, label_col: str, fit_rows: int) -> tuple[DataFrame, dict | None]:
+    """The rows' ids, hashes, features and held_out, and the model; no model without any positive."""
     h1, h2 = text_hash(text_col)
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -169,7 +172,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, id_col:
 
     p, u = sample(positives), sample(unlabelled)
     if not len(p):
-        return ids.select(F.col("_id").alias(id_col), "_t1", "_t2", "held_out", F.lit(0.5).alias("score"))
+        return ids, None
     first = fit_nnpu(p, u, 0.5, epochs=15)
 
     def bins(df: DataFrame) -> list[int]:
@@ -179,15 +182,41 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, id_col:
             out[r.bin] = r["count"]
         return out
 
-    prior = estimate_prior(bins(positives), bins(unlabelled))
-    model = fit_nnpu(p, u, prior)
-    return _with_scores(ids, model, ["_id", "_t1", "_t2", "held_out"]).withColumnRenamed("_id", id_col)
+    return ids, fit_nnpu(p, u, estimate_prior(bins(positives), bins(unlabelled)))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """The rows of docs whose score reaches the threshold, with all their columns."""
-    h1, h2 = text_hash(text_col)
-    scored = score_quality(docs, labels, held_out, id_col, text_col, **more)
-    bad = stored(scored.filter(F.col("score") < threshold).select(row_id(id_col).alias("_rid"), "_t1", "_t2").distinct(), "rejected")
-    own = docs.select(F.struct("*").alias("_row"), row_id(id_col).alias("_rid"), h1.alias("_t1"), h2.alias("_t2"))
-    return own.join(bad, ["_rid", "_t1", "_t2"], "left_anti").select("_row.*")
+def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """id_col, _t1, _t2 (the text's hash), held_out and score (0 to 1) of every row of docs.
+
+    Positives are the rows of labels with label 1 and no held_out; unlabelled are all rows not held out. The model is
+    fitted on `fit_rows` of each at most, those with the smallest hashes. Null, empty and very long texts are scored by
+    the model like any other, whole. Without any positive every score is 0.5. Labels of ids that docs lacks, null labels
+    and contradicting labels (an id with both) are no positives. Repeated rows are scored alike; an empty table gives
+    none; other columns don't matter, whatever their names. held_out is an expression over id_col.
+    """
+    ids, model = _trained(docs, labels, held_out, id_col, text_col, label_col, fit_rows)
+    own = ["_id", "_t1", "_t2", "held_out"]
+    if model is None:
+        return ids.select(*own, F.lit(0.5).alias("score")).withColumnRenamed("_id", id_col)
+    return _with_scores(ids, model, own).withColumnRenamed("_id", id_col)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, with all their columns.
+
+    Rows are judged where they stand, by the model that score_quality scores with: no text is shuffled, and repeated
+    rows, null ids and clashing column names need no care. Without any positive nothing is learned and every row stays.
+    """
+    _, model = _trained(docs, labels, held_out, id_col, text_col, label_col, fit_rows)
+    if model is None:
+        return docs
+
+    @F.pandas_udf("double")
+    def score(texts):
+        import numpy as np
+        import pandas as pd
+
+        # rounded to single precision, as the stored features are
+        return pd.Series(scores(model, np.array([features(t) for t in texts], np.float32).astype(float).reshape(-1, N_FEATURES)))
+
+    return docs.filter(score(F.col(text_col).cast("string")) >= threshold)

@@ -31,6 +31,8 @@ def test_odd_rows(spark, make, prose):
     assert len({r.score for r in got if r.doc_id == 0}) == 1
     kept = pu_quality.keep_good(make(rows), labels, held_out_rows(), 0.5)
     assert kept.columns == make(rows).columns
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(r.doc_id) for r in got if r.score >= 0.5)
+    assert pu_quality.keep_good(make(rows), labels.filter("quality = 7"), held_out_rows()).count() == len(rows)
     assert pu_quality.score_quality(make([]), labels, held_out_rows()).count() == 0
     none = pu_quality.score_quality(make(rows), labels.filter("quality = 7"), held_out_rows())
     assert {r.score for r in none.collect()} == {0.5}
@@ -48,3 +50,21 @@ def test_labels_of_held_out_rows_are_not_learned(spark, make, prose):
     b = a.withColumn("quality", F.when(held_out_rows(), 0).otherwise(F.col("quality")))
     score = lambda x: {r.doc_id: r.score for r in pu_quality.score_quality(make(rows), x, held_out_rows()).collect()}
     assert score(a) == score(b)
+
+
+def test_risk_and_its_slopes():
+    rng = np.random.default_rng(3)
+    loss = lambda z, y: np.log1p(np.exp(-z if y else z)).mean()
+    for zp, zu, below in ((rng.normal(1, 1, 30), rng.normal(2, 1, 50), False), (rng.normal(2, 1, 30), rng.normal(-3, 1, 50), True)):
+        total, negative, by_p, by_u = pu_quality.risk(zp, zu, 0.6)
+        assert negative == pytest.approx(loss(zu, 0) - 0.6 * loss(zp, 0))
+        assert (negative < 0) == below
+        assert total == pytest.approx(0.6 * loss(zp, 1) + max(0.0, negative))
+        own = (lambda p, u: -pu_quality.risk(p, u, 0.6)[1]) if below else (lambda p, u: pu_quality.risk(p, u, 0.6)[0])  # noqa: B023
+        for i in (0, 7, 20):
+            step = np.zeros(30)
+            step[i] = 1e-5
+            assert by_p[i] == pytest.approx((own(zp + step, zu) - own(zp - step, zu)) / 2e-5, abs=1e-6)
+            step = np.zeros(50)
+            step[i] = 1e-5
+            assert by_u[i] == pytest.approx((own(zp, zu + step) - own(zp, zu - step)) / 2e-5, abs=1e-6)
