@@ -4,8 +4,9 @@ Texts of equal shingle sets form one class first. One hash a shingle fills the s
 from a bin that a fixed random sequence names. In each bucket of a band, the smallest id is the centre, and only edges
 from it to the members are candidates. Candidates are confirmed on full shingle sets. Members that the centre isn't
 linked with get two more stars in their bucket: around the linked member that is nearest to the centre, and around
-their own smallest. Linked classes become components by alternating large-star and small-star steps. The classes of
-buckets that still hold several components are then joined exactly, by a prefix filter, so no pair of a bucket is lost.
+their own smallest. Linked classes become components by alternating large-star and small-star steps. A bucket is
+settled if its members but the centre, which was compared with all of them, are in one component. The classes of all
+other buckets are then joined exactly, by a prefix filter, so no pair of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -109,7 +110,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(linked, pa.bool_()), pa.array(similar, pa.float64())], ["a", "b", "linked", "similarity"])
 
     of = lambda k: sets.select(F.col("_id").alias(k), F.col("set").alias(f"set_{k}"))
-    both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "set_a", "set_b")
+    # the centre's side first: what is dealt out by a centre's key are ids, and sets go by the members' keys
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b")
     return both.mapInArrow(count, "a long, b long, linked boolean, similarity double")
 
 
@@ -133,7 +135,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     now = stored(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
-    while (after := state(now)) != before:
+    while (after := state(now)) != before and after.n:
         before = after
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: every larger neighbour goes to the smallest of the neighbourhood
@@ -153,7 +155,9 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     place i of n and j of m, they share at most the lesser of n - i and m - j; a pair stays if that is enough.
     """
     shingles = sets.select("_id", "_component", F.xxhash64("set").alias("_set"), F.explode(_as_longs("set")).alias("w"), (F.octet_length("set") / 8).cast("int").alias("n"))
-    shared = shingles.withColumn("held", F.count("*").over(Window.partitionBy("w"))).filter("held > 1")
+    # a word that many sets hold is counted before it is shuffled, and its rows meet one row here
+    counts = shingles.groupBy("w").agg(F.count("*").alias("held")).filter("held > 1")
+    shared = shingles.join(counts, "w")
     # shingles of one set alone come first and are never shared, so only their number matters
     own = Window.partitionBy("_id", "_set")
     place = F.row_number().over(own.orderBy("held", "w")) - 1 + F.col("n") - F.count("*").over(own)
@@ -235,13 +239,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = links[0].unionByName(links[1]).filter("linked").select("a", "b")
 
     reached = stored(components(edges).select(F.col("node").alias("_id"), "component"), "reached")
-    # every pair of a bucket that still holds several components
-    inside = members.select("key", "_id").unionByName(centres.select("key", F.col("a").alias("_id"))).join(reached, "_id", "left").select("key", "_id", F.coalesce("component", "_id").alias("_component"))
-    inside = stored(inside, "inside")
+    # every pair of a bucket whose members but the centre are in several components
+    inside = stored(members.select("key", "_id").join(reached, "_id", "left").select("key", "_id", F.coalesce("component", "_id").alias("_component")), "inside")
     mixed = inside.groupBy("key").agg(F.min("_component").alias("_least"), F.max("_component").alias("_most")).filter("_least != _most").select("key")
     unsettled = inside.join(mixed, "key", "left_semi").select("_id", "_component").distinct()
     found = stored(confirmed(stored(prefix_pairs(sets.join(unsettled, "_id"), percent), "pairs"), sets, percent).filter("linked").select("a", "b"), "found")
     of = lambda k: reached.select(F.col("_id").alias(k), F.col("component").alias(f"of_{k}"))
+    # components of components
     merged = components(found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
     first_of = classes.select("d1", "d2", "_id").join(reached, "_id", "left").select("d1", "d2", F.coalesce("component", "_id").alias("node"))
     placed = stored(first_of.join(merged, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("_component")), "placed")

@@ -74,3 +74,11 @@ def test_pairs_of_a_template_family(make, prose):
     assert len(set(want.values())) > 150
     got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(make(rows), words=3, percent=85).collect()}
     assert got == want
+
+
+def test_given_documents_are_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    for words, percent in ((3, 85), (5, 80)):
+        want = brute(rows, words, percent)
+        assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs, words=words, percent=percent).collect()} == want
