@@ -17,7 +17,7 @@ def detected_components(products: DataFrame, key: str, name: Column, aliases: Da
     """
     al = aliases.select(plain_text(F.col("alias")).alias("_alias"), "component", "display").withColumn("_words", tokens(F.col("_alias"))).filter(F.size("_words") > 0)
     hay = products.select(key, plain_text(name).alias("_hay")).withColumn("_tokens", tokens(F.col("_hay")))
-    pairs = hay.withColumn("_w", F.explode("_tokens")).join(F.broadcast(al.withColumn("_w", F.explode("_words"))), "_w")
+    pairs = hay.withColumn("_w", F.explode("_tokens")).join(al.withColumn("_w", F.explode("_words")), "_w")
     phrase = F.contains(F.concat(F.lit(" "), "_hay", F.lit(" ")), F.concat(F.lit(" "), "_alias", F.lit(" ")))
     found = pairs.filter(phrase | (F.size(F.array_except("_words", "_tokens")) == 0))
     return found.groupBy(key, "component").agg(F.min("display").alias("display"))
@@ -80,8 +80,8 @@ def rotation_candidates(products: DataFrame, key: str, component: str, text: Col
     wanted: component, name; a small dimension. Two joins by equality and a union take the place of one join on either.
     """
     own = products.select(key, F.col(component).alias("component"), F.concat(F.lit(" "), plain_text(text), F.lit(" ")).alias("_text"))
-    by_id = own.join(F.broadcast(wanted.select("component").distinct()), "component").select(key, "component", F.lit("id").alias("by"))
+    by_id = own.join(wanted.select("component").distinct(), "component").select(key, "component", F.lit("id").alias("by"))
     names = wanted.select("component", plain_text(F.col("name")).alias("_n")).filter("_n != ''").withColumn("_w", F.split("_n", " ")[0])
     words = own.select(key, "_text", F.explode(F.array_distinct(F.split(F.trim("_text"), " "))).alias("_w"))
-    by_text = words.join(F.broadcast(names), "_w").filter(F.contains("_text", F.concat(F.lit(" "), "_n", F.lit(" ")))).select(key, "component", F.lit("text").alias("by"))
+    by_text = words.join(names, "_w").filter(F.contains("_text", F.concat(F.lit(" "), "_n", F.lit(" ")))).select(key, "component", F.lit("text").alias("by"))
     return by_id.unionByName(by_text).groupBy(key, "component").agg(F.min("by").alias("by"))

@@ -45,7 +45,7 @@ def family_scores(hits: DataFrame, key: str, families: DataFrame, proxies: DataF
     is corroborated by a family of laboratory values or by two of any kind. One shuffle: all steps are by key and cond.
     """
     per_field = hits.repartition(key, "cond").groupBy(key, "cond", "field").agg(F.sum("weight").alias("w"))
-    known = per_field.join(F.broadcast(families.select("field", "family", "is_lab")), "field", "left").join(F.broadcast(proxies.select("field", "components")), "field", "left")
+    known = per_field.join(families.select("field", "family", "is_lab"), "field", "left").join(proxies.select("field", "components"), "field", "left")
     is_proxy = F.col("components").isNotNull()
     unit = F.when(is_proxy, F.concat(F.lit("proxy:"), "field")).otherwise(F.coalesce("family", "field"))
     per_family = known.groupBy(key, "cond", unit.alias("family")).agg(F.max("w").alias("w"), F.bool_or(F.coalesce("is_lab", F.lit(False)) & ~is_proxy).alias("lab"), F.first("components", ignorenulls=True).alias("components"))
@@ -78,12 +78,12 @@ def thresholds(rules: DataFrame, families: DataFrame, proxies: DataFrame, base:
     only double counting reached the base threshold, the two strongest families' sum takes its place, if that is less.
     """
     lab = families.filter("is_lab").select("field")
-    own = rules.join(F.broadcast(lab), "field", "left_anti")
+    own = rules.join(lab, "field", "left_anti")
     steps, single = F.sum(F.when(F.col("op") == "gte", F.col("weight"))), F.max(F.when(F.col("op") != "gte", F.col("weight")))
     most = own.groupBy("cond", "field").agg((F.coalesce(steps, F.lit(0.0)) + F.coalesce(single, F.lit(0.0))).alias("weight"))
     by_family = family_scores(most.withColumn("_key", F.lit(1)), "_key", families, proxies).select("cond", F.col("score").alias("family_max"))
     by_sum = most.groupBy("cond").agg(F.round(F.sum("weight"), 4).alias("sum_max"))
-    raw = own.join(F.broadcast(proxies.select("field")), "field", "left_anti").join(F.broadcast(families.select("field", "family")), "field", "left")
+    raw = own.join(proxies.select("field"), "field", "left_anti").join(families.select("field", "family"), "field", "left")
     of_field = raw.groupBy("cond", F.coalesce("family", "field").alias("family"), "field").agg(F.when(F.bool_and(F.col("op") == "gte"), F.sum("weight")).otherwise(F.max("weight")).alias("w"))
     of_family = of_field.groupBy("cond", "family").agg(F.max("w").alias("w"))
     two = of_family.groupBy("cond").agg(F.slice(F.sort_array(F.collect_list("w"), asc=False), 1, 2).alias("w")).filter(F.size("w") == 2).select("cond", F.round(F.get("w", F.lit(0)) + F.get("w", F.lit(1)), 4).alias("two"))

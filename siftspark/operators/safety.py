@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftspark.operators.bounds import bounded
+
 
 def safety_penalties(products: DataFrame, rules: DataFrame, key: str, text: str, restrictions: str, dose: str) -> DataFrame:
     """(key, penalty, blocked, rules). rules is a small dimension: name, pattern, restriction (null: always), action, severity, dose_limit (null: none).
@@ -12,7 +14,7 @@ def safety_penalties(products: DataFrame, rules: DataFrame, key: str, text: str,
     A block whose product stays below the dose limit counts as a penalty. Penalties: penalize .25 if severe, else .12; warn .05; at most .80.
     """
     gate = F.col("restriction").isNull() | F.array_contains(F.col(restrictions), F.col("restriction"))
-    hits = products.join(F.broadcast(rules), F.rlike(F.col(text), F.col("pattern")) & gate, "left")
+    hits = products.join(bounded(rules, 10_000, "safety rules"), F.rlike(F.col(text), F.col("pattern")) & gate, "left")
     mild = (F.col("action") == "block") & F.col("dose_limit").isNotNull() & (F.col(dose) < F.col("dose_limit"))
     action = F.when(mild, "penalize").otherwise(F.col("action"))
     p = F.when(action == "penalize", F.when(F.col("severity") == "high", 0.25).otherwise(0.12)).when(action == "warn", 0.05).otherwise(0.0)

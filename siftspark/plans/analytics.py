@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftspark.functions import scores as S
 from siftspark.functions import text as X
 from siftspark.operators import evaluation, events, graph, matching, ranking, rules
+from siftspark.operators.bounds import bounded
 from siftspark.plans.core import query
 
 # a small rule dimension over customers: condition, field, operator, value, weight
@@ -221,8 +222,10 @@ s AS (SELECT c.label AS seed, vec_id, list_dot_product(embedding::DOUBLE[], c) /
 SELECT seed, vec_id, round(cos, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY cos DESC, vec_id) AS rn FROM s WHERE cos >= 0.1) WHERE rn <= 20""")
 def t2_similar_to_centroid(t):
     e = t("embeddings")
-    c = graph.centroids(e, "label", "embedding").select(F.col("label").alias("seed"), "centroid")  # one row a label: ten
-    s = e.join(F.broadcast(c), F.col("label") != F.col("seed")).withColumn("cos", graph.cosine(F.col("embedding"), F.col("centroid"))).filter("cos >= 0.1")
+    norm = lambda c: F.sqrt(graph.dot(F.col(c), F.col(c)))  # noqa: E731  once a row, not once a pair
+    c = graph.centroids(e, "label", "embedding").select(F.col("label").alias("seed"), "centroid", norm("centroid").alias("cn"))
+    own = e.withColumn("en", norm("embedding"))
+    s = own.join(bounded(c, 1000, "centroids"), F.col("label") != F.col("seed")).withColumn("cos", graph.dot(F.col("embedding"), F.col("centroid")) / (F.col("en") * F.col("cn") + 1e-8)).filter("cos >= 0.1")
     return ranking.best_per_key(s, ["seed"], [F.desc("cos"), F.col("vec_id")], 20).select("seed", "vec_id", F.round("cos", 6).alias("cosine"))
 
 

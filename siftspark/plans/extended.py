@@ -278,7 +278,7 @@ def a7_exposure_share(t):
 
 @query("SELECT n_name, round((k / n + 3.8416::DOUBLE / (2 * n) - 1.96::DOUBLE * sqrt(k / n * (1 - k / n) / n + 3.8416::DOUBLE / (4 * n * n))) / (1 + 3.8416::DOUBLE / n), 4) AS low, round((k / n + 3.8416::DOUBLE / (2 * n) + 1.96::DOUBLE * sqrt(k / n * (1 - k / n) / n + 3.8416::DOUBLE / (4 * n * n))) / (1 + 3.8416::DOUBLE / n), 4) AS high FROM (SELECT n_name, count(*) AS n, count_if(c_acctbal > 0) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)")
 def a13_wilson(t):
-    j = t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") > 0).alias("k"))
+    j = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") > 0).alias("k"))
     low, high = S.wilson(F.col("k"), F.col("n"))
     return j.select("n_name", F.round(low, 4).alias("low"), F.round(high, 4).alias("high"))
 

@@ -63,9 +63,9 @@ def p12_alias_expansion(t):
 
 @query("SELECT l_orderkey FROM (SELECT l_orderkey, bool_or(l_returnflag = 'R' AND l_discount > 0.05) AS blocked, max(l_quantity) AS q FROM lineitem GROUP BY 1) WHERE NOT blocked AND q > 10")
 def p13_pack_eligibility(t):
-    items = t("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_returnflag", "l_discount", "l_quantity")).alias("i"))
-    bad = F.exists("i", lambda x: (x["l_returnflag"] == "R") & (x["l_discount"] > 0.05))
-    return items.filter(~bad & F.exists("i", lambda x: x["l_quantity"] > 10)).select("l_orderkey")
+    bad = (F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.05)
+    items = t("lineitem").groupBy("l_orderkey").agg(F.bool_or(bad).alias("bad"), F.max("l_quantity").alias("most"))
+    return items.filter("NOT bad AND most > 10").select("l_orderkey")
 
 
 @query("SELECT p_partkey FROM part WHERE NOT regexp_matches(p_type, 'PROMO|ECONOMY')")

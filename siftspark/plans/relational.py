@@ -457,7 +457,7 @@ def d20_product_score(t):
 
 @query("SELECT n_name, list(s_suppkey::VARCHAR || ' ' || s_name ORDER BY s_suppkey) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
 def j23_nested_history(t):
-    j = t("supplier").join(F.broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    j = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return j.groupBy("n_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda x: F.concat_ws(" ", x["s_suppkey"].cast("string"), x["s_name"])).alias("suppliers"))
 
 
@@ -497,5 +497,5 @@ def m14_status_ladder(t):
 
 @query("SELECT n_name, round(sum(c_acctbal * (c_mktsegment = 'BUILDING')::INT) / sum(c_acctbal), 5) AS weighted FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 GROUP BY 1")
 def m27_weighted_prevalence(t):
-    j = t("customer").filter("c_acctbal > 0").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    j = t("customer").filter("c_acctbal > 0").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return j.groupBy("n_name").agg(F.round(F.sum(F.col("c_acctbal") * (F.col("c_mktsegment") == "BUILDING").cast("int")) / F.sum("c_acctbal"), 5).alias("weighted"))
