@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftspark.functions.scores import wilson
+from siftspark.functions.scores import hash_split, wilson
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -88,3 +88,48 @@ def stable_in_all(runs: DataFrame, keys: list[str], seed: str) -> DataFrame:
     """Detections that every seed has."""
     k = runs.agg(F.countDistinct(seed).alias("_k"))
     return runs.groupBy(*keys).agg(F.countDistinct(seed).alias("_n")).crossJoin(F.broadcast(k)).filter("_n = _k").drop("_n", "_k")
+
+
+def multilabel(df: DataFrame, labels: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """One row: macro_f1, micro_f1, sample_f1, exact_match, hamming. labels: name to (actual, predicted), 0 or 1 each. One pass; an undefined F1 counts as 0."""
+    y, z = ({k: v[i].cast("int") for k, v in labels.items()} for i in (0, 1))
+    both, a, b = (sum((f(k) for k in labels), F.lit(0)) for f in (lambda k: y[k] * z[k], lambda k: y[k], lambda k: z[k]))
+    wrong = sum((F.abs(y[k] - z[k]) for k in labels), F.lit(0))
+    sums = {f"_{n}_{k}": F.sum(c) for k in labels for n, c in (("tp", y[k] * z[k]), ("y", y[k]), ("z", z[k]))}
+    out = df.agg(*[c.alias(n) for n, c in sums.items()], F.avg(F.when(a + b > 0, 2 * both / (a + b)).otherwise(0.0)).alias("_s"), F.avg((wrong == 0).cast("int")).alias("_e"), F.avg(wrong / len(labels)).alias("_h"))
+    f1 = lambda tp, p, q: F.coalesce(ratio(2 * tp, p + q), F.lit(0.0))
+    col = lambda n: [F.col(f"_{n}_{k}") for k in labels]
+    macro = sum((f1(*x) for x in zip(col("tp"), col("y"), col("z"), strict=True)), F.lit(0.0)) / len(labels)
+    micro = f1(*(sum(col(n), F.lit(0)) for n in ("tp", "y", "z")))
+    return out.select(F.round(macro, 6).alias("macro_f1"), F.round(micro, 6).alias("micro_f1"), F.round("_s", 6).alias("sample_f1"), F.round("_e", 6).alias("exact_match"), F.round("_h", 6).alias("hamming"))
+
+
+def calibrated_thresholds(df: DataFrame, key: str, case: Column, p: Column, y: Column, original: float, floor: float, least: float, fewest: int = 10, margin: float = 0.02) -> DataFrame:
+    """key, threshold, status, accepted: a new threshold for each key, chosen on one half of the cases and accepted on the other.
+
+    Cases are split by hash. On the calibration half, of the hundredths from .01 to .99 that keep the specificity floor, the
+    best by F1, recall, specificity counts (ties: the lowest); it is a candidate only if its F1 beats the original's. It is
+    accepted if on the evaluation half its F1 is no worse, its specificity neither under the floor nor more than `margin`
+    under the original's, and it is not under `least`. Rows are counted once by the highest hundredth they reach.
+    """
+    reach = F.least(F.lit(99), F.greatest(F.lit(0), F.floor(F.round(p * 100, 6)))).cast("int")
+    rows = df.select(key, (hash_split(case) == "calibration").alias("_cal"), reach.alias("_k"), (y == 1).cast("int").alias("_y"))
+    by = rows.groupBy(key, "_cal", "_k").agg(F.sum("_y").alias("_pos"), F.sum(1 - F.col("_y")).alias("_neg"))
+    # a hundred counts a key and half at most
+    arrays = by.groupBy(key, "_cal").agg(F.collect_list(F.struct("_k", "_pos", "_neg")).alias("_all"), F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
+    grid = arrays.select(key, "_cal", "_all", "_p", "_n", F.explode(F.sequence(F.lit(1), F.lit(99))).alias("_g"))
+    above = lambda f: F.aggregate("_all", F.lit(0).cast("long"), lambda s, x: s + F.when(x["_k"] >= F.col("_g"), x[f]).otherwise(F.lit(0).cast("long")))
+    m = grid.select(key, "_cal", "_g", "_p", "_n", above("_pos").alias("tp"), above("_neg").alias("fp"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    m = m.select(key, "_cal", "_g", "_p", "_n", zero(ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("_p"))).alias("f1"), zero(ratio(F.col("tp"), F.col("_p"))).alias("recall"), zero(ratio(F.col("_n") - F.col("fp"), F.col("_n"))).alias("spec"))
+    at = round(original * 100)
+    best = Window.partitionBy(key).orderBy(F.desc("f1"), F.desc("recall"), F.desc("spec"), "_g")
+    chosen = m.filter(F.col("_cal") & (F.col("spec") >= floor)).withColumn("_rn", F.row_number().over(best)).filter("_rn = 1").select(key, F.col("_g").alias("_b"), F.col("f1").alias("_bf"))
+    first = m.filter(F.col("_cal") & (F.col("_g") == at)).select(key, "_p", "_n", F.col("f1").alias("_of"))
+    status = F.when((F.col("_p") < fewest) | (F.col("_n") < fewest), "insufficient_calibration_labels").when(F.col("_b").isNull(), "no_threshold_meets_specificity_floor").when(F.col("_bf") <= F.col("_of"), "original_threshold_not_worse").otherwise("candidate")
+    taken = first.join(chosen, key, "left").withColumn("status", status).withColumn("_g", F.when(F.col("status") == "candidate", F.col("_b")).otherwise(F.lit(at)))
+    ev = m.filter(~F.col("_cal"))
+    new, old = ev.select(key, "_g", F.col("f1").alias("_nf"), F.col("spec").alias("_ns")), ev.filter(F.col("_g") == at).select(key, F.col("f1").alias("_ef"), F.col("spec").alias("_es"))
+    out = taken.join(new, [key, "_g"]).join(old, key)
+    fine = (F.col("status") == "candidate") & (F.col("_nf") >= F.col("_ef")) & (F.col("_ns") >= F.greatest(F.lit(floor), F.col("_es") - margin)) & (F.col("_g") >= least * 100)
+    return out.select(key, "status", F.round(F.col("_g") / 100, 2).alias("threshold"), fine.alias("accepted"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftspark.functions import text as X
-from siftspark.operators import models, ranking, recommend, registry
+from siftspark.operators import evaluation, models, ranking, recommend, registry, survey
 from siftspark.plans.core import query
 
 #: A small dimension of links: place, condition, component, grade, strength, role, source, lab, risk, penalty, commercial.
@@ -240,3 +240,108 @@ def d13_target_risks(t):
     d, numbers = _labelled(t), ["n_chars", "log_chars"]
     fitted = {y: models.fit_target(d, numbers, y) for y in ("quality", "toxic")}
     return models.target_risks(d, "doc_id", fitted, numbers, "1", "1", excluded=("none",))
+
+
+def _answers(t):
+    """A survey made of customers' fields: every answer comes from a column, so contradictions occur."""
+    c = t("customer")
+    k, b = F.col("c_custkey"), F.col("c_acctbal")
+    pick = lambda n, *v: F.element_at(F.array(*[F.lit(x) for x in v]), (k % n % len(v) + 1).cast("int"))
+    some = lambda m, c: F.when(k % m != 0, c)
+    lists = lambda n, *v: F.element_at(F.array(*[F.array(*[F.lit(y) for y in x]) if x else F.array().cast("array<string>") for x in v]), (k % n % len(v) + 1).cast("int"))
+    return c.select(
+        "c_custkey", pick(2, "masculino", "femenino").alias("sexo"), (b / 50).alias("weight_value"), pick(3, "kg", "LB", "g").alias("weight_unit"), F.lit(70.0).alias("weight_kg"), (F.col("c_nationkey") / 10 + 0.3).alias("height_value"), pick(4, "m", "ft", "xx", "cm").alias("height_unit"),
+        some(5, F.lit(170.0)).alias("height_cm"), pick(3, "si", "no").alias("toma_suplementos"), lists(4, [], ["zinc"], ["zinc", "iron"]).alias("suplementos_actuales"), (k % 5 == 0).alias("suplementos_dosis_conocida"), F.create_map(F.lit("zinc"), F.lit(10.0)).alias("suplementos_dosis_actual"),
+        lists(5, ["sin_restricciones"], ["sin_restricciones", "soya"], ["soya"]).alias("restricciones"), lists(7, ["ninguna"], ["ninguna", "renal"], ["embarazo_lactancia"], []).alias("condiciones_seguridad"), pick(6, "si", "no").alias("menstruacion_abundante"), some(3, F.lit("no")).alias("parto_ultimo_anio"),
+        (k % 4).alias("exercise_days_week"), pick(5, "no_aplica", "fuerza").alias("training_type"), pick(9, "suenio_estres", "energia", "nutricion_general").alias("objetivo_principal"), lists(6, ["a", "b", "c"], ["suenio"], []).alias("objetivos"), (k % 3 == 0).alias("no_meat"),
+        some(4, F.lit(2.0)).alias("red_meat_servings_week"), F.lit(1.5).alias("poultry_servings_week"), F.lit(None).cast("double").alias("meat_servings_week"), F.lit(None).cast("double").alias("dairy_servings_day"), (k % 15).alias("dairy_servings_week"), pick(4, "vegano", "mixto").alias("tipo_dieta"),
+        F.lit(3).alias("anios_dieta_vegetal"), pick(8, "bajo", "medio", "alto", "sin_preferencia").alias("presupuesto"), some(2, F.lit(5.0)).alias("presupuesto_min"), F.lit(None).cast("double").alias("presupuesto_max"),
+    )
+
+
+def _pick(n, *v):
+    return "[" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else "[" + ", ".join(f"'{y}'" for y in x) + "]::VARCHAR[]" for x in v) + f"][c_custkey % {n} % {len(v)} + 1]"
+
+
+_ANSWERS = f"""a AS (SELECT c_custkey, {_pick(2, "masculino", "femenino")} AS sexo, c_acctbal / 50 AS wv, {_pick(3, "kg", "LB", "g")} AS wu, c_nationkey / 10 + 0.3::DOUBLE AS hv, {_pick(4, "m", "ft", "xx", "cm")} AS hu, CASE WHEN c_custkey % 5 <> 0 THEN 170.0 END AS hc, {_pick(3, "si", "no")} AS ts,
+  {_pick(4, [], ["zinc"], ["zinc", "iron"])} AS sa, c_custkey % 5 = 0 AS dk, {_pick(5, ["sin_restricciones"], ["sin_restricciones", "soya"], ["soya"])} AS re, {_pick(7, ["ninguna"], ["ninguna", "renal"], ["embarazo_lactancia"], [])} AS cs, {_pick(6, "si", "no")} AS ma, c_custkey % 4 AS ex, {_pick(5, "no_aplica", "fuerza")} AS tt,
+  {_pick(9, "suenio_estres", "energia", "nutricion_general")} AS op, {_pick(6, ["a", "b", "c"], ["suenio"], [])} AS ob, c_custkey % 3 = 0 AS nm, CASE WHEN c_custkey % 4 <> 0 THEN 2.0 END AS rm, c_custkey % 15 AS dw, {_pick(4, "vegano", "mixto")} AS td, {_pick(8, "bajo", "medio", "alto", "sin_preferencia")} AS bu, CASE WHEN c_custkey % 2 <> 0 THEN 5.0 END AS bm FROM customer),
+b AS (SELECT *, wv * CASE lower(wu) WHEN 'kg' THEN 1 WHEN 'lb' THEN 0.45359237 ELSE 0.001 END::DOUBLE AS kg, coalesce(hv * CASE hu WHEN 'm' THEN 100 WHEN 'ft' THEN 30.48 WHEN 'cm' THEN 1 END::DOUBLE, hc)::DOUBLE AS cm FROM a)"""
+
+
+@query(f"""WITH {_ANSWERS} SELECT c_custkey, array_to_string(list_filter([CASE WHEN NOT kg BETWEEN 2 AND 500 THEN 'weight_range' END, CASE WHEN NOT cm BETWEEN 40 AND 260 THEN 'height_range' END, CASE WHEN ts = 'si' AND len(sa) = 0 THEN 'supplements_missing' END, CASE WHEN ts = 'no' AND len(sa) > 0 THEN 'supplements_unexpected' END,
+  CASE WHEN list_contains(re, 'sin_restricciones') AND len(re) > 1 THEN 'no_restrictions_combined' END, CASE WHEN list_contains(cs, 'ninguna') AND len(cs) > 1 THEN 'no_safety_condition_combined' END, CASE WHEN sexo = 'masculino' AND list_contains(cs, 'embarazo_lactancia') THEN 'pregnancy_of_a_man' END,
+  CASE WHEN sexo = 'masculino' AND ma = 'si' THEN 'menstruation_of_a_man' END, CASE WHEN ex = 0 AND tt <> 'no_aplica' THEN 'training_without_days' END, CASE WHEN ex > 0 AND tt = 'no_aplica' THEN 'days_without_training' END, CASE WHEN ts = 'si' AND dk AND list_contains(sa, 'iron') THEN 'dose_missing' END], lambda e: e IS NOT NULL), ';') AS errors FROM b""")
+def p17_survey_errors(t):
+    return survey.normalised_survey(_answers(t)).withColumn("suplementos_dosis_actual", F.create_map(F.lit("zinc"), F.lit(10.0))).select("c_custkey", F.array_join(survey.survey_errors(), ";").alias("errors"))
+
+
+@query(f"""WITH {_ANSWERS} SELECT c_custkey, round(kg, 6) AS weight_kg, round(cm, 6) AS height_cm, round(kg / ((cm / 100) * (cm / 100)), 2) AS bmi, array_to_string(CASE op WHEN 'energia' THEN CASE WHEN len(ob) < 4 THEN ob || ['energia'] ELSE ob END WHEN 'suenio_estres' THEN CASE WHEN ob = ['a', 'b', 'c'] THEN ob || ['suenio'] WHEN ob = ['suenio'] THEN ob || ['estres'] ELSE ['suenio', 'estres'] END ELSE ob END, '|') AS objetivos,
+  CASE WHEN nm THEN 0 ELSE rm + 1.5 END::DOUBLE AS meat_servings_week, round(dw / 7, 4)::DOUBLE AS dairy_servings_day, CASE WHEN td = 'vegano' THEN 3 END AS anios_dieta_vegetal, CASE WHEN bu = 'sin_preferencia' THEN NULL WHEN bm IS NOT NULL THEN bm WHEN bu = 'bajo' THEN 0 WHEN bu = 'medio' THEN 80 ELSE 200 END::DOUBLE AS presupuesto_min,
+  CASE WHEN bu = 'sin_preferencia' OR bm IS NOT NULL THEN NULL WHEN bu = 'bajo' THEN 80 WHEN bu = 'medio' THEN 200 ELSE 500 END::DOUBLE AS presupuesto_max, (ts = 'si' AND dk AND list_contains(sa, 'zinc'))::INT AS doses FROM b""")
+def d8_normalised_survey(t):
+    out = survey.normalised_survey(_answers(t))
+    return out.select(
+        "c_custkey", F.round("weight_kg", 6).alias("weight_kg"), F.round("height_cm", 6).alias("height_cm"), "bmi", F.array_join("objetivos", "|").alias("objetivos"), "meat_servings_week", "dairy_servings_day", "anios_dieta_vegetal", "presupuesto_min", "presupuesto_max", F.size("suplementos_dosis_actual").alias("doses")
+    )
+
+
+_SOFT = ("fruit_veg_servings_day", "fruit_veg_servings_day_reported", "dieta_deficiente", "enfermedad_frecuente", "meta_inmunidad", "protein_g_day_estimate", "protein_g_day_estimate_reported", "peso_kg", "meta_rendimiento", "caida_cabello", "screen_hours_day", "fermented_foods_week", "water_intake_l_day", "fatiga_general", "fish_servings_week", "edad", "niebla_mental", "problemas_sueno", "calambres", "digestive_discomfort")
+#: Each answer's number of values and its least one.
+_RANGE = dict(zip(_SOFT, ((6, -1), (2, 0), (2, 0), (6, 0), (2, 0), (120, 20), (2, 0), (60, 40), (2, 0), (6, 0), (12, -1), (5, -1), (4, -1), (6, 1), (4, -1), (60, 20), (4, 1), (6, 1), (5, 1), (5, 1)), strict=True))
+
+
+@query("WITH f AS (SELECT c_custkey, " + ", ".join(f"(c_custkey * {7 + 2 * i} % {n} + {low})::DOUBLE AS {name}" for i, (name, (n, low)) in enumerate(_RANGE.items())) + """, CASE WHEN c_nationkey % 3 = 0 THEN 'activo' ELSE 'bajo' END AS act, CASE c_nationkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'high' END AS st FROM customer),
+g AS (SELECT *, CASE WHEN protein_g_day_estimate_reported = 1 THEN greatest(0, peso_kg * CASE WHEN act = 'activo' THEN 1.2 ELSE 0.85 END - protein_g_day_estimate) ELSE -1 END::DOUBLE AS gap FROM f)
+SELECT c_custkey, (fruit_veg_servings_day_reported = 1 AND fruit_veg_servings_day <= 2 AND (dieta_deficiente = 1 OR enfermedad_frecuente >= 4 OR meta_inmunidad = 1))::INT AS vitamin_c_diet_signal, round(gap, 2) AS protein_gap_g_day,
+  (protein_g_day_estimate_reported = 1 AND (protein_g_day_estimate < 55 OR gap >= 20 OR (act = 'activo' AND gap >= 12 AND meta_rendimiento = 1)))::INT AS protein_insufficient_signal, (caida_cabello >= 4)::INT + coalesce(st = 'low', false)::INT AS hair_skin_nails_cluster,
+  (screen_hours_day >= 6 AND (fruit_veg_servings_day_reported <> 1 OR fruit_veg_servings_day <= 2))::INT AS visual_strain_signal, (digestive_discomfort >= 3 OR (fermented_foods_week BETWEEN 0 AND 1 AND dieta_deficiente = 1))::INT AS digestive_support_signal,
+  (water_intake_l_day BETWEEN 0 AND 1.2 OR calambres >= 3)::INT AS hydration_electrolyte_signal, (fatiga_general >= 4 AND dieta_deficiente = 1)::INT AS fatigue_nutrition_signal, (coalesce(st = 'high', false) OR (edad >= 50 AND fish_servings_week BETWEEN 0 AND 1))::INT AS cardiovascular_context_signal,
+  (niebla_mental >= 3 OR (problemas_sueno >= 4 AND fatiga_general >= 3))::INT AS cognitive_context_signal FROM g""")
+def d6_soft_signals(t):
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    answers = [(k * (7 + 2 * i) % m + low).cast("double").alias(name) for i, (name, (m, low)) in enumerate(_RANGE.items())]
+    state = F.when(n % 4 == 0, "low").when(n % 4 == 1, "high")
+    c = t("customer").select("c_custkey", *answers, F.when(n % 3 == 0, "activo").otherwise("bajo").alias("nivel_actividad"), state.alias("lab_zinc_status"), state.alias("lab_ldl_status"))
+    return survey.soft_signals(c).select("c_custkey", *list(survey.soft_signals(c).columns)[len(c.columns) :])
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size % 8 AS k, p_size % 5 AS j FROM part) SELECT p_partkey, k IN (0) AS contains_fish_inferred, k IN (1) AS contains_shellfish_inferred, k IN (2, 3) AS contains_gelatin_inferred, k = 2 AS softgel_inferred, k = 4 AS contains_lactose_inferred, k = 5 AS contains_dairy_inferred, k = 6 AS contains_soy_inferred, k = 6 AS contains_soya_inferred, k = 7 AS gluten_free_inferred,
+  j = 0 AS contains_fish, j = 1 AS contains_shellfish, j IN (2, 4) AS contains_gelatin, j = 4 AS softgel_verified, j = 3 AS contains_dairy, j = 3 AS contains_lactose, false AS contains_soy, false AS contains_soya, j = 2 AS gluten_free_verified FROM p""")
+def f15_restriction_flags(t):
+    k, j = F.col("p_size") % 8, F.col("p_size") % 5
+    at = lambda c, *v: F.element_at(F.array(*map(F.lit, v)), (c + 1).cast("int"))
+    text = F.concat(F.col("p_name"), F.lit(" "), at(k, "omega 3 epa", "mariscos", "capsulas blandas", "gelatina", "lactosa", "suero de leche", "lecitina de soya", "libre de gluten"))
+    flags = survey.restriction_flags(text, at(j, "aceite de pescado", "crustaceos", "gelatin", "lactose", "soybean"), F.when(j == 4, "softgel"), F.when(j == 2, "Verified"))
+    return t("part").select("p_partkey", *[c.alias(name) for name, c in flags.items()])
+
+
+@query("""WITH s AS (SELECT doc_id, lang, least(1, n_chars / 4000.0::DOUBLE) AS p, quality AS y, ('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::BIGINT % 100 < 50 AS cal FROM documents JOIN labels USING (doc_id)),
+m AS (SELECT lang, cal, g / 100 AS t, count_if(y = 1 AND floor(round(p * 100, 6)) >= g) AS tp, count_if(y = 0 AND floor(round(p * 100, 6)) >= g) AS fp, count_if(y = 1 AND floor(round(p * 100, 6)) < g) AS fn, count_if(y = 0 AND floor(round(p * 100, 6)) < g) AS tn FROM s, range(1, 100) r(g) GROUP BY ALL),
+k AS (SELECT *, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS rec, CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0 END AS spec FROM m),
+o AS (SELECT * FROM k WHERE t = 0.5), c AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY f1 DESC, rec DESC, spec DESC, t) AS rn FROM k WHERE cal AND spec >= 0.5),
+x AS (SELECT oc.lang, CASE WHEN oc.tp + oc.fn < 10 OR oc.tn + oc.fp < 10 THEN 'insufficient_calibration_labels' WHEN c.t IS NULL THEN 'no_threshold_meets_specificity_floor' WHEN c.f1 <= oc.f1 THEN 'original_threshold_not_worse' ELSE 'candidate' END AS status, c.t AS best FROM o oc LEFT JOIN c ON c.lang = oc.lang AND rn = 1 WHERE oc.cal),
+z AS (SELECT x.lang, status, CASE WHEN status = 'candidate' THEN best ELSE 0.5 END AS t FROM x)
+SELECT z.lang, status, round(z.t, 2)::DOUBLE AS threshold, status = 'candidate' AND e.f1 >= oe.f1 AND e.spec >= greatest(0.5, oe.spec - 0.02) AND z.t >= 0.05 AS accepted FROM z JOIN k e ON e.lang = z.lang AND NOT e.cal AND e.t = z.t JOIN o oe ON oe.lang = z.lang AND NOT oe.cal""")
+def l4_calibrated_thresholds(t):
+    d = t("documents").select("doc_id", "lang", F.least(F.lit(1.0), F.col("n_chars") / 4000.0).alias("p")).join(t("labels").select("doc_id", "quality"), "doc_id")
+    return evaluation.calibrated_thresholds(d, "lang", F.col("doc_id").cast("string"), F.col("p"), F.col("quality"), original=0.5, floor=0.5, least=0.05)
+
+
+@query("""WITH y AS (SELECT doc_id, unnest(['quality', 'toxic']) AS label, unnest([quality, toxic]) AS y, unnest([(n_chars > 1000)::INT, (n_chars > 4000)::INT]) AS z FROM documents JOIN labels USING (doc_id)),
+l AS (SELECT label, sum(y * z) AS tp, sum((1 - y) * z) AS fp, sum(y * (1 - z)) AS fn FROM y GROUP BY 1), s AS (SELECT doc_id, sum(y * z) AS tp, sum(y) AS a, sum(z) AS b, min((y = z)::INT) AS same, sum((y <> z)::INT) AS wrong, count(*) AS k FROM y GROUP BY 1)
+SELECT (SELECT round(avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END), 6) FROM l) AS macro_f1, (SELECT round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) FROM l) AS micro_f1, (SELECT round(avg(CASE WHEN a + b > 0 THEN 2 * tp / (a + b) ELSE 0 END), 6) FROM s) AS sample_f1, (SELECT round(avg(same), 6) FROM s) AS exact_match, (SELECT round(sum(wrong) / sum(k), 6) FROM s) AS hamming""")
+def a17_multilabel_f1(t):
+    j = t("documents").select("doc_id", "n_chars").join(t("labels"), "doc_id")
+    return evaluation.multilabel(j, {"quality": (F.col("quality"), F.col("n_chars") > 1000), "toxic": (F.col("toxic"), F.col("n_chars") > 4000)})
+
+
+@query("""WITH shown AS (SELECT l_orderkey AS session, l_partkey AS item, min(l_returnflag) AS condition FROM lineitem GROUP BY 1, 2), f AS (SELECT l_orderkey AS session, l_partkey + CASE WHEN l_linenumber = 3 THEN 1 ELSE 0 END AS item, max(l_linenumber) AS rating FROM lineitem WHERE l_linenumber >= 2 GROUP BY 1, 2)
+SELECT f.session, f.item, rating, condition, condition IS NULL AS ignored FROM f LEFT JOIN shown USING (session, item)""")
+def j16_feedback_on_shown(t):
+    """Votes on items: the condition is the shown item's, and votes on what wasn't shown are marked as ignored."""
+    li = t("lineitem")
+    shown = li.groupBy(F.col("l_orderkey").alias("session"), F.col("l_partkey").alias("item")).agg(F.min("l_returnflag").alias("condition"))
+    item = F.col("l_partkey") + F.when(F.col("l_linenumber") == 3, 1).otherwise(0)
+    votes = li.filter("l_linenumber >= 2").groupBy(F.col("l_orderkey").alias("session"), item.alias("item")).agg(F.max("l_linenumber").alias("rating"))
+    return votes.join(shown, ["session", "item"], "left").select("session", "item", "rating", "condition", F.col("condition").isNull().alias("ignored"))
