@@ -29,8 +29,8 @@ def test_brute_force(spark):
     rows += [(1000 + i, rows[0][1]) for i in range(40)]  # ties
     rows += [(2000, None), (2001, [None] * 8), (2002, [float("nan")] * 8), (2004, [float("inf")] + [0.0] * 7), (None, rows[1][1])]
     df = spark.createDataFrame([(i, v, 1, 0.0, "x") for i, v in rows], SCHEMA)
-    for group, chunk in ((8192, 256), (64, 16)):
-        got = topk_search.top_k(df, F.col("vec_id") % 3 == 0, k=5, group=group, chunk=chunk)
+    for group, chunk in ((4 << 20, 256), (4096, 16)):
+        got = topk_search.top_k(df, F.col("vec_id") % 3 == 0, k=5, group_bytes=group, chunk=chunk)
         assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == brute(rows, 5)
 
 
@@ -40,14 +40,16 @@ def test_few_rows(spark):
     assert topk_search.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
-def test_blocks_are_skipped():
-    import numpy as np
-
-    class Counted(np.ndarray):
-        pass
-
-    rng = np.random.default_rng(0)
-    v = np.sort(rng.integers(0, 1000, (640, 1)), axis=0).astype(np.int64)
-    blocks = [(np.arange(k, k + 64).tobytes(), v[k : k + 64].tobytes(), v[k : k + 64].max(0).tobytes(), v[k : k + 64].min(0).tobytes()) for k in range(0, 640, 64)]
-    got = topk_search.search_blocks(blocks, [(-1, np.array([1], np.int64).tobytes())], 1, 3)
-    assert [s for _, _, s in got] == sorted(v[:, 0].tolist(), reverse=True)[:3]
+def test_blocks_are_skipped(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(3000):  # 30 clusters, each of its own direction
+        at = [rng.gauss(0, 0.02) for _ in range(16)]
+        at[i % 30 % 16] += 1 if i % 30 < 16 else -1
+        rows.append((i, [round(x * 4096) / 4096 for x in at], 1, 0.0, "x"))
+    df = spark.createDataFrame(rows, SCHEMA)
+    scored = spark.sparkContext.accumulator(0)
+    got = topk_search.top_k(df, F.col("vec_id") % 3 == 0, k=5, group_bytes=1 << 16, scored=scored).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute([(r[0], r[1]) for r in rows], 5)
+    blocks = 3000 / topk_search.BLOCK * 1000
+    assert 0 < scored.value < 0.25 * blocks
