@@ -16,10 +16,12 @@ NULL_ID = (1 << 63) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. A local session without one gets a temporary folder; a cluster without one is refused."""
     sc = spark.sparkContext
     known = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not known:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a shared folder for intermediate tables")
         known = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(known)
     return known.rstrip("/")
@@ -32,6 +34,12 @@ def stored(df: DataFrame, name: str = "t", sort: list[str] | None = None) -> Dat
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder that this library wrote to the shared folder."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(top, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of whole texts stay at some MB."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -47,6 +55,7 @@ def ascii_lower(c: Column) -> Column:
 
 
 def row_id(id_col: str) -> Column:
+    """The id as a whole number; ids of other types must be numbered first."""
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
 
 

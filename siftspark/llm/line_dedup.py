@@ -2,8 +2,9 @@
 
 Documents come in batches of rising ids. A batch's distinct line hashes are merge-anti-joined with the runs of the
 batches before it; those that no run holds form a new run, sorted by hash and bucketed, with the id that owns each
-line. When a level has `fanout` runs, they are merged into one run of the next level. Runs are tables in the shared
-warehouse, bucketed alike, so that an anti-join neither shuffles nor sorts them again.
+line. When a level has `fanout` runs, they are merged into one run of the next level, bucket by bucket. Runs are tables
+in the shared folder, bucketed alike with one sorted file a bucket, and are read in that order: neither an anti-join
+nor a merge shuffles or sorts them again.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.llm._shared import ASCII_SPACE, ascii_lower, row_id, stored, text_hash
+from siftspark.llm._shared import ASCII_SPACE, ascii_lower, discard, row_id, shared_dir, stored, text_hash
 
 KEY = ["_h1", "_h2"]
 #: Bytes of line hashes a bucket of a run should hold; the number of buckets follows the batch's size.
 BUCKET_BYTES = 64 << 20
+#: Spark takes a bucket's file as sorted only if told so; it holds where every bucket is one file, as here.
+_SORTED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 class LineRuns:
@@ -27,15 +30,22 @@ class LineRuns:
     def __init__(self, spark: SparkSession, buckets: int, fanout: int = 2):
         self.spark, self.buckets, self.fanout = spark, buckets, fanout
         self.name = f"sift_runs_{uuid.uuid4().hex}"
+        self.folder = f"{shared_dir(spark)}/{self.name}"
         self.levels: list[list[str]] = [[]]
         self.made = 0
+        spark.conf.set(_SORTED, "true")
 
     def _write(self, rows: DataFrame) -> str:
+        """rows: dealt out by hash of the key to as many partitions as there are buckets, so that a bucket is one file."""
         self.made += 1
         name = f"{self.name}_{self.made}"
-        rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet").saveAsTable(name)
+        rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet").option("path", f"{self.folder}/{self.made}").saveAsTable(name)
         return name
 
+    def _forget(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(self.spark, f"{self.folder}/{name.rpartition('_')[2]}")
+
     def runs(self) -> list[str]:
         return [r for level in self.levels for r in level]
 
@@ -48,31 +58,39 @@ class LineRuns:
     def add(self, keys: DataFrame) -> None:
         """keys: _h1, _h2, owner, none of them in a run so far."""
         self.levels[0].append(self._write(keys))
-        for at in range(len(self.levels)):
+        at = 0
+        while at < len(self.levels):
             if len(self.levels[at]) >= self.fanout:
                 self._compact(at)
+            at += 1
+
+    def merged(self, runs: list[str]) -> DataFrame:
+        """Runs have no key in common, so a full outer join of two merges them: like buckets meet, both in order."""
+        out = self.spark.table(runs[0])
+        for r in runs[1:]:
+            out = out.join(self.spark.table(r).withColumnRenamed("owner", "_other").hint("merge"), KEY, "full_outer").select(*KEY, F.coalesce("owner", "_other").alias("owner"))
+        return out
 
     def _compact(self, at: int) -> None:
         old, self.levels[at] = self.levels[at], []
-        merged = self.spark.table(old[0])
-        for r in old[1:]:
-            merged = merged.unionByName(self.spark.table(r))
+        new = old[0]
+        for r in old[1:]:  # two at a time: a join's result has no buckets for the next
+            made = self._write(self.merged([new, r]))
+            self._forget(new)
+            self._forget(r)
+            new = made
         if at + 1 == len(self.levels):
             self.levels.append([])
-        self.levels[at + 1].append(self._write(merged.repartition(self.buckets, *KEY)))
-        for r in old:
-            self.spark.sql(f"DROP TABLE IF EXISTS {r}")
-        if len(self.levels[at + 1]) >= self.fanout:
-            self._compact(at + 1)
+        self.levels[at + 1].append(new)
 
     def table(self) -> DataFrame:
         """Every line seen so far, once, with its owner; read as plain files, so that a skewed join with it can be split."""
-        top = self.spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        return self.spark.read.schema(self.spark.table(self.runs()[0]).schema).parquet(*(f"{top}/{r}" for r in self.runs()))
+        return self.spark.read.schema(self.spark.table(self.runs()[0]).schema).parquet(*(f"{self.folder}/{r.rpartition('_')[2]}" for r in self.runs()))
 
     def drop(self) -> None:
         for r in self.runs():
-            self.spark.sql(f"DROP TABLE IF EXISTS {r}")
+            self._forget(r)
+        discard(self.spark, self.folder)
 
 
 def line_key(line):
@@ -85,8 +103,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A line whose key has `min_chars` code points stays only in the smallest id that holds it (all its places there). A
     null or empty text is one empty line; kept_text is then empty. A null id counts as the largest. Rows of one id are
-    one document: their lines count once, and none is dropped for another's sake. Extra columns are passed on. An empty
-    table gives an empty table. `batches`: of about equal row counts, in order of the id.
+    one document: their lines count once, and none is dropped for another's sake. Extra columns are passed on, but for
+    those named like one of the three new ones, which are replaced. An empty table gives an empty table. Texts of any
+    length are taken whole. `batches`: of about equal row counts, in order of the id. Ids must be whole numbers.
     """
     spark = docs.sparkSession
     h1, h2 = text_hash(text_col)
