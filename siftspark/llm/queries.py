@@ -57,7 +57,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages, url_filter.hosts_of(pages).filter(url_filter.listed_host(F.col("host"))))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,11 +99,11 @@ g AS (SELECT doc_id, i, word, lead(word) OVER p AS w2, lead(word, 2) OVER p AS w
 r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, word, w2, w3) AS n FROM g WHERE w3 IS NOT NULL),
 rw AS (SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM r WHERE n > 1) GROUP BY doc_id),
 ws AS (SELECT doc_id, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars FROM w GROUP BY doc_id),
-l AS (SELECT doc_id, host, md5(text) AS t, unnest(string_split(text, chr(10))) AS line FROM d),
+l AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d),
 lw AS (SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n, {LOWER_SQL.format(f"trim(line, {SPACE_SQL})")} AS key FROM l),
 dl AS (SELECT doc_id, sum(c - 1)::BIGINT AS n_dup_lines FROM (SELECT doc_id, line, count(*) AS c FROM lw WHERE n > 0 GROUP BY ALL) GROUP BY doc_id),
-h AS (SELECT host, greatest(10.0, 0.01 * count(DISTINCT md5(text))) AS lim FROM d GROUP BY host),
-f AS (SELECT host, key FROM lw JOIN h USING (host) WHERE n > 0 GROUP BY host, key, lim HAVING count(DISTINCT t) > lim),
+h AS (SELECT host, greatest(10.0, 0.01 * count(DISTINCT doc_id)) AS lim FROM d GROUP BY host),
+f AS (SELECT host, key FROM lw JOIN h USING (host) WHERE n > 0 GROUP BY host, key, lim HAVING count(DISTINCT doc_id) > lim),
 rm AS (SELECT doc_id, sum(n)::BIGINT AS n_removed_words FROM lw JOIN f USING (host, key) WHERE n > 0 GROUP BY doc_id),
 s AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
   length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,

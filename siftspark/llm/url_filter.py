@@ -1,8 +1,9 @@
 """URL filter with a Bloom filter cascade.
 
-The universe is every host in the pages. Level 0 encodes the listed hosts; level 1 the unlisted ones that level 0 takes
-for listed; level 2 the listed ones that level 1 takes for unlisted; and so on until a level makes no mistake. Over
-that universe the cascade's answer is exact, and judging a page reads no list and joins nothing.
+The list is a table of hosts, of any origin; the universe is every host in the pages. Level 0 encodes the listed hosts
+of the universe; level 1 the unlisted ones that level 0 takes for listed; level 2 the listed ones that level 1 takes for
+unlisted; and so on until a level makes no mistake. Over that universe the cascade's answer is exact, and judging a
+page reads no list and joins nothing.
 
 The universe is cut into shards by hash, each with its own small cascade. Cascades are broadcast in groups of at most
 `pass_bytes`; beyond one group, the pages are judged in one pass per group.
@@ -11,7 +12,7 @@ The universe is cut into shards by hash, each with its own small cascade. Cascad
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,7 @@ from siftspark.llm._shared import ascii_lower, stored
 
 #: Host, path prefix, verdict.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-#: A host is listed if a label of it has one of these words between hyphens.
+#: The query's list has the hosts of which a label has one of these words between hyphens.
 LISTED_WORDS = ("spam", "pills", "casino", "bets", "adult", "ads")
 #: Keys of a shard, and its bits a key at even and odd levels.
 SHARD_KEYS, BITS, HASHES = 100_000, (10, 3), (6, 2)
@@ -63,8 +64,10 @@ def holds(levels: list[tuple[int, bytes]], h1, h2):
     verdict = np.zeros(len(h1), bool)
     live = np.arange(len(h1))
     for at, (m, bitmap) in enumerate(levels):
-        bits = np.unpackbits(np.frombuffer(bitmap, np.uint8))[:m].astype(bool)
-        hit = np.logical_and.reduce([bits[p] for p in _positions(h1[live], h2[live], at, m, HASHES[at % 2])]) if len(live) else np.zeros(0, bool)
+        octets = np.frombuffer(bitmap, np.uint8)
+        hit = np.ones(len(live), bool)
+        for p in _positions(h1[live], h2[live], at, m, HASHES[at % 2]):  # single bits; the bitmap stays packed
+            hit &= (octets[p >> np.uint64(3)] >> (np.uint64(7) - (p & np.uint64(7))).astype(np.uint8)) & 1 == 1
         verdict[live[~hit]] = bool(at % 2)
         live = live[hit]
     verdict[live] = bool(len(levels) % 2)
@@ -92,8 +95,8 @@ def listed_host(host: Column, words=LISTED_WORDS) -> Column:
     return host.rlike(rf"(^|[.\-])({'|'.join(words)})([.\-]|$)")
 
 
-def build_cascades(hosts: DataFrame, listed: Column, shards: int) -> DataFrame:
-    """hosts: column host, distinct. A row for each shard and level: shard, level, bits, bitmap."""
+def build_cascades(hosts: DataFrame, listed: DataFrame, shards: int) -> DataFrame:
+    """hosts, listed: column host. A row for each shard and level: shard, level, bits, bitmap. A shard has about SHARD_KEYS hosts."""
 
     def build(keys):
         import numpy as np
@@ -103,7 +106,8 @@ def build_cascades(hosts: DataFrame, listed: Column, shards: int) -> DataFrame:
         levels = build_levels(pair(keys[keys.listed]), pair(keys[~keys.listed]))
         return pd.DataFrame([(int(keys.shard.iloc[0]), i, m, b) for i, (m, b) in enumerate(levels)], columns=["shard", "level", "bits", "bitmap"])
 
-    keys = hosts.select(_shard("host", shards).alias("shard"), F.xxhash64("host").alias("h1"), F.xxhash64(F.lit("second half"), "host").alias("h2"), listed.alias("listed"))
+    marked = hosts.select("host").distinct().join(listed.select("host", F.lit(True).alias("listed")).distinct(), "host", "left")
+    keys = marked.select(_shard("host", shards).alias("shard"), F.xxhash64("host").alias("h1"), F.xxhash64(F.lit("second half"), "host").alias("h2"), F.coalesce("listed", F.lit(False)).alias("listed"))
     return keys.groupBy("shard").applyInPandas(build, "shard int, level int, bits long, bitmap binary")
 
 
@@ -111,19 +115,25 @@ def _shard(host: str, shards: int) -> Column:
     return F.pmod(F.xxhash64(F.lit("shard"), host), F.lit(shards)).cast("int")
 
 
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, listed: Callable[[Column], Column] = listed_host, pass_bytes: int = 32 << 20) -> DataFrame:
+def hosts_of(pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """The distinct hosts of the pages, column host."""
+    return pages.select(host_of(F.col(url_col)).alias("host")).distinct()
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, pass_bytes: int = 32 << 20) -> DataFrame:
     """id_col, host, path, rule, verdict ("allow" or "block"), listed of every page.
 
-    The longest rule that fits decides; else a listed host is blocked. A null url, or one without "://", has an empty
-    host and path. Repeated rows and null ids are judged each on their own, an empty table gives none, and other
-    columns don't matter.
+    listed: the hosts to block, column host, A-Z in lower case; null and repeated ones, and those of no page, don't
+    matter. The longest rule that fits decides; else a listed host is blocked, itself alone and not its subdomains. A
+    null url, or one without "://", has an empty host and path; a url of any length is judged whole. Repeated rows and
+    null ids are judged each on their own, an empty table gives none, and other columns don't matter.
     """
     spark = pages.sparkSession
     id_type = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    hosts = rows.select("host").distinct()
+    hosts = stored(hosts_of(pages, url_col), "hosts")
     shards = max(1, math.ceil(hosts.count() / SHARD_KEYS))
-    cascades = stored(build_cascades(hosts, listed(F.col("host")), shards), "cascades")
+    cascades = stored(build_cascades(hosts, listed, shards), "cascades")
     # shards are grouped so that what is collected and broadcast at a time stays under pass_bytes
     sizes = cascades.agg(F.coalesce(F.sum(F.length("bitmap")), F.lit(0)).alias("n")).first().n
     passes = max(1, math.ceil(sizes / pass_bytes))

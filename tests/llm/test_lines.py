@@ -48,6 +48,27 @@ def test_line_dedup_is_brute_force(make):
     assert line_dedup.dedup_lines(make([])).count() == 0
 
 
+def test_runs_are_merged_in_order(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "_h1 long, _h2 long, owner long").repartition(4, "_h1", "_h2")
+    runs = line_dedup.LineRuns(spark, 4)
+    first, second = [(i * 7919 % 1000, i, i) for i in range(200)], [(i * 104729 % 1000, i, i) for i in range(200, 500)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        runs.levels[0] = [runs._write(frame(first)), runs._write(frame(second))]
+        both = runs.merged(runs.runs())._jdf.queryExecution().executedPlan().toString()
+        anti = runs.unseen(frame(first[:50] + [(5, -1, 0)]))
+        plan = anti._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "SortMergeJoin" in both and "Exchange" not in both and "Sort [" not in both
+    assert plan.count("Sort [") == 1 and plan.count("Exchange") == 1  # the batch's own
+    assert [tuple(r) for r in anti.collect()] == [(5, -1, 0)]
+    runs.add(frame([(-1, -1, 9)]))
+    assert [len(x) for x in runs.levels] == [0, 1]
+    assert sorted(tuple(r) for r in runs.table().collect()) == sorted([*first, *second, (-1, -1, 9)])
+    runs.drop()
+
+
 def brute_rules(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = list(zip(words, words[1:], words[2:], strict=False))
@@ -77,6 +98,11 @@ def test_frequent_lines_deplete(make, prose):
     assert got[101].kept
     assert (got[102].base_failed, got[102].n_words) == (True, 0)
     assert got[103].n_removed_words == 0
+    copies = [(200 + i, prose(200, 60) + "\n" + prose(201, 60), "c") for i in range(15)] + [(300, prose(300, 60), "c")]
+    counted = {r.doc_id: (r.kept, r.n_removed_words) for r in line_rules.apply_line_rules(make(copies), host_least=10).collect()}
+    assert counted == {**{200 + i: (False, 120) for i in range(15)}, 300: (True, 0)}
+    assert all(r.kept for r in line_rules.apply_line_rules(make(copies), host_least=10, count_copies=False).collect())
+    assert all(r.kept for r in line_rules.apply_line_rules(make([copies[0]] * 15), host_least=10).collect())  # one document, repeated
     again = line_rules.apply_line_rules(make([rows[0], *rows]), host_least=10)
     assert again.count() == len(rows) + 1
     assert line_rules.apply_line_rules(make([])).count() == 0
