@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from siftspark.llm import licenses, url_filter
 
@@ -16,12 +17,26 @@ URLS = [
 def test_verdicts(spark):
     schema = "page_id long, url string, html string, host string, listed string"
     df = spark.createDataFrame([(i, u[0], "h", "x", "y") for i, u in enumerate(URLS)] + [(0, URLS[0][0], "h", "x", "y")], schema)
+    listed = url_filter.hosts_of(df).filter(url_filter.listed_host(F.col("host")))
     for limit in (32 << 20, 4):  # the second needs several passes
-        got = url_filter.filter_urls(df, pass_bytes=limit).collect()
+        got = url_filter.filter_urls(df, listed, pass_bytes=limit).collect()
         assert len(got) == len(URLS) + 1
         for r in got:
             assert (r.host, r.path, r.rule, r.verdict) == URLS[r.page_id][1:], r
-    assert url_filter.filter_urls(df.limit(0)).count() == 0
+    assert url_filter.filter_urls(df.limit(0), listed).count() == 0
+    assert {r.verdict for r in url_filter.filter_urls(df, listed.limit(0)).filter("rule IS NULL").collect()} == {"allow"}
+
+
+def test_a_list_of_its_own(spark):
+    rng = np.random.default_rng(9)
+    names = [f"h{rng.integers(1 << 40):x}.example" for _ in range(3000)]  # no pattern tells the listed half
+    listed = [n for n in names if rng.random() < 0.5]
+    df = spark.createDataFrame([(i, f"https://{n.upper()}/a") for i, n in enumerate(names)] + [(None, None), (0, f"https://{names[0]}/b")], "page_id long, url string")
+    keys = spark.createDataFrame([(x,) for x in [*listed, listed[0], None, "of.no.page"]], "host string")
+    got = url_filter.filter_urls(df, keys).collect()
+    assert len(got) == len(df.collect())
+    assert {r.host for r in got if r.listed} == set(listed)
+    assert all((r.verdict == "block") == r.listed for r in got)
 
 
 def test_cascade_is_exact():
@@ -66,3 +81,39 @@ def test_word_counts(make, prose):
     for i, t in enumerate(texts):
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
         assert got[i] == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)), repr(t)
+
+
+MIT = """Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+{}
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+    http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+
+
+def test_whole_texts_and_altered_ones(make):
+    rows = [(1, MIT.format("")), (2, MIT.format("The Software shall be used for Good, not Evil.")), (3, MIT.format("").replace("merge, ", "")), (4, MIT.format("").split("THE SOFTWARE IS")[0]), (5, APACHE), (6, APACHE.replace("AS IS", "AS WAS")), (7, "x " * 500 + GPL), (8, GPL.replace("redistribute it and/or ", ""))]
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan_licenses(make(rows)).collect()}
+    assert [i for i in got if "mit-text" in got[i]] == [1]
+    assert [i for i in got if "apache-2.0-notice" in got[i]] == [5]
+    assert [i for i in got if "gpl-3.0-notice" in got[i]] == [7]
+
+
+def test_base_columns_are_brute_force(make, spark, sf_dir):
+    rng = np.random.default_rng(4)
+    words = ["MIT", "license", "Apache", "general", "public", "é", "x-y", "licenses", "mit", "LICENSE"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 40))) for _ in range(200)] + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.scan_licenses(make(list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        places = [(k, label) for phrase, label in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
+        at = [k for k, _ in places]
+        assert got[i] == (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({y for _, y in places}))), t
