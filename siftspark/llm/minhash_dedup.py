@@ -171,9 +171,11 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id (smallest id reachable, itself included), kept.
 
-    Null and empty texts have no shingles and are linked with nothing. Rows of one id are one document, which each of
-    its texts links. A null id counts as the largest one and comes back as null. An empty table gives none, other
-    columns don't matter. Work on a bucket grows with its members, not with their pairs.
+    Null and empty texts have no shingles and are linked with nothing; texts of any length are taken whole. Rows of one
+    id are one document, which each of its texts links. Ids must be whole numbers; a null one counts as the largest and
+    comes back as null. An empty table gives none, other columns don't matter, whatever their names. No link between
+    classes that share a bucket is lost: work on a bucket grows with its members, and only those of buckets that stars
+    leave in several components meet in the exact join, by their rare shingles.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 

@@ -2,7 +2,8 @@
 
 Every document's ids are cut into pieces whose lengths are powers of two: as many of `max_length` as fit, then the
 binary digits of the rest, from large to small. A piece is a sequence of its own and equal lengths share a bucket,
-so nothing is padded and no sequence crosses documents. The job is one scan without a shuffle.
+so nothing is padded and no sequence crosses documents. Pieces of a length are brought together in runs of bounded
+size within a task, so the job stays one scan without a shuffle: every Arrow batch holds one length, rising.
 """
 
 from __future__ import annotations
@@ -98,8 +99,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """One row per piece: id_col, start, length, ids (binary: little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     A null or empty text is the end id alone. Repeated rows and null ids are packed each on their own. Other columns of
-    the input don't matter. An empty table gives no rows. sequence_id is unique in the result; its offset is always 0
-    because a sequence holds one piece.
+    the input don't matter, and texts of any length are cut whole. An empty table gives no rows. sequence_id is unique in
+    the result; its offset is always 0 because a sequence holds one piece. Rows come in runs of equal length; for one
+    bucket a length over the whole table, write the result with write_buckets.
     """
     if max_length < 1 or max_length & (max_length - 1):
         raise ValueError("max_length must be a power of two")
@@ -109,34 +111,37 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
         for batch in batches:
-            rows, start, length, ids, total = [], [], [], [], []
+            buckets: dict[int, tuple[list, list, list, list]] = {}
 
-            def flush(batch=batch):
-                columns = [batch.column(0).take(pa.array(rows, pa.int32())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(total, pa.int64())]
-                return pa.RecordBatch.from_arrays(columns, ["_id", "start", "length", "ids", "doc_tokens"])
+            def flush(batch=batch, buckets=buckets):
+                """One batch a length, from short to long."""
+                for k in sorted(buckets):
+                    rows, start, ids, total = buckets[k]
+                    columns = [batch.column(0).take(pa.array(rows, pa.int32())), pa.array(start, pa.int64()), pa.array([k] * len(rows), pa.int64()), pa.array(ids, pa.binary()), pa.array(total, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["_id", "start", "length", "ids", "doc_tokens"])
+                buckets.clear()
 
             size = 0
             for i, text in enumerate(batch.column(1)):
                 tokens = encode(text.as_py() or "") + end
                 n, at = len(tokens) // 4, 0
                 for k in binary_lengths(n, max_length):
+                    rows, start, ids, total = buckets.setdefault(k, ([], [], [], []))
                     rows.append(i)
                     start.append(at)
-                    length.append(k)
                     ids.append(tokens[4 * at : 4 * (at + k)])
                     total.append(n)
                     at += k
                 size += len(tokens)
                 if size > 8 << 20:
-                    yield flush()
-                    rows, start, length, ids, total, size = [], [], [], [], [], 0
-            if rows:
-                yield flush()
+                    yield from flush()
+                    size = 0
+            yield from flush()
 
     pieces = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(cut, f"_id {id_type}, start long, length long, ids binary, doc_tokens long")
     return pieces.select(F.col("_id").alias(id_col), "start", "length", "ids", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
-    """Sequences of equal length go to one folder each."""
+    """Sequences of equal length go to one folder each; no row is shuffled."""
     pieces.write.partitionBy("length").parquet(path)
