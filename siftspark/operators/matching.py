@@ -63,6 +63,20 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
+def name_score(query: Column, name: Column) -> Column:
+    """How well a registered name fits a query: whole words only.
+
+    A one-word name fits only the same one-word query. Of longer ones two words must be shared; then a name that stands in
+    the query as a phrase, or the other way round, scores 1, all others by their sequence ratio.
+    """
+    q, n = plain_text(query), plain_text(name)
+    a, b = tokens(query), tokens(name)
+    inside = lambda x, y: F.contains(F.concat(F.lit(" "), y, F.lit(" ")), F.concat(F.lit(" "), x, F.lit(" ")))
+    phrase = inside(n, q) | ((F.size(a) >= 2) & inside(q, n))
+    none = (F.size(a) == 0) | (F.size(b) == 0)
+    return F.when(none, 0.0).when(F.size(b) < 2, F.when(F.array_sort(a) == F.array_sort(b), 1.0).otherwise(0.0)).when(F.size(F.array_intersect(a, b)) < 2, 0.0).when(phrase, 1.0).otherwise(sequence_ratio(q, n))
+
+
 def tiered_lookup(names: DataFrame, aliases: DataFrame, name: str, alias: str, target: str) -> DataFrame:
     """names with `target` and `tier` (1 exact, 2 every word of the alias is in the name, longest alias first; null: none). aliases is a small dimension."""
     n = names.select(F.monotonically_increasing_id().alias("_row"), "*", plain_text(F.col(name)).alias("_n"))

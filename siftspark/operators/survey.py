@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftspark.operators.features import with_defaults
+
 #: Factors of units to kilograms and centimetres.
 TO_KG = {"kg": 1.0, "lb": 0.45359237, "g": 0.001}
 TO_CM = {"cm": 1.0, "m": 100.0, "in": 2.54, "ft": 30.48}
@@ -103,7 +105,7 @@ def soft_signals(df: DataFrame) -> DataFrame:
         "cardiovascular_context_signal": flag(is_one("meta_cardiovascular") | text_in("lab_total_cholesterol_status", "high") | text_in("lab_ldl_status", "high") | ((num("edad", 30) >= 50) & fish.between(0, 1))),
         "cognitive_context_signal": flag(is_one("meta_cognitivo") | (num("niebla_mental", 1) >= 3) | ((num("problemas_sueno", 1) >= 4) & (num("fatiga_general", 1) >= 3))),
     }
-    return df.withColumns({k: F.coalesce(F.col(k).cast("double"), v) if k in there else v for k, v in signals.items()})
+    return with_defaults(df, signals)
 
 
 #: What a product's text holds if it is inferred to hold an ingredient or make a claim.

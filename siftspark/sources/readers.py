@@ -13,10 +13,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
 
 
-def read_strings(spark: SparkSession, path: str, columns: list[str] | None = None, sep: str = ",") -> DataFrame:
-    """A CSV with a header, every column a string, blanks null; a byte order mark goes. A missing file is an empty table of the columns given."""
+def separator(spark: SparkSession, path: str, among: str = ",;\t|") -> str:
+    """The sign of those given that the file's first line has most of; the first one if it has none."""
+    line = (spark.read.text(path).filter("trim(value) != ''").head() or [""])[0]
+    return max(among, key=line.count)
+
+
+def read_strings(spark: SparkSession, path: str, columns: list[str] | None = None, sep: str | None = ",") -> DataFrame:
+    """A CSV with a header, every column a string, blanks null; a byte order mark goes. A missing file is an empty table of the columns given. Without a separator the file's own is found."""
     if not exists(spark, path):
         return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns or ["value"]))
+    sep = sep or separator(spark, path)
     df = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').csv(path)
     df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
     df = df.select(*[F.when(F.trim(c) != "", F.col(f"`{c}`")).alias(c) for c in df.columns])
@@ -29,7 +36,7 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
     """CSV, tab-separated text, JSON or Parquet, by the file's name."""
     kind = path.rsplit(".", 1)[-1].lower()
     if kind in ("csv", "txt", "tsv"):
-        return read_strings(spark, path, columns, "\t" if kind in ("tsv", "txt") else ",")
+        return read_strings(spark, path, columns, "\t" if kind == "tsv" else None)
     df = spark.read.option("multiLine", kind == "json").format("json" if kind in ("json", "jsonl") else "parquet").load(path)
     return df.select(*columns) if columns else df
 

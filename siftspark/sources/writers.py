@@ -21,7 +21,11 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> Non
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Writes beside the target and then renames, so a reader sees the old table or the new one."""
+    """Writes the whole table beside the target, then renames the old one away and the new one in.
+
+    A reader never sees half a table. Between the two renames the path isn't there: a reader that starts just then fails
+    and can try again; if the job dies there, the old table stands beside it, under the target's name and `.old-`.
+    """
     spark = df.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs
     target, staged, old = (hadoop.Path(p) for p in (path, f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"))
