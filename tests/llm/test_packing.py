@@ -36,3 +36,17 @@ def test_pieces_cover_each_document(spark, make, tokenizer):
 def test_binary_lengths():
     assert packing.binary_lengths(2048 + 7, 1024) == [1024, 1024, 4, 2, 1]
     assert packing.binary_lengths(1, 1024) == [1]
+
+
+def test_equal_lengths_stand_together(spark, make, tokenizer, prose):
+    import tempfile
+
+    pieces = packing.pack(make([(i, prose(i, 20 + 7 * i)) for i in range(60)]).coalesce(1), tokenizer("byte_bpe_50k.json"))
+    lengths = [r.length for r in pieces.select("length").collect()]
+    runs = 1 + sum(a != b for a, b in zip(lengths, lengths[1:], strict=False))
+    assert runs == len(set(lengths)) > 5
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/buckets"
+    packing.write_buckets(pieces, path)
+    got = spark.read.parquet(path)
+    assert sorted((r.doc_id, r.start, r.length) for r in got.collect()) == sorted((r.doc_id, r.start, r.length) for r in pieces.collect())
+    assert spark.read.parquet(f"{path}/length=8").filter(F.length("ids") != 32).count() == 0
