@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftspark.functions import text as X
-from siftspark.operators import evaluation, models, ranking, recommend, registry, survey
+from siftspark.operators import decisions, evaluation, models, ranking, recommend, registry, survey
+from siftspark.plans.analytics import _HITS, _hits
 from siftspark.plans.core import query
 
 #: A small dimension of links: place, condition, component, grade, strength, role, source, lab, risk, penalty, commercial.
@@ -345,3 +346,61 @@ def j16_feedback_on_shown(t):
     item = F.col("l_partkey") + F.when(F.col("l_linenumber") == 3, 1).otherwise(0)
     votes = li.filter("l_linenumber >= 2").groupBy(F.col("l_orderkey").alias("session"), item.alias("item")).agg(F.max("l_linenumber").alias("rating"))
     return votes.join(shown, ["session", "item"], "left").select("session", "item", "rating", "condition", F.col("condition").isNull().alias("ignored"))
+
+
+GROUPS = [("c_acctbal", "observed_lab"), ("n_orders", "declared_diet"), ("max_price", "self_reported_symptoms"), ("c_mktsegment", "derived_soft_signal")]
+
+
+@query(_HITS + f""", g(field, grp) AS (VALUES {_values(GROUPS)}), s AS (SELECT c_custkey, cond, coalesce(grp, 'survey_context') AS grp, round(sum(weight), 4) AS weight, count(*) AS n, list_sort(list(DISTINCT h.field)) AS drivers FROM h LEFT JOIN g ON g.field = h.field GROUP BY ALL),
+x AS (SELECT *, CASE WHEN grp = 'observed_lab' THEN 'alta' WHEN grp IN ('declared_diet', 'self_reported_symptoms') AND (weight >= 0.30 OR n >= 2) THEN 'media' ELSE 'baja' END AS strength FROM s),
+p AS (SELECT c_custkey, cond, arg_min(grp, list_position(['observed_lab', 'medical_safety', 'declared_diet', 'self_reported_symptoms', 'restrictions', 'profile_context', 'survey_context', 'derived_soft_signal'], grp)) AS primary_group, count(*) AS ng, list(grp) AS gs, sum(weight) AS score FROM x GROUP BY 1, 2)
+SELECT x.c_custkey, x.cond, grp AS "group", weight::DOUBLE AS weight, n, array_to_string(drivers, '|') AS drivers, strength, primary_group, CASE WHEN primary_group = 'observed_lab' AND x.c_custkey % 2 = 0 THEN 'medical_safety' WHEN primary_group IN ('observed_lab', 'declared_diet', 'self_reported_symptoms') THEN primary_group ELSE 'self_reported' END AS evidence_level,
+  CASE WHEN primary_group = 'observed_lab' THEN 'alta' WHEN primary_group IN ('declared_diet', 'self_reported_symptoms') THEN CASE WHEN score >= 0.45 OR ng >= 2 THEN 'media' ELSE 'baja' END WHEN score >= 0.55 THEN 'media' ELSE 'baja' END AS signal_strength FROM x JOIN p ON p.c_custkey = x.c_custkey AND p.cond = x.cond""")
+def d10_primary_signals(t):
+    h = _hits(t)[0]
+    g = decisions.signal_groups(h, "c_custkey", h.sparkSession.createDataFrame(GROUPS, "field string, group string"))
+    p = decisions.primary_signals(g, "c_custkey", F.sum("weight"), F.first(F.col("c_custkey") % 2 == 0)).drop("n_groups")
+    return g.join(p, ["c_custkey", "cond"]).withColumn("drivers", F.array_join("drivers", "|"))
+
+
+@query("""WITH d AS (SELECT c_custkey, ['a', 'b'][c_custkey % 2 + 1] AS cond, c_nationkey > 18 AS positive, c_custkey % 11 = 0 AS suppressed, c_custkey % 3 = 0 AS corroborated, round(c_nationkey / 40, 4) AS rs, 0.4 AS rt, round(abs(c_acctbal) / 20000, 4) AS p, CASE WHEN c_custkey % 5 = 0 THEN ['sun', 'x'] ELSE ['x'] END AS fam FROM customer),
+o AS (SELECT *, CASE WHEN c_custkey % 4 <> 0 THEN 0.5 END AS est FROM d), r AS (SELECT *, CASE WHEN est IS NOT NULL AND NOT positive AND NOT suppressed AND corroborated AND rs >= 0.25 THEN 'borderline' WHEN est IS NOT NULL AND NOT positive AND NOT suppressed AND cond = 'a' AND list_contains(fam, 'sun') THEN 'complementary_family' END AS reason FROM o)
+SELECT c_custkey, cond, positive OR reason IS NOT NULL AS positive, CASE WHEN reason IS NOT NULL THEN greatest(p, est) ELSE p END::DOUBLE AS probability, reason FROM r""")
+def d11_second_opinions(t):
+    k = F.col("c_custkey")
+    cond = F.when(k % 2 == 0, "a").otherwise("b")
+    families = F.when(k % 5 == 0, F.array(F.lit("sun"), F.lit("x"))).otherwise(F.array(F.lit("x")))
+    d = t("customer").select("c_custkey", cond.alias("cond"), (F.col("c_nationkey") > 18).alias("positive"), (k % 11 == 0).alias("suppressed"), (k % 3 == 0).alias("corroborated"), F.round(F.col("c_nationkey") / 40, 4).alias("rule_score"), F.lit(0.4).alias("rule_threshold"), F.round(F.abs("c_acctbal") / 20000, 4).alias("probability"), families.alias("families"))
+    o = d.filter("c_custkey % 4 != 0").select("c_custkey", "cond", F.lit(0.5).alias("estimate"))
+    more = d.sparkSession.createDataFrame([("a", "sun"), ("a", "sun_barrier")], "cond string, family string")
+    return decisions.second_opinions(d, "c_custkey", o, more).select("c_custkey", "cond", "positive", "probability", "reason")
+
+
+@query("""WITH i AS (SELECT DISTINCT l_orderkey, CASE l_linenumber % 3 WHEN 0 THEN 'Vitamina D3 gotas' WHEN 1 THEN 'Citrato de Magnesio' ELSE 'Colageno' END AS name FROM lineitem), t AS (SELECT o_orderkey, o_orderkey % 4 AS k, (o_custkey % 120 + 1)::DOUBLE AS a FROM orders WHERE o_orderkey % 4 <> 3)
+SELECT l_orderkey, name, s AS supplement, CASE WHEN s IS NULL THEN NULL WHEN a IS NULL THEN 'unknown' WHEN a >= hi THEN 'high' WHEN a < lo THEN 'low' ELSE 'covered' END AS dose_status, s IS NOT NULL AND NOT (a IS NOT NULL AND a < lo) AS blocked FROM (
+  SELECT i.*, CASE WHEN name LIKE 'Vit%' AND k IN (0, 1) THEN 'vitamina_d' WHEN name LIKE 'Cit%' AND k IN (1, 2) THEN 'magnesio' END AS s, CASE WHEN name LIKE 'Vit%' THEN CASE WHEN k = 0 THEN a * 40 ELSE a * 40 END WHEN k = 2 THEN NULL ELSE a * 4 END AS a, CASE WHEN name LIKE 'Vit%' THEN 600 ELSE 100 END AS lo, CASE WHEN name LIKE 'Vit%' THEN 4000 ELSE 350 END AS hi FROM i LEFT JOIN t ON o_orderkey = l_orderkey)""")
+def d28_current_doses(t):
+    name = F.when(F.col("l_linenumber") % 3 == 0, "Vitamina D3 gotas").when(F.col("l_linenumber") % 3 == 1, "Citrato de Magnesio").otherwise("Colageno")
+    items = t("lineitem").select("l_orderkey", name.alias("name")).distinct()
+    o = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 4).alias("k"), (F.col("o_custkey") % 120 + 1).cast("double").alias("a"))
+    d = o.filter("k IN (0, 1)").select("l_orderkey", F.lit(0).alias("place"), F.lit("vitamina_d").alias("supplement"), F.when(F.col("k") == 0, F.col("a")).otherwise(F.col("a") * 40).alias("amount"), F.when(F.col("k") == 0, "MCG").otherwise("UI").alias("unit"))
+    m = o.filter("k IN (1, 2)").select("l_orderkey", F.lit(1).alias("place"), F.lit("magnesio").alias("supplement"), F.when(F.col("k") == 1, F.col("a") * 4).alias("amount"), F.lit("mg").alias("unit"))
+    words = items.sparkSession.createDataFrame([("vitamina_d", "vitamina d"), ("vitamina_d", "colecalciferol"), ("magnesio", "magnesio")], "supplement string, keyword string")
+    return decisions.current_doses(items, "l_orderkey", "name", d.unionByName(m), words)
+
+
+@query("""WITH r AS (SELECT 's' || (o_custkey % 7) AS shop, CASE WHEN o_orderkey % 90 = 0 THEN 0 ELSE o_totalprice END AS price, o_orderdate AS seen_at FROM orders),
+a AS (SELECT 's' || (l_suppkey % 7) AS shop, l_partkey::VARCHAR AS sku, 'c' || (l_partkey % 5) AS component, p_name AS name, 'r' || (l_partkey % 40) AS registry, CASE WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 3 = 1 THEN 'zzz' ELSE '' END AS registered_name, l_extendedprice AS price, CASE WHEN l_tax > 0.07 THEN 'out' ELSE ' Available' END AS availability FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <= 2),
+f AS (SELECT count_if(n > 5) AS over FROM (SELECT registry, count(DISTINCT lower(trim(name))) AS n FROM a GROUP BY 1)),
+c AS (SELECT (SELECT count(*) FROM r) AS rr, (SELECT count(*) FROM a) AS ar, (SELECT count(DISTINCT shop) FROM r) AS rs, (SELECT count(DISTINCT shop) FROM a) AS sa, (SELECT round(avg((price <= 0)::INT), 4) FROM r) AS rb, (SELECT count_if(availability = 'out') FROM a) AS un, (SELECT count_if(regexp_matches(lower(name), '(^| )(lace|lavender)( |$)')) FROM a) AS ns, (SELECT over FROM f) AS fo,
+  (SELECT count(*) - count(DISTINCT (lower(shop), sku, component)) FROM a) AS du, (SELECT count_if(registered_name = 'zzz') FROM a) AS nm, (SELECT floor(date_diff('second', max(seen_at), TIMESTAMP '2001-12-31 00:00:00') / 3600) FROM r) AS age)
+SELECT unnest(['raw_rows', 'approved_rows', 'raw_shops', 'approved_shops', 'required_shops_missing', 'raw_bad_prices', 'approved_bad_prices', 'raw_age_hours', 'approved_unavailable', 'approved_non_supplements', 'approved_fan_out', 'approved_duplicates', 'approved_names_without_overlap']) AS "check",
+  unnest(['error', 'error', 'error', 'error', 'error', 'error', 'error', 'error', 'error', 'error', 'error', 'warning', 'warning']) AS level, unnest([rr, ar, rs, sa, 1, rb, 0, age, un, ns, fo, du, nm]::DOUBLE[]) AS value,
+  unnest([rr < 500, ar < 250, rs < 3, sa < 3, true, rb > 0.01, false, age > 48, un > 0, ns > 0, fo > 0, du > 0, nm > 0]) AS failed FROM c""")
+def d38_catalog_gate(t):
+    raw = t("orders").select(F.concat(F.lit("s"), (F.col("o_custkey") % 7).cast("string")).alias("shop"), F.when(F.col("o_orderkey") % 90 == 0, 0.0).otherwise(F.col("o_totalprice")).alias("price"), F.col("o_orderdate").cast("timestamp").alias("seen_at"))
+    li = t("lineitem").filter("l_linenumber <= 2").join(t("part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_size"), "l_partkey")
+    other = F.when(F.col("p_size") % 3 == 0, F.col("p_name")).when(F.col("p_size") % 3 == 1, "zzz").otherwise("")
+    s = lambda c, n, p: F.concat(F.lit(p), (F.col(c) % n).cast("string"))
+    approved = li.select(s("l_suppkey", 7, "s").alias("shop"), F.col("l_partkey").cast("string").alias("sku"), s("l_partkey", 5, "c").alias("component"), F.col("p_name").alias("name"), s("l_partkey", 40, "r").alias("registry"), other.alias("registered_name"), F.col("l_extendedprice").alias("price"), F.when(F.col("l_tax") > 0.07, "out").otherwise(" Available").alias("availability"))
+    return decisions.catalog_gate(raw, approved, F.lit("2001-12-31 00:00:00").cast("timestamp"), r"(^| )(lace|lavender)( |$)", 500, 250, 3, ("s1", "s9"))
