@@ -76,7 +76,7 @@ def d16_similar_components(t):
 _ITEM_VOTES = "vt AS (SELECT l_partkey AS item, l_returnflag AS context, CASE WHEN l_quantity > 25 THEN l_discount * 10 ELSE l_tax * 10 END::DOUBLE AS reward, (l_linenumber % 5 + 1)::DOUBLE AS rating FROM lineitem)"
 
 
-@query(f"""WITH {_ITEM_VOTES}, i AS (SELECT l_orderkey AS pack, l_linenumber AS position, l_partkey AS item, l_returnflag AS context, l_linestatus AS tier FROM lineitem WHERE l_orderkey % 4 = 0),
+@query(f"""WITH {_ITEM_VOTES}, i AS (SELECT l_orderkey AS pack, l_linenumber * 1000000 + l_partkey AS position, l_partkey AS item, min(l_returnflag) AS context, min(l_linestatus) AS tier FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1, 2, 3),
 c AS (SELECT item, context, avg(reward) AS cr, avg(rating) AS cs, count(*) AS cn FROM vt GROUP BY 1, 2), g AS (SELECT item, avg(reward) AS gr, avg(rating) AS gs, count(*) AS gn FROM vt GROUP BY 1),
 r AS (SELECT i.*, CASE WHEN cn >= 10 THEN 'context' WHEN gn >= 10 THEN 'global' ELSE 'insufficient' END AS level, round(CASE WHEN cn >= 10 THEN (cn * cr + 14.0::DOUBLE) / (cn + 20) WHEN gn >= 10 THEN (gn * gr + 14.0::DOUBLE) / (gn + 20) ELSE 0.70 END, 4)::DOUBLE AS score, round(CASE WHEN cn >= 10 THEN cs WHEN gn >= 10 THEN gs END, 1) AS stars
   FROM i LEFT JOIN c ON c.item = i.item AND c.context = i.context LEFT JOIN g ON g.item = i.item),
@@ -85,7 +85,8 @@ SELECT k.pack, k.item, k.level AS rating_level, k.score AS rating_score, k.stars
 def d19_item_ratings(t):
     li = t("lineitem")
     votes = li.select(F.col("l_partkey").alias("item"), F.col("l_returnflag").alias("context"), F.when(F.col("l_quantity") > 25, F.col("l_discount") * 10).otherwise(F.col("l_tax") * 10).alias("reward"), (F.col("l_linenumber") % 5 + 1).cast("double").alias("rating"))
-    items = li.filter("l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("pack"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("item"), F.col("l_returnflag").alias("context"), F.col("l_linestatus").alias("tier"))
+    position = F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")
+    items = li.filter("l_orderkey % 4 = 0").groupBy(F.col("l_orderkey").alias("pack"), position.alias("position"), F.col("l_partkey").alias("item")).agg(F.min("l_returnflag").alias("context"), F.min("l_linestatus").alias("tier"))
     rated = recommend.item_ratings(items, votes, "item", "context", "reward", "rating")
     return ranking.rerank_in_tiers(rated, ["pack"], "tier", "position", F.col("rating_score")).select("pack", "item", "rating_level", "rating_score", "stars", "new_position")
 
@@ -277,13 +278,13 @@ def p17_survey_errors(t):
     return survey.normalised_survey(_answers(t)).withColumn("suplementos_dosis_actual", F.create_map(F.lit("zinc"), F.lit(10.0))).select("c_custkey", F.array_join(survey.survey_errors(), ";").alias("errors"))
 
 
-@query(f"""WITH {_ANSWERS} SELECT c_custkey, round(kg, 6) AS weight_kg, round(cm, 6) AS height_cm, round(kg / ((cm / 100) * (cm / 100)), 2) AS bmi, array_to_string(CASE op WHEN 'energia' THEN CASE WHEN len(ob) < 4 THEN ob || ['energia'] ELSE ob END WHEN 'suenio_estres' THEN CASE WHEN ob = ['a', 'b', 'c'] THEN ob || ['suenio'] WHEN ob = ['suenio'] THEN ob || ['estres'] ELSE ['suenio', 'estres'] END ELSE ob END, '|') AS objetivos,
+@query(f"""WITH {_ANSWERS} SELECT c_custkey, round(kg, 6) AS weight_kg, round(cm, 6) AS height_cm, round(kg / ((cm / 100) * (cm / 100)), 2) + 0::DOUBLE AS bmi, array_to_string(CASE op WHEN 'energia' THEN CASE WHEN len(ob) < 4 THEN ob || ['energia'] ELSE ob END WHEN 'suenio_estres' THEN CASE WHEN ob = ['a', 'b', 'c'] THEN ob || ['suenio'] WHEN ob = ['suenio'] THEN ob || ['estres'] ELSE ['suenio', 'estres'] END ELSE ob END, '|') AS objetivos,
   CASE WHEN nm THEN 0 ELSE rm + 1.5 END::DOUBLE AS meat_servings_week, round(dw / 7, 4)::DOUBLE AS dairy_servings_day, CASE WHEN td = 'vegano' THEN 3 END AS anios_dieta_vegetal, CASE WHEN bu = 'sin_preferencia' THEN NULL WHEN bm IS NOT NULL THEN bm WHEN bu = 'bajo' THEN 0 WHEN bu = 'medio' THEN 80 ELSE 200 END::DOUBLE AS presupuesto_min,
   CASE WHEN bu = 'sin_preferencia' OR bm IS NOT NULL THEN NULL WHEN bu = 'bajo' THEN 80 WHEN bu = 'medio' THEN 200 ELSE 500 END::DOUBLE AS presupuesto_max, (ts = 'si' AND dk AND list_contains(sa, 'zinc'))::INT AS doses FROM b""")
 def d8_normalised_survey(t):
     out = survey.normalised_survey(_answers(t))
     return out.select(
-        "c_custkey", F.round("weight_kg", 6).alias("weight_kg"), F.round("height_cm", 6).alias("height_cm"), "bmi", F.array_join("objetivos", "|").alias("objetivos"), "meat_servings_week", "dairy_servings_day", "anios_dieta_vegetal", "presupuesto_min", "presupuesto_max", F.size("suplementos_dosis_actual").alias("doses")
+        "c_custkey", F.round("weight_kg", 6).alias("weight_kg"), F.round("height_cm", 6).alias("height_cm"), (F.col("bmi") + F.lit(0.0)).alias("bmi"), F.array_join("objetivos", "|").alias("objetivos"), "meat_servings_week", "dairy_servings_day", "anios_dieta_vegetal", "presupuesto_min", "presupuesto_max", F.size("suplementos_dosis_actual").alias("doses")
     )
 
 
@@ -363,14 +364,14 @@ def d10_primary_signals(t):
     return g.join(p, ["c_custkey", "cond"]).withColumn("drivers", F.array_join("drivers", "|"))
 
 
-@query("""WITH d AS (SELECT c_custkey, ['a', 'b'][c_custkey % 2 + 1] AS cond, c_nationkey > 18 AS positive, c_custkey % 11 = 0 AS suppressed, c_custkey % 3 = 0 AS corroborated, round(c_nationkey / 40, 4) AS rs, 0.4 AS rt, round(abs(c_acctbal) / 20000, 4) AS p, CASE WHEN c_custkey % 5 = 0 THEN ['sun', 'x'] ELSE ['x'] END AS fam FROM customer),
+@query("""WITH d AS (SELECT c_custkey, ['a', 'b'][c_custkey % 2 + 1] AS cond, c_nationkey > 18 AS positive, c_custkey % 11 = 0 AS suppressed, c_custkey % 3 = 0 AS corroborated, round(c_nationkey / 40, 4) AS rs, 0.4 AS rt, round(abs(c_acctbal) / 20000, 8) AS p, CASE WHEN c_custkey % 5 = 0 THEN ['sun', 'x'] ELSE ['x'] END AS fam FROM customer),
 o AS (SELECT *, CASE WHEN c_custkey % 4 <> 0 THEN 0.5 END AS est FROM d), r AS (SELECT *, CASE WHEN est IS NOT NULL AND NOT positive AND NOT suppressed AND corroborated AND rs >= 0.25 THEN 'borderline' WHEN est IS NOT NULL AND NOT positive AND NOT suppressed AND cond = 'a' AND list_contains(fam, 'sun') THEN 'complementary_family' END AS reason FROM o)
 SELECT c_custkey, cond, positive OR reason IS NOT NULL AS positive, CASE WHEN reason IS NOT NULL THEN greatest(p, est) ELSE p END::DOUBLE AS probability, reason FROM r""")
 def d11_second_opinions(t):
     k = F.col("c_custkey")
     cond = F.when(k % 2 == 0, "a").otherwise("b")
     families = F.when(k % 5 == 0, F.array(F.lit("sun"), F.lit("x"))).otherwise(F.array(F.lit("x")))
-    d = t("customer").select("c_custkey", cond.alias("cond"), (F.col("c_nationkey") > 18).alias("positive"), (k % 11 == 0).alias("suppressed"), (k % 3 == 0).alias("corroborated"), F.round(F.col("c_nationkey") / 40, 4).alias("rule_score"), F.lit(0.4).alias("rule_threshold"), F.round(F.abs("c_acctbal") / 20000, 4).alias("probability"), families.alias("families"))
+    d = t("customer").select("c_custkey", cond.alias("cond"), (F.col("c_nationkey") > 18).alias("positive"), (k % 11 == 0).alias("suppressed"), (k % 3 == 0).alias("corroborated"), F.round(F.col("c_nationkey") / 40, 4).alias("rule_score"), F.lit(0.4).alias("rule_threshold"), F.round(F.abs("c_acctbal") / 20000, 8).alias("probability"), families.alias("families"))
     o = d.filter("c_custkey % 4 != 0").select("c_custkey", "cond", F.lit(0.5).alias("estimate"))
     more = d.sparkSession.createDataFrame([("a", "sun"), ("a", "sun_barrier")], "cond string, family string")
     return decisions.second_opinions(d, "c_custkey", o, more).select("c_custkey", "cond", "positive", "probability", "reason")

@@ -423,7 +423,7 @@ q AS (SELECT *, 0.50 * trace + 0.20 + 0.15 * (p_size % 6 <> 5)::INT + 0.15 * CAS
 c AS (SELECT *, least(1, greatest(0, 0.35 * trace + 0.20 * registered::INT + 0.12 * (p_size > 10)::INT + 0.12 * (pr > 0.05)::INT + 0.08 + 0.08 * (p_size % 2 = 0)::INT + 0.05 * (unit >= 0.95)::INT + CASE WHEN conf >= 0.85 THEN 0.06 WHEN conf >= 0.68 THEN 0.03 ELSE 0 END)) AS quality,
   greatest(0.35, 1 - 0.20 * (l_suppkey % 5)) AS shop, CASE WHEN days <= 7 THEN 1.0 WHEN days <= 30 THEN 0.85 WHEN days <= 90 THEN 0.65 ELSE 0.45 END AS fresh, 0.60 * greatest(0.25, 1 - least(0.75, 4 * p_share)) + 0.40 * greatest(0.40, 1 - least(0.60, 2.5 * s_share)) AS expo FROM q)
 SELECT l_partkey, l_suppkey, round(least(1, greatest(0, CASE WHEN budget THEN 0.24 * (p_size / 50.0) + 0.13 * unit + 0.24 * (pr + st) / 2 + 0.14 * review + 0.11 * quality + 0.05 * shop + 0.04 * fresh + 0.03 * expo + 0.02 * verified
-  ELSE 0.26 * (p_size / 50.0) + 0.14 * unit + 0.16 * (pr + st) / 2 + 0.20 * review + 0.12 * quality + 0.06 * shop + 0.04 * fresh + 0.03 * expo + 0.03 * verified END + 0.04 * (p_brand = 'Brand#12')::INT - 0.12 * (p_size % 9 = 0)::INT)), 8)::DOUBLE AS score FROM c"""
+  ELSE 0.26 * (p_size / 50.0) + 0.14 * unit + 0.16 * (pr + st) / 2 + 0.20 * review + 0.12 * quality + 0.06 * shop + 0.04 * fresh + 0.03 * expo + 0.03 * verified END + 0.04 * (p_brand = 'Brand#12')::INT - 0.12 * (p_size % 9 = 0)::INT)), 10)::DOUBLE AS score FROM c"""
 
 
 @query(_OFFERS)
@@ -452,7 +452,7 @@ def d20_product_score(t):
         "fresh": S.freshness(F.datediff("now", "seen")), "exposure": exposure, "verified": F.least("verified", F.lit(1.0)),
     }
     score = S.commercial_score(terms, budget, flag(F.col("p_brand") == "Brand#12", 0.04), flag(s % 9 == 0, 0.12))
-    return o.select("l_partkey", "l_suppkey", F.round(score, 8).alias("score"))
+    return o.select("l_partkey", "l_suppkey", F.round(score, 10).alias("score"))
 
 
 @query("SELECT n_name, list(s_suppkey::VARCHAR || ' ' || s_name ORDER BY s_suppkey) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
