@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftspark.functions import text as X
-from siftspark.operators import decisions, evaluation, models, ranking, recommend, registry, survey
+from siftspark.operators import decisions, evaluation, matching, models, ranking, recommend, registry, survey
+from siftspark.operators.bounds import bounded
 from siftspark.plans.analytics import _HITS, _hits
 from siftspark.plans.core import query
 
@@ -405,3 +406,60 @@ def d38_catalog_gate(t):
     s = lambda c, n, p: F.concat(F.lit(p), (F.col(c) % n).cast("string"))
     approved = li.select(s("l_suppkey", 7, "s").alias("shop"), F.col("l_partkey").cast("string").alias("sku"), s("l_partkey", 5, "c").alias("component"), F.col("p_name").alias("name"), s("l_partkey", 40, "r").alias("registry"), other.alias("registered_name"), F.col("l_extendedprice").alias("price"), F.when(F.col("l_tax") > 0.07, "out").otherwise(" Available").alias("availability"))
     return decisions.catalog_gate(raw, approved, F.lit("2001-12-31 00:00:00").cast("timestamp"), r"(^| )(lace|lavender)( |$)", 500, 250, 3, ("s1", "s9"))
+
+
+@query("""WITH r AS (SELECT DISTINCT ON (l_partkey, l_suppkey, l_returnflag) l_partkey, l_suppkey, l_returnflag, l_linestatus AS status FROM lineitem WHERE l_quantity > 30 ORDER BY l_partkey, l_suppkey, l_returnflag, l_linestatus),
+p AS (SELECT DISTINCT l_partkey, l_suppkey, CASE WHEN l_discount > 0.08 THEN NULL ELSE l_returnflag END AS flag FROM lineitem WHERE l_linenumber <= 3) SELECT p.l_partkey, p.l_suppkey, flag, coalesce(status, CASE WHEN flag IS NULL THEN 'not_required' ELSE 'pending' END) AS review FROM p LEFT JOIN r ON r.l_partkey = p.l_partkey AND r.l_suppkey = p.l_suppkey AND r.l_returnflag = flag""")
+def p3_three_keys(t):
+    """Review states by three keys; a null key asks for none."""
+    li = t("lineitem")
+    r = li.filter("l_quantity > 30").groupBy("l_partkey", "l_suppkey", F.col("l_returnflag").alias("flag")).agg(F.min("l_linestatus").alias("status"))
+    p = li.filter("l_linenumber <= 3").select("l_partkey", "l_suppkey", F.when(F.col("l_discount") <= 0.08, F.col("l_returnflag")).alias("flag")).distinct()
+    return p.join(r, ["l_partkey", "l_suppkey", "flag"], "left").select("l_partkey", "l_suppkey", "flag", F.coalesce("status", F.when(F.col("flag").isNull(), "not_required").otherwise("pending")).alias("review"))
+
+
+STAGES_OF_LIFE = [("child", "any", 4, 13, None), ("teen", "any", 14, 18, None), ("woman", "female", 19, 50, False), ("pregnant", "female", 14, 50, True), ("man", "male", 19, 50, None), ("older", "any", 51, 120, None)]
+
+
+@query(f"""WITH s(stage, sex, lo, hi, pregnant) AS (VALUES {_values(STAGES_OF_LIFE)}), c AS (SELECT c_custkey, c_custkey % 90 AS age, CASE WHEN c_nationkey % 3 = 0 THEN 'male' WHEN c_nationkey % 3 = 1 THEN 'female' END AS sex, CASE WHEN c_custkey % 5 = 0 THEN true WHEN c_custkey % 5 = 1 THEN false END AS pregnant FROM customer)
+SELECT c_custkey, stage FROM c JOIN s ON age BETWEEN lo AND hi AND (s.sex = 'any' OR s.sex = c.sex) AND (s.pregnant IS NULL OR s.pregnant = coalesce(c.pregnant, false))""")
+def p10_life_stages(t):
+    """Stages by age, sex and pregnancy; an unknown pregnancy counts as none, a stage without one fits both."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    c = t("customer").select("c_custkey", (k % 90).alias("age"), F.when(n % 3 == 0, "male").when(n % 3 == 1, "female").alias("sex"), F.when(k % 5 == 0, True).when(k % 5 == 1, False).alias("pregnant"))
+    s = bounded(c.sparkSession.createDataFrame(STAGES_OF_LIFE, "stage string, s_sex string, lo int, hi int, s_pregnant boolean"), 1000, "life stages")
+    fits = F.col("age").between(F.col("lo"), F.col("hi")) & ((F.col("s_sex") == "any") | (F.col("s_sex") == F.col("sex"))) & (F.col("s_pregnant").isNull() | (F.col("s_pregnant") == F.coalesce("pregnant", F.lit(False))))
+    return c.join(s, fits).select("c_custkey", "stage")
+
+
+@query("""WITH paired AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND value > 90), r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rn FROM events WHERE event_type = 'error') WHERE rn = 1 AND user_id NOT IN (SELECT user_id FROM paired)),
+j AS (SELECT r.user_id, r.event_id, p.event_id AS survey_id, abs(epoch_us(r.ts) - epoch_us(p.ts)) AS gap_us, p.ts AS pt FROM r JOIN events p ON p.user_id = r.user_id AND p.event_type = 'purchase' AND abs(epoch_us(r.ts) - epoch_us(p.ts)) <= 10 * 86400 * 1000000::BIGINT)
+SELECT user_id, event_id, survey_id, gap_us FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY gap_us, pt, survey_id) AS rn FROM j) WHERE rn = 1""")
+def j14_newest_report_pairs(t):
+    """The survey nearest to each user's newest report, within ten days; users that are paired already stay out."""
+    e = t("events").select("event_id", "user_id", "ts", "event_type", "value")
+    paired = e.filter("event_type = 'signup' AND value > 90").select("user_id").distinct()
+    newest = ranking.best_per_key(e.filter("event_type = 'error'"), ["user_id"], [F.desc("ts"), F.col("event_id")], 1, "_rn").select("event_id", "user_id", "ts").join(paired, "user_id", "left_anti")
+    surveys = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("survey_id"), F.col("ts").alias("survey_ts"))
+    return matching.nearest_in_time(newest, surveys, ["user_id"], "ts", "survey_ts", 10 * 86400, "event_id", "survey_id").select("user_id", "event_id", "survey_id", "gap_us")
+
+
+@query("""WITH e AS (SELECT p_brand AS component, p_partkey, p_name, p_size > 10 AS available, p_retailprice < 1500 AS safe, p_type AS shop FROM part), m AS (SELECT DISTINCT CASE WHEN component IN ('Brand#11', 'Brand#12') THEN 'Brand#11' ELSE component END AS component, p_partkey, p_name, available, safe, shop FROM e),
+x AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY p_partkey) AS rn FROM m)
+SELECT component, count(*) AS products, count_if(available)::BIGINT AS available, count_if(available AND safe)::BIGINT AS safe, count(DISTINCT shop) AS shops, array_to_string(list(p_name ORDER BY p_partkey) FILTER (WHERE rn <= 4), '|') AS examples FROM x GROUP BY 1""")
+def a8_component_coverage(t):
+    """Counts of a component and those that are equivalent to it, with its first four products."""
+    p = t("part").select(F.when(F.col("p_brand").isin("Brand#11", "Brand#12"), "Brand#11").otherwise(F.col("p_brand")).alias("component"), "p_partkey", "p_name", (F.col("p_size") > 10).alias("available"), (F.col("p_retailprice") < 1500).alias("safe"), F.col("p_type").alias("shop"))
+    four = ranking.best_per_key(p, ["component"], [F.col("p_partkey")], 4, "_rn").groupBy("component").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "p_name"))), lambda x: x["p_name"]), "|").alias("examples"))
+    n = p.groupBy("component").agg(F.count("*").alias("products"), F.count_if("available").alias("available"), F.count_if(F.col("available") & F.col("safe")).alias("safe"), F.countDistinct("shop").alias("shops"))
+    return n.join(four, "component")
+
+
+@query("""WITH c AS (SELECT source, count(*) AS n, count(quality) AS k, count_if(quality = 1) AS pos, avg((n_chars > 500)::INT) FILTER (WHERE quality = 1) AS recall FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1)
+SELECT source, pos, round(recall, 4) AS recall, CASE WHEN recall < 0.50 AND pos >= 20 THEN 'alto' WHEN recall < 0.80 THEN 'medio' ELSE 'bajo' END AS risk FROM c""")
+def d41_missed_risk(t):
+    """The risk of missed positives by source: high below half with twenty positives or more."""
+    j = t("documents").select("doc_id", "source", (F.col("n_chars") > 500).cast("int").alias("hit")).join(t("labels").select("doc_id", "quality"), "doc_id", "left")
+    c = j.groupBy("source").agg(F.count_if(F.col("quality") == 1).alias("pos"), F.avg(F.when(F.col("quality") == 1, F.col("hit"))).alias("recall"))
+    r = F.col("recall")
+    return c.select("source", "pos", F.round(r, 4).alias("recall"), F.when((r < 0.50) & (F.col("pos") >= 20), "alto").when(r < 0.80, "medio").otherwise("bajo").alias("risk"))
