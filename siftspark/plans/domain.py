@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftspark.functions import text as X
-from siftspark.operators import decisions, evaluation, matching, models, ranking, recommend, registry, survey
+from siftspark.operators import decisions, evaluation, matching, models, payload, ranking, recommend, registry, survey
 from siftspark.operators.bounds import bounded
 from siftspark.plans.analytics import _HITS, _hits
 from siftspark.plans.core import query
@@ -463,3 +463,31 @@ def d41_missed_risk(t):
     c = j.groupBy("source").agg(F.count_if(F.col("quality") == 1).alias("pos"), F.avg(F.when(F.col("quality") == 1, F.col("hit"))).alias("recall"))
     r = F.col("recall")
     return c.select("source", "pos", F.round(r, 4).alias("recall"), F.when((r < 0.50) & (F.col("pos") >= 20), "alto").when(r < 0.80, "medio").otherwise("bajo").alias("risk"))
+
+
+#: Closed answers and amounts of a made-up survey: name to its values; null is one of them where a person may skip it.
+CLOSED = {
+    "edad_rango": list(payload.AGE), "horas_sueno": list(payload.SLEEP), "frecuencia_ejercicio": list(payload.EXERCISE), "fatiga": list(payload.FATIGUE), "exposicion_solar": list(payload.SUN), "frecuencia_enfermedad": list(payload.ILLNESS), "estres": list(payload.STRESS), "alcohol": [*payload.ALCOHOL, None],
+    "tipo_dieta": ["omnivoro", "pescetariano", "vegetariano", "vegano"], "dieta": ["poco_variada", "regular", "variada"], **{s: [*payload.SEVERITY, None] for s in (*payload.SYMPTOMS, "digestive_discomfort")}, "peso_rango": [*payload.WEIGHT, None], "talla_rango": [*payload.HEIGHT, None], "sexo": ["femenino", "masculino", None],
+    "sleep_quality": [*payload.SLEEP_QUALITY, None], "night_wakeups": [*payload.WAKEUPS, None], "caffeine_after_3pm": [*payload.CAFFEINE, None], "recovery_difficulty": [*payload.RECOVERY, None], "fatiga_duracion": ["menos_2_semanas", "mas", None], "fatiga_mejora_descanso": ["si", "no", None],
+    "alimentos_fortificados_b12": ["si", "no", None], "anios_dieta_vegetal": ["menos_1", "1_3", "mas_3", None], "iron_anemia_history": ["si", "no", "no", None], "menstruacion_abundante": ["si", "no", None], "parto_ultimo_anio": ["si", "no", None], "dona_sangre": ["2_o_mas_al_anio", "no", None], "piel_expuesta": ["cara_manos", "mas", None],
+}
+AMOUNTS = {
+    "age_years": 90, "weight_kg": 120, "height_cm": 200, "exercise_days_week": 8, "alcohol_drinks_week": 20, "fish_servings_week": 4, "dairy_servings_day": 4, "dairy_servings_week": 15, "legume_servings_week": 6, "red_meat_servings_week": 6, "poultry_servings_week": 6, "eggs_servings_week": 8, "meat_servings_week": 6,
+    "fruit_veg_servings_day": 5, "protein_g_day_estimate": 120, "fermented_foods_week": 5, "water_intake_l_day": 4, "screen_hours_day": 12, "heavy_sweat_days_week": 7, "headache_days_week": 7, "fatigue_days_week": 8, "caffeine_servings_day": 6,
+}
+
+
+def made_answers(customers):
+    """Answers picked by a hash of customer and question; a third of the amounts isn't given."""
+    pick = lambda name, n: F.pmod(F.xxhash64(F.lit(name), "c_custkey"), F.lit(n)).cast("int")
+    closed = [F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), pick(name, len(values)) + 1).alias(name) for name, values in CLOSED.items()]
+    amounts = [F.when(pick(f"{name}?", 3) > 0, pick(name, most).cast("double") + (40 if name in ("weight_kg", "height_cm") else 0)).alias(name) for name, most in AMOUNTS.items()]
+    taken = F.element_at(F.array(*[F.array(*map(F.lit, x)) if x else F.array().cast("array<string>") for x in ([], ["proteina"], ["vitamina_b12", "zinc"], ["multivitaminico", "proteina"])]), pick("taken", 4) + 1)
+    return customers.select("c_custkey", *closed, *amounts, taken.alias("suplementos_actuales"), F.when(pick("dose", 2) == 0, F.create_map(F.lit("proteina"), F.lit(30.0))).alias("suplementos_dosis_actual"), F.when(pick("drug", 3) == 0, F.array(F.lit("metformina"))).alias("medicamentos_b12"))
+
+
+@query()
+def d8_payload(t):
+    """A model's features of every customer; a plain version holds it in the tests."""
+    return payload.payload(made_answers(t("customer")), "c_custkey")
