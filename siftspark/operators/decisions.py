@@ -104,3 +104,29 @@ def catalog_gate(raw: DataFrame, approved: DataFrame, now: Column, excluded: str
         ("approved_fan_out", "error", col("approved_fan_out"), col("approved_fan_out") > 0), ("approved_duplicates", "warning", col("approved_duplicates"), col("approved_duplicates") > 0), ("approved_names_without_overlap", "warning", col("approved_names_without_overlap"), col("approved_names_without_overlap") > 0),
     ]
     return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.lit(lv).alias("level"), v.cast("double").alias("value"), f.alias("failed")) for n, lv, v, f in checks])).alias("_c")).select("_c.*")
+
+
+#: Counters of a catalog's quality: name and condition over a product's columns.
+QUALITY_COUNTERS = {
+    "active_products": "status IN ('active', 'preferred')", "products_with_registro_sanitario": "registry != ''", "products_with_verified_restriction_flags": "verified_flags", "products_with_inferred_restriction_flags": "inferred_flags", "products_with_label_source": "label_source != ''",
+    "products_with_recent_label_review": "label_at IS NOT NULL", "products_without_registro_sanitario": "coalesce(registry, '') = ''", "products_with_digemid_name_match": "registry_source = 'digemid_name_match'", "products_with_image_ocr_rs": "registry_source = 'image_ocr'",
+    "products_with_low_commercial_confidence": "lower(confidence) = 'baja'", "products_with_medium_commercial_confidence": "lower(confidence) = 'media'", "products_with_high_commercial_confidence": "lower(confidence) = 'alta'",
+}
+
+
+def catalog_quality(products: DataFrame, missing: DataFrame, weak: DataFrame) -> DataFrame:
+    """One row: the counters, traceability_rate, verified_label_rate and warnings of a catalog, in one pass over it.
+
+    products: status, registry, registry_source, verified_flags, inferred_flags, label_source, label_at, confidence. missing,
+    weak: components that have no product, or few; only whether there are any counts.
+    """
+    total = F.count("*")
+    rate = lambda c: F.when(total > 0, F.round(F.count_if(F.expr(c)) / total, 4)).otherwise(0.0)
+    one = products.agg(total.alias("products_total"), *[F.count_if(F.expr(c)).alias(n) for n, c in QUALITY_COUNTERS.items()], rate("registry != ''").alias("traceability_rate"), rate("label_source != ''").alias("verified_label_rate"))
+    any_of = lambda df, name: df.limit(1).agg((F.count("*") > 0).alias(name))
+    both = one.crossJoin(any_of(missing, "_missing")).crossJoin(any_of(weak, "_weak"))  # one row each
+    checks = {
+        "empty": F.col("products_total") == 0, "traceability_below_95": F.col("traceability_rate") < 0.95, "few_label_sources": F.col("verified_label_rate") < 0.50, "no_verified_flags": F.col("products_with_verified_restriction_flags") == 0, "components_without_product": F.col("_missing"),
+        "components_of_low_rotation": F.col("_weak"),
+    }
+    return both.withColumn("warnings", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]))).drop("_missing", "_weak")

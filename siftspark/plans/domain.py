@@ -491,3 +491,18 @@ def made_answers(customers):
 def d8_payload(t):
     """A model's features of every customer; a plain version holds it in the tests."""
     return payload.payload(made_answers(t("customer")), "c_custkey")
+
+
+@query("""WITH p AS (SELECT CASE p_size % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'preferred' ELSE 'retired' END AS status, CASE WHEN p_size % 7 = 0 THEN '' WHEN p_size % 11 = 0 THEN NULL ELSE p_brand END AS registry, CASE p_size % 4 WHEN 0 THEN 'digemid_name_match' WHEN 1 THEN 'image_ocr' END AS src, p_size % 5 = 0 AS vf, p_size % 2 = 0 AS inf, CASE WHEN p_size % 3 = 1 THEN 'label' ELSE '' END AS ls, CASE WHEN p_size > 25 THEN 1 END AS la, CASE p_partkey % 3 WHEN 0 THEN 'Alta' WHEN 1 THEN 'media' ELSE 'BAJA' END AS conf FROM part),
+c AS (SELECT count(*) AS products_total, count_if(status <> 'retired') AS active_products, count_if(registry <> '') AS products_with_registro_sanitario, count_if(vf) AS products_with_verified_restriction_flags, count_if(inf) AS products_with_inferred_restriction_flags, count_if(ls <> '') AS products_with_label_source, count(la) AS products_with_recent_label_review,
+  count_if(coalesce(registry, '') = '') AS products_without_registro_sanitario, count_if(src = 'digemid_name_match') AS products_with_digemid_name_match, count_if(src = 'image_ocr') AS products_with_image_ocr_rs, count_if(conf = 'BAJA') AS products_with_low_commercial_confidence, count_if(conf = 'media') AS products_with_medium_commercial_confidence, count_if(conf = 'Alta') AS products_with_high_commercial_confidence,
+  round(count_if(registry <> '') / count(*), 4) AS traceability_rate, round(count_if(ls <> '') / count(*), 4) AS verified_label_rate FROM p)
+SELECT *, 'traceability_below_95;few_label_sources;components_of_low_rotation' AS warnings FROM c""")
+def a28_catalog_quality(t):
+    s, p = F.col("p_size"), t("part")
+    products = p.select(
+        F.when(s % 3 == 0, "active").when(s % 3 == 1, "preferred").otherwise("retired").alias("status"), F.when(s % 7 == 0, "").when(s % 11 != 0, F.col("p_brand")).alias("registry"), F.when(s % 4 == 0, "digemid_name_match").when(s % 4 == 1, "image_ocr").alias("registry_source"), (s % 5 == 0).alias("verified_flags"), (s % 2 == 0).alias("inferred_flags"),
+        F.when(s % 3 == 1, "label").otherwise("").alias("label_source"), F.when(s > 25, F.lit(1)).alias("label_at"), F.when(F.col("p_partkey") % 3 == 0, "Alta").when(F.col("p_partkey") % 3 == 1, "media").otherwise("BAJA").alias("confidence"),
+    )
+    got = decisions.catalog_quality(products, p.filter("p_size > 1000"), p.filter("p_size < 3"))
+    return got.withColumn("warnings", F.array_join("warnings", ";"))
