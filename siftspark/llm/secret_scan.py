@@ -179,6 +179,7 @@ def planted_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # a first cut by hash leaves few more rows than asked for, so that no task gathers many
     place = F.pmod("_h", F.lit(1 << 30))
     base = base.filter("_text IS NOT NULL AND length(_text) > 0").filter(place < math.ceil((1.5 * rows + 1000) / max(1, docs.count()) * (1 << 30))).orderBy(place, "_h", "_text").limit(rows)
+    base = base.repartition(16, "_h").sortWithinPartitions("_h", "_text")  # a limit leaves one partition, and with it one task to fit in
     part = F.split("_text", r"\s+")
     word = lambda i: F.coalesce(F.get(part, F.lit(i)), F.lit("word"))
     clean = lambda i: F.lower(F.regexp_replace(word(i), r"[^A-Za-z]", ""))
@@ -206,7 +207,12 @@ def planted_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ]
     each = [F.struct(F.lit(k).alias("kind"), b.alias("lead"), v.alias("value"), F.lit(y).alias("label")) for y, kinds in ((1.0, true), (0.0, false)) for k, b, v in kinds]
     pick = F.pmod(F.xxhash64(F.lit("pick"), "_h"), F.lit(len(each))).cast("int")
-    chosen = base.withColumn("_f", F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get(F.array(*each), F.pmod(pick + i * 7, F.lit(len(each))).cast("int")))))
+    # four kinds a text, each made alone: of the branches of a CASE only the one that holds is computed
+    own = base.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("_i", F.pmod(pick + F.col("_i") * 7, F.lit(len(each))).cast("int"))
+    one = F.when(F.col("_i") == 0, each[0])
+    for k, x in enumerate(each[1:], 1):
+        one = one.when(F.col("_i") == k, x)
+    chosen = own.withColumn("_f", one)
     return chosen.select("_f.value", "_f.kind", F.concat(word(0), F.lit(" "), word(1), F.lit(" "), F.col("_f.lead")).alias("before"), F.concat(F.lit(" "), word(5), F.lit(" "), word(6)).alias("after"), "path", "_f.label")
 
 
