@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,11 +30,63 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the jobs that run inside; then as before."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+#: The intermediate tables of the innermost `scratch`.
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
+
 def stored(df: DataFrame, name: str = "t", sort: list[str] | None = None) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: lineage ends there, and a lost executor costs a reread."""
-    path = f"{shared_dir(df.sparkSession)}/sift-{name}-{uuid.uuid4().hex}"
-    (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes a table to the shared folder and reads it again: lineage ends there, and a lost executor costs a reread.
+
+    The job's shuffle files go when the table is written.
+    """
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/sift-{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sift_path = path
+    return out
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables `stored` inside when left, but for those passed to the function it gives.
+
+    Those belong to the scratch around it, if there is one; else they are the caller's, who has a result that reads them.
+    """
+    outer, mine, needed = _made.get(), [], set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        needed.add(df._sift_path)
+        return df
+
+    token = _made.set(mine)
+    try:
+        yield keep
+    finally:
+        _made.reset(token)
+        for path in mine:
+            if path not in needed:
+                discard(spark, path)
+            elif outer is not None:
+                outer.append(path)
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -41,7 +96,7 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of whole texts stay at some MB."""
+    """Arrow batches of whole texts stay at some MB. The setting stays on in the session: results are read after a query has returned."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

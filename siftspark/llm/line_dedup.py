@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.llm._shared import ASCII_SPACE, ascii_lower, discard, row_id, shared_dir, stored, text_hash
+from siftspark.llm._shared import ASCII_SPACE, NULL_ID, ascii_lower, discard, row_id, scratch, settings, shared_dir, stored, text_hash
 
 KEY = ["_h1", "_h2"]
 #: Bytes of line hashes a bucket of a run should hold; the number of buckets follows the batch's size.
@@ -25,7 +25,7 @@ _SORTED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 class LineRuns:
-    """The runs of lines seen so far, by level."""
+    """The runs of lines seen so far, by level. Jobs on them run with `_SORTED` set."""
 
     def __init__(self, spark: SparkSession, buckets: int, fanout: int = 2):
         self.spark, self.buckets, self.fanout = spark, buckets, fanout
@@ -33,7 +33,6 @@ class LineRuns:
         self.folder = f"{shared_dir(spark)}/{self.name}"
         self.levels: list[list[str]] = [[]]
         self.made = 0
-        spark.conf.set(_SORTED, "true")
 
     def _write(self, rows: DataFrame) -> str:
         """rows: dealt out by hash of the key to as many partitions as there are buckets, so that a bucket is one file."""
@@ -88,8 +87,8 @@ class LineRuns:
         return self.spark.read.schema(self.spark.table(self.runs()[0]).schema).parquet(*(f"{self.folder}/{r.rpartition('_')[2]}" for r in self.runs()))
 
     def drop(self) -> None:
-        for r in self.runs():
-            self._forget(r)
+        for r in range(1, self.made + 1):  # merged ones are gone; after a failure some are not
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{r}")
         discard(self.spark, self.folder)
 
 
@@ -98,6 +97,35 @@ def line_key(line):
     return ascii_lower(F.btrim(line, F.lit(ASCII_SPACE)))
 
 
+def batch_bounds(lines: DataFrame, batches: int) -> list[int | None]:
+    """Ids that cut the lines into batches of about equal size, None at both ends. A quantile is a double: at the largest id it is rounded beyond a long."""
+    cuts = lines.approxQuantile("_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
+    return [None, *sorted({min(int(c), NULL_ID - 1) for c in cuts}), None]
+
+
+def _lost_lines(lines: DataFrame, batches: int, fanout: int) -> DataFrame:
+    """(_id, _t1, _t2, _lost): the places of the lines that a smaller id holds, by text. lines: _id, _t1, _t2, _at, _h1, _h2."""
+    spark = lines.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(lines.count() * 24 / BUCKET_BYTES))
+    runs = LineRuns(spark, buckets, fanout)
+    try:
+        bounds = batch_bounds(lines, batches)
+        for low, high in zip(bounds, bounds[1:], strict=False):
+            batch = lines
+            if low is not None:
+                batch = batch.filter(F.col("_id") > low)
+            if high is not None:
+                batch = batch.filter(F.col("_id") <= high)
+            found = batch.groupBy(*KEY).agg(F.min("_id").alias("owner"))
+            runs.add(runs.unseen(found.repartition(buckets, *KEY)))
+        # a hot line's rows meet its one owner row here: a plain join, which Spark splits where it is skewed
+        owners = runs.table()
+        lost = lines.join(owners.hint("merge"), KEY).filter(F.col("owner") < F.col("_id"))
+        return stored(lost.groupBy("_id", "_t1", "_t2").agg(F.collect_set("_at").alias("_lost")), "lost")
+    finally:
+        runs.drop()
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
     """All columns of docs with `kept_text`, `n_lines` and `n_dropped`.
 
@@ -105,7 +133,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null or empty text is one empty line; kept_text is then empty. A null id counts as the largest. Rows of one id are
     one document: their lines count once, and none is dropped for another's sake. Extra columns are passed on, but for
     those named like one of the three new ones, which are replaced. An empty table gives an empty table. Texts of any
-    length are taken whole. `batches`: of about equal row counts, in order of the id. Ids must be whole numbers.
+    length are taken whole. `batches`: of about equal row counts, in order of the id; rows without an id, however many,
+    are in the last. Ids must be whole numbers. The runs are built when the function is called, before the result is read.
     """
     spark = docs.sparkSession
     h1, h2 = text_hash(text_col)
@@ -113,25 +142,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     split = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1)
     keys = docs.select(row_id(id_col).alias("_id"), h1.alias("_t1"), h2.alias("_t2"), F.posexplode(F.transform(split, line_key)).alias("_at", "_key"))
     keys = keys.filter(F.char_length("_key") >= min_chars).select("_id", "_t1", "_t2", "_at", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit("second half"), "_key").alias("_h2"))
-    lines = stored(keys, "lines")
-    cuts = sorted(set(lines.approxQuantile("_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
-    n_lines = lines.count()
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_lines * 24 / BUCKET_BYTES))
-    runs = LineRuns(spark, buckets, fanout)
-    bounds = [None, *(int(c) for c in cuts), None]
-    for low, high in zip(bounds, bounds[1:], strict=False):
-        batch = lines
-        if low is not None:
-            batch = batch.filter(F.col("_id") > low)
-        if high is not None:
-            batch = batch.filter(F.col("_id") <= high)
-        found = batch.groupBy(*KEY).agg(F.min("_id").alias("owner"))
-        runs.add(runs.unseen(found.repartition(buckets, *KEY)))
-    # a hot line's rows meet its one owner row here: a plain join, which Spark splits where it is skewed
-    owners = runs.table()
-    lost = lines.join(owners.hint("merge"), KEY).filter(F.col("owner") < F.col("_id"))
-    lost = stored(lost.groupBy("_id", "_t1", "_t2").agg(F.collect_set("_at").alias("_lost")), "lost")
-    runs.drop()
+    with scratch(spark) as keep, settings(spark, {_SORTED: "true"}):
+        lost = keep(_lost_lines(stored(keys, "lines"), batches, fanout))
 
     @F.pandas_udf("struct<kept_text string, n_lines long, n_dropped long>")
     def without(texts, lost):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.llm import licenses, line_dedup, line_rules, minhash_dedup, packing, pu_quality, secret_scan, sentencepiece_ops, topk_search, url_filter
+from siftspark.llm import licenses, line_dedup, line_rules, minhash_dedup, packing, pu_quality, secret_scan, sentencepiece_ops, topk_search, url_filter, vector_codes
 from siftspark.llm._shared import small_batches, table
 
 SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -79,7 +79,35 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_line_rules, op4_minhash_dedup, op5_topk_search, op6_packing, op7_secret_scan, op8_url_filter, op9_licenses, op10_sentencepiece)}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(table(spark, sf_dir, "embeddings")).withColumn("code", F.lower(F.hex("code")))
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Codebooks and codes of `embeddings`, a round of training after the other."""
+    steps = ["""
+v AS MATERIALIZED (SELECT vec_id, label, [floor(1024 * x::DOUBLE) for x in embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, part, e[part * (len(e) // 4) + 1 : (part + 1) * (len(e) // 4)] AS x FROM v, range(4) AS t(part)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p QUALIFY entry < 256)"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, label, p.part, x, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d FROM (
+  SELECT vec_id, label, p.part, x, entry, list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c) AS d FROM p JOIN b{r} AS b USING (part)) AS p GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (SELECT part, entry, list(floor(s / n) ORDER BY pos) AS c FROM (
+  SELECT part, entry, pos, sum(x[pos]) AS s, count(*) AS n FROM (SELECT part, entry, x, unnest(range(1, len(x) + 1)) AS pos FROM a{r}) GROUP BY ALL) GROUP BY ALL),
+b{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.c, b.c) AS c FROM b{r} AS b LEFT JOIN m{r} AS m USING (part, entry))""")
+    return f"""
+WITH {",".join(steps)},
+s AS (SELECT sha256(coalesce(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY part, entry, pos), '')) AS codebooks_sha256
+  FROM (SELECT part, entry, unnest(c) AS x, unnest(range(len(c))) AS pos FROM b{rounds})),
+o AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM o, s"""
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_line_rules, op4_minhash_dedup, op5_topk_search, op6_packing, op7_secret_scan, op8_url_filter, op9_licenses, op10_sentencepiece, op12_vector_codes)}
 
 ORACLES = {
     "op2_line_dedup": f"""
@@ -126,4 +154,5 @@ m AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, l
   FROM u JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
 x AS (SELECT u.*, rule, rv, regexp_matches(host, '(^|[.\\-])({"|".join(url_filter.LISTED_WORDS)})([.\\-]|$)') AS listed FROM u LEFT JOIN m USING (page_id))
 SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM x""",
+    "op12_vector_codes": _codes_sql(),
 }

@@ -3,6 +3,9 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
+import corpus_pipeline
 from siftspark.llm import line_dedup, line_rules
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -48,11 +51,31 @@ def test_line_dedup_is_brute_force(make):
     assert line_dedup.dedup_lines(make([])).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[None, 1, 2] * 4, [None, None, None, 5] * 4, [None] * 9, [(1 << 63) - 1, None, (1 << 63) - 2, (1 << 53) + 1, 1 << 53] * 3, [-(1 << 63), None, None]])
+def test_any_share_of_null_ids(spark, make, ids):
+    rows = [(i, f"a shared line of text\nline number {n % 5} of some\nown line {n}") for n, i in enumerate(ids)]
+    got = line_dedup.dedup_lines(make(rows))
+    assert sorted([(r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()], key=key) == sorted(brute_lines(rows), key=key)
+    staged = corpus_pipeline.lines(spark, make(rows), "").collect()
+    assert sorted([(r.doc_id, r.text) for r in staged], key=key) == sorted([(i, t) for i, _, _, t in brute_lines(rows)], key=key)
+
+
+def test_session_and_folder_are_left_as_they_were(spark, make):
+    import os
+
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before, set_before = set(os.listdir(top)), spark.conf.get(line_dedup._SORTED)
+    line_dedup.dedup_lines(make(ROWS)).collect()
+    assert spark.conf.get(line_dedup._SORTED) == set_before and not spark.catalog.listTables()
+    assert [x.split("-")[1] for x in set(os.listdir(top)) - before] == ["lost"]
+
+
 def test_runs_are_merged_in_order(spark):
     frame = lambda rows: spark.createDataFrame(rows, "_h1 long, _h2 long, owner long").repartition(4, "_h1", "_h2")
     runs = line_dedup.LineRuns(spark, 4)
     first, second = [(i * 7919 % 1000, i, i) for i in range(200)], [(i * 104729 % 1000, i, i) for i in range(200, 500)]
     spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set(line_dedup._SORTED, "true")
     try:
         runs.levels[0] = [runs._write(frame(first)), runs._write(frame(second))]
         both = runs.merged(runs.runs())._jdf.queryExecution().executedPlan().toString()
