@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.llm import licenses, line_dedup, line_rules, minhash_dedup, packing, pu_quality, secret_scan, sentencepiece_ops, topk_search, url_filter, vector_codes
+from siftspark.llm import conversation_repair, licenses, line_dedup, line_rules, minhash_dedup, packing, pu_quality, secret_scan, sentencepiece_ops, substring_dedup, topk_search, url_filter, vector_codes
 from siftspark.llm._shared import small_batches, table
 
 SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -79,6 +79,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.audited_digests(conversation_repair.damaged(rows), rows)
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress_vectors(table(spark, sf_dir, "embeddings")).withColumn("code", F.lower(F.hex("code")))
 
@@ -107,7 +113,66 @@ o AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part)
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM o, s"""
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_line_rules, op4_minhash_dedup, op5_topk_search, op6_packing, op7_secret_scan, op8_url_filter, op9_licenses, op10_sentencepiece, op12_vector_codes)}
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    out = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def _repair_sql() -> str:
+    """The cheapest edits row by row: for each state, the least of cost (nine digits) and letters."""
+
+    def add(state: str, cost: str, letter: str) -> str:
+        return f"(lpad((left({state}, 9)::INT + {cost})::VARCHAR, 9, '0') || substr({state}, 10) || '{letter}')"
+
+    def least(*x: str) -> str:
+        return f"least({', '.join(x)})"
+
+    def only(test: str, x: str) -> str:
+        return f"CASE WHEN {test} THEN {x} END"
+
+    turn = ("s0", "s1", "s3")
+    inserts = {
+        "s2": least("s2", *(add(s, "3", "I") for s in turn)),
+        "s3": least("s3", add("s2", "3", "I"), *(add(s, "6", "II") for s in ("s0", "s1"))),
+    }
+    stay = "f NOT IN ('b', 'd')"
+    edits = {
+        "s0": add("s0", "4", "D"),
+        "s1": least(add("s1", "4", "D"), only(f"{stay} AND ini = 's'", add("s0", "t", "K"))),
+        "s2": least(add("s2", "4", "D"), *(only(f"{stay} AND ini = 'u'", add(s, "t", "K")) for s in turn), *(only(stay, add(s, "(3 + t)", "R")) for s in turn)),
+        "s3": least(add("s3", "4", "D"), only(f"{stay} AND ini = 'a'", add("s2", "t", "K")), only(stay, add("s2", "(3 + t)", "R"))),
+    }
+    return f"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  [ord(c)::BIGINT for c in string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')] AS b FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda acc, x: list_reduce(list_prepend(xor(acc, x), range(8)),
+  lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295) % 20 AS h FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+  CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE h WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM h),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS ini, rtrim(text, {SPACE_SQL}) AS bare FROM d),
+r AS MATERIALIZED (SELECT *, CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+  WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS f, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM n),
+s AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, '000000000' AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS s2, NULL::VARCHAR AS s3 FROM conversations
+  UNION ALL
+  SELECT conv_id, i, {", ".join(f"{x} AS {c}" for c, x in edits.items())}
+  FROM (SELECT p.conv_id, r.i, r.ini, r.f, CASE WHEN r.f = 't' THEN 3 ELSE 0 END AS t, s0, s1, {", ".join(f"{x} AS {c}" for c, x in inserts.items())}
+    FROM s AS p JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1)),
+e AS (SELECT conv_id, left(x, 9)::BIGINT AS cost, substr(x, 10) AS audit FROM (
+  SELECT conv_id, {least("s0", inserts["s3"])} AS x FROM s QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)),
+l AS (SELECT conv_id, letter, pos, count(*) FILTER (WHERE letter <> 'I') OVER (PARTITION BY conv_id ORDER BY pos) AS i
+  FROM (SELECT conv_id, unnest(string_split(audit, '')) AS letter, unnest(range(length(audit))) AS pos FROM e WHERE audit <> '')),
+o AS (SELECT l.*, r.role, coalesce(CASE WHEN letter <> 'I' THEN r.text END, '') AS text, row_number() OVER (PARTITION BY l.conv_id ORDER BY pos) - 1 AS p,
+  first_value(letter = 'K' AND r.ini = 's') OVER (PARTITION BY l.conv_id ORDER BY pos) AS led
+  FROM l LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = l.i WHERE letter <> 'D'),
+x AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (p - led::INT) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p) AS whole FROM o GROUP BY conv_id),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE f = 'b') AS blank, count(*) FILTER (WHERE f = 'd') AS duplicate,
+  count(*) FILTER (WHERE f = 't') AS truncated, count(*) FILTER (WHERE i > 1 AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT e.conv_id, {", ".join(f"coalesce({k}, 0) AS {k}" for k in ("gaps", "blank", "duplicate", "truncated", "illegal"))}, cost, audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM e LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_line_rules, op4_minhash_dedup, op5_topk_search, op6_packing, op7_secret_scan, op8_url_filter, op9_licenses, op10_sentencepiece, op11_conversation_repair, op12_vector_codes, op13_substring_dedup)}
 
 ORACLES = {
     "op2_line_dedup": f"""
@@ -154,5 +219,15 @@ m AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, l
   FROM u JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
 x AS (SELECT u.*, rule, rv, regexp_matches(host, '(^|[.\\-])({"|".join(url_filter.LISTED_WORDS)})([.\\-]|$)') AS listed FROM u LEFT JOIN m USING (page_id))
 SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM x""",
+    "op11_conversation_repair": _repair_sql(),
     "op12_vector_codes": _codes_sql(),
+    "op13_substring_dedup": """
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS x FROM documents),
+w AS (SELECT doc_id, unnest(x) AS word, generate_subscripts(x, 1) AS i FROM d),
+g AS MATERIALIZED (SELECT doc_id, unnest(range(1, len(x) - 11)) AS i, unnest([md5(array_to_string(x[k : k + 12], ' ')) for k in range(1, len(x) - 11)]) AS gram FROM d WHERE len(x) >= 13),
+o AS (SELECT gram, min(doc_id) AS owner FROM g GROUP BY gram),
+l AS (SELECT doc_id, unnest(range(i, i + 13)) AS i FROM g JOIN o USING (gram) WHERE owner < doc_id),
+r AS (SELECT doc_id, i, true AS lost FROM l GROUP BY doc_id, i),
+k AS (SELECT doc_id, count(*) AS n_words, count(lost) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE lost IS NULL) AS kept FROM w LEFT JOIN r USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
 }
