@@ -86,3 +86,51 @@ def tiered_lookup(names: DataFrame, aliases: DataFrame, name: str, alias: str, t
     tier = F.when(F.col("_n") == F.col("_al"), 1).otherwise(2)
     best = hits.groupBy("_row").agg(F.min(F.struct(tier.alias("tier"), (-F.length("_al")).alias("_l"), F.col(target).alias("target"))).alias("_b"))
     return n.join(best, "_row", "left").select(*names.columns, F.col("_b.target").alias(target), F.col("_b.tier").alias("tier"))
+
+
+#: Names that hold a gram are cut into parts of so many; each query asks every part.
+GRAM_PART = 1000
+
+
+def _grams(c: Column, n: int = 3) -> Column:
+    """Distinct runs of n characters; a shorter text is one itself."""
+    return F.when(F.length(c) < n, F.array(c)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n)))))
+
+
+def _rarest(parts: DataFrame, counts: DataFrame) -> DataFrame:
+    """Each query's gram that the fewest names hold; none if a gram is in no name. parts: _q, _gram."""
+    found = parts.join(counts, "_gram", "left").groupBy("_q").agg(F.min(F.struct("_held", "_gram")).alias("_least"), F.count_if(F.col("_held").isNull()).alias("_absent"))
+    return found.filter("_absent = 0").select("_q", F.col("_least._gram").alias("_gram"), F.col("_least._held").alias("_held"))
+
+
+def find_names(queries: DataFrame, query: str, names: DataFrame, name: str, target: str, place: str) -> DataFrame:
+    """queries with `target` and `tier` of the first name (by place, then target) that fits; both null if none does.
+
+    Plain texts are compared: 1, the name equals the query; 2, the name holds the query as a substring; 3, it holds every
+    query word of three characters or more. Substrings are found by an index of three-character grams: a query asks with
+    its rarest one only, so the join is by equality and a check. Queries shorter than a gram ask an index of grams of
+    their length. Names of a hot gram are cut into parts of GRAM_PART; what a part finds is reduced before it travels.
+    """
+    known = names.select(plain_text(F.col(name)).alias("_n"), F.struct(F.col(place).alias("place"), F.col(target).alias("target")).alias("_own")).filter("_n IS NOT NULL").groupBy("_n").agg(F.min("_own").alias("_own"))
+    asked = queries.select(plain_text(F.col(query)).alias("_q")).filter("_q != ''").distinct()
+    words = F.filter(F.array_distinct(F.split("_q", " ")), lambda w: F.length(w) >= 3)
+    longest = F.least(F.length("_q"), F.lit(3))
+
+    exact = asked.join(known.withColumnRenamed("_n", "_q"), "_q").select("_q", F.lit(1).alias("tier"), "_own")
+    index = known.select("_n", "_own", F.explode(F.array_distinct(F.flatten(F.array(*[_grams(F.col("_n"), n) for n in (1, 2, 3)])))).alias("_gram"))
+    # the index is cut to the grams that are asked for
+    whole = asked.select("_q", F.explode(F.when(longest < 3, F.array("_q")).otherwise(_grams(F.col("_q")))).alias("_gram"))
+    parts = asked.select("_q", F.explode(words).alias("_w")).select("_q", F.explode(_grams(F.col("_w"))).alias("_gram")).distinct()
+    counts = index.join(whole.select("_gram").unionByName(parts.select("_gram")).distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_held"))
+
+    def holding(own: DataFrame, test: Column, tier: int) -> DataFrame:
+        n_parts = F.ceil(F.col("_held") / GRAM_PART)
+        there = index.join(own.select("_gram", "_held").distinct(), "_gram").withColumn("_part", F.pmod(F.xxhash64("_n"), n_parts)).drop("_held")
+        asks = own.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), n_parts - 1))).drop("_held")
+        return asks.join(there, ["_gram", "_part"]).filter(test).groupBy("_q").agg(F.min("_own").alias("_own")).select("_q", F.lit(tier).alias("tier"), "_own")
+
+    second = holding(_rarest(whole, counts), F.contains("_n", "_q"), 2)
+    third = holding(_rarest(parts, counts), F.forall(words, lambda w: F.contains(F.col("_n"), w)), 3)
+    best = exact.unionByName(second).unionByName(third).groupBy("_q").agg(F.min(F.struct("tier", "_own")).alias("_b"))
+    out = queries.withColumn("_q", plain_text(F.col(query))).join(best, "_q", "left")
+    return out.select(*queries.columns, F.col("_b._own.target").alias(target), F.col("_b.tier").alias("tier"))

@@ -154,15 +154,6 @@ def d11_second_opinion(t):
     return t("customer").select("c_custkey", F.when(p >= 0.5, "positive").when((p >= 0.35) & (F.col("c_nationkey") < 5), "complementary").when(p >= 0.35, "borderline").otherwise("negative").alias("opinion"))
 
 
-@query("""WITH s AS (SELECT o_custkey, o_orderpriority, max(o_totalprice) AS best FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2), k AS (SELECT o_custkey, max(best) AS best FROM s GROUP BY 1),
-f AS (SELECT c_custkey AS o_custkey, c_acctbal * 0.58 AS best FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM k)) SELECT o_custkey, 'scored' AS stage, round(best, 3)::DOUBLE AS score FROM k UNION ALL SELECT o_custkey, 'fallback', round(best, 3)::DOUBLE FROM f""")
-def d15_seed_fallback(t):
-    k = t("orders").filter("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.max("o_totalprice").alias("best"))
-    f = t("customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") * 0.58).alias("best")).join(k, "o_custkey", "left_anti")
-    both = k.withColumn("stage", F.lit("scored")).unionByName(f.withColumn("stage", F.lit("fallback")))
-    return both.select("o_custkey", "stage", F.round("best", 3).alias("score"))
-
-
 @query("""WITH v AS (SELECT l_orderkey, avg(l_quantity / 50) AS model, count(DISTINCT l_suppkey) / count(*) AS diversity, avg((l_returnflag = 'A')::INT) AS feedback, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT l_orderkey, round(0.30 * model + 0.20 * least(1, n / 7) + 0.15 * 1.0 + 0.15 * (n * feedback + 8 * 0.7) / (n + 8) + 0.10 * 0.7 + 0.05 * greatest(0.25, 1 - 3 * n / 1000) + 0.05 * diversity, 9)::DOUBLE AS score FROM v""")
 def d18_pack_metrics(t):
@@ -178,12 +169,6 @@ def d24_selection_reasons(t):
     return t("customer").select("c_custkey", F.slice(F.array_compact(r), 1, 4).alias("reasons"))
 
 
-@query("""SELECT o_custkey, bool_or(o_orderstatus = 'P') AS any_open, max(CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 1 ELSE 0 END) AS level FROM orders GROUP BY 1""")
-def d25_severity_state(t):
-    p = F.col("o_orderpriority")
-    return t("orders").groupBy("o_custkey").agg(F.bool_or(F.col("o_orderstatus") == "P").alias("any_open"), F.max(F.when(p == "1-URGENT", 3).when(p == "2-HIGH", 2).when(p == "3-MEDIUM", 1).otherwise(0)).alias("level"))
-
-
 @query("""SELECT o_orderkey, bool_or(o_orderpriority = '1-URGENT') OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS blocked_so_far FROM orders""")
 def d25_running_or(t):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
@@ -213,13 +198,6 @@ def d30_signal_merge(t):
     return a.select("p_name", F.lit("first").alias("origin"), F.lit(None).cast("double").alias("score")).unionByName(b.select("p_name", F.lit("lab").alias("origin"), F.lit(0.88).alias("score")))
 
 
-@query("""SELECT doc_id, CASE WHEN quality IS NULL THEN 'unknown' WHEN quality = 1 AND toxic = 0 THEN 'positive' ELSE 'negative' END AS state, CASE WHEN quality IS NULL THEN 0.0 WHEN toxic = 1 THEN 0.9 ELSE 0.8 END::DOUBLE AS confidence FROM documents LEFT JOIN labels USING (doc_id)""")
-def d40_label_states(t):
-    j = t("documents").select("doc_id").join(t("labels"), "doc_id", "left")
-    q = F.col("quality")
-    return j.select("doc_id", F.when(q.isNull(), "unknown").when((q == 1) & (F.col("toxic") == 0), "positive").otherwise("negative").alias("state"), F.when(q.isNull(), 0.0).when(F.col("toxic") == 1, 0.9).otherwise(0.8).alias("confidence"))
-
-
 @query("""WITH c AS (SELECT source, avg((quality IS NOT NULL)::INT) AS share, avg((n_chars > 500)::INT) FILTER (WHERE quality = 1) AS recall, avg((n_chars <= 500)::INT) FILTER (WHERE quality = 0) AS spec FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1)
 SELECT source, CASE WHEN share < 0.10 THEN 'not_evaluable' WHEN recall >= 0.80 AND spec >= 0.90 THEN 'ready' ELSE 'needs_work' END AS status FROM c""")
 def d41_executive_status(t):

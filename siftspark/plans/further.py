@@ -243,12 +243,6 @@ def d27_safety_level(t):
     return n.select("o_custkey", F.when((F.col("u") > 0) & (F.col("f") > 5), "refer").when(F.col("u") > 0, "warn").otherwise("ok").alias("safety_level"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_type LIKE 'PROMO%' THEN 99 WHEN p_name LIKE 'blue%' THEN 100 WHEN contains(p_name, 'blue') THEN 90 ELSE 0 END AS match_score, CASE WHEN p_type LIKE 'PROMO%' THEN 'pattern' WHEN p_name LIKE 'blue%' THEN 'alias' WHEN contains(p_name, 'blue') THEN 'sub_phrase' ELSE 'unmapped' END AS match_method FROM part")
-def d32_resolution_precedence(t):
-    a, b, c = F.col("p_type").startswith("PROMO"), F.col("p_name").startswith("blue"), F.contains(F.col("p_name"), F.lit("blue"))
-    return t("part").select("p_partkey", F.when(a, 99).when(b, 100).when(c, 90).otherwise(0).alias("match_score"), F.when(a, "pattern").when(b, "alias").when(c, "sub_phrase").otherwise("unmapped").alias("match_method"))
-
-
 @query("SELECT p_type, count(DISTINCT p_brand) AS n, CASE WHEN count(DISTINCT p_brand) >= 25 THEN 'ready' WHEN count(DISTINCT p_brand) >= 24 THEN 'minimum' WHEN count(DISTINCT p_brand) > 0 THEN 'weak' ELSE 'missing' END AS status FROM part WHERE p_size < 10 GROUP BY 1")
 def d35_coverage_status(t):
     n = t("part").filter("p_size < 10").groupBy("p_type").agg(F.countDistinct("p_brand").alias("n"))

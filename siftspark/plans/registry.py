@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftspark.plans import analytics, domain, extended, further, relational  # noqa: F401  registers
+from siftspark.plans import analytics, cases, domain, extended, further, relational  # noqa: F401  registers
 from siftspark.plans.core import ORACLES, QUERIES
 
 FLAGSHIP = "d2_family_scores"
