@@ -141,8 +141,45 @@ def _blocks(shard, order_key, columns: dict) -> Iterator[tuple]:
         yield int(shard[a]), {k: v[a:b] for k, v in columns.items()}
 
 
+def _schema(keys: list[str], value: str) -> pa.Schema:
+    return pa.schema([("part", pa.int64()), *((c, pa.binary()) for c in [*keys, "counts", value])])
+
+
+def _by_text(part, columns: dict, keys: list[str]) -> dict:
+    """Rows (part, keys, counts, values) of what a shard found: a block for each part of the texts, its values by text, packed."""
+    import numpy as np
+
+    (value,) = set(columns) - set(keys)
+    out = {c: [] for c in ["part", *keys, "counts", value]}
+    for at, c in _blocks(part, columns[keys[-1]], columns):
+        order = np.lexsort([c[k] for k in keys])
+        c = {n: v[order] for n, v in c.items()}
+        run = np.flatnonzero(np.concatenate([[True], functools.reduce(np.logical_or, [c[k][1:] != c[k][:-1] for k in keys])]))
+        row = {"part": at, "counts": np.diff([*run, len(order)]).astype(np.int32).tobytes(), value: _packed(c[value].astype(np.uint64)), **{k: c[k][run].tobytes() for k in keys}}
+        for k, v in row.items():
+            out[k].append(v)
+    return out
+
+
+def _gathered(blocks: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value): one row a text, with the packed values of all shards. Blocks travel by the part of the texts, so their number doesn't follow the texts."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        import numpy as np
+
+        counts, _ = _joined(table.column("counts"), np.int32)
+        own = {k: np.repeat(_joined(table.column(k), np.int64)[0], counts) for k in keys}
+        values = np.concatenate([_unpacked(v.as_py()) for v in table.column(value)])
+        order = np.lexsort([own[k] for k in keys])
+        own, values = {k: v[order] for k, v in own.items()}, values[order]
+        run = np.flatnonzero(np.concatenate([[True], functools.reduce(np.logical_or, [v[1:] != v[:-1] for v in own.values()])]))
+        return pa.table({**{k: pa.array(v[run]) for k, v in own.items()}, value: pa.array([_packed(values[a:b]) for a, b in zip(run, [*run[1:], len(values)], strict=False)], pa.binary())})
+
+    return blocks.groupBy("part").applyInArrow(merge, ", ".join(f"{k} long" for k in keys) + f", {value} binary")
+
+
 def repeated_anchors(keyed: DataFrame, window: int, period: int, shards: int) -> DataFrame:
-    """(_k, hits): for each text key, packed hashes of its anchors that another key has too. keyed: _k, _text."""
+    """(_k, hits): for each text key, the packed hashes of its anchors that another key has too. keyed: _k, _text."""
     length = window - period + 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,18 +236,14 @@ def repeated_anchors(keyed: DataFrame, window: int, period: int, shards: int) ->
         first = _runs(new_h)
         many = np.repeat(np.minimum.reduceat(new_k, first) != np.maximum.reduceat(new_k, first), np.diff([*first, len(new_h)])) if len(first) else np.zeros(0, bool)
         k, h = np.concatenate([k[known], new_k[many]]), np.concatenate([h[known], new_h[many]])
-        order = np.argsort(k, kind="stable")
-        k, h = k[order], h[order]
-        at = _runs(k)
-        return pa.table({"_k": pa.array(k[at]), "hits": pa.array([_packed(h[a:b]) for a, b in zip(at, [*at[1:], len(k)], strict=False)], pa.binary())})
+        return pa.table(_by_text(k.view(np.uint64) % np.uint64(shards), {"_k": k, "hits": h}, ["_k"]), _schema(["_k"], "hits"))
 
     blocks = keyed.select("_k", "_text").mapInArrow(cut, "shard long, known boolean, keys binary, counts binary, hashes binary")
-    hits = blocks.groupBy("shard").applyInArrow(met, "_k long, hits binary")
-    return hits.groupBy("_k").agg(F.collect_list("hits").alias("hits"))
+    return _gathered(blocks.groupBy("shard").applyInArrow(met, "part long, _k binary, counts binary, hits binary"), ["_k"], "hits")
 
 
 def lost_windows(hit: DataFrame, window: int, period: int, shards: int) -> DataFrame:
-    """(_id, _k, starts): for each text, lists of packed starts of windows that a smaller id holds. hit: _id, _k, _text, hits."""
+    """(_id, _k, starts): for each text, the packed starts of windows that a smaller id holds. hit: _id, _k, _text, hits."""
     length = window - period + 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +276,7 @@ def lost_windows(hit: DataFrame, window: int, period: int, shards: int) -> DataF
             for one, key, text, hits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 own = word_hashes(text.as_py().encode("utf-8", "replace").split())
                 places = anchor_places(len(own), window, period)
-                shared = places[np.isin(span_hashes(own, places, length, 1) & np.uint64(_LOW), np.concatenate([_unpacked(x) for x in hits.as_py()]))]
+                shared = places[np.isin(span_hashes(own, places, length, 1) & np.uint64(_LOW), _unpacked(hits.as_py()))]
                 # windows that hold a shared anchor
                 starts = np.zeros(len(own) + 1, np.int64)
                 np.add.at(starts, np.maximum(shared - (period - 1), 0), 1)
@@ -274,15 +307,10 @@ def lost_windows(hit: DataFrame, window: int, period: int, shards: int) -> DataF
         first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])) if len(new) else np.zeros(0, np.int64)
         least = np.repeat(i[new][first], np.diff([*first, len(new)]))
         gone = np.concatenate([np.flatnonzero(known), new[i[new] > least]])
-        gone = gone[np.lexsort((at[gone], k[gone], i[gone]))]
-        i, k, at = i[gone], k[gone], at[gone]
-        run = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (k[1:] != k[:-1])])) if len(i) else np.zeros(0, np.int64)
-        starts = [at[a:b].tobytes() for a, b in zip(run, [*run[1:], len(i)], strict=False)]
-        return pa.table({"_id": pa.array(i[run]), "_k": pa.array(k[run]), "starts": pa.array(starts, pa.binary())})
+        return pa.table(_by_text(k[gone].view(np.uint64) % np.uint64(shards), {"_id": i[gone], "_k": k[gone], "starts": at[gone].astype(np.uint64)}, ["_id", "_k"]), _schema(["_id", "_k"], "starts"))
 
     blocks = hit.select("_id", "_k", "_text", "hits").mapInArrow(cut, "shard long, known boolean, ids binary, keys binary, counts binary, starts binary, first binary, second binary")
-    lost = blocks.groupBy("shard").applyInArrow(met, "_id long, _k long, starts binary")
-    return lost.groupBy("_id", "_k").agg(F.collect_list("starts").alias("starts"))
+    return _gathered(blocks.groupBy("shard").applyInArrow(met, "part long, _id binary, _k binary, counts binary, starts binary"), ["_id", "_k"], "starts")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, period: int | None = None) -> DataFrame:
@@ -321,14 +349,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         import pandas as pd
 
         out = []
-        for t, copy, blocks in zip(texts, copies, lost, strict=True):
+        for t, copy, packed in zip(texts, copies, lost, strict=True):
             words = (t or "").encode("utf-8", "replace").split()
             n, stays = len(words), words
             if copy is True or copy == 1:  # a missing one is None or NaN
                 stays = words if n < window else []
-            elif blocks is not None:
+            elif packed is not None:
                 edge = np.zeros(n + 1, np.int64)
-                starts = np.concatenate([np.frombuffer(b, np.int32) for b in blocks])
+                starts = _unpacked(packed).astype(np.int64)
                 np.add.at(edge, starts, 1)
                 np.add.at(edge, starts + window, -1)
                 stays = [w for w, c in zip(words, np.cumsum(edge)[:n].tolist(), strict=True) if not c]
