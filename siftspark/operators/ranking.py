@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftspark.functions import scores as S
+
 
 def best_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int = 1, rank: str = "rank") -> DataFrame:
     """The first k rows of each key in a total order, with their rank."""
@@ -38,12 +40,15 @@ def packs(items: DataFrame, key: str, item: str, order: list[Column], most: int
     return each.withColumn("pack_no", no).filter(F.col("pack_no") <= first).select(key, "pack_no", "items").unionByName(one)
 
 
-def greedy_selection(candidates: DataFrame, pack: str, slot: str, product: str, shop: str, score: str, shop_weight: float = 0.06) -> DataFrame:
-    """One product per slot of a pack, slots in order: the best of score + shop_weight * max(.35, 1 - .20 * times the shop was used), each product once; ties to the smaller product, then shop.
+def greedy_selection(candidates: DataFrame, pack: str, slot: str, product: str, shop: str, score: str, shop_weight: float = 0.06, per_slot: int = 1, blocked: str | None = None) -> DataFrame:
+    """Products for the slots of a pack, slots in order, at most per_slot each: the best of score + shop_weight * max(.35, 1 - .20 * times the shop was used).
 
-    The choice of a slot depends on those before it, within one pack only; packs are dealt over the cluster, and a pack has
-    as many candidates as its components have offers. score is a product's score without its shop's term.
+    A product is chosen once in a pack, a blocked one never. The shops' terms are those when a slot begins; ties go to the
+    smaller product, then shop. The choice of a slot depends on those before it, within one pack only; packs are dealt over
+    the cluster, and a pack has as many candidates as its components have offers: cut those to the best ones first, by
+    `best_per_key`. score is a product's score without its shop's term.
     """
+    own = candidates if blocked is None else candidates.filter(~F.coalesce(F.col(blocked), F.lit(False)))
     schema = candidates.select(pack, slot, product, shop, score).schema
 
     def choose(rows):
@@ -53,13 +58,41 @@ def greedy_selection(candidates: DataFrame, pack: str, slot: str, product: str,
         for r in rows.to_pylist():
             slots.setdefault(r[slot], []).append(r)
         used, shops, out = set(), {}, []
-        for _, own in sorted(slots.items(), key=lambda x: x[0]):
-            free = [r for r in own if r[product] not in used]
-            if free:
-                best = min(free, key=lambda r: (-(r[score] + shop_weight * max(0.35, 1 - 0.20 * shops.get(r[shop], 0))), r[product], r[shop]))
-                used.add(best[product])
-                shops[best[shop]] = shops.get(best[shop], 0) + 1
-                out.append(best)
+        for _, offers in sorted(slots.items(), key=lambda x: x[0]):
+            before = dict(shops)
+            ranked = sorted(offers, key=lambda r: (-(r[score] + shop_weight * max(0.35, 1 - 0.20 * before.get(r[shop], 0))), r[product], r[shop]))
+            picked = 0
+            for r in ranked:
+                if picked < per_slot and r[product] not in used:
+                    used.add(r[product])
+                    shops[r[shop]] = shops.get(r[shop], 0) + 1
+                    out.append(r)
+                    picked += 1
         return pa.Table.from_pylist(out, rows.schema)
 
-    return candidates.select(pack, slot, product, shop, score).groupBy(pack).applyInArrow(choose, schema)
+    return own.select(pack, slot, product, shop, score).groupBy(pack).applyInArrow(choose, schema)
+
+
+#: Weights of a pack's own score, of what it covers and of its feedback.
+PACK_WEIGHTS = (0.45, 0.25, 0.30)
+
+
+def reranked(packs_of: DataFrame, key: str, items: str, useful: DataFrame, stats: DataFrame, unscored: float = 0.7, no_condition: str = "soporte_funcional", healthy: str = "SALUDABLE") -> DataFrame:
+    """(key, pack_id, rank, score_final, score_gnn, score_coverage, score_feedback, feedback_count) of candidate packs.
+
+    packs_of: key, pack_no and an array of struct component, score, condition. useful: key, conditions. stats: pack_id, n,
+    avg_score, of feedback; its total is a row. A missing or zero score counts `unscored`. Without useful conditions a
+    pack covers all. Ties go to the pack that came first.
+    """
+    score = F.aggregate(F.transform(items, lambda x: F.coalesce(F.nullif(x["score"], F.lit(0.0)), F.lit(unscored))), F.lit(0.0), lambda a, x: a + x) / F.size(items)
+    covered = F.array_distinct(F.filter(F.transform(items, lambda x: x["condition"]), lambda c: c.isNotNull() & (c != no_condition)))
+    own = packs_of.withColumn("pack_id", S.pack_key(F.transform(items, lambda x: x["component"].cast("string")))).join(useful, key, "left")
+    wanted = F.filter(F.coalesce("conditions", F.array().cast("array<string>")), lambda c: c != healthy)
+    total = stats.agg(F.greatest(F.coalesce(F.sum("n"), F.lit(0)), F.lit(1)).alias("_total"))
+    both = own.join(stats, "pack_id", "left").crossJoin(F.broadcast(total))  # one row
+    n = F.coalesce("n", F.lit(0))
+    parts = both.select(key, "pack_no", "pack_id", score.alias("score_gnn"), F.when(F.size(wanted) > 0, F.size(F.array_intersect(covered, wanted)) / F.size(F.array_distinct(wanted))).otherwise(1.0).alias("score_coverage"), F.when(n > 0, S.bayesian_mean(n, F.col("avg_score"))).otherwise(0.70).alias("score_feedback"), n.alias("feedback_count"), S.exploration(n, F.col("_total")).alias("_bonus"))
+    a, b, c = PACK_WEIGHTS
+    final = parts.withColumn("score_final", a * F.col("score_gnn") + b * F.col("score_coverage") + c * F.col("score_feedback") + F.col("_bonus"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.round("score_final", 9).desc(), "pack_no"))
+    return final.select(key, "pack_id", rank.alias("rank"), "score_final", "score_gnn", "score_coverage", "score_feedback", "feedback_count")

@@ -100,3 +100,17 @@ def lifted(probability: Column, rule_score: Column, rule_threshold: Column, thre
     t = F.greatest(threshold, F.lit(floor))
     lift = F.least(F.lit(0.98), t + F.least(F.lit(0.12), F.greatest(F.lit(0.03), rule_score - t)))
     return F.when((rule_score >= rule_threshold) & (probability < t) & corroborated, lift).otherwise(probability)
+
+
+def decision(probability: Column, rule_score: Column, rule_threshold: Column, threshold: Column, corroborated: Column, observed_lab: Column, taken: Column) -> Column:
+    """probability, positive, suppressed_by and score_basis of a condition.
+
+    It is positive if the lifted probability reaches the threshold (.30 at least), evidence corroborates it and no
+    supplement that suppresses the condition is taken; a laboratory value overrules such a supplement. taken: the
+    suppressing ones that are taken; the first by name is reported.
+    """
+    final = lifted(probability, rule_score, rule_threshold, threshold, corroborated)
+    by = F.when(~observed_lab, F.array_min(taken))
+    raised = (rule_score >= rule_threshold) & (probability < F.greatest(threshold, F.lit(0.30))) & corroborated
+    positive = (final >= F.greatest(threshold, F.lit(0.30))) & corroborated & by.isNull()
+    return F.struct(F.round(final, 4).alias("probability"), positive.alias("positive"), by.alias("suppressed_by"), F.when(raised, "model+rules").otherwise("model").alias("score_basis"))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from siftspark.operators.features import with_defaults
 
 #: Factors of units to kilograms and centimetres.
-TO_KG = {"kg": 1.0, "lb": 0.45359237, "g": 0.001}
+TO_KG = {"kg": 1.0, "g": 0.001, "lb": 0.45359237, "oz": 0.0283495231, "st": 6.35029318}
+#: Units of weight by other names.
+WEIGHT_NAMES = {"libra": "lb", "libras": "lb", "lbs": "lb", "pound": "lb", "pounds": "lb", "onza": "oz", "onzas": "oz", "ounce": "oz", "ounces": "oz", "stone": "st", "stones": "st"}
 TO_CM = {"cm": 1.0, "m": 100.0, "in": 2.54, "ft": 30.48}
 #: Price range of a stated budget.
 BUDGETS = {"bajo": (0.0, 80.0), "medio": (80.0, 200.0), "alto": (200.0, 500.0)}
@@ -26,6 +28,13 @@ def _by(c: Column, values: dict[str, float]) -> Column:
     return out
 
 
+def weight_in_kg(value: Column, unit: Column) -> Column:
+    """Kilograms of a weight, to four places; the unit by its sign or another name, in any case and with points. Null for other units."""
+    clean = F.replace(F.lower(F.trim(unit)), F.lit("."), F.lit(""))
+    named = F.coalesce(F.get(F.map_values(F.map_filter(F.create_map(*[F.lit(x) for kv in WEIGHT_NAMES.items() for x in kv]), lambda k, _: k == clean)), F.lit(0)), clean)
+    return F.round(value.cast("double") * _by(named, TO_KG), 4)
+
+
 def survey_errors(sexo: str = "sexo") -> Column:
     """Names of the contradictions in a row of answers, in a fixed order; a null answer contradicts nothing."""
     col, n = F.col, F.size

@@ -87,25 +87,39 @@ def d2_proxy_fold(t):
     return rules.family_scores(h, "c_custkey", f, p).select("c_custkey", "cond", F.size("proxies").alias("n_proxies"), F.array_join("proxies", "|").alias("counted"))
 
 
-@query(_HITS + f""", r AS (SELECT DISTINCT cond, field, op, weight FROM h), own AS (SELECT * FROM r WHERE field NOT IN (SELECT field FROM fam WHERE is_lab)),
+@query(_HITS + _PF.rstrip(", ") + ", cs AS (WITH " + _fold("pf", "c_custkey") + f""" SELECT c_custkey, cond, score FROM scored),
+th AS (WITH own AS (SELECT cond, field, op, weight::DOUBLE AS weight FROM rule WHERE field NOT IN (SELECT field FROM fam WHERE is_lab)),
 chosen AS (SELECT 1 AS k, cond, field, coalesce(sum(weight) FILTER (WHERE op = 'gte'), 0) + coalesce(max(weight) FILTER (WHERE op <> 'gte'), 0) AS w FROM own GROUP BY ALL), {_fold("chosen", "k")},
 ss AS (SELECT cond, round(sum(w), 4) AS sum_max FROM chosen GROUP BY 1),
 ff AS (SELECT cond, coalesce(family, own.field) AS family, own.field, CASE WHEN bool_and(op = 'gte') THEN sum(weight) ELSE max(weight) END AS w FROM own LEFT JOIN fam ON fam.field = own.field WHERE own.field NOT IN (SELECT field FROM prox) GROUP BY ALL),
 fm AS (SELECT cond, family, max(w) AS w FROM ff GROUP BY ALL), tw AS (SELECT cond, round(sum(w) FILTER (WHERE rn <= 2), 4) AS two FROM (SELECT *, row_number() OVER (PARTITION BY cond ORDER BY w DESC, family) AS rn FROM fm) GROUP BY 1 HAVING count(*) >= 2),
 base(cond, threshold) AS (VALUES {_rows(BASE)}), al AS (SELECT base.cond, threshold::DOUBLE AS t, coalesce(score, 0) AS family_max, coalesce(sum_max, 0) AS sum_max, two FROM base LEFT JOIN scored USING (cond) LEFT JOIN ss USING (cond) LEFT JOIN tw USING (cond))
-SELECT cond, family_max, sum_max::DOUBLE AS sum_max, (CASE WHEN family_max >= t OR sum_max < t THEN t ELSE coalesce(least(t, two), t) END)::DOUBLE AS threshold FROM al""")
+SELECT cond, family_max, (CASE WHEN family_max >= t OR sum_max < t THEN t ELSE coalesce(least(t, two), t) END)::DOUBLE AS threshold FROM al)
+SELECT c_custkey, cond, score, family_max, threshold, score >= threshold AS reached FROM cs JOIN th USING (cond)""")
 def d4_thresholds(t):
-    """Over the rules that some customer meets."""
-    h, _, f, p = _hits(t)
-    seen = h.select("cond", "field", "op", "weight").distinct()
-    return rules.thresholds(seen, f, p, h.sparkSession.createDataFrame(BASE, "cond string, threshold double"))
+    """Each customer's scores beside the thresholds, which follow from the rules alone."""
+    h, r, f, p = _hits(t)
+    limits = rules.thresholds(r.select("cond", "field", "op", "weight"), f, p, h.sparkSession.createDataFrame(BASE, "cond string, threshold double"))
+    scores = rules.family_scores(h, "c_custkey", f, p).select("c_custkey", "cond", "score")
+    return scores.join(limits, "cond").select("c_custkey", "cond", "score", "family_max", "threshold", (F.col("score") >= F.col("threshold")).alias("reached"))
+
+
+#: Supplements that keep a condition from counting as positive.
+SUPPRESSING = [("AUTOMOBILE", "b", "iron"), ("AUTOMOBILE", "a", "calcium"), ("BUILDING", "a", "zinc"), ("MACHINERY", "c", "iron")]
 
 
-@query("""WITH h AS (SELECT c_custkey, abs(c_acctbal) / 20000 AS p, (c_custkey % 10) / 10.0::DOUBLE AS s, c_custkey % 3 = 0 AS ok FROM customer)
-SELECT c_custkey, round(CASE WHEN s >= 0.3 AND p < 0.35 AND ok THEN least(0.98, 0.35::DOUBLE + least(0.12, greatest(0.03, s - 0.35::DOUBLE))) ELSE p END, 8) AS probability FROM h""")
+@query(f"""WITH u(seg, taken, supplement) AS (VALUES {_rows(SUPPRESSING)}), h AS (SELECT c_custkey, c_mktsegment, abs(c_acctbal) / 20000 AS p, (c_custkey % 10) / 10.0::DOUBLE AS s, c_custkey % 3 = 0 AS ok, c_custkey % 4 = 0 AS lab,
+  CASE WHEN c_custkey % 5 = 0 THEN 'a b' WHEN c_custkey % 5 = 1 THEN 'c' ELSE '' END AS taken FROM customer),
+f AS (SELECT *, s >= 0.3 AND p < 0.35 AND ok AS lifted, (SELECT min(u.supplement) FROM u WHERE u.seg = h.c_mktsegment AND contains(h.taken, u.taken)) AS supplement FROM h),
+g AS (SELECT *, CASE WHEN lifted THEN least(0.98, 0.35::DOUBLE + least(0.12, greatest(0.03, s - 0.35::DOUBLE))) ELSE p END AS q, CASE WHEN NOT lab THEN supplement END AS by_ FROM f)
+SELECT c_custkey, round(q::DECIMAL(18, 10), 4)::DOUBLE AS probability, q >= 0.35 AND ok AND by_ IS NULL AS positive, by_ AS suppressed_by, CASE WHEN lifted THEN 'model+rules' ELSE 'model' END AS score_basis FROM g""")
 def d9_rule_lift(t):
-    p = rules.lifted(F.abs("c_acctbal") / 20000, (F.col("c_custkey") % 10) / 10, F.lit(0.3), F.lit(0.35), F.col("c_custkey") % 3 == 0)
-    return t("customer").select("c_custkey", F.round(p, 8).alias("probability"))
+    """Decisions on customers: probability, rules' lift, corroboration, supplements that are taken already."""
+    c, k = t("customer"), F.col("c_custkey")
+    taken = F.split(F.when(k % 5 == 0, "a b").when(k % 5 == 1, "c").otherwise(""), " ")
+    of = F.array_compact(F.array(*[F.when((F.col("c_mktsegment") == seg) & F.array_contains(taken, code), F.lit(name)) for seg, code, name in SUPPRESSING]))
+    d = rules.decision(F.abs("c_acctbal") / 20000, (k % 10) / 10, F.lit(0.3), F.lit(0.35), k % 3 == 0, k % 4 == 0, of)
+    return c.select("c_custkey", d.alias("_d")).select("c_custkey", "_d.*")
 
 
 @query("""WITH k AS (SELECT p_partkey, p_brand, round(greatest(0.05, 0.36 * CASE p_size % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.82 WHEN 2 THEN 0.72 ELSE CASE p_size % 3 WHEN 0 THEN 0.96 WHEN 1 THEN 0.66 ELSE 0.55 END END + 0.22 * CASE p_size % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.74 ELSE 0.70 END
@@ -269,15 +283,13 @@ def _any_of(words):
     return "(" + " OR ".join(f"contains(x, '{w}')" for w in words) + ")"
 
 
-@query(f"""WITH x AS (SELECT doc_id, lower(regexp_replace(CASE WHEN doc_id % 5 = 0 THEN text || ' DNI 12 ' WHEN doc_id % 7 = 0 THEN 'Cura cura cura cura, cura CURA cura (cura) sobredosis' WHEN doc_id % 11 = 0 THEN 'muy' || repeat('o', 8) || ' bueno' ELSE text END, '^\\s+|\\s+$', '', 'g')) AS x FROM documents),
+@query(f"""WITH x AS (SELECT doc_id, lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS x FROM documents),
 w AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(x, '\\s+'), lambda w: trim(w, '.,;:!?¡¿()[]{{}}')), lambda w: w <> '') AS w FROM x)
 SELECT doc_id, array_to_string(list_filter([CASE WHEN {_any_of(["http://", "https://", "www."])} THEN 'contains_url' END, CASE WHEN contains(x, '@') AND contains(x, '.') THEN 'contains_contact' END,
   CASE WHEN len(list_filter(list_distinct(string_split(x, '')), lambda c: contains(x, repeat(c, 8)))) > 0 THEN 'repeated_characters' END, CASE WHEN {_any_of(X.MEDICAL_CLAIM)} THEN 'medical_claim' END, CASE WHEN {_any_of(X.PERSONAL_DATA)} THEN 'personal_data' END,
   CASE WHEN {_any_of(X.UNSAFE_DOSING)} THEN 'unsafe_dosing' END, CASE WHEN len(w) >= 8 AND len(list_distinct(w)) / len(w) <= 0.45 THEN 'repeated_words' END], lambda f: f IS NOT NULL), ';') AS flags FROM x JOIN w USING (doc_id)""")
 def f23_spam_flags(t):
-    i = F.col("doc_id")
-    text = F.when(i % 5 == 0, F.concat("text", F.lit(" DNI 12 "))).when(i % 7 == 0, "Cura cura cura cura, cura CURA cura (cura) sobredosis").when(i % 11 == 0, F.concat(F.lit("muy"), F.repeat(F.lit("o"), 8), F.lit(" bueno"))).otherwise(F.col("text"))
-    return t("documents").select("doc_id", F.array_join(X.spam_flags(text), ";").alias("flags"))
+    return t("documents").select("doc_id", F.array_join(X.spam_flags(F.col("text")), ";").alias("flags"))
 
 
 @query("""SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1) AS base, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '\\1', 'g'), '&&+', '&', 'g'), '\\?&+', '?', 'g'), '[?&]+$', '') AS clean FROM pages""")

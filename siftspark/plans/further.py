@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftspark.functions import scores as S
 from siftspark.functions import text as X
-from siftspark.operators import graph, ranking
+from siftspark.operators import graph, ranking, safety
 from siftspark.plans.core import query
 from siftspark.sources import writers
 
@@ -237,10 +237,33 @@ def d8_survey_payload(t):
     return c.select("c_custkey", F.least(F.lit(10), "n").alias("orders_capped"), F.when(F.col("n") == 0, 0).otherwise(1).alias("implied"), F.round(F.col("c_acctbal") * 0.008 + F.when(F.col("n") > 12, 5).otherwise(0), 4).alias("estimate"), (low >= 2).alias("deficient"))
 
 
-@query("SELECT o_custkey, CASE WHEN u > 0 AND f > 5 THEN 'refer' WHEN u > 0 THEN 'warn' ELSE 'ok' END AS safety_level FROM (SELECT o_custkey, count_if(o_orderpriority = '1-URGENT') AS u, count_if(o_orderstatus = 'F') AS f FROM orders GROUP BY 1)")
+_CONDITIONS = ["enfermedad_renal", "hipertension", "sedantes", "otra", "insomnio", "anticoagulantes"]
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, c_acctbal AS b, list_filter([CASE WHEN c_custkey % 13 = 0 THEN '{_CONDITIONS[0]}' END, CASE WHEN c_custkey % 7 = 0 THEN '{_CONDITIONS[1]}' END, CASE WHEN c_custkey % 11 = 0 THEN '{_CONDITIONS[3]}' END, CASE WHEN c_custkey % 17 = 0 THEN '{_CONDITIONS[1]}' END], lambda x: x IS NOT NULL) AS cond,
+  CASE WHEN c_custkey % 5 = 0 THEN ['sin_gluten', 'vegano'] ELSE [] END AS res, CASE WHEN c_custkey % 9 = 0 THEN ['zinc'] ELSE [] END AS sup FROM customer),
+s AS (SELECT *, CASE WHEN n % 2 = 0 THEN n * 4 < 18 ELSE n = 3 END AS minor, coalesce(b < -500, false) OR k % 19 = 0 AS sleepless FROM c),
+l AS (SELECT *, CASE WHEN minor OR list_contains(cond, 'enfermedad_renal') THEN 2 WHEN len(cond) + len(res) + len(sup) > 0 THEN 1 ELSE 0 END AS lv, CASE WHEN k % 10 = 1 THEN 2 WHEN k % 10 = 2 THEN 1 ELSE 0 END AS lab FROM s)
+SELECT k AS c_custkey, ['normal', 'caution', 'medical_review_required'][greatest(lv, lab) + 1] AS safety_level, ['normal', 'caution', 'medical_review_required'][lv + 1] AS survey_level,
+  array_to_string(CASE WHEN len(sup) > 0 THEN ['suplementos_actuales'] ELSE [] END || list_filter([CASE WHEN list_contains(cond, 'enfermedad_renal') THEN 'enfermedad_renal' END, CASE WHEN list_contains(cond, 'hipertension') THEN 'hipertension' END, CASE WHEN sleepless THEN 'insomnio' END, CASE WHEN len(res) > 0 THEN 'sin_gluten' END, CASE WHEN minor THEN 'menor_de_edad' END], lambda x: x IS NOT NULL), ' ') AS warnings,
+  CASE lv WHEN 2 THEN 3 WHEN 1 THEN 2 ELSE 0 END AS n_actions FROM l""")
 def d27_safety_level(t):
-    n = t("orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("u"), F.count_if(F.col("o_orderstatus") == "F").alias("f"))
-    return n.select("o_custkey", F.when((F.col("u") > 0) & (F.col("f") > 5), "refer").when(F.col("u") > 0, "warn").otherwise("ok").alias("safety_level"))
+    """Customers as profiles: age, conditions, restrictions, supplements, sleep, and a laboratory's level."""
+    c, k, n = t("customer"), F.col("c_custkey"), F.col("c_nationkey")
+    some = lambda *pairs: F.array_compact(F.array(*[F.when(test, F.lit(v)) for test, v in pairs]))
+    own = c.select(
+        "c_custkey",
+        F.when(n % 2 == 0, n * 4).alias("age_years"),
+        F.when(n == 3, "menos_18").alias("edad_rango"),
+        some((k % 13 == 0, _CONDITIONS[0]), (k % 7 == 0, _CONDITIONS[1]), (k % 11 == 0, _CONDITIONS[3]), (k % 17 == 0, _CONDITIONS[1])).alias("condiciones_seguridad"),
+        some((k % 5 == 0, "sin_gluten"), (k % 5 == 0, "vegano")).alias("restricciones"),
+        some((k % 9 == 0, "zinc")).alias("suplementos_actuales"),
+        F.when(F.col("c_acctbal") < -500, "mala").alias("sleep_quality"),
+        F.when(k % 19 == 0, "3_o_mas").alias("night_wakeups"),
+        F.lit(None).cast("string").alias("horas_sueno"),
+        F.when(k % 10 == 1, "medical_review_required").when(k % 10 == 2, "caution").alias("lab_level"),
+    )
+    return safety.profile_safety(own, "c_custkey").select("c_custkey", "safety_level", "survey_level", F.array_join("warnings", " ").alias("warnings"), F.size("actions").alias("n_actions"))
 
 
 @query("SELECT p_type, count(DISTINCT p_brand) AS n, CASE WHEN count(DISTINCT p_brand) >= 25 THEN 'ready' WHEN count(DISTINCT p_brand) >= 24 THEN 'minimum' WHEN count(DISTINCT p_brand) > 0 THEN 'weak' ELSE 'missing' END AS status FROM part WHERE p_size < 10 GROUP BY 1")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from siftspark.functions import scores as S
 from siftspark.functions import text as X
-from siftspark.operators import catalog, ranking
-from siftspark.plans.core import query
+from siftspark.operators import catalog, ranking, survey
+from siftspark.plans.core import ORACLES, query
 
 
 @query("SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#23') AND p_size BETWEEN 5 AND 40")
@@ -92,12 +92,13 @@ def p19_bins(t):
     return t("part").groupBy(F.when(s <= 10, "xs").when(s <= 20, "s").when(s <= 35, "m").otherwise("l").alias("p_size_bin")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH u(unit, factor) AS (VALUES ('kg', 1.0::DOUBLE), ('lb', 0.45359237::DOUBLE), ('oz', 0.028349523125::DOUBLE))
-SELECT p_partkey, round(p_size * factor, 4) AS kg FROM (SELECT *, ['kg', 'lb', 'oz', 'st'][(p_partkey % 4 + 1)::INT] AS unit FROM part) LEFT JOIN u USING (unit)""")
+@query("""WITH u(unit, factor) AS (VALUES ('kg', 1.0::DOUBLE), ('g', 0.001::DOUBLE), ('lb', 0.45359237::DOUBLE), ('oz', 0.0283495231::DOUBLE), ('st', 6.35029318::DOUBLE)),
+n(name, unit) AS (VALUES ('KG', 'kg'), ('g.', 'g'), ('Libras', 'lb'), ('oz', 'oz'), ('stone', 'st'), ('ounces', 'oz'), ('?', NULL))
+SELECT p_partkey, round(p_size * factor, 4) AS kg FROM (SELECT *, ['KG', 'g.', 'Libras', 'oz', 'stone', 'ounces', '?'][(p_partkey % 7 + 1)::INT] AS name FROM part) LEFT JOIN n USING (name) LEFT JOIN u USING (unit)""")
 def p20_unit_conversion(t):
-    factor = F.create_map(*[F.lit(x) for x in ("kg", 1.0, "lb", 0.45359237, "oz", 0.028349523125)])
-    unit = F.get(F.array(*map(F.lit, ("kg", "lb", "oz", "st"))), (F.col("p_partkey") % 4).cast("int"))
-    return t("part").select("p_partkey", F.round(F.col("p_size") * factor[unit], 4).alias("kg"))
+    """Sizes in units of weight by their names; null for a unit that there isn't."""
+    unit = F.get(F.array(*map(F.lit, ("KG", "g.", "Libras", "oz", "stone", "ounces", "?"))), (F.col("p_partkey") % 7).cast("int"))
+    return t("part").select("p_partkey", survey.weight_in_kg(F.col("p_size"), unit).alias("kg"))
 
 
 @query("""SELECT p_partkey, n_name, s_name, count(*) AS lines FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
@@ -401,16 +402,49 @@ def d17_packs(t):
     return out.select("o_custkey", "pack_no", S.pack_key(F.transform("items", lambda v: v.cast("string"))).alias("pack_key"))
 
 
-@query("""WITH c AS (SELECT DISTINCT l_orderkey % 500 AS pack, l_linenumber AS slot, l_partkey AS product, l_suppkey % 7 AS shop, l_quantity / 50 AS score FROM lineitem WHERE l_linenumber <= 4),
-z AS (WITH RECURSIVE r AS (SELECT DISTINCT pack, 0 AS slot, NULL::BIGINT AS product, NULL::BIGINT AS shop, []::BIGINT[] AS used, []::BIGINT[] AS shops FROM c UNION ALL
-  SELECT pack, slot, product, shop, CASE WHEN product IS NULL THEN used ELSE list_append(used, product) END, CASE WHEN product IS NULL THEN shops ELSE list_append(shops, shop) END FROM (
-    SELECT r.pack, r.slot + 1 AS slot, c.product, c.shop, r.used, r.shops, row_number() OVER (PARTITION BY r.pack ORDER BY c.score + 0.06::DOUBLE * greatest(0.35::DOUBLE, 1 - 0.20::DOUBLE * len(list_filter(r.shops, lambda x: x = c.shop))) DESC NULLS LAST, c.product, c.shop) AS rn
-    FROM r LEFT JOIN c ON c.pack = r.pack AND c.slot = r.slot + 1 AND NOT list_contains(r.used, c.product) WHERE r.slot < 4) WHERE rn = 1) SELECT * FROM r)
-SELECT pack, slot, product, shop FROM z WHERE product IS NOT NULL""")
+_SELECTION = """of AS (SELECT l_partkey % 40 AS component, l_partkey AS product, l_suppkey % 7 AS shop, max(l_quantity / 50) AS score, l_partkey % 11 = 0 AS blocked FROM lineitem GROUP BY ALL),
+best AS (SELECT * FROM of QUALIFY row_number() OVER (PARTITION BY component ORDER BY score DESC, product, shop) <= 8),
+slots AS (SELECT l_orderkey AS pack, row_number() OVER (PARTITION BY l_orderkey ORDER BY min(l_linenumber), l_partkey % 40) AS slot, l_partkey % 40 AS component FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 3),
+c AS (SELECT pack, slot, product, shop, score FROM slots JOIN best USING (component) WHERE NOT blocked)"""
+
+
+@query(f"""WITH RECURSIVE {_SELECTION},
+r AS (SELECT pack, 0::BIGINT AS step, NULL::BIGINT AS product, NULL::BIGINT AS shop, []::BIGINT[] AS used, []::BIGINT[] AS shops, []::BIGINT[] AS entry, max(slot) * 2 AS last FROM slots GROUP BY 1 UNION ALL
+  SELECT pack, step, product, shop, CASE WHEN product IS NULL THEN used ELSE list_append(used, product) END, CASE WHEN product IS NULL THEN shops ELSE list_append(shops, shop) END, entry, last FROM (
+    SELECT b.pack, b.step + 1 AS step, c.product, c.shop, b.used, b.shops, b.entry, b.last, row_number() OVER (PARTITION BY b.pack ORDER BY c.score + 0.06::DOUBLE * greatest(0.35::DOUBLE, 1 - 0.20::DOUBLE * len(list_filter(b.entry, lambda x: x = c.shop))) DESC NULLS LAST, c.product, c.shop) AS rn
+    FROM (SELECT pack, step, used, shops, last, CASE WHEN step % 2 = 0 THEN shops ELSE entry END AS entry FROM r WHERE step < last) AS b LEFT JOIN c ON c.pack = b.pack AND c.slot = b.step // 2 + 1 AND NOT list_contains(b.used, c.product)) WHERE rn = 1)
+SELECT pack, (step + 1) // 2 AS slot, product, shop FROM r WHERE product IS NOT NULL""")
 def d22_greedy_selection(t):
-    """Groups of orders are packs, line numbers the slots, suppliers by number the shops."""
-    li = t("lineitem").filter("l_linenumber <= 4").select((F.col("l_orderkey") % 500).alias("pack"), F.col("l_linenumber").alias("slot"), F.col("l_partkey").alias("product"), (F.col("l_suppkey") % 7).alias("shop"), (F.col("l_quantity") / 50).alias("score")).distinct()
-    return ranking.greedy_selection(li, "pack", "slot", "product", "shop", "score").drop("score")
+    """Orders are packs, their first lines' components the slots; a component has its eight best offers, of which every eleventh product is blocked."""
+    li, component = t("lineitem"), (F.col("l_partkey") % 40).alias("component")
+    offers = li.groupBy(component, F.col("l_partkey").alias("product"), (F.col("l_suppkey") % 7).alias("shop")).agg(F.max(F.col("l_quantity") / 50).alias("score"))
+    best = ranking.best_per_key(offers, ["component"], [F.desc("score"), F.col("product"), F.col("shop")], 8).withColumn("blocked", F.col("product") % 11 == 0)
+    own = li.filter("l_linenumber <= 3").groupBy(F.col("l_orderkey").alias("pack"), component).agg(F.min("l_linenumber").alias("at"))
+    slots = own.withColumn("slot", F.row_number().over(Window.partitionBy("pack").orderBy("at", "component")).cast("long"))
+    return ranking.greedy_selection(slots.join(best, "component"), "pack", "slot", "product", "shop", "score", per_slot=2, blocked="blocked").drop("score")
+
+
+_PACK_SQL = ORACLES["d17_packs"].rpartition("SELECT o_custkey")[0].replace("max(l_extendedprice) AS s", "max(l_extendedprice) AS s, round(max(l_quantity) / 50, 4)::DOUBLE AS q, min(o_orderpriority) AS pri")
+
+
+@query(f"""{_PACK_SQL}, d AS (SELECT k.*, 'pack_' || substr(md5(array_to_string(list_sort(list_transform(items, lambda v: v::VARCHAR)), '|')), 1, 10) AS pack_id FROM k WHERE pack_no <= 10),
+st AS (SELECT DISTINCT pack_id, n, avg_score FROM (SELECT pack_id, o_custkey % 17 AS n, (o_custkey % 10) / 10.0::DOUBLE AS avg_score, row_number() OVER (PARTITION BY pack_id ORDER BY o_custkey) AS rn FROM d WHERE o_custkey % 3 = 0 AND o_custkey % 17 > 0) WHERE rn = 1), tot AS (SELECT greatest(coalesce(sum(n), 0), 1) AS total FROM st),
+us AS (SELECT o_custkey, list(DISTINCT o_orderpriority) FILTER (WHERE o_orderpriority <> '5-LOW') AS u FROM orders GROUP BY 1),
+m AS (SELECT o_custkey, pack_no, pack_id, avg(coalesce(nullif(q, 0), 0.7)) AS gnn, count(DISTINCT pri) FILTER (WHERE pri <> '5-LOW' AND pri <> '3-MEDIUM') AS cov FROM (SELECT d.*, unnest(items) AS l_partkey FROM d) JOIN i USING (o_custkey, l_partkey) GROUP BY 1, 2, 3),
+z AS (SELECT o_custkey, pack_no, pack_id, gnn, CASE WHEN len(u) > 0 THEN cov / len(u) ELSE 1 END AS cov, CASE WHEN n IS NULL THEN 0.70 ELSE (n * avg_score + 5.6::DOUBLE) / (n + 8) END AS fb, coalesce(n, 0) AS n, total FROM m JOIN us USING (o_custkey) LEFT JOIN st USING (pack_id), tot),
+y AS (SELECT *, 0.45::DOUBLE * gnn + 0.25::DOUBLE * cov + 0.30::DOUBLE * fb + 0.01::DOUBLE * sqrt(ln(total + 1) / (n + 1)) AS final FROM z)
+SELECT o_custkey, pack_id, row_number() OVER (PARTITION BY o_custkey ORDER BY round(final, 9) DESC, pack_no) AS rank, round(final, 6) AS score_final, round(cov, 6)::DOUBLE AS score_coverage, n AS feedback_count FROM y""")
+def d17_reranked(t):
+    """Candidate packs by score, coverage of the customer's priorities and feedback; priority 5-LOW stands for health, 3-MEDIUM for no condition."""
+    lines = t("orders").select("o_orderkey", "o_custkey", "o_orderpriority").join(t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_extendedprice", "l_quantity"), "o_orderkey")
+    items = lines.groupBy("o_custkey", "l_partkey").agg(F.max("l_extendedprice").alias("s"), F.round(F.max("l_quantity") / 50, 4).alias("score"), F.min("o_orderpriority").alias("condition"))
+    packs = ranking.packs(items.withColumn("item", F.struct(F.col("l_partkey").alias("component"), "score", "condition")), "o_custkey", "item", [F.desc("s"), F.col("l_partkey")])
+    named = packs.select("o_custkey", S.pack_key(F.transform("items", lambda x: x["component"].cast("string"))).alias("pack_id")).filter("o_custkey % 3 = 0 AND o_custkey % 17 > 0")
+    first = named.groupBy("pack_id").agg(F.min("o_custkey").alias("k"))
+    stats = first.select("pack_id", (F.col("k") % 17).alias("n"), ((F.col("k") % 10) / 10).alias("avg_score"))
+    useful = t("orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("conditions"))
+    out = ranking.reranked(packs, "o_custkey", "items", useful, stats, no_condition="3-MEDIUM", healthy="5-LOW")
+    return out.select("o_custkey", "pack_id", "rank", F.round("score_final", 6).alias("score_final"), F.round("score_coverage", 6).alias("score_coverage"), "feedback_count")
 
 
 _OFFERS = """WITH li AS (SELECT l_partkey, l_suppkey, count(*) AS shown, avg(l_quantity / 50) AS review, count_if(l_returnflag = 'A') / count(*) AS verified, max(o_orderdate) AS seen, avg(l_extendedprice / l_quantity) AS price, count(DISTINCT l_linenumber) AS parts FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),

@@ -174,3 +174,68 @@ def test_labels_of_stated_cases(spark):
     assert got[1, "DEFICIT_B12"] == ("negative", "lab_only", 0.9)
     assert got[3, "DEFICIT_B12"] == ("unknown", "unknown", 0.0)
     assert got[2, "SAFETY_RENAL"][0] == "unknown"
+
+
+def test_a_profile_is_as_grave_as_its_gravest_part(spark):
+    from siftspark.operators import safety
+
+    fields = "id int, age_years int, edad_rango string, condiciones_seguridad array<string>, restricciones array<string>, suplementos_actuales array<string>, sleep_quality string, night_wakeups string, horas_sueno string, lab_level string"
+    rows = [
+        (1, None, None, None, None, None, None, None, None, None),
+        (2, 17, None, [], [], [], None, None, None, None),
+        (3, 30, "menos_18", [], [], [], None, None, None, None),
+        (4, None, "menos_18", [], [], [], None, None, None, "normal"),
+        (5, 40, None, ["hipertension", "hipertension", "otra"], ["sin_gluten", "vegano"], ["zinc"], "mala", None, None, None),
+        (6, 40, None, ["embarazo_lactancia"], [], [], None, "3_o_mas", None, "caution"),
+        (7, 40, None, [], [], [], None, None, "menos_5h", "medical_review_required"),
+        (8, 40, None, [], [], [], None, None, None, "caution"),
+    ]
+    got = {r.id: (r.safety_level, r.survey_level, r.warnings, len(r.actions)) for r in safety.profile_safety(spark.createDataFrame(rows, fields), "id").collect()}
+    review = "medical_review_required"
+    assert got == {
+        1: ("normal", "normal", [], 0), 2: (review, review, ["menor_de_edad"], 3), 3: ("normal", "normal", [], 0), 4: (review, review, ["menor_de_edad"], 3),
+        5: ("caution", "caution", ["suplementos_actuales", "hipertension", "insomnio", "sin_gluten"], 2), 6: (review, review, ["embarazo_lactancia", "insomnio"], 3), 7: (review, "normal", ["insomnio"], 0), 8: ("caution", "normal", [], 0),
+    }
+
+
+def test_selection_respects_blocks_and_limits(spark):
+    from siftspark.operators import ranking
+
+    rows = [(1, 1, 10, 1, 0.9, False), (1, 1, 11, 1, 0.8, True), (1, 1, 12, 2, 0.7, None), (1, 1, 13, 1, 0.69, False), (1, 2, 10, 1, 0.9, False), (1, 2, 14, 1, 0.70, False), (1, 2, 15, 3, 0.68, False), (2, 1, 11, 1, 0.8, True)]
+    df = spark.createDataFrame(rows, "pack int, slot int, product int, shop int, score double, blocked boolean")
+    got = sorted((r.slot, r["product"]) for r in ranking.greedy_selection(df, "pack", "slot", "product", "shop", "score", per_slot=2, blocked="blocked").collect())
+    assert got == [(1, 10), (1, 12), (2, 14), (2, 15)]
+    one = sorted((r.slot, r["product"]) for r in ranking.greedy_selection(df, "pack", "slot", "product", "shop", "score", shop_weight=0.5, blocked="blocked").collect())
+    assert one == [(1, 10), (2, 15)]  # the shop of the first slot counts less in the second
+
+
+def test_a_taken_supplement_suppresses_unless_a_laboratory_says_so(spark):
+    from pyspark.sql import functions as F
+
+    from siftspark.operators import rules
+
+    rows = [(0.9, 0.0, True, False, []), (0.9, 0.0, True, False, ["zinc", "iron"]), (0.9, 0.0, True, True, ["iron"]), (0.9, 0.0, False, False, []), (0.1, 0.6, True, False, []), (0.1, 0.6, False, False, []), (0.31, 0.0, True, False, [])]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, p double, s double, ok boolean, lab boolean, taken array<string>")
+    d = rules.decision(F.col("p"), F.col("s"), F.lit(0.5), F.lit(0.2), F.col("ok"), F.col("lab"), F.col("taken"))
+    got = [tuple(r) for r in df.select("id", d.alias("d")).orderBy("id").select("d.*").collect()]
+    assert got == [(0.9, True, None, "model"), (0.9, False, "iron", "model"), (0.9, True, None, "model"), (0.9, False, None, "model"), (0.42, True, None, "model+rules"), (0.1, False, None, "model"), (0.31, True, None, "model")]
+
+
+def test_accents_of_whole_texts(spark, sf_dir):
+    import unicodedata
+
+    from siftspark.plans import registry
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    want = {i: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)) for i, t in docs.items()}
+    assert {r.doc_id: r.plain for r in registry.QUERIES["x4_without_accents"](spark, sf_dir).collect()} == want
+
+
+def test_thresholds_follow_from_rules_that_nobody_meets(spark):
+    from siftspark.operators import rules
+
+    r = spark.createDataFrame([("a", "x", "eq", 0.6), ("a", "y", "eq", 0.3)], "cond string, field string, op string, weight double")
+    f = spark.createDataFrame([], "field string, family string, is_lab boolean")
+    p = spark.createDataFrame([], "field string, components array<string>")
+    got = rules.thresholds(r, f, p, spark.createDataFrame([("a", 0.95), ("b", 0.2)], "cond string, threshold double")).collect()
+    assert {x.cond: x.threshold for x in got} == {"a": 0.95, "b": 0.2}
