@@ -195,3 +195,31 @@ def coverage_status(n: Column, target: int = 3) -> Column:
 
 def executive_status(share: Column, recall: Column, specificity: Column) -> Column:
     return F.when(share < 0.10, "not_evaluable").when((recall >= 0.80) & (specificity >= 0.90), "ready").otherwise("needs_work")
+
+
+#: Weights of a product's commercial terms, with a budget and without.
+BREAKDOWN = {"component_match": (0.24, 0.26), "unit_product_preference": (0.13, 0.14), "price_stock": (0.24, 0.16), "product_reviews": (0.14, 0.20), "catalog_quality": (0.11, 0.12), "pharmacy_diversity": (0.05, 0.06), "freshness": (0.04, 0.04), "exposure": (0.03, 0.03), "verified_reviews": (0.02, 0.03)}
+
+
+def score_breakdown(terms: dict[str, Column], has_budget: Column, restriction_penalty: Column, safety_penalty: Column) -> Column:
+    """Each term's part in a product's score, four decimals, and the penalties below zero; terms by the names of BREAKDOWN, the share of verified reviews 1 at most."""
+    parts = [F.round(F.when(has_budget, a).otherwise(b) * (F.least(terms[k], F.lit(1.0)) if k == "verified_reviews" else terms[k]), 4).alias(k) for k, (a, b) in BREAKDOWN.items()]
+    return F.struct(*parts, F.round(-restriction_penalty, 4).alias("restriction_penalty"), F.round(-safety_penalty, 4).alias("ingredient_safety_penalty"))
+
+
+def selection_reasons(m: dict[str, Column], restriction_warnings: Column, preferred: Column, unit: Column, several: Column) -> Column:
+    """The first four reasons why a product was chosen, as codes: two restriction warnings at most come first. m: the metrics by name."""
+    tests = {
+        "preferred": preferred,
+        "good_match": m["match"] >= 0.85,
+        "unit_component": unit,
+        "several_components": ~unit & several,
+        "best_price": m["price"] >= 0.70,
+        "best_rated": (m["review"] >= 0.75) & (F.coalesce(m["review_count"], F.lit(0)) > 0),
+        "traceable": m["traceability"] >= 0.85,
+        "reliable": F.coalesce(m["confidence"], F.lit(0.0)) >= 0.85,
+        "other_shop": m["shop_diversity"] >= 0.90,
+        "shown_often": (m["product_exposure"] < 0.85) | (m["shop_exposure"] < 0.85),
+    }
+    found = F.concat(F.slice(F.coalesce(restriction_warnings, F.array().cast("array<string>")), 1, 2), F.array_compact(F.array(*[F.when(t, F.lit(name)) for name, t in tests.items()])))
+    return F.when(F.size(found) > 0, F.slice(found, 1, 4)).otherwise(F.array(F.lit("available")))

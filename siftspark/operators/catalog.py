@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftspark.functions.text import tokens
+
 
 def reasons(**tests: Column) -> Column:
     """Names of the tests that hold, in the order given, joined by `;`."""
@@ -76,3 +78,46 @@ def gate(df: DataFrame, checks: dict[str, tuple[Column, float, float]]) -> DataF
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Rows that break a reference."""
     return child.join(parent.select(F.col(parent_key).alias(child_key)), child_key, "left_anti")
+
+
+#: Statuses that a reviewer sets, and those that can't be promoted.
+MANUAL_STATUSES = ("approved_verified", "approved_inferred", "manual_rejected", "rejected_no_rs", "rejected_non_oral")
+UNPROMOTABLE = ("rejected_no_rs", "rejected_non_oral", "manual_rejected")
+TRACED = "true_rs_component"
+
+
+def candidate_states(candidates: DataFrame, manual: str = "manual_status") -> DataFrame:
+    """candidates with catalog_status, promotable and notes.
+
+    candidates: registro_sanitario, component_traceable, match_basis, availability, and the reviewer's status, which wins if
+    it is one of MANUAL_STATUSES. Else a candidate without a registration needs one, a traced one is verified, one matched
+    by name is to be explained, and the rest is inferred.
+    """
+    clean = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    number, traced, basis, shelf = (clean(F.col(c)) for c in ("registro_sanitario", "component_traceable", "match_basis", "availability"))
+    own = F.when(number == "", "candidate_needs_rs").when(traced == TRACED, "approved_verified").when(F.contains(F.lower(basis), F.lit("name")), "candidate_name_match").otherwise("approved_inferred")
+    status = F.when(clean(F.col(manual)).isin(*MANUAL_STATUSES), clean(F.col(manual))).otherwise(own)
+    promotable = (number != "") & (traced == TRACED) & ~F.col("catalog_status").isin(*UNPROMOTABLE)
+    notes = F.array(
+        F.when(number != "", "has_registration").otherwise("registration_missing"),
+        F.when(traced == TRACED, "component_traced").when(F.contains(traced, F.lit("no_rs")), "matched_without_registration"),
+        F.when(F.col("catalog_status") == "candidate_name_match", "match_needs_explanation"),
+        F.when((shelf != "") & (shelf != "available"), "availability_not_ideal"),
+    )
+    return candidates.withColumn("catalog_status", status).withColumn("promotable", promotable).withColumn("notes", F.array_compact(notes))
+
+
+def cleaning_reasons(rows: DataFrame, registration: str, name: str, registered: str, category: Column, order: str, max_fanout: int) -> DataFrame:
+    """rows with `reason` to leave the catalog: category, then a registration that stands for many, then a name that doesn't fit; null if none.
+
+    category: names what isn't a supplement, null for others. A registration stands for many if more than max_fanout
+    distinct names use it and its registered name (of its first row, by order) has fewer than two words. A name fits if it
+    shares a word with the registered one. Names are counted by registration before they meet the rows.
+    """
+    key = F.coalesce(F.col(registration), F.lit(""))
+    names = rows.groupBy(key.alias("_rs")).agg(F.countDistinct(F.lower(F.coalesce(name, F.lit("")))).alias("_n"), F.min_by(F.coalesce(registered, F.lit("")), order).alias("_first"))
+    many = names.filter((F.col("_n") > max_fanout) & (F.size(tokens(F.col("_first"))) < 2))
+    both = rows.withColumn("_rs", key).join(many, "_rs", "left")
+    fits = F.arrays_overlap(tokens(F.coalesce(name, F.lit(""))), tokens(F.coalesce(registered, F.lit(""))))
+    reason = F.when(category.isNotNull(), F.concat(F.lit("category:"), category)).when(F.col("_n").isNotNull(), F.concat(F.lit("fan_out:"), "_rs", F.lit(":"), F.trim("_first"), F.lit(":"), F.col("_n").cast("string"))).when(~fits, F.concat(F.lit("name:"), F.trim(F.coalesce(registered, F.lit("")))))
+    return both.withColumn("reason", reason).select(*rows.columns, "reason")

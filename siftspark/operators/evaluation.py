@@ -133,3 +133,28 @@ def calibrated_thresholds(df: DataFrame, key: str, case: Column, p: Column, y: C
     out = taken.join(new, [key, "_g"]).join(old, key)
     fine = (F.col("status") == "candidate") & (F.col("_nf") >= F.col("_ef")) & (F.col("_ns") >= F.greatest(F.lit(floor), F.col("_es") - margin)) & (F.col("_g") >= least * 100)
     return out.select(key, "status", F.round(F.col("_g") / 100, 2).alias("threshold"), fine.alias("accepted"))
+
+
+ABNORMAL = ("low", "critical_low", "high", "critical_high")
+
+
+def statuses(items: DataFrame, key: str, code: str, status: str, order: list[str]) -> DataFrame:
+    """(key, code, status): the first status of a code, or the first one out of range if there is any."""
+    known = items.filter(f"{code} != '' AND {status} != ''")
+    at, out = F.struct(*order), F.col(status).isin(*ABNORMAL)
+    first = F.coalesce(F.min_by(F.when(out, F.col(status)), F.when(out, at)), F.min_by(status, at))
+    return known.groupBy(key, code).agg(first.alias("status"))
+
+
+def lab_truth(found: DataFrame, key: str, code: str, targets: DataFrame) -> DataFrame:
+    """(key, condition, truth) of the conditions of which a biomarker was measured; true if one is out of range in the condition's direction. targets: condition, code, directions (array)."""
+    return found.join(targets.withColumnRenamed("code", code), code).groupBy(key, "condition").agg(F.bool_or(F.array_contains("directions", F.col("status"))).alias("truth"))
+
+
+def paired(truth: DataFrame, predicted: DataFrame, key: str, least: int = 10) -> DataFrame:
+    """(condition, predictor, tp, fp, fn, tn, precision, recall, enough) over the pairs of truth; predicted: key, predictor, condition. A metric of fewer marked or positive cases than `least` isn't enough."""
+    asked = truth.crossJoin(F.broadcast(predicted.select("predictor").distinct()))  # a few names of predictors
+    both = asked.join(predicted.select(key, "predictor", "condition").distinct().withColumn("_p", F.lit(True)), [key, "predictor", "condition"], "left").withColumn("_p", F.coalesce("_p", F.lit(False)))
+    n = both.groupBy("condition", "predictor").agg(*[F.count_if((F.col("_p") == p) & (F.col("truth") == y)).alias(name) for name, p, y in (("tp", True, True), ("fp", True, False), ("fn", False, True), ("tn", False, False))])
+    share = lambda a, b: F.when(a + b > 0, F.round(a / (a + b), 4))
+    return n.withColumn("precision", share(F.col("tp"), F.col("fp"))).withColumn("recall", share(F.col("tp"), F.col("fn"))).withColumn("enough", (F.col("tp") + F.col("fp") >= least) & (F.col("tp") + F.col("fn") >= least))

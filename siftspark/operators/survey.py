@@ -142,3 +142,54 @@ def restriction_flags(text: Column, composition: Column, form: Column, gluten_fr
     }
     inferred = {f"{k}_inferred": held(text, p) for k, p in INFERRED.items()}
     return {**out, **inferred, "contains_soya_inferred": inferred["contains_soy_inferred"]}
+
+
+#: Ladders of bins, (comparison, bound, bin) in order, then the last bin.
+AGE = ((("<", 18, "menos_18"), ("<=", 30, "18_30"), ("<=", 50, "31_50")), "mas_50")
+WEIGHT = ((("<", 50, "menos_50"), ("<=", 65, "50_65"), ("<=", 80, "66_80")), "mas_80")
+HEIGHT = ((("<", 155, "menos_155"), ("<=", 165, "155_165"), ("<=", 175, "166_175")), "mas_175")
+SLEEP = ((("<", 5, "menos_5h"), ("<", 7, "5_7h"), ("<", 9, "7_9h")), "mas_9h")
+SUN = ((("<", 15, "menos_15min"), ("<", 30, "15_30min"), ("<=", 60, "30_60min")), "mas_1h")
+STRESS = ((("<=", 3, "bajo"), ("<=", 7, "moderado"), ("<=", 11, "alto")), "muy_alto")
+ALCOHOL = ((("<=", 0, "nunca"), ("<", 1, "raro"), ("<=", 7, "ocasional")), "frecuente")
+EXERCISE = ((("<=", 0, "casi_nunca"), ("<=", 2, "1_2_semana"), ("<=", 4, "3_4_semana")), "diario")
+
+
+def bin_of(c: Column, ladder) -> Column:
+    """The first bin whose bound the value keeps, null for a null value."""
+    steps, out = ladder[0], F.when(c.isNotNull(), ladder[1])
+    for sign, bound, name in reversed(steps):
+        out = F.when(c < bound if sign == "<" else c <= bound, name).otherwise(out)
+    return out
+
+
+def sleep_bin(hours: Column) -> Column:
+    return bin_of(F.when(hours <= 24, hours), SLEEP)
+
+
+def sun_bin(workday: Column, freeday: Column) -> Column:
+    """Minutes a day over a week of five working days; one kind of day stands for the other if that is null."""
+    return bin_of((5 * F.coalesce(workday, freeday) + 2 * F.coalesce(freeday, workday)) / 7, SUN)
+
+
+def stress_bin(*items: Column) -> Column:
+    """Of the sum of all items; null if one is."""
+    return bin_of(sum(items[1:], items[0]), STRESS)
+
+
+def exercise_days(vigorous: Column, vigorous_days: Column, moderate: Column, moderate_days: Column) -> Column:
+    """The more days of both kinds, seven at most; a kind that is answered with no counts none, one without an answer leaves it unknown. Greater codes than seven are no answers."""
+    days = lambda yes, n: F.when(yes.isin(7, 9), None).when(yes == 1, F.when(~n.isin(77, 99), n)).when(yes.isNotNull(), 0)
+    v, m = days(vigorous, vigorous_days), days(moderate, moderate_days)
+    return F.when(v.isNotNull() & m.isNotNull(), F.least(F.lit(7), F.greatest(v, m)).cast("int"))
+
+
+#: Restrictions by a second name.
+RESTRICTION_NAMES = {"alergia_pescado_mariscos": "pescado_mariscos", "alergia_lacteos": "lacteos", "alergia_soya": "soya"}
+
+
+def with_aliases(values: Column, names: dict[str, str] | None = None) -> Column:
+    """The distinct values with the second names of those that have one; null is none."""
+    own = F.array_distinct(F.coalesce(values, F.array().cast("array<string>")))
+    known = F.create_map(*[F.lit(x) for kv in (names or RESTRICTION_NAMES).items() for x in kv])
+    return F.array_union(own, F.array_compact(F.transform(own, lambda v: F.get(F.map_values(F.map_filter(known, lambda k, _: k == v)), F.lit(0)))))

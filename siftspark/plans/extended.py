@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftspark.functions import scores as S
 from siftspark.functions import text as X
-from siftspark.operators import catalog, extraction, features, models, ranking, safety
+from siftspark.operators import catalog, extraction, features, models, multilabel, ranking, safety
 from siftspark.plans.core import query
 
 _SAFE = [("metal", "BRASS|STEEL", None, "warn", "low", None), ("promo", "^PROMO", "small", "block", "high", 10.0), ("economy", "ECONOMY", None, "penalize", "high", None), ("standard", "STANDARD", "large", "penalize", "low", None)]
@@ -163,10 +163,19 @@ def d18_pack_metrics(t):
     return v.select("l_orderkey", F.round(score, 9).alias("score"))
 
 
-@query("""SELECT c_custkey, list_slice(list_filter([CASE WHEN c_acctbal > 5000 THEN 'rich' END, CASE WHEN c_nationkey < 10 THEN 'near' END, CASE WHEN c_mktsegment = 'BUILDING' THEN 'builder' END, CASE WHEN c_custkey % 2 = 0 THEN 'even' END, CASE WHEN c_custkey % 3 = 0 THEN 'third' END], lambda v: v IS NOT NULL), 1, 4) AS reasons FROM customer""")
+@query("""WITH m AS (SELECT p_partkey, p_size / 50.0 AS a, (p_partkey % 10) / 10.0 AS b, (p_partkey % 7) / 6.0 AS c, p_size % 5 AS n, p_type = 'PROMO' AS pref, p_size % 2 = 0 AS unit, p_partkey % 3 = 0 AS budget, CASE WHEN p_size % 6 = 0 THEN ['w1', 'w2', 'w3'] ELSE [] END AS w FROM part),
+f AS (SELECT *, w[1:2] || list_filter([CASE WHEN pref THEN 'preferred' END, CASE WHEN a >= 0.85 THEN 'good_match' END, CASE WHEN unit THEN 'unit_component' ELSE 'several_components' END, CASE WHEN b >= 0.70 THEN 'best_price' END, CASE WHEN c >= 0.75 AND n > 0 THEN 'best_rated' END, CASE WHEN a >= 0.85 THEN 'traceable' END, CASE WHEN b >= 0.85 THEN 'reliable' END, CASE WHEN c >= 0.90 THEN 'other_shop' END, CASE WHEN a < 0.85 OR b < 0.85 THEN 'shown_often' END], lambda x: x IS NOT NULL) AS r FROM m)
+SELECT p_partkey, array_to_string(r[1:4], ' ') AS reasons, round((CASE WHEN budget THEN 0.24 ELSE 0.26 END * a)::DECIMAL(18, 9), 4)::DOUBLE AS component_match, round((CASE WHEN budget THEN 0.24 ELSE 0.16 END * (b + c) / 2)::DECIMAL(18, 9), 4)::DOUBLE AS price_stock, round((CASE WHEN budget THEN 0.02 ELSE 0.03 END * least(1, 2 * b))::DECIMAL(18, 9), 4)::DOUBLE AS verified_reviews, round(-c::DECIMAL(18, 9), 4)::DOUBLE AS restriction_penalty FROM f""")
 def d24_selection_reasons(t):
-    r = F.array(F.when(F.col("c_acctbal") > 5000, "rich"), F.when(F.col("c_nationkey") < 10, "near"), F.when(F.col("c_mktsegment") == "BUILDING", "builder"), F.when(F.col("c_custkey") % 2 == 0, "even"), F.when(F.col("c_custkey") % 3 == 0, "third"))
-    return t("customer").select("c_custkey", F.slice(F.array_compact(r), 1, 4).alias("reasons"))
+    """Parts as products: reasons and the parts of the score."""
+    s, k = F.col("p_size"), F.col("p_partkey")
+    a, b, c = s / 50.0, (k % 10) / 10.0, (k % 7) / 6.0
+    m = {"match": a, "price": b, "review": c, "review_count": s % 5, "traceability": a, "confidence": b, "shop_diversity": c, "product_exposure": a, "shop_exposure": b}
+    warnings = F.when(s % 6 == 0, F.array(*map(F.lit, ("w1", "w2", "w3"))))
+    reasons = S.selection_reasons(m, warnings, F.col("p_type") == "PROMO", s % 2 == 0, s % 2 == 1)
+    terms = {"component_match": a, "unit_product_preference": b, "price_stock": (b + c) / 2, "product_reviews": c, "catalog_quality": a, "pharmacy_diversity": c, "freshness": b, "exposure": a, "verified_reviews": 2 * b}
+    parts = S.score_breakdown(terms, k % 3 == 0, c, b)
+    return t("part").select("p_partkey", F.array_join(reasons, " ").alias("reasons"), parts.alias("_b")).select("p_partkey", "reasons", *[f"_b.{x}" for x in ("component_match", "price_stock", "verified_reviews", "restriction_penalty")])
 
 
 @query("""SELECT o_orderkey, bool_or(o_orderpriority = '1-URGENT') OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS blocked_so_far FROM orders""")
@@ -363,8 +372,10 @@ def l2_target_model(t):
 
 @query()
 def l1_one_vs_rest(t):
-    d = t("documents").select("doc_id", "n_chars", F.log1p("n_chars").alias("log_chars")).join(t("labels"), "doc_id")
-    return models.one_vs_rest(d, ["n_chars", "log_chars"], ["quality", "toxic"]).select("doc_id", "p_quality", "p_toxic")
+    """Two labels fitted together on numbers and a category; a fitted model isn't SQL."""
+    d = t("documents").select("doc_id", "lang", "n_chars", F.log1p("n_chars").alias("log_chars")).join(t("labels"), "doc_id")
+    model = multilabel.fit_labels(d, ["n_chars", "log_chars"], ["lang"], ["quality", "toxic"])
+    return model.predict(d).select("doc_id", "p_quality", "p_toxic")
 
 
 @query()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftspark.functions import scores as S
 from siftspark.functions import text as X
-from siftspark.operators import graph, ranking, safety
+from siftspark.operators import catalog, evaluation, graph, linkmodel, ranking, safety, survey
 from siftspark.plans.core import query
 from siftspark.sources import writers
 
@@ -55,10 +56,20 @@ def p11_applicability(t):
     return c.join(F.broadcast(r), (k == "any") | ((k == "lab") & (F.col("c_acctbal") > 5000)) | ((k == "segment") & (F.col("val") == F.col("c_mktsegment")))).select("c_custkey", "kind")
 
 
-@query("SELECT p_brand, list_sort(list_distinct(w || list_transform(w, lambda x: upper(x)))) AS expanded FROM (SELECT p_brand, list(DISTINCT split_part(p_name, ' ', 1)) AS w FROM part GROUP BY 1)")
+@query("""WITH v(seg, second) AS (VALUES ('BUILDING', 'lacteos'), ('MACHINERY', 'soya')), w AS (SELECT o_custkey, list_distinct(list(c_mktsegment) || list(o_orderpriority)) AS w FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1)
+SELECT o_custkey, array_to_string(list_sort(list_distinct(w || coalesce((SELECT list(second) FROM v WHERE list_contains(w, seg)), []))), ' ') AS expanded FROM w""")
 def p12_alias_expansion(t):
-    w = t("part").groupBy("p_brand").agg(F.collect_set(F.split("p_name", " ")[0]).alias("w"))
-    return w.select("p_brand", F.array_sort(F.array_union("w", F.transform("w", F.upper))).alias("expanded"))
+    """A customer's segment and priorities as restrictions, of which two have a second name."""
+    own = t("orders").join(t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey").groupBy("o_custkey").agg(F.array_union(F.collect_set("c_mktsegment"), F.collect_set("o_orderpriority")).alias("w"))
+    return own.select("o_custkey", F.array_join(F.array_sort(survey.with_aliases(F.col("w"), {"BUILDING": "lacteos", "MACHINERY": "soya"})), " ").alias("expanded"))
+
+
+@query("SELECT conv_id FROM (SELECT conv_id, to_json(list(role ORDER BY turn) FILTER (WHERE role = 'system')) AS a, to_json(list(turn ORDER BY turn)) AS b FROM conversations GROUP BY 1) WHERE json_type(coalesce(a, '[]')) = 'ARRAY' AND json_array_length(coalesce(a, '[]')) > 0 AND json_extract(b, '$[0]')::INT = 0 AND json_array_length(b) > 3")
+def p6_json_arrays(t):
+    """Conversations whose JSON of system turns is an array that isn't empty, and whose turns are more than three."""
+    of = lambda c, test: F.to_json(F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("turn", F.col(c).alias("own"))))), lambda x: x["own"]))
+    j = t("conversations").groupBy("conv_id").agg(of("role", F.col("role") == "system").alias("a"), of("turn", F.lit(True)).alias("b"))
+    return j.filter((F.json_array_length("a") > 0) & (F.get_json_object("b", "$[0]") == "0") & (F.json_array_length("b") > 3)).select("conv_id")
 
 
 @query("SELECT l_orderkey FROM (SELECT l_orderkey, bool_or(l_returnflag = 'R' AND l_discount > 0.05) AS blocked, max(l_quantity) AS q FROM lineitem GROUP BY 1) WHERE NOT blocked AND q > 10")
@@ -272,22 +283,58 @@ def d35_coverage_status(t):
     return n.withColumn("status", S.coverage_status(F.col("n"), 25))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'pending' WHEN o_totalprice > 400000 THEN 'rejected' WHEN o_orderpriority = '1-URGENT' THEN 'promotable' ELSE 'approved' END AS state FROM orders")
+@query("""WITH c AS (SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN ' ' ELSE p_brand END AS rs, CASE p_size % 3 WHEN 0 THEN 'true_rs_component' WHEN 1 THEN 'no_rs_component' END AS traced, CASE WHEN p_size % 5 = 0 THEN 'Name+brand' ELSE 'rs' END AS basis, CASE WHEN p_size % 2 = 0 THEN 'available' ELSE 'unknown' END AS shelf,
+  CASE p_size % 11 WHEN 0 THEN 'manual_rejected' WHEN 1 THEN 'approved_verified' WHEN 2 THEN 'other' END AS manual FROM part),
+s AS (SELECT *, CASE WHEN manual IN ('manual_rejected', 'approved_verified') THEN manual WHEN trim(rs) = '' THEN 'candidate_needs_rs' WHEN traced = 'true_rs_component' THEN 'approved_verified' WHEN contains(lower(basis), 'name') THEN 'candidate_name_match' ELSE 'approved_inferred' END AS catalog_status FROM c)
+SELECT p_partkey, catalog_status, trim(rs) <> '' AND coalesce(traced = 'true_rs_component', false) AND catalog_status <> 'manual_rejected' AS promotable,
+  array_to_string(list_filter([CASE WHEN trim(rs) <> '' THEN 'has_registration' ELSE 'registration_missing' END, CASE WHEN traced = 'true_rs_component' THEN 'component_traced' WHEN traced = 'no_rs_component' THEN 'matched_without_registration' END, CASE WHEN catalog_status = 'candidate_name_match' THEN 'match_needs_explanation' END, CASE WHEN shelf = 'unknown' THEN 'availability_not_ideal' END], lambda x: x IS NOT NULL), ' ') AS notes FROM s""")
 def d37_candidate_state(t):
-    s = F.when(F.col("o_orderstatus") == "P", "pending").when(F.col("o_totalprice") > 400000, "rejected").when(F.col("o_orderpriority") == "1-URGENT", "promotable").otherwise("approved")
-    return t("orders").select("o_orderkey", s.alias("state"))
+    """Parts as candidates of a catalog."""
+    s = F.col("p_size")
+    own = t("part").select(
+        "p_partkey",
+        F.when(s % 4 == 0, " ").otherwise(F.col("p_brand")).alias("registro_sanitario"),
+        F.when(s % 3 == 0, "true_rs_component").when(s % 3 == 1, "no_rs_component").alias("component_traceable"),
+        F.when(s % 5 == 0, "Name+brand").otherwise("rs").alias("match_basis"),
+        F.when(s % 2 == 0, "available").otherwise("unknown").alias("availability"),
+        F.when(s % 11 == 0, "manual_rejected").when(s % 11 == 1, "approved_verified").when(s % 11 == 2, "other").alias("manual_status"),
+    )
+    return catalog.candidate_states(own).select("p_partkey", "catalog_status", "promotable", F.array_join("notes", " ").alias("notes"))
 
 
-@query("SELECT p_name, CASE WHEN bool_or(p_type LIKE 'PROMO%') AND count(*) > 30 THEN 'category' WHEN count(DISTINCT p_brand) > 20 THEN 'generic' WHEN min(p_size) > 5 THEN 'mismatch' ELSE 'clean' END AS class FROM part GROUP BY 1")
+@query("""WITH r AS (SELECT p_partkey, p_name AS name, p_brand AS rs, CASE WHEN p_size % 3 = 0 THEN split_part(p_name, ' ', 2) WHEN p_size % 3 = 1 THEN p_name ELSE 'other thing' END AS reg, CASE WHEN p_type = 'PROMO' THEN 'promo' END AS category FROM part),
+n AS (SELECT rs, count(DISTINCT lower(name)) AS n, arg_min(reg, p_partkey) AS first FROM r GROUP BY 1), m AS (SELECT * FROM n WHERE n > 40 AND len(list_distinct(string_split(first, ' '))) < 2)
+SELECT p_partkey, CASE WHEN category IS NOT NULL THEN 'category:' || category WHEN m.n IS NOT NULL THEN 'fan_out:' || rs || ':' || first || ':' || m.n WHEN NOT list_has_any(string_split(name, ' '), string_split(reg, ' ')) THEN 'name:' || reg END AS reason FROM r LEFT JOIN m USING (rs)""")
 def d39_cleaning_class(t):
-    c = F.when(F.bool_or(F.col("p_type").startswith("PROMO")) & (F.count("*") > 30), "category").when(F.countDistinct("p_brand") > 20, "generic").when(F.min("p_size") > 5, "mismatch").otherwise("clean")
-    return t("part").groupBy("p_name").agg(c.alias("class"))
+    """Parts as products: the brand stands for the registration, a part of the name for the registered one."""
+    s, name = F.col("p_size"), F.col("p_name")
+    registered = F.when(s % 3 == 0, F.split_part("p_name", F.lit(" "), F.lit(2))).when(s % 3 == 1, name).otherwise("other thing")
+    rows = t("part").select("p_partkey", "p_name", "p_brand", registered.alias("registered"), "p_type")
+    return catalog.cleaning_reasons(rows, "p_brand", "p_name", "registered", F.when(F.col("p_type") == "PROMO", "promo"), "p_partkey", 40).select("p_partkey", "reason")
+
 
+TARGETS = [("anemia", "a", ["low", "critical_low"]), ("anemia", "b", ["low", "critical_low"]), ("thyroid", "c", ["low", "critical_low", "high", "critical_high"]), ("glucose", "d", ["high", "critical_high"])]
 
-@query("SELECT user_id, bool_or(value > 90) AS out_of_range, arg_max(event_type, (value > 90, ts, event_id)) AS deciding FROM events GROUP BY 1")
+
+@query("""WITH i AS (SELECT l_orderkey, ['a', 'b', 'c', 'd', 'e'][l_suppkey % 5 + 1] AS code, CASE WHEN l_quantity < 5 THEN 'critical_low' WHEN l_quantity < 15 THEN 'low' WHEN l_quantity > 40 THEN 'high' WHEN l_quantity > 38 THEN '' ELSE 'normal' END AS status, [l_linenumber, l_partkey, l_suppkey, l_quantity::INT] AS at_ FROM lineitem),
+s AS (SELECT l_orderkey, code, coalesce(arg_min(status, at_) FILTER (WHERE status IN ('low', 'critical_low', 'high')), arg_min(status, at_)) AS status FROM i WHERE status <> '' GROUP BY 1, 2),
+g(condition, code, low, high) AS (VALUES ('anemia', 'a', true, false), ('anemia', 'b', true, false), ('thyroid', 'c', true, true), ('glucose', 'd', false, true)),
+y AS (SELECT l_orderkey, condition, bool_or((low AND status IN ('low', 'critical_low')) OR (high AND status = 'high')) AS truth FROM s JOIN g USING (code) GROUP BY 1, 2),
+p AS (SELECT o_orderkey AS l_orderkey, 'system' AS predictor, CASE WHEN o_orderpriority = '1-URGENT' THEN 'anemia' WHEN o_orderpriority = '2-HIGH' THEN 'thyroid' ELSE 'glucose' END AS condition FROM orders UNION ALL SELECT o_orderkey, 'rules', 'anemia' FROM orders WHERE o_totalprice < 150000),
+b AS (SELECT y.condition, q.predictor, truth, p.condition IS NOT NULL AS said FROM y CROSS JOIN (VALUES ('system'), ('rules')) q(predictor) LEFT JOIN p ON p.l_orderkey = y.l_orderkey AND p.predictor = q.predictor AND p.condition = y.condition),
+n AS (SELECT condition, predictor, count(*) FILTER (WHERE said AND truth) AS tp, count(*) FILTER (WHERE said AND NOT truth) AS fp, count(*) FILTER (WHERE NOT said AND truth) AS fn, count(*) FILTER (WHERE NOT said AND NOT truth) AS tn FROM b GROUP BY 1, 2)
+SELECT *, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 4) END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 4) END AS recall, tp + fp >= 10 AND tp + fn >= 10 AS enough FROM n""")
 def d43_paired_truth(t):
-    high = F.col("value") > 90
-    return t("events").groupBy("user_id").agg(F.bool_or(high).alias("out_of_range"), F.max_by("event_type", F.struct(high.alias("a"), "ts", "event_id")).alias("deciding"))
+    """Orders as people: their lines are biomarkers, their priority and price two predictors."""
+    q, li, o = F.col("l_quantity"), t("lineitem"), t("orders")
+    status = F.when(q < 5, "critical_low").when(q < 15, "low").when(q > 40, "high").when(q > 38, "").otherwise("normal")
+    items = li.select("l_orderkey", F.get(F.array(*map(F.lit, "abcde")), (F.col("l_suppkey") % 5).cast("int")).alias("code"), status.alias("status"), "l_linenumber", "l_partkey", "l_suppkey", q.cast("int").alias("q"))
+    found = evaluation.statuses(items, "l_orderkey", "code", "status", ["l_linenumber", "l_partkey", "l_suppkey", "q"])
+    truth = evaluation.lab_truth(found, "l_orderkey", "code", li.sparkSession.createDataFrame(TARGETS, "condition string, code string, directions array<string>"))
+    p = F.col("o_orderpriority")
+    said = o.select(F.col("o_orderkey").alias("l_orderkey"), F.lit("system").alias("predictor"), F.when(p == "1-URGENT", "anemia").when(p == "2-HIGH", "thyroid").otherwise("glucose").alias("condition"))
+    rules = o.filter("o_totalprice < 150000").select(F.col("o_orderkey").alias("l_orderkey"), F.lit("rules").alias("predictor"), F.lit("anemia").alias("condition"))
+    return evaluation.paired(truth, said.unionByName(rules), "l_orderkey")
 
 
 @query("SELECT a, i AS part, round(avg(x), 6) AS mean FROM (SELECT e.a, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM (SELECT DISTINCT l_partkey % 100 AS a, 100 + l_suppkey % 100 AS b FROM lineitem WHERE l_quantity > 45) e JOIN embeddings ON vec_id = e.b) GROUP BY 1, 2")
@@ -326,3 +373,15 @@ def g3_audit_rows(t):
 def g4_consent(t):
     ok = F.col("c_acctbal") >= 0
     return t("customer").select("c_custkey", F.when(ok, F.col("c_name")).alias("c_name"), ok.alias("consent"))
+
+
+@query()
+def l5_link_scores(t):
+    """Scores of held-out pairs of parts that share an order, by a model of few epochs; a fitted model isn't SQL."""
+    li = t("lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    pairs = li.alias("x").join(li.alias("y"), (F.col("x.l_orderkey") == F.col("y.l_orderkey")) & (F.col("y.l_linenumber") == F.col("x.l_linenumber") + 1))
+    edges = linkmodel.split_edges(linkmodel.simple_edges(pairs.select(F.col("x.l_partkey").alias("a"), F.col("y.l_partkey").alias("b"))))
+    nodes = t("part").select(F.col("p_partkey").alias("node"))
+    examples = linkmodel.examples_of(edges, linkmodel.hashed_features(nodes, 8), 8, fan=5).persist(StorageLevel.DISK_ONLY)
+    model = linkmodel.train_links(examples, 8, hidden=8, out=8, epochs=3)
+    return linkmodel.scored_links(examples.filter("split = 'test'"), model)

@@ -86,10 +86,19 @@ def p17_validation_errors(t):
     return t("customer").select("c_custkey", e.alias("errors"))
 
 
-@query("SELECT p_size_bin, count(*) AS n FROM (SELECT CASE WHEN p_size <= 10 THEN 'xs' WHEN p_size <= 20 THEN 's' WHEN p_size <= 35 THEN 'm' ELSE 'l' END AS p_size_bin FROM part) GROUP BY 1")
+@query("""SELECT c_custkey, CASE WHEN a < 18 THEN 'menos_18' WHEN a <= 30 THEN '18_30' WHEN a <= 50 THEN '31_50' ELSE 'mas_50' END AS age, CASE WHEN w IS NULL THEN NULL WHEN w < 50 THEN 'menos_50' WHEN w <= 65 THEN '50_65' WHEN w <= 80 THEN '66_80' ELSE 'mas_80' END AS weight,
+  CASE WHEN s > 24 THEN NULL WHEN s < 5 THEN 'menos_5h' WHEN s < 7 THEN '5_7h' WHEN s < 9 THEN '7_9h' ELSE 'mas_9h' END AS sleep, CASE WHEN sun IS NULL THEN NULL WHEN sun < 15 THEN 'menos_15min' WHEN sun < 30 THEN '15_30min' WHEN sun <= 60 THEN '30_60min' ELSE 'mas_1h' END AS sun,
+  CASE WHEN v IN (7, 9) OR m IN (7, 9) OR (v = 1 AND d = 77) THEN NULL ELSE ['casi_nunca', '1_2_semana', '1_2_semana', '3_4_semana', '3_4_semana', 'diario', 'diario', 'diario'][least(7, greatest(CASE WHEN v = 1 THEN d ELSE 0 END, CASE WHEN m = 1 THEN 3 ELSE 0 END))::INT + 1] END AS exercise
+FROM (SELECT c_custkey, c_nationkey * 4 AS a, CASE WHEN c_acctbal > 0 THEN c_acctbal / 100 END AS w, c_custkey % 30 AS s, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 7 = 1 THEN c_nationkey * 5 ELSE (5 * (c_custkey % 90) + 2 * c_nationkey * 5) / 7 END AS sun,
+  [1, 2, 1, 7, 1][c_custkey % 5 + 1] AS v, [1, 2, 9][c_custkey % 3 + 1] AS m, [0, 1, 3, 5, 77, 9][c_custkey % 6 + 1] AS d FROM customer)""")
 def p19_bins(t):
-    s = F.col("p_size")
-    return t("part").groupBy(F.when(s <= 10, "xs").when(s <= 20, "s").when(s <= 35, "m").otherwise("l").alias("p_size_bin")).agg(F.count("*").alias("n"))
+    """Customers' numbers as the bins of a survey."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    of = lambda values, by: F.get(F.array(*map(F.lit, values)), (k % by).cast("int"))
+    work, free = F.when(k % 7 > 1, k % 90), F.when(k % 7 > 0, n * 5)
+    days = survey.exercise_days(of([1, 2, 1, 7, 1], 5), of([0, 1, 3, 5, 77, 9], 6), of([1, 2, 9], 3), F.lit(3))
+    bins = {"age": survey.bin_of(n * 4, survey.AGE), "weight": survey.bin_of(F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") / 100), survey.WEIGHT), "sleep": survey.sleep_bin(k % 30), "sun": survey.sun_bin(work, free), "exercise": survey.bin_of(days, survey.EXERCISE)}
+    return t("customer").select("c_custkey", *[c.alias(name) for name, c in bins.items()])
 
 
 @query("""WITH u(unit, factor) AS (VALUES ('kg', 1.0::DOUBLE), ('g', 0.001::DOUBLE), ('lb', 0.45359237::DOUBLE), ('oz', 0.0283495231::DOUBLE), ('st', 6.35029318::DOUBLE)),
