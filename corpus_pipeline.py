@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftspark.llm import line_dedup, minhash_dedup, packing, pu_quality, secret_scan
-from siftspark.llm._shared import small_batches, stored, table
+from siftspark.llm._shared import discard, scratch, small_batches, stored, table
 from siftspark.llm.queries import held_out_rows, tokenizer_file
 
 #: A document goes if its quality score is below this. Rejecting is final here, so doubtful ones stay: of held-out labelled
@@ -72,7 +72,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:  # what a stage stored on its way goes when its result stands
+            docs = keep(stored(stage(spark, docs, sf_dir), name))
+        if before:
+            discard(spark, before)
+        before = docs._sift_path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,8 +5,9 @@ of the universe; level 1 the unlisted ones that level 0 takes for listed; level
 unlisted; and so on until a level makes no mistake. Over that universe the cascade's answer is exact, and judging a
 page reads no list and joins nothing.
 
-The universe is cut into shards by hash, each with its own small cascade. Cascades are broadcast in groups of at most
-`pass_bytes`; beyond one group, the pages are judged in one pass per group.
+The universe is cut into shards by hash, each with its own small cascade. Cascades of at most `pass_bytes` together
+are broadcast. Larger ones are dealt out by shard, and the pages with them, in one scan: a task reads a shard's cascade
+first and then its pages as a stream. A shard with many pages is cut into parts, each of which gets the cascade.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftspark.llm._shared import ascii_lower, stored
+from siftspark.llm._shared import ascii_lower, scratch, stored
 
 #: Host, path prefix, verdict.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
@@ -26,6 +27,8 @@ RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/
 LISTED_WORDS = ("spam", "pills", "casino", "bets", "adult", "ads")
 #: Keys of a shard, and its bits a key at even and odd levels.
 SHARD_KEYS, BITS, HASHES = 100_000, (10, 3), (6, 2)
+#: Pages that a part of a shard should hold.
+PART_PAGES = 1_000_000
 
 
 def _positions(h1, h2, level: int, m: int, k: int):
@@ -120,48 +123,81 @@ def hosts_of(pages: DataFrame, url_col: str = "url") -> DataFrame:
     return pages.select(host_of(F.col(url_col)).alias("host")).distinct()
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, pass_bytes: int = 32 << 20) -> DataFrame:
+def _by_broadcast(rows: DataFrame, cascades: DataFrame, schema: str) -> DataFrame:
+    """rows (_id, host, path, shard, h1, h2) with `listed` in place of the last three; all cascades go to every executor."""
+    known: dict[int, list] = {}
+    for r in cascades.orderBy("shard", "level").collect():
+        known.setdefault(r.shard, []).append((r.bits, bytes(r.bitmap)))
+    sent = rows.sparkSession.sparkContext.broadcast(known)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            shard = batch.column(3).to_numpy()
+            h1, h2 = (batch.column(c).to_numpy().view(np.uint64) for c in (4, 5))
+            out = np.zeros(len(shard), bool)
+            for s in np.unique(shard):
+                m = shard == s
+                out[m] = holds(sent.value.get(int(s), []), h1[m], h2[m])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out)], ["_id", "host", "path", "listed"])
+
+    return rows.mapInArrow(ask, schema)
+
+
+def _by_shard(rows: DataFrame, cascades: DataFrame, schema: str, part_pages: int) -> DataFrame:
+    """The same for cascades of any size: rows and cascades meet by shard and part, the cascade's levels first."""
+    parts = rows.groupBy("shard").agg(F.ceil(F.count("*") / part_pages).alias("parts"))
+    of = F.pmod(F.xxhash64("_id", "host", "path"), F.col("parts"))
+    none = lambda t: F.lit(None).cast(t)
+    pages = rows.join(parts, "shard").select("shard", of.alias("part"), F.lit(1 << 30).alias("level"), none("long").alias("bits"), none("binary").alias("bitmap"), "_id", "host", "path", "h1", "h2")
+    id_type = rows.schema["_id"].dataType.simpleString()
+    levels = cascades.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    levels = levels.select("shard", "part", "level", "bits", "bitmap", none(id_type).alias("_id"), none("string").alias("host"), none("string").alias("path"), none("long").alias("h1"), none("long").alias("h2"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        at, known = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in (0, 1)])
+            level = batch.column(2).to_numpy()
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if at != tuple(keys[:, a]):
+                    at, known = tuple(keys[:, a]), []
+                first = a + int((level[a:b] < 1 << 30).sum())
+                known += [(batch.column(3)[i].as_py(), batch.column(4)[i].as_py()) for i in range(a, first)]
+                mine = batch.slice(first, b - first)
+                if mine.num_rows:
+                    h1, h2 = (mine.column(c).to_numpy().view(np.uint64) for c in (8, 9))
+                    yield pa.RecordBatch.from_arrays([*mine.columns[5:8], pa.array(holds(known, h1, h2))], ["_id", "host", "path", "listed"])
+
+    both = pages.unionByName(levels).repartition("shard", "part").sortWithinPartitions("shard", "part", "level")
+    return both.mapInArrow(ask, schema)
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, pass_bytes: int = 32 << 20, part_pages: int = PART_PAGES) -> DataFrame:
     """id_col, host, path, rule, verdict ("allow" or "block"), listed of every page.
 
     listed: the hosts to block, column host, A-Z in lower case; null and repeated ones, and those of no page, don't
     matter. The longest rule that fits decides; else a listed host is blocked, itself alone and not its subdomains. A
     null url, or one without "://", has an empty host and path; a url of any length is judged whole. Repeated rows and
-    null ids are judged each on their own, an empty table gives none, and other columns don't matter.
+    null ids are judged each on their own, an empty table gives none, and other columns don't matter. The cascades are
+    built when the function is called; the pages are then read once, whatever the list's size.
     """
-    spark = pages.sparkSession
     id_type = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    hosts = stored(hosts_of(pages, url_col), "hosts")
-    shards = max(1, math.ceil(hosts.count() / SHARD_KEYS))
-    cascades = stored(build_cascades(hosts, listed, shards), "cascades")
-    # shards are grouped so that what is collected and broadcast at a time stays under pass_bytes
-    sizes = cascades.agg(F.coalesce(F.sum(F.length("bitmap")), F.lit(0)).alias("n")).first().n
-    passes = max(1, math.ceil(sizes / pass_bytes))
-    judged = None
-    for k in range(passes):
-        found = cascades.filter(F.col("shard") % passes == k).orderBy("shard", "level").collect()
-        known: dict[int, list] = {}
-        for r in found:
-            known.setdefault(r.shard, []).append((r.bits, bytes(r.bitmap)))
-        sent = spark.sparkContext.broadcast(known)
-
-        def ask(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            import numpy as np
-
-            for batch in batches:
-                shard = batch.column(3).to_numpy()
-                h1, h2 = (batch.column(c).to_numpy().view(np.uint64) for c in (4, 5))
-                out = np.zeros(len(shard), bool)
-                for s in np.unique(shard):
-                    m = shard == s
-                    out[m] = holds(sent.value.get(int(s), []), h1[m], h2[m])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out)], ["_id", "host", "path", "listed"])
-
-        mine = rows.select("_id", "host", "path", _shard("host", shards).alias("shard"), F.xxhash64("host").alias("h1"), F.xxhash64(F.lit("second half"), "host").alias("h2"))
-        if passes > 1:
-            mine = mine.filter(F.col("shard") % passes == k)
-        part = mine.mapInArrow(ask, f"_id {id_type}, host string, path string, listed boolean")
-        judged = part if judged is None else judged.unionByName(part)
+    with scratch(pages.sparkSession) as keep:
+        hosts = stored(hosts_of(pages, url_col), "hosts")
+        shards = max(1, math.ceil(hosts.count() / SHARD_KEYS))
+        cascades = keep(stored(build_cascades(hosts, listed, shards), "cascades"))
+    size = cascades.agg(F.coalesce(F.sum(F.length("bitmap")), F.lit(0)).alias("n")).first().n
+    hashed = rows.select("_id", "host", "path", _shard("host", shards).alias("shard"), F.xxhash64("host").alias("h1"), F.xxhash64(F.lit("second half"), "host").alias("h2"))
+    schema = f"_id {id_type}, host string, path string, listed boolean"
+    judged = _by_broadcast(hashed, cascades, schema) if size <= pass_bytes else _by_shard(hashed, cascades, schema, part_pages)
     judged = judged.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce("_rule.verdict", F.when(F.col("listed"), "block").otherwise("allow"))
     return judged.select(F.col("_id").alias(id_col), "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "listed")

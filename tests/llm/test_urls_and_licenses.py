@@ -39,6 +39,21 @@ def test_a_list_of_its_own(spark):
     assert all((r.verdict == "block") == r.listed for r in got)
 
 
+def test_shards_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "SHARD_KEYS", 50)
+    rng = np.random.default_rng(4)
+    names = [f"h{rng.integers(1 << 40):x}.example" for _ in range(600)]
+    listed = {n for n in names if rng.random() < 0.3}
+    rows = [(i, f"https://{n}/{i % 7}") for i, n in enumerate(names)] + [(10_000 + i, f"https://{names[i % 2]}/hot/{i}") for i in range(900)] + [(None, None), (5, "https://alone")]  # two hosts hold most pages
+    df = spark.createDataFrame(rows, "page_id long, url string").repartition(7)
+    keys = spark.createDataFrame([(x,) for x in listed], "host string")
+    told = lambda **how: sorted(((r.page_id is None, r.page_id), r.host, r.path, r.verdict, r.listed) for r in url_filter.filter_urls(df, keys, **how).collect())
+    sharded = told(pass_bytes=0, part_pages=100)
+    assert sharded == told() and {x[1] for x in sharded if x[4]} == listed and len(sharded) == len(rows)
+    scans = url_filter.filter_urls(df, keys, pass_bytes=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert scans.count("MapInArrow") == 1
+
+
 def test_cascade_is_exact():
     rng = np.random.default_rng(3)
     for a, b in ((1000, 50_000), (1, 5), (0, 10), (10, 0), (5000, 100)):
