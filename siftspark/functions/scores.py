@@ -145,7 +145,9 @@ def pack_key(ids: Column) -> Column:
 
 
 def context_key(conditions: Column, healthy: str = "healthy", most: int = 3) -> Column:
-    return F.array_join(F.array_sort(F.slice(F.array_distinct(F.filter(conditions, lambda c: c != healthy)), 1, most)), "+")
+    """The first distinct conditions in their order, without blank and healthy ones (in any case), sorted and joined by `+`."""
+    own = F.filter(F.transform(F.coalesce(conditions, F.array().cast("array<string>")), lambda c: F.trim(c)), lambda c: c.isNotNull() & (c != "") & (F.upper(c) != healthy.upper()))
+    return F.array_join(F.array_sort(F.slice(F.array_distinct(own), 1, most)), "+")
 
 
 def hash_split(c: Column, percent: int = 50) -> Column:
@@ -223,3 +225,8 @@ def selection_reasons(m: dict[str, Column], restriction_warnings: Column, prefer
     }
     found = F.concat(F.slice(F.coalesce(restriction_warnings, F.array().cast("array<string>")), 1, 2), F.array_compact(F.array(*[F.when(t, F.lit(name)) for name, t in tests.items()])))
     return F.when(F.size(found) > 0, F.slice(found, 1, 4)).otherwise(F.array(F.lit("available")))
+
+
+def age_hours(at: Column, now: Column) -> Column:
+    """Hours from a time in ISO form (`Z`, an offset, or none for the session's zone) to now, two decimals; null for other texts."""
+    return F.round((F.unix_micros(now) - F.unix_micros(F.trim(at).try_cast("timestamp"))) / 3_600_000_000, 2)

@@ -197,3 +197,60 @@ def json_text(c: Column, skip: tuple[str, ...] = ("image", "thumb", "url", "link
         return x.map(one)
 
     return flat(c)
+
+
+#: Words that begin a line of a report about a person.
+HEADER_WORDS = (
+    "paciente", "nombre", "nombres", "apellido", "apellidos", "dni", "documento", "ci", "c.i", "c.i.", "pasaporte", "historia clinica", "historia clínica", "hc", "fecha de nacimiento",
+    "f nac", "f. nac", "f.nac", "fnac", "direccion", "dirección", "telefono", "teléfono", "celular", "correo", "email", "e-mail", "medico", "médico", "dr", "dr.", "dra", "dra.",
+)
+
+
+def redact_report(c: Column) -> Column:
+    """Lines about a person, then e-mail addresses, mobile numbers and identity numbers, in that order."""
+    words = "|".join(w.replace(".", "\\.").replace(" ", "\\s+") for w in sorted(HEADER_WORDS, key=len, reverse=True))
+    return redact(F.regexp_replace(c, rf"(?im)^[ \t]*(?:{words})(?![\p{{L}}0-9_]).*$", "[LINE]"))
+
+
+#: Parts of column names that stand for personal data.
+PERSONAL_NAMES = ("name", "nombre", "apellido", "dni", "document", "email", "correo", "phone", "telefono", "celular", "address", "direccion", "birth", "nacimiento")
+
+
+def personal_columns(columns: list[str], source_id: str = "source_case_id") -> list[str]:
+    """Columns whose names tell of personal data; the source's own id isn't one."""
+    return [c for c in columns if c.strip().lower() != source_id and any(p in c.strip().lower() for p in PERSONAL_NAMES)]
+
+
+def personal_values(columns: list[str], numbers: tuple[str, ...] = (), source_id: str = "source_case_id") -> Column:
+    """Findings `column:email` and `column:phone_like` in a row's values; numbers aren't searched for telephones, and an address hides a telephone."""
+    def one(c: str) -> Column:
+        text = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        phone = F.lit(False) if c in numbers else text.rlike(r"(?<![0-9])(?:[0-9][ \-]?){9,}(?![0-9])")
+        return F.when(text.rlike(r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"), f"{c}:email").when(phone, f"{c}:phone_like")
+
+    return F.array_compact(F.array(*[one(c) for c in columns if c != source_id]))
+
+
+#: Endings and parameters of image addresses, and what marks one that shows no product.
+IMAGE_ENDINGS, IMAGE_PARAMETERS = (".jpg", ".jpeg", ".png", ".webp"), ("format=jpg", "format=jpeg", "format=png", "format=webp", "fm=jpg", "fm=webp")
+NO_PRODUCT_PATH, NO_PRODUCT_HOST = ("placeholder", "default", "no-image", "no_image", "logo"), ("facebook", "google", "analytics", "tagmanager")
+
+
+def image_urls(html: Column, base: Column, most: int = 8) -> Column:
+    """The first distinct image addresses of a page: of src and data-src first, then bare ones; relative ones belong to the base. Those over 500 characters don't count."""
+    named = F.regexp_extract_all(html, F.lit(r"(?i)(?:data-)?src\s*=\s*[\"']([^\"']+)[\"']"), 1)
+    bare = F.regexp_extract_all(html, F.lit(r"(?i)(https?://[^\s\"'<>]+\.(?:jpg|jpeg|png|webp))"), 1)
+    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+    whole = lambda u: F.when(F.lower(u).rlike("^https?://"), u).when(u.startswith("//"), F.concat(F.lit("https:"), u)).when(u.startswith("/"), F.concat(root, u)).otherwise(F.concat(root, F.lit("/"), u))
+    path = lambda u: F.lower(F.regexp_extract(u, r"^[^?#]*", 0))
+    query = lambda u: F.lower(F.regexp_extract(u, r"\?([^#]*)", 1))
+    image = lambda u: (F.length(u) <= 500) & (path(u).rlike("(?:" + "|".join(e.replace(".", r"\.") for e in IMAGE_ENDINGS) + ")$") | query(u).rlike("|".join(IMAGE_PARAMETERS)))
+    return F.slice(F.array_distinct(F.filter(F.transform(F.concat(named, bare), lambda u: whole(F.trim(u))), image)), 1, most)
+
+
+def first_image(urls: Column) -> Column:
+    """The first address that may show a product; empty if none."""
+    host = lambda u: F.lower(F.regexp_extract(u, r"^https?://([^/?#]*)", 1))
+    rest = lambda u: F.lower(F.regexp_extract(u, r"^https?://[^/?#]*([^?#]*)", 1))
+    fine = F.filter(urls, lambda u: u.startswith("http") & ~rest(u).rlike("|".join(NO_PRODUCT_PATH)) & ~host(u).rlike("|".join(NO_PRODUCT_HOST)))
+    return F.coalesce(F.get(fine, F.lit(0)), F.lit(""))

@@ -158,3 +158,14 @@ def paired(truth: DataFrame, predicted: DataFrame, key: str, least: int = 10) ->
     n = both.groupBy("condition", "predictor").agg(*[F.count_if((F.col("_p") == p) & (F.col("truth") == y)).alias(name) for name, p, y in (("tp", True, True), ("fp", True, False), ("fn", False, True), ("tn", False, False))])
     share = lambda a, b: F.when(a + b > 0, F.round(a / (a + b), 4))
     return n.withColumn("precision", share(F.col("tp"), F.col("fp"))).withColumn("recall", share(F.col("tp"), F.col("fn"))).withColumn("enough", (F.col("tp") + F.col("fp") >= least) & (F.col("tp") + F.col("fn") >= least))
+
+
+def ablation(base: DataFrame, without: DataFrame, question: str, case: str, condition: str, questions: DataFrame, n_cases: int) -> DataFrame:
+    """(question, cases_changed, share_changed, lost, gained): what cases detect less and more without a question. base: case, condition; without: question, case, condition; questions: question, a small table."""
+    before = base.select(case, condition).distinct().crossJoin(F.broadcast(questions.select(question))).withColumn("_b", F.lit(1))  # as many rows as there are questions
+    after = without.select(question, case, condition).distinct().withColumn("_a", F.lit(1))
+    both = before.join(after, [question, case, condition], "full_outer")
+    per = both.groupBy(question, case).agg(F.count_if(F.col("_a").isNull()).alias("_lost"), F.count_if(F.col("_b").isNull()).alias("_gained"))
+    n = per.groupBy(question).agg(F.count_if((F.col("_lost") > 0) | (F.col("_gained") > 0)).alias("cases_changed"), F.sum("_lost").alias("lost"), F.sum("_gained").alias("gained"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return questions.select(question).join(n, question, "left").select(question, zero("cases_changed").alias("cases_changed"), F.round(zero("cases_changed") / n_cases, 3).alias("share_changed"), zero("lost").alias("lost"), zero("gained").alias("gained"))

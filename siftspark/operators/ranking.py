@@ -96,3 +96,12 @@ def reranked(packs_of: DataFrame, key: str, items: str, useful: DataFrame, stats
     final = parts.withColumn("score_final", a * F.col("score_gnn") + b * F.col("score_coverage") + c * F.col("score_feedback") + F.col("_bonus"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.round("score_final", 9).desc(), "pack_no"))
     return final.select(key, "pack_id", rank.alias("rank"), "score_final", "score_gnn", "score_coverage", "score_feedback", "feedback_count")
+
+
+def pack_stats(events: DataFrame, pack: str, components: str, score: Column, at: str) -> DataFrame:
+    """(pack_id, n, avg_score, avg_rating, last_feedback_at) of feedback events; an event without a pack's key gets that of its components, without those it doesn't count, nor does one without a score. The key is derived before anything is counted, so no averages are merged."""
+    ids = F.filter(F.coalesce(components, F.array().cast("array<string>")), lambda c: c.isNotNull() & (c != ""))
+    key = F.coalesce(F.col(pack), F.when(F.size(ids) > 0, S.pack_key(ids)))
+    own = events.select(key.alias("pack_id"), score.alias("_s"), F.col(at).alias("_at")).filter("pack_id IS NOT NULL AND _s IS NOT NULL")
+    n = own.groupBy("pack_id").agg(F.count("*").alias("n"), F.avg("_s").alias("avg_score"), F.max("_at").alias("last_feedback_at"))
+    return n.withColumn("avg_rating", 1 + 4 * F.col("avg_score"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from siftspark.functions import scores as S
 from siftspark.functions import text as X
-from siftspark.operators import catalog, extraction, features, models, multilabel, ranking, safety
+from siftspark.operators import catalog, evaluation, extraction, features, models, multilabel, ranking, rules, safety
+from siftspark.plans.analytics import _HITS, BASE, FIELDS, _fold, _hits, _rows
 from siftspark.plans.core import query
 
 _SAFE = [("metal", "BRASS|STEEL", None, "warn", "low", None), ("promo", "^PROMO", "small", "block", "high", 10.0), ("economy", "ECONOMY", None, "penalize", "high", None), ("standard", "STANDARD", "large", "penalize", "low", None)]
@@ -246,10 +247,15 @@ def j21_predicted_expected(t):
     return a.join(b, "code", "full_outer").select("code", F.when(F.col("a").isNull(), "unexpected").when(F.col("b").isNull(), "missed").when(F.col("a") != F.col("b"), "value").otherwise("right").alias("outcome"))
 
 
-@query("""SELECT o_custkey, round(sum(m * n) / sum(n), 4) AS merged, sum(n)::BIGINT AS n FROM (SELECT o_custkey, o_orderstatus, avg(o_totalprice) AS m, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1""")
+@query("""WITH p AS (SELECT l_orderkey, list_sort(list(DISTINCT l_partkey::VARCHAR)) AS parts FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1),
+e AS (SELECT CASE WHEN o_orderkey % 3 > 0 THEN 'pack_' || (o_custkey % 50) ELSE CASE WHEN parts IS NOT NULL THEN 'pack_' || substr(md5(array_to_string(parts, '|')), 1, 10) END END AS pack_id, CASE WHEN o_orderkey % 7 > 0 THEN (o_orderkey % 5) / 4 END AS score, o_orderdate FROM orders LEFT JOIN p ON l_orderkey = o_orderkey)
+SELECT pack_id, count(*) AS n, round(avg(score), 6) AS avg_score, max(o_orderdate) AS last_feedback_at FROM e WHERE pack_id IS NOT NULL AND score IS NOT NULL GROUP BY 1""")
 def a3_weighted_merge(t):
-    s = t("orders").groupBy("o_custkey", "o_orderstatus").agg(F.avg("o_totalprice").alias("m"), F.count("*").alias("n"))
-    return s.groupBy("o_custkey").agg(F.round(F.sum(F.col("m") * F.col("n")) / F.sum("n"), 4).alias("merged"), F.sum("n").alias("n"))
+    """Orders as feedback: every third has no pack's key, only its parts."""
+    parts = t("lineitem").filter("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.col("l_partkey").cast("string")).alias("parts"))
+    k = F.col("o_orderkey")
+    own = t("orders").join(parts, "o_orderkey", "left").withColumn("pack", F.when(k % 3 > 0, F.concat(F.lit("pack_"), (F.col("o_custkey") % 50).cast("string"))))
+    return ranking.pack_stats(own, "pack", "parts", F.when(k % 7 > 0, (k % 5) / 4), "o_orderdate").select("pack_id", "n", F.round("avg_score", 6).alias("avg_score"), "last_feedback_at")
 
 
 @query("SELECT event_type, count_if(value > 50)::BIGINT AS high, count_if(value <= 50)::BIGINT AS low, count(*) AS n FROM events GROUP BY 1")
@@ -270,15 +276,19 @@ def a13_wilson(t):
     return j.select("n_name", F.round(low, 4).alias("low"), F.round(high, 4).alias("high"))
 
 
-@query("""WITH a AS (SELECT l_orderkey, list(DISTINCT l_suppkey) AS s FROM lineitem WHERE l_discount > 0.02 GROUP BY 1), b AS (SELECT l_orderkey, list(DISTINCT l_suppkey) AS s FROM lineitem GROUP BY 1)
-SELECT l_orderkey, (len(b.s) - coalesce(len(list_intersect(a.s, b.s)), 0))::INT AS lost, 0 AS gained FROM b LEFT JOIN a USING (l_orderkey)""")
+@query(_HITS + f""", qs(q) AS (SELECT unnest({FIELDS})), base(cond, threshold) AS (VALUES {_rows(BASE)}), pf AS (SELECT '|' || c_custkey AS k, cond, field, sum(weight) AS w FROM h GROUP BY ALL UNION ALL SELECT q || '|' || c_custkey, cond, field, sum(weight) FROM h, qs WHERE field <> q GROUP BY ALL),
+s AS (WITH {_fold("pf", "k")} SELECT split_part(k, '|', 1) AS q, split_part(k, '|', 2) AS c, cond FROM scored JOIN base USING (cond) WHERE score >= 0.7 * threshold),
+b AS (SELECT qs.q, c, cond FROM s, qs WHERE s.q = ''), a AS (SELECT * FROM s WHERE q <> ''), f AS (SELECT coalesce(a.q, b.q) AS q, coalesce(a.c, b.c) AS c, count(*) FILTER (WHERE a.c IS NULL) AS lost, count(*) FILTER (WHERE b.c IS NULL) AS gained FROM a FULL JOIN b ON a.q = b.q AND a.c = b.c AND a.cond = b.cond GROUP BY 1, 2)
+SELECT qs.q AS question, count(*) FILTER (WHERE lost > 0 OR gained > 0) AS cases_changed, round(count(*) FILTER (WHERE lost > 0 OR gained > 0) / (SELECT count(*) FROM customer), 3) AS share_changed, coalesce(sum(lost), 0)::BIGINT AS lost, coalesce(sum(gained), 0)::BIGINT AS gained FROM qs LEFT JOIN f ON f.q = qs.q GROUP BY 1""")
 def a26_ablation(t):
-    li = t("lineitem")
-    a = li.filter("l_discount > 0.02").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("a"))
-    b = li.groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("b"))
-    none = F.array().cast("array<bigint>")
-    j = b.join(a, "l_orderkey", "left").withColumn("a", F.coalesce("a", none))
-    return j.select("l_orderkey", F.size(F.array_except("b", "a")).alias("lost"), F.size(F.array_except("a", "b")).alias("gained"))
+    """What customers' scores by family detect without each field; without a family, its proxy may count."""
+    h, _, f, p = _hits(t)
+    spark = h.sparkSession
+    questions = spark.createDataFrame([(q,) for q in FIELDS], "question string")
+    asked = h.withColumn("question", F.explode(F.array(F.lit(""), *map(F.lit, FIELDS)))).filter("question != field").withColumn("_k", F.concat_ws("|", "question", "c_custkey"))
+    scores = rules.family_scores(asked.select("_k", "cond", "field", "op", "weight"), "_k", f, p).join(spark.createDataFrame(BASE, "cond string, threshold double"), "cond").filter(F.col("score") >= 0.7 * F.col("threshold"))
+    found = scores.select(F.split_part("_k", F.lit("|"), F.lit(1)).alias("question"), F.split_part("_k", F.lit("|"), F.lit(2)).alias("case"), "cond")
+    return evaluation.ablation(found.filter("question = ''"), found.filter("question != ''"), "question", "case", "cond", questions, t("customer").count())
 
 
 @query("""SELECT count(*) AS products, count_if(p_size > 10)::BIGINT AS sized, round(count_if(p_retailprice > 1000) / count(*), 4) AS dear_share, count(DISTINCT p_brand) AS brands, CASE WHEN count_if(p_size <= 2) / count(*) > 0.01 THEN 'small_sizes' ELSE '' END AS warnings FROM part""")
@@ -348,10 +358,16 @@ def m29_json_access(t):
     return t("events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.get_json_object("props", "$.k").isNotNull().alias("has_k"), F.get_json_object("props", "$.none").alias("none"))
 
 
-@query("SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '2001-09-01')::INT AS age_days, CASE WHEN d <= 7 THEN 1.0 WHEN d <= 30 THEN 0.85 WHEN d <= 90 THEN 0.65 ELSE 0.45 END::DOUBLE AS freshness FROM (SELECT *, date_diff('day', o_orderdate::DATE, DATE '2001-09-01') AS d FROM orders)")
+@query("""WITH o AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || 'Z' WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+02:00' WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE 'n/a' END AS text, o_orderdate AS d FROM orders)
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE date_diff('hour', d, TIMESTAMP '2001-09-01 12:00:00') + CASE WHEN o_orderkey % 4 = 1 THEN 2 ELSE 0 END END::DOUBLE AS hours,
+  CASE WHEN o_orderkey % 4 = 3 THEN 0.45 WHEN date_diff('day', d, TIMESTAMP '2001-09-01 12:00:00') <= 7 THEN 1.0 WHEN date_diff('day', d, TIMESTAMP '2001-09-01 12:00:00') <= 30 THEN 0.85 WHEN date_diff('day', d, TIMESTAMP '2001-09-01 12:00:00') <= 90 THEN 0.65 ELSE 0.45 END::DOUBLE AS freshness FROM o""")
 def m28_age(t):
-    d = F.datediff(F.lit("2001-09-01").cast("date"), F.to_date("o_orderdate"))
-    return t("orders").select("o_orderkey", d.alias("age_days"), S.freshness(d).alias("freshness"))
+    """Order dates as texts in three ISO forms and one that is none; their age in hours and freshness in days."""
+    k, d = F.col("o_orderkey") % 4, F.col("o_orderdate")
+    form = F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss")
+    text = F.when(k == 0, F.concat(form, F.lit("Z"))).when(k == 1, F.concat(form, F.lit("+02:00"))).when(k == 2, F.date_format(d, "yyyy-MM-dd")).otherwise("n/a")
+    hours = S.age_hours(text, F.lit("2001-09-01 12:00:00").cast("timestamp"))
+    return t("orders").select("o_orderkey", hours.alias("hours"), S.freshness(F.coalesce(F.floor((hours - F.when(k == 1, 2).otherwise(0)) / 24), F.lit(999))).alias("freshness"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) = 0 THEN 'rejected' ELSE 'accepted' END AS state, concat_ws(';', CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}') THEN 'mail' END, CASE WHEN length(text) < 100 THEN 'short' END) AS reasons FROM documents")
@@ -382,3 +398,46 @@ def l1_one_vs_rest(t):
 def l6_recalibration(t):
     d = t("documents").join(t("labels"), "doc_id").select("doc_id", F.least(F.lit(1.0), F.col("n_chars") / 4000.0).alias("p"), "quality")
     return models.recalibrated(d, "p", "quality").select("doc_id", "p", "calibrated")
+
+
+_LABS, _DIET, _SYMPTOMS = ["lab_iron_status", "lab_zinc_status", "lab_none_status"], ["fish", "meat", "fruit"], ["s1", "s2", "s3"]
+
+
+@query("""WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'low' WHEN c_custkey % 3 = 1 THEN 'missing' END AS iron, CASE WHEN c_nationkey > 9 THEN 'normal' END AS zinc, CASE WHEN c_custkey % 4 > 0 THEN c_nationkey END AS fish, CASE WHEN c_custkey % 5 = 0 THEN -1 ELSE 2 END AS meat, c_custkey % 6 AS s1, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey % 6 END AS s2 FROM customer),
+d AS (SELECT *, (coalesce(iron, 'missing') <> 'missing')::INT AS i, (zinc IS NOT NULL)::INT AS z, (coalesce(fish, -1) >= 0)::INT AS f, (meat >= 0)::INT AS m FROM c)
+SELECT c_custkey, f AS fish_reported, i AS lab_iron_observed, CASE WHEN z = 1 THEN 30 ELSE 999 END AS lab_zinc_age_days, 0 AS lab_none_observed, 3 - f - m AS diet_quantity_missing_count, i + z AS observed_lab_count, 3 - i - z AS missing_lab_count, round((s1 + coalesce(s2, 0)) / 3, 3) AS symptom_burden_score, (s1 >= 4)::INT + (coalesce(s2, 0) >= 4)::INT AS high_symptom_count FROM d""")
+def d7_prepared_features(t):
+    """Customers' fields as answers; one laboratory, one quantity and one symptom aren't in the table."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    own = t("customer").select("c_custkey", F.when(k % 3 == 0, "low").when(k % 3 == 1, "missing").alias("lab_iron_status"), F.when(n > 9, "normal").alias("lab_zinc_status"), F.when(k % 4 > 0, n).alias("fish"), F.when(k % 5 == 0, -1).otherwise(2).alias("meat"), (k % 6).alias("s1"), F.when(k % 2 == 0, n % 6).alias("s2"))
+    out = features.prepared(own, "c_custkey", _DIET, _LABS, _SYMPTOMS)
+    return out.select("c_custkey", "fish_reported", "lab_iron_observed", "lab_zinc_age_days", "lab_none_observed", "diet_quantity_missing_count", "observed_lab_count", "missing_lab_count", "symptom_burden_score", "high_symptom_count")
+
+
+@query(r"""WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '<img src="/a/Logo.png"><img data-src=''b/' || page_id || '.JPG''> http://cdn.x.io/z.webp?q' WHEN 1 THEN '<img src="//cdn.io/p?fm=jpg&i=' || page_id || '">' ELSE '' END || html AS html, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)', 1) AS root FROM pages),
+u AS (SELECT page_id, root, regexp_extract_all(html, '(?i)(?:data-)?src\s*=\s*["'']([^"'']+)["'']', 1) || regexp_extract_all(html, '(?i)(https?://[^\s"''<>]+\.(?:jpg|jpeg|png|webp))', 1) AS u FROM p),
+w AS (SELECT page_id, list_distinct(list_filter(list_transform(u, lambda x: CASE WHEN regexp_matches(lower(trim(x)), '^https?://') THEN trim(x) WHEN starts_with(trim(x), '//') THEN 'https:' || trim(x) WHEN starts_with(trim(x), '/') THEN root || trim(x) ELSE root || '/' || trim(x) END), lambda x: length(x) <= 500 AND (regexp_matches(lower(split_part(split_part(x, '#', 1), '?', 1)), '\.(jpg|jpeg|png|webp)$') OR regexp_matches(lower(x), '\?[^#]*(format=jpg|format=jpeg|format=png|format=webp|fm=jpg|fm=webp)')))) AS w FROM u)
+SELECT page_id, array_to_string(list_sort(w), ' ') AS images, coalesce(CASE page_id % 5 WHEN 0 THEN list_filter(w, lambda x: NOT contains(lower(x), 'logo') AND contains(x, '.JPG'))[1] ELSE list_filter(w, lambda x: contains(x, 'cdn.io'))[1] END, '') AS first_image FROM w""")
+def f19_images(t):
+    """Image addresses of pages, of which two in five get some before their own markup."""
+    i, n = F.col("page_id") % 5, F.col("page_id").cast("string")
+    more = F.when(i == 0, F.concat(F.lit('<img src="/a/Logo.png"><img data-src=\'b/'), n, F.lit(".JPG'> http://cdn.x.io/z.webp?q"))).when(i == 1, F.concat(F.lit('<img src="//cdn.io/p?fm=jpg&i='), n, F.lit('">'))).otherwise("")
+    urls = X.image_urls(F.concat(more, "html"), F.col("url"))
+    return t("pages").select("page_id", urls.alias("u")).select("page_id", F.array_join(F.array_sort("u"), " ").alias("images"), X.first_image(F.col("u")).alias("first_image"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN doc_id % 3 = 0 THEN 'Paciente: ' || lang || chr(10) || ' DR. X' || chr(10) ELSE 'Drama y ' END || text, '(?im)^[ 	]*(?:paciente|nombres?|apellidos?|dni|documento|ci|c\.i\.?|pasaporte|historia\s+cl[ií]nica|hc|fecha\s+de\s+nacimiento|f\s+nac|f\.\s+nac|f\.?nac|direcci[oó]n|tel[eé]fono|celular|correo|e-?mail|m[eé]dico|dra?\.?)(?:[^\pL0-9_
+].*)?$', '[LINE]', 'g'),
+  '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '9[0-9]{8}', '[PHONE]', 'g'), '[0-9]{8}', '[ID]', 'g') AS text FROM documents""")
+def f21_redact_report(t):
+    """Whole documents as reports, of which every third begins with lines about a person."""
+    head = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Paciente: "), "lang", F.lit("\n DR. X\n"))).otherwise("Drama y ")
+    return t("documents").select("doc_id", X.redact_report(F.concat(head, "text")).alias("text"))
+
+
+@query(r"SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}') THEN 'text:email' WHEN regexp_matches(text, '(^|[^0-9])([0-9][ \-]?){8,}[0-9]([^0-9]|$)') THEN 'text:phone_like' END], lambda x: x IS NOT NULL), ' ') AS findings, 'c_name' AS personal_columns FROM documents")
+def f22_personal_columns(t):
+    """Values of documents, and the columns of customers whose names tell of persons."""
+    d = t("documents")
+    found = F.array_join(X.personal_values(["doc_id", "text", "lang", "n_chars"], ("doc_id", "n_chars")), " ")
+    return d.select("doc_id", found.alias("findings"), F.lit(" ".join(X.personal_columns(t("customer").columns))).alias("personal_columns"))

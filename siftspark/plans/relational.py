@@ -516,10 +516,13 @@ def m21_hash_split(t):
     return t("part").select("p_partkey", S.hash_split(key).alias("split"), F.substring(F.sha2(F.concat(F.lit("salt"), F.col("p_partkey").cast("string")).cast("binary"), 256), 1, 16).alias("case_id"))
 
 
-@query("""SELECT o_custkey, array_to_string(list_sort(list_distinct(list(o_orderpriority) FILTER (WHERE o_orderpriority <> '5-LOW'))[1:9]), '+') AS priorities FROM orders GROUP BY 1""")
+@query("""WITH o AS (SELECT o_custkey, o_orderpriority AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_orderpriority <> '5-LOW'),
+f AS (SELECT o_custkey, c, min(n) AS n FROM o GROUP BY 1, 2), k AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n) <= 3)
+SELECT o_custkey, coalesce(string_agg(c, '+' ORDER BY c) FILTER (WHERE c IS NOT NULL), '') AS priorities FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN k USING (o_custkey) GROUP BY 1""")
 def m19_context_key(t):
-    key = F.array_join(F.array_sort(F.collect_set(F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")))), "+")
-    return t("orders").groupBy("o_custkey").agg(F.when(F.count_if(F.col("o_orderpriority") != "5-LOW") > 0, key).alias("priorities"))
+    """A customer's first three priorities by date, 5-LOW as the healthy one."""
+    own = F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"])
+    return t("orders").groupBy("o_custkey").agg(own.alias("c")).select("o_custkey", S.context_key(F.col("c"), "5-low").alias("priorities"))
 
 
 @query("""SELECT c_custkey, round(142 * pow(least(c / k, 1), a) * pow(greatest(c / k, 1), -1.2) * pow(0.9938, age) * f, 3) AS egfr FROM (SELECT c_custkey, abs(c_acctbal) / 5000 + 0.3 AS c, 20 + c_custkey % 60 AS age,
