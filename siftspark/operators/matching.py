@@ -33,7 +33,7 @@ def token_candidates(left: DataFrame, right: DataFrame, left_text: str, right_te
     a = left.select(left_id, F.array_sort(tokens(F.col(left_text))).alias("_a"))
     b = right.select(right_id, F.array_sort(tokens(F.col(right_text))).alias("_b"))
     asks, there = a.select("_a").distinct().withColumn("_w", F.explode("_a")), b.select("_b").distinct().withColumn("_w", F.explode("_b"))
-    hot = F.broadcast(there.groupBy("_w").agg(F.ceil(F.count("*") / 1000).alias("_parts")).filter("_parts > 1"))
+    hot = there.groupBy("_w").agg(F.ceil(F.count("*") / 1000).alias("_parts")).filter("_parts > 1")
     parts = F.coalesce("_parts", F.lit(1))
     asks = asks.join(hot, "_w", "left").select("_w", "_a", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_part"))
     there = there.join(hot, "_w", "left").select("_w", "_b", F.pmod(F.xxhash64("_b"), parts).alias("_part"))

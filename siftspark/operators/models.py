@@ -80,11 +80,15 @@ def mapped_features(df: DataFrame, key: str, names: dict[str, str], factors: dic
 
 
 def target_risks(df: DataFrame, key: str, models: dict[str, PipelineModel], numbers: list[str], contract: str, wanted: str, excluded: tuple[str, ...] = ()) -> DataFrame:
-    """key, target, probability of every model but the excluded ones, falling by probability within a key (ties by target). A model of another contract version is refused."""
+    """key, target, probability and place of every model but the excluded ones; places fall by probability within a row (ties by target), and rows stay where they are. A model of another contract version is refused."""
     if contract != wanted:
         raise ValueError(f"models of contract {contract}, features of {wanted}")
-    parts = [predict(m, df, numbers, "probability").select(key, F.lit(target).alias("target"), "probability") for target, m in sorted(models.items()) if target not in excluded]
-    return functools.reduce(DataFrame.unionByName, parts).orderBy(key, F.desc("probability"), "target")
+    own, scores = df, []
+    for i, (target, m) in enumerate(sorted(models.items())):
+        if target not in excluded:
+            own = predict(m, own, numbers, f"_p{i}")
+            scores.append(F.struct((-F.col(f"_p{i}")).alias("_o"), F.lit(target).alias("target"), F.col(f"_p{i}").alias("probability")))
+    return own.select(key, F.posexplode(F.array_sort(F.array(*scores))).alias("_at", "_s")).select(key, "_s.target", "_s.probability", (F.col("_at") + 1).alias("place"))
 
 
 def recalibrated(df: DataFrame, probability: str, label: str, out: str = "calibrated") -> DataFrame:

@@ -8,6 +8,8 @@ from siftspark.functions import text as X
 from siftspark.operators import aliases, label_rules, labs, matching, recommend
 from siftspark.plans.core import query
 from siftspark.plans.domain import _DETECTED, _detected, _values
+from siftspark.sources import versions
+from siftspark.streaming import ingest
 
 #: Biomarkers with their definitions: code, safety condition, supplement.
 BIOMARKERS = [("ferritin", None, "iron"), ("iron", None, "iron"), ("hemoglobin", None, None), ("hematocrit", None, None), ("calcium", None, "calcium"), ("tsh", "thyroid", None), ("vitamin_d", None, "vitamin_d")]
@@ -150,3 +152,36 @@ def d40_label_states(t):
     at = [F.expr(_status(i).replace("//", "DIV")).cast("int") for i in range(len(_FIELDS))]
     cases = c.select("c_custkey", *[F.get(F.array(*map(F.lit, _SEEN)), a).alias(f) for a, f in zip(at, _FIELDS, strict=True)])
     return label_rules.labels(cases, "c_custkey").select("c_custkey", "condition", "state", "label_source", "confidence")
+
+
+_REFUSED = """WITH e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_type AS kind, CASE WHEN event_id % 97 = 0 THEN 's' || user_id ELSE 'session-' || user_id END AS session, CASE WHEN event_id % 53 = 0 THEN 'Step' ELSE 'step_' || (event_id % 4) END AS step, (event_id % 210)::INT AS position FROM events),
+c AS (SELECT user_id, n, CASE WHEN length(session) < 8 THEN 'invalid survey_session_id' WHEN step = 'Step' THEN 'invalid step_key' WHEN position > 200 THEN 'invalid position' END AS why FROM e)
+SELECT user_id, count(*) AS n, CASE WHEN count(*) > 65 THEN 'too_many_events' ELSE arg_min(why, n) FILTER (WHERE why IS NOT NULL) END AS reason FROM c GROUP BY 1"""
+
+
+@query(_REFUSED)
+def e1_refused_requests(t):
+    """A user's events as one request of survey events, of at most 65."""
+    e, i = t("events"), F.col("event_id")
+    session = F.concat(F.when(i % 97 == 0, "s").otherwise("session-"), F.col("user_id").cast("string"))
+    step = F.when(i % 53 == 0, "Step").otherwise(F.concat(F.lit("step_"), (i % 4).cast("string")))
+    event = F.struct(session.alias("survey_session_id"), step.alias("step_key"), F.lit("view").alias("event_type"), (i % 210).cast("int").alias("position"), F.lit(None).cast("int").alias("visible_steps"), F.lit(None).cast("string").alias("contract_version"))
+    own = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", event.alias("e")))), lambda x: x["e"]).alias("events"))
+    return own.select("user_id", F.size("events").cast("long").alias("n"), ingest.refusal(F.col("events"), ingest.survey_checks, 65).alias("reason"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_partkey % 30 AS c, l_suppkey AS s, l_extendedprice AS price, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM lineitem),
+i AS (SELECT l_orderkey, n, c, (n - 1) // 3 + 1 AS pack, (n - 1) % 3 + 1 AS rank FROM l),
+p AS (SELECT l_orderkey, (n - 1) // 3 + 1 AS pack, c, arg_max(s, n) AS product, arg_max(price, n) AS price FROM l GROUP BY 1, 2, 3)
+SELECT 'r' || l_orderkey AS recommendation_id, 'pack_' || pack AS pack_key, rank, 'c' || c AS component_id, 's' || product AS product_id, price AS price_at_recommendation FROM i JOIN p USING (l_orderkey, pack, c)""")
+def s19_pack_items(t):
+    """Orders as nested responses, three lines a pack; every line offers a product for its component."""
+    li = t("lineitem")
+    component = F.concat(F.lit("c"), (F.col("l_partkey") % 30).cast("string"))
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", component.alias("component_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("product_id"), F.col("l_extendedprice").alias("price"))
+    lines = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("l"))
+    pack = lambda k: F.slice("l", k * 3 - 2, 3)
+    packs = F.transform(F.sequence(F.lit(1), F.ceil(F.size("l") / 3).cast("int")), lambda k: F.struct(F.lit("").alias("pack_id"), k.alias("rank"), F.lit(None).cast("double").alias("score_final"), F.transform(pack(k), lambda x: F.struct(x["component_id"].alias("component_id"), F.lit("n").alias("name"))).alias("components"), F.transform(pack(k), lambda x: F.struct(x["component_id"].alias("component_id"), x["product_id"].alias("product_id"), x["price"].alias("price"), F.lit("yes").alias("availability"))).alias("selected_products")))
+    none = F.array().cast("array<struct<component_id:string,name:string,reason:string,score:double,type:string,condition:string>>")
+    responses = lines.select(F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("recommendation_id"), F.lit(1).alias("user_id"), F.array(F.lit("x")).alias("conditions"), none.alias("recommendations"), packs.alias("packs_ranked"))
+    return versions.response_tables(responses)["pack_items"].select("recommendation_id", "pack_key", "rank", "component_id", "product_id", "price_at_recommendation")
