@@ -52,7 +52,7 @@ def j8_evidence_recommendations(t):
     return recommend.evidence_recommendations(d, "l_orderkey", d.sparkSession.createDataFrame(LINKS, _LINK_FIELDS))
 
 
-_VECTORS = "v AS (SELECT 'c' || vec_id AS component, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 150), seeds AS (SELECT DISTINCT l_orderkey AS k, 'c' || (l_partkey % 150) AS component FROM lineitem WHERE l_orderkey % 10 = 0), edges AS (SELECT DISTINCT 'c' || (l_partkey % 150) AS a, 'c' || (l_suppkey % 150) AS b FROM lineitem WHERE l_quantity > 45)"
+_VECTORS = "v AS (SELECT 'c' || vec_id AS component, embedding::DOUBLE[] AS e FROM embeddings), seeds AS (SELECT DISTINCT o_custkey AS k, 'c' || (l_partkey % 500) AS component FROM lineitem JOIN orders ON o_orderkey = l_orderkey), edges AS (SELECT DISTINCT 'c' || (l_partkey % 500) AS a, 'c' || (l_suppkey * 5 % 500) AS b FROM lineitem WHERE l_quantity > 45)"
 
 
 @query(f"""WITH {_VECTORS}, own AS (SELECT k, component, e FROM seeds JOIN v USING (component)),
@@ -65,11 +65,12 @@ u AS (SELECT *, row_number() OVER (PARTITION BY k, canonical ORDER BY rk) AS rn
 z AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY rk) AS place FROM u WHERE rn = 1)
 SELECT k, component, round(sim, 4) AS similarity, round(sim * 0.45, 4) AS score, place FROM z WHERE place <= 3""")
 def d16_similar_components(t):
-    name = lambda c: F.concat(F.lit("c"), (F.col(c) % 150).cast("string"))
+    """Customers' parts are seeds, all embeddings the components."""
+    name = lambda c: F.concat(F.lit("c"), (c % 500).cast("string"))
     li = t("lineitem")
-    seeds = li.filter("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("k"), name("l_partkey").alias("component")).distinct()
-    vectors = t("embeddings").filter("vec_id < 150").select(F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("component"), F.col("embedding").cast("array<double>").alias("embedding"))
-    edges = li.filter("l_quantity > 45").select(name("l_partkey").alias("a"), name("l_suppkey").alias("b")).distinct()
+    seeds = li.join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("k")), "l_orderkey").select("k", name(F.col("l_partkey")).alias("component")).distinct()
+    vectors = t("embeddings").select(F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("component"), F.col("embedding").cast("array<double>").alias("embedding"))
+    edges = li.filter("l_quantity > 45").select(name(F.col("l_partkey")).alias("a"), name(F.col("l_suppkey") * 5).alias("b")).distinct()
     equivalents = vectors.filter("component LIKE '%5'").select("component", F.lit("c_five").alias("canonical"))
     return recommend.similar_components(seeds, "k", vectors, edges, equivalents, least=0.1)
 
