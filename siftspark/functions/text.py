@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html.entities
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,12 +37,38 @@ def holds_phrase(text: Column, phrase: Column) -> Column:
     return F.contains(F.concat(F.lit(" "), plain_text(text), F.lit(" ")), F.concat(F.lit(" "), plain_text(phrase), F.lit(" ")))
 
 
-def strip_tags(html: Column) -> Column:
-    """Text of markup: scripts and styles go, tags become spaces, the five basic entities are read, white space collapses."""
-    text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), r"(?s)<[^>]*>", " ")
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(sign))
-    return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
+def _code_point(c: Column) -> Column:
+    """The character of a code point; the replacement character for what is none."""
+    fine = c.between(1, 0x10FFFF) & ~c.between(0xD800, 0xDFFF)
+    return F.when(fine, F.decode(F.unhex(F.lpad(F.hex(c.cast("long")), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+
+def unescaped(c: Column) -> Column:
+    """Entities of markup as characters, once: `&name;` of the names that HTML 4 knows, `&#10;` and `&#xA;`; others stay as they are."""
+    names = F.create_map(*[F.lit(x) for name, code in html.entities.name2codepoint.items() for x in (name, chr(code))], F.lit("apos"), F.lit("'"))
+    sign = r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+    def read(part: Column) -> Column:
+        name = F.regexp_extract(part, "^" + sign, 1)
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).when(name.startswith("#"), F.substr(name, F.lit(2)))
+        known = F.when(number.isNotNull(), _code_point(number.try_cast("long"))).otherwise(F.get(F.map_values(F.map_filter(names, lambda k, _: k == name)), F.lit(0)))
+        return F.when(name == "", part).otherwise(F.concat(F.coalesce(known, F.concat(F.lit("&"), name, F.lit(";"))), F.substr(part, F.length(name) + 3)))
+
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(F.split(c, f"(?={sign})"), read), "")).otherwise(c)
+
+
+def strip_tags(markup: Column) -> Column:
+    """Text of markup: scripts and styles go, tags become spaces, entities are read, white space collapses."""
+    text = F.regexp_replace(F.regexp_replace(markup, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), r"(?s)<[^>]*>", " ")
+    return F.trim(F.regexp_replace(unescaped(text), r"[ \t\r\n\u00a0]+", " "))
+
+
+def table_rows(markup: Column) -> Column:
+    """The rows of the table that has the most, each an array of its cells' texts; null without a table. Cells that span others count once, tables within tables aren't told apart."""
+    cells = lambda row: F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<t[dh](?:\s[^>]*)?>(.*?)(?=<t[dh][\s>]|</t[dhr]>|$)"), 1), strip_tags)
+    rows = lambda table: F.filter(F.transform(F.regexp_extract_all(table, F.lit(r"(?is)<tr(?:\s[^>]*)?>(.*?)(?=<tr[\s>]|</tr>|$)"), 1), cells), lambda r: F.size(r) > 0)
+    tables = F.transform(F.regexp_extract_all(markup, F.lit(r"(?is)<table(?:\s[^>]*)?>(.*?)</table>"), 1), rows)
+    return F.array_max(F.transform(tables, lambda t: F.struct(F.size(t).alias("n"), t.alias("rows"))))["rows"]
 
 
 def redact(c: Column) -> Column:

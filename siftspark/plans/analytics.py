@@ -302,8 +302,8 @@ def f19_title_and_links(t):
     return t("pages").select("page_id", X.title(F.col("html")).alias("title"), F.size(X.links(F.col("html"))).alias("n_links"))
 
 
-@query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
-  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \\t\\r\\n]+', ' ', 'g')) AS text FROM pages""")
+@query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '[ \\t\\r\\n]+', ' ', 'g')) AS text FROM pages""")
 def f4_strip_tags(t):
     return t("pages").select("page_id", X.strip_tags(F.col("html")).alias("text"))
 

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftspark.functions import text
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -33,14 +35,27 @@ def read_strings(spark: SparkSession, path: str, columns: list[str] | None = Non
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """CSV, tab-separated text, JSON or Parquet, by the file's name."""
+    """CSV, tab-separated text, JSON, Parquet, or the largest table of a page, by the file's name."""
     kind = path.rsplit(".", 1)[-1].lower()
+    if kind in ("html", "htm"):
+        return read_page_table(spark, path, columns)
     if kind in ("csv", "txt", "tsv"):
         return read_strings(spark, path, columns, "\t" if kind == "tsv" else None)
     df = spark.read.option("multiLine", kind == "json").format("json" if kind in ("json", "jsonl") else "parquet").load(path)
     return df.select(*columns) if columns else df
 
 
+def read_page_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """The largest table of each page, every column a string, named by the first row; blanks are null. Pages without a table are an error if none has one."""
+    rows = spark.read.text(path, wholetext=True).select(text.table_rows(F.col("value")).alias("_rows")).filter("_rows IS NOT NULL")
+    first = rows.select(F.get("_rows", F.lit(0)).alias("names")).head()
+    if first is None:
+        raise ValueError(f"no table in {path}")
+    cells = rows.select(F.explode(F.slice("_rows", F.lit(2), F.size("_rows"))).alias("_c"))
+    own = {name: F.when(F.get("_c", F.lit(i)) != "", F.get("_c", F.lit(i))) for i, name in enumerate(first.names)}
+    return cells.select(*[own.get(c, F.lit(None).cast("string")).alias(c) for c in columns or list(own)])
+
+
 def by_alias(df: DataFrame, aliases: dict[str, list[str]], required: tuple[str, ...] = ()) -> DataFrame:
     """Columns under their canonical names, the first alias that is there and not null; a missing required one is an error."""
     low = {c.lower(): c for c in df.columns}

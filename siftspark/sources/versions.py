@@ -42,7 +42,7 @@ class Tables:
         if not known or number is not None and number not in known:
             return {"number": 0, "tables": {}, "ledger": {}}
         path = f"{self.root}/_versions/{number or known[-1]:012d}.json"
-        return json.loads("\n".join(r.value for r in self.spark.read.option("wholetext", True).text(path).collect()))
+        return json.loads("\n".join(r.value for r in self.spark.read.text(path, wholetext=True).collect()))
 
     def names(self) -> list[str]:
         return sorted(self.version()["tables"])

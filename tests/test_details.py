@@ -123,3 +123,25 @@ def test_ablation(spark):
     qs = spark.createDataFrame([("q",), ("r",), ("s",)], "question string")
     got = {r.question: (r.cases_changed, r.share_changed, r.lost, r.gained) for r in evaluation.ablation(base, without, "question", "case", "condition", qs, 4).collect()}
     assert got == {"q": (2, 0.5, 1, 1), "r": (0, 0.0, 0, 0), "s": (2, 0.5, 3, 0)}
+
+
+def test_entities(spark):
+    import html
+
+    texts = ["a &amp; b &lt;c&gt; &eacute;&ntilde; &copy;&middot;", "&#65;&#x42;&#x1F600; &#8364;", "&amp;lt; &nope; &; & &#xZZ; &apos;", "none", "", None, "&#0; &#xD800; end&"]
+    got = column(spark, texts, "string", X.unescaped)
+    assert got[:2] == [html.unescape(t) for t in texts[:2]]
+    assert got[2:] == ["&lt; &nope; &; & &#xZZ; '", "none", "", None, "\ufffd \ufffd end&"]
+
+
+def test_tables_of_pages(spark, tmp_path):
+    from siftspark.sources import readers
+
+    small, large = "<table><tr><td>x</td></tr></table>", "<TABLE class=a><thead><tr><th>Name<th>RS &amp; co</tr></thead><tr><td>Zinc <b>plus</b></td><td> </td></tr>\n<tr><td>Iron</td><td>N&eacute;1</td><td>more</td></tr></TABLE>"
+    (tmp_path / "a.html").write_text(f"<html>{small}<p>{large}</html>")
+    got = readers.read_table(spark, f"{tmp_path}/a.html")
+    assert got.columns == ["Name", "RS & co"] and sorted(map(tuple, got.collect())) == [("Iron", "N\u00e91"), ("Zinc plus", None)]
+    assert [tuple(r) for r in readers.read_table(spark, f"{tmp_path}/a.html", ["RS & co", "none"]).filter("`RS & co` IS NOT NULL").collect()] == [("N\u00e91", None)]
+    (tmp_path / "b.htm").write_text("<p>nothing</p>")
+    with pytest.raises(ValueError, match="no table"):
+        readers.read_table(spark, f"{tmp_path}/b.htm")
