@@ -282,3 +282,15 @@ def first_image(urls: Column) -> Column:
     rest = lambda u: F.lower(F.regexp_extract(u, r"^https?://[^/?#]*([^?#]*)", 1))
     fine = F.filter(urls, lambda u: u.startswith("http") & ~rest(u).rlike("|".join(NO_PRODUCT_PATH)) & ~host(u).rlike("|".join(NO_PRODUCT_HOST)))
     return F.coalesce(F.get(fine, F.lit(0)), F.lit(""))
+
+
+def tagged(expression: Column, tag: str = "[tiab]") -> Column:
+    """Each alternative of an OR with a field's tag, in brackets; an expression with an AND stays as it is."""
+    parts = F.transform(F.split(expression, " OR "), lambda p: F.concat(F.trim(p), F.lit(tag)))
+    return F.concat(F.lit("("), F.when(F.contains(expression, F.lit(" AND ")), expression).otherwise(F.array_join(parts, " OR ")), F.lit(")"))
+
+
+def search_query(term: Column, outcome: Column, claim_type: Column, study_filter: str, tag: str = "[tiab]") -> Column:
+    """A literature search: the component's terms and the outcome's, repletion for claims of a deficiency, and the filter of studies; null without terms or outcome."""
+    more = F.when(F.coalesce(claim_type.startswith("deficiency"), F.lit(False)), " AND (supplement*[tiab] OR repletion[tiab] OR treatment[tiab])").otherwise("")
+    return F.when((term != "") & (outcome != ""), F.concat(tagged(term, tag), F.lit(" AND "), tagged(outcome), more, F.lit(f" AND {study_filter}")))

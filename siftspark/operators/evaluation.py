@@ -169,3 +169,11 @@ def ablation(base: DataFrame, without: DataFrame, question: str, case: str, cond
     n = per.groupBy(question).agg(F.count_if((F.col("_lost") > 0) | (F.col("_gained") > 0)).alias("cases_changed"), F.sum("_lost").alias("lost"), F.sum("_gained").alias("gained"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     return questions.select(question).join(n, question, "left").select(question, zero("cases_changed").alias("cases_changed"), F.round(zero("cases_changed") / n_cases, 3).alias("share_changed"), zero("lost").alias("lost"), zero("gained").alias("gained"))
+
+
+def parser_report(original: DataFrame, parsed: DataFrame, key: str, value: str) -> DataFrame:
+    """One row: products, those with at least one ingredient, their share, and all and distinct ingredients. A null ingredient is none."""
+    total = original.agg(F.countDistinct(key).alias("total_products"))
+    found = parsed.filter(F.col(value).isNotNull()).agg(F.countDistinct(key).alias("products_with_ingredient"), F.count("*").alias("total_ingredients"), F.countDistinct(value).alias("unique_ingredients"))
+    share = F.when(F.col("total_products") > 0, F.round(F.col("products_with_ingredient") / F.col("total_products"), 4)).otherwise(0.0)
+    return total.crossJoin(found).withColumn("coverage_rate", share)  # a row each

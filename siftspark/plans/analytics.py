@@ -406,6 +406,8 @@ def j15_attached_turns(t):
     return t("conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.transform(turns, lambda x: x["role"]).alias("roles"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("SELECT lang, count(*) AS n, count(DISTINCT source) AS sources, round(avg(n_chars), 3) AS mean_chars FROM documents GROUP BY 1")
+@query("""SELECT (SELECT count(DISTINCT p_partkey) FROM part) AS total_products, count(DISTINCT l_partkey) AS products_with_ingredient, count(*) AS total_ingredients, count(DISTINCT l_suppkey) AS unique_ingredients, round(count(DISTINCT l_partkey) / (SELECT count(DISTINCT p_partkey) FROM part), 4) AS coverage_rate FROM lineitem WHERE l_discount > 0.09""")
 def a22_text_report(t):
-    return t("documents").groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"), F.round(F.avg("n_chars"), 3).alias("mean_chars"))
+    """Parts as products, their suppliers as ingredients where a line's discount is high."""
+    parsed = t("lineitem").select(F.col("l_partkey").alias("p_partkey"), F.when(F.col("l_discount") > 0.09, F.col("l_suppkey")).alias("ingredient"))
+    return evaluation.parser_report(t("part"), parsed, "p_partkey", "ingredient")

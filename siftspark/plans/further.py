@@ -200,10 +200,16 @@ def f29_scalar_parse(t):
     return t("events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("number"), F.coalesce(F.col("event_type").try_cast("double"), F.lit(-1.0)).alias("parsed"))
 
 
-@query("SELECT p_type, array_to_string(list(DISTINCT '\"' || split_part(p_name, ' ', 1) || '\"' ORDER BY '\"' || split_part(p_name, ' ', 1) || '\"'), ' OR ') AS search FROM part GROUP BY 1")
+@query("""WITH p AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN replace(p_name, ' ', ' OR ') WHEN 1 THEN replace(p_name, ' ', ' AND ') WHEN 2 THEN p_name ELSE '' END AS term, CASE p_size % 3 WHEN 0 THEN 'fatigue OR  tiredness' ELSE 'pain' END AS outcome, CASE WHEN p_type = 'PROMO' THEN 'deficiency_low' ELSE 'use' END AS claim FROM part),
+q AS (SELECT *, CASE WHEN contains(term, ' AND ') THEN '(' || term || ')' ELSE '(' || array_to_string(list_transform(string_split(term, ' OR '), lambda x: trim(x) || '[ti]'), ' OR ') || ')' END AS a, '(' || array_to_string(list_transform(string_split(outcome, ' OR '), lambda x: trim(x) || '[tiab]'), ' OR ') || ')' AS b FROM p)
+SELECT p_partkey, CASE WHEN term <> '' THEN a || ' AND ' || b || CASE WHEN claim = 'deficiency_low' THEN ' AND (supplement*[tiab] OR repletion[tiab] OR treatment[tiab])' ELSE '' END || ' AND humans[mh]' END AS search FROM q""")
 def f30_search_expression(t):
-    quoted = F.concat(F.lit('"'), F.split("p_name", " ")[0], F.lit('"'))
-    return t("part").groupBy("p_type").agg(F.array_join(F.array_sort(F.collect_set(quoted)), " OR ").alias("search"))
+    """Searches of parts' names, joined by OR, by AND, or as they are."""
+    s, name = F.col("p_size"), F.col("p_name")
+    joined = lambda word: F.replace(name, F.lit(" "), F.lit(f" {word} "))
+    term = F.when(s % 4 == 0, joined("OR")).when(s % 4 == 1, joined("AND")).when(s % 4 == 2, name).otherwise("")
+    query = X.search_query(term, F.when(s % 3 == 0, "fatigue OR  tiredness").otherwise("pain"), F.when(F.col("p_type") == "PROMO", "deficiency_low").otherwise("use"), "humans[mh]", "[ti]")
+    return t("part").select("p_partkey", query.alias("search"))
 
 
 @query("SELECT l_partkey, round((n * m + 20 * 0.7) / (n + 20), 8)::DOUBLE AS smoothed FROM (SELECT l_partkey, count(*) AS n, avg(l_discount * 10) AS m FROM lineitem GROUP BY 1)")

@@ -145,3 +145,12 @@ def test_tables_of_pages(spark, tmp_path):
     (tmp_path / "b.htm").write_text("<p>nothing</p>")
     with pytest.raises(ValueError, match="no table"):
         readers.read_table(spark, f"{tmp_path}/b.htm")
+
+
+def test_searches_and_parser_reports(spark):
+    df = spark.createDataFrame([("iron OR  ferrous", "fatigue", "deficiency_low"), ("iron AND zinc", "a OR b", None), ("", "x", "use"), (None, "x", "use")], "t string, o string, c string")
+    got = [r.q for r in df.select(X.search_query(F.col("t"), F.col("o"), F.col("c"), "rct[pt]", "[ti]").alias("q")).collect()]
+    assert got == ["(iron[ti] OR ferrous[ti]) AND (fatigue[tiab]) AND (supplement*[tiab] OR repletion[tiab] OR treatment[tiab]) AND rct[pt]", "(iron AND zinc) AND (a[tiab] OR b[tiab]) AND rct[pt]", None, None]
+    original, parsed = spark.createDataFrame([(1,), (2,), (2,), (3,)], "k int"), spark.createDataFrame([(1, "a"), (1, "b"), (2, None), (3, "a")], "k int, i string")
+    assert tuple(evaluation.parser_report(original, parsed, "k", "i").select("total_products", "products_with_ingredient", "total_ingredients", "unique_ingredients", "coverage_rate").first()) == (3, 2, 3, 2, 0.6667)
+    assert evaluation.parser_report(original.limit(0), parsed.limit(0), "k", "i").first().coverage_rate == 0.0
