@@ -167,8 +167,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     spans: array of (label, first_word, end_word) that templates accept. score: the largest share of mandatory words in
-    an accepted span, 0.5 where only a phrase stands, else 0. A null text counts as empty: no words, empty labels. Repeated
-    rows give repeated results, an empty table none; other columns don't matter. One scan, without a shuffle.
+    an accepted span, 0.5 where only a phrase stands, else 0. A null text counts as empty: no words, empty labels. A text
+    of any length is taken whole. Repeated rows give repeated results, null ids are passed on, an empty table gives none;
+    other columns don't matter. One scan, without a shuffle.
     """
     automata = [compile_template(*t) for t in templates]
     named = [(p.encode().split(b" "), label) for p, label in phrases.items()]

@@ -71,7 +71,7 @@ def apply_line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A line is frequent if more than max(host_least, host_share * the host's distinct documents) of the host's documents
     hold it. count_copies: whether documents of one text count each, or as one. kept is false if a base rule fails or
     less than `least_left` of the words stay. A null text has no words and fails; a text of any length is taken whole; a
-    null host is a host of its own; repeated rows of one id and text are one document in the counts and each get a row;
+    null hosts together are one host; repeated rows of one id and text are one document in the counts and each get a row;
     null ids are passed on, and those of one text are one document. An empty table gives none, and other columns don't
     matter.
     """

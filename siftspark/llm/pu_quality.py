@@ -191,8 +191,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, id_col:
     Positives are the rows of labels with label 1 and no held_out; unlabelled are all rows not held out. The model is
     fitted on `fit_rows` of each at most, those with the smallest hashes. Null, empty and very long texts are scored by
     the model like any other, whole. Without any positive every score is 0.5. Labels of ids that docs lacks, null labels
-    and contradicting labels (an id with both) are no positives. Repeated rows are scored alike; an empty table gives
-    none; other columns don't matter, whatever their names. held_out is an expression over id_col.
+    and contradicting labels (an id with both) are no positives. Repeated rows are scored alike; null ids are passed on,
+    and no label is theirs; an empty table gives none; other columns don't matter, whatever their names. held_out is an expression over id_col.
     """
     ids, model = _trained(docs, labels, held_out, id_col, text_col, label_col, fit_rows)
     own = ["_id", "_t1", "_t2", "held_out"]

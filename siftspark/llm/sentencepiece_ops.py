@@ -353,7 +353,7 @@ def decode_ids(ids, pieces: Pieces) -> str:
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", decoded_col: str | None = None) -> DataFrame:
     """One row per row of docs: id_col, ids (binary: little-endian unsigned 32-bit), n_pieces, and the ids' text as decoded_col, if named.
 
-    A null or empty text has no pieces. Repeated rows are encoded each, null ids are passed on, an empty table gives
+    A null or empty text has no pieces; a text of any length is encoded whole. Repeated rows are encoded each, null ids are passed on, an empty table gives
     none, and other columns don't matter. One scan, without a shuffle.
     """
     id_type = docs.schema[id_col].dataType.simpleString()

@@ -147,8 +147,8 @@ def top_k(
     """query_id, rank, <id_col>, score: each query row's k best other rows, ties to the smaller id.
 
     Vectors that are null or hold a null or non-finite component, and null ids, take no part. Shorter vectors count as
-    padded with zeros; an overlong one makes every block longer, and groups then hold fewer vectors. Repeated rows of one
-    id are scored each; a query never meets a row of its own id. An empty table gives none, and other columns don't
+    padded with zeros; an overlong one makes every block longer, and groups then hold fewer vectors. Scores are right up to 64 bits: vectors of so large
+    components that a sum of products leaves them aren't meant. Repeated rows of one id are scored each; a query never meets a row of its own id. An empty table gives none, and other columns don't
     matter. The stated queries are dealt in chunks against groups of blocks, both of bounded size; only the pivots, a
     bounded sample, are sent to every task. scored: counts the blocks that were scored, over all queries.
     """
