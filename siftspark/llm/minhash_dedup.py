@@ -128,10 +128,10 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: every larger neighbour goes to the smallest of the neighbourhood
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "large")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         now = stored(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "edges")
         # small star: every node and its smaller neighbours go to the smallest
-        least = stored(now.groupBy("u").agg(F.min("v").alias("m")), "small")
+        least = now.groupBy("u").agg(F.min("v").alias("m"))
         star = now.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = stored(star.filter("u != v").distinct(), "edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
