@@ -63,12 +63,14 @@ def current_doses(items: DataFrame, key: str, name: str, taken: DataFrame, keywo
 
     taken: key, place, supplement, amount, unit; keywords: supplement, keyword; a small dimension. The first taken
     supplement of which a keyword stands in the item's name counts. Vitamin D in micrograms counts forty units each.
+    What a person takes is one row's array and meets the items by the key alone: items need no row ids, which would be
+    others each time they are read.
     """
     words = keywords.groupBy("supplement").agg(F.collect_set(F.lower("keyword")).alias("_words"))
-    own = items.withColumn("_row", F.monotonically_increasing_id())
-    pairs = own.select("_row", key, F.lower(F.col(name)).alias("_n")).join(taken, key).join(words, "supplement").filter(F.exists("_words", lambda w: F.contains(F.col("_n"), w)))
-    first = pairs.groupBy("_row").agg(F.min(F.struct("place", "supplement", "amount", "unit")).alias("_t"))
-    rows = own.join(first, "_row", "left").withColumn("supplement", F.col("_t.supplement"))
+    of = taken.join(words, "supplement").groupBy(key).agg(F.collect_list(F.struct("place", "supplement", "amount", "unit", "_words")).alias("_taken"))
+    named = F.filter("_taken", lambda t: F.exists(t["_words"], lambda w: F.contains(F.lower(F.col(name)), w)))
+    first = F.array_min(F.transform(named, lambda t: F.struct(*[t[c].alias(c) for c in ("place", "supplement", "amount", "unit")])))
+    rows = items.join(of, key, "left").withColumn("_t", first).withColumn("supplement", F.col("_t.supplement"))
     unit = F.lower(F.coalesce("_t.unit", F.lit("")))
     amount = F.when(F.col("_t.amount") > 0, F.col("_t.amount") * F.when((F.col("supplement") == "vitamina_d") & unit.rlike("mcg|µg"), 40.0).otherwise(1.0))
     low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
