@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import random
 
-from siftspark.operators import decisions
+from siftspark.operators import decisions, recommend
 
 
 def test_current_doses_of_rows_in_any_order(spark):
@@ -28,3 +29,21 @@ def test_current_doses_of_repeated_items_and_the_first_taken(spark):
     words = spark.createDataFrame([("vitamina_d", "Vitamina D"), ("magnesio", "magnesio")], "supplement string, keyword string")
     got = decisions.current_doses(items, "k", "name", taken, words).collect()
     assert sorted(((r.k, r.supplement, r.dose_status, r.blocked) for r in got), key=str) == [(1, "vitamina_d", "unknown", True), (1, "vitamina_d", "unknown", True), (2, None, None, False), (None, None, None, False)]
+
+
+def test_item_ratings_add_rewards_in_their_order(spark):
+    rows = [(i % 5, "c", r, float(i % 5 + 1), i) for i, r in enumerate([0.1, 0.3, 0.2, 0.9, 1.0, 0.7, 0.0, 0.6, 0.5, 0.4, 0.8] * 40)]
+    one_by_one = lambda values: functools.reduce(lambda a, b: a + b, values) / len(values)
+    want = {k: one_by_one([r[2] for r in rows if r[0] == k]) for k in range(5)}
+    assert want != {k: one_by_one(sorted(r[2] for r in rows if r[0] == k)) for k in range(5)}  # so the order matters here
+    for parts in (1, 3, 7):
+        votes = spark.createDataFrame(random.Random(parts).sample(rows, len(rows)), "item int, context string, reward double, rating double, at int").repartition(parts)
+        per, every = recommend._means(votes, "item", "context", ["reward", "rating"], ["at"])
+        assert {r.item: tuple(r._c) for r in per.collect()} == {r.item: tuple(r._g) for r in every.collect()} == {k: (v, k + 1.0, 88) for k, v in want.items()}
+
+
+def test_item_ratings_round_scaled_doubles(spark):
+    rewards = [0.3] * 41 + [0.4] * 19  # give 0.42374999999999996, and that times 10,000 is 4237.5
+    votes = spark.createDataFrame([(1, "c", r, 3.0, i) for i, r in enumerate(rewards)], "item int, context string, reward double, rating double, at int")
+    got = recommend.item_ratings(spark.createDataFrame([(1, "c")], "item int, context string"), votes, "item", "context", "reward", "rating", order=["at"]).first()
+    assert (got.rating_score, got.stars, got.rating_level, got.rated) == (0.4238, 3.0, "context", 60)
