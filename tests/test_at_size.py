@@ -5,6 +5,9 @@ from __future__ import annotations
 import functools
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from siftspark.operators import decisions, recommend
 
 
@@ -47,3 +50,42 @@ def test_item_ratings_round_scaled_doubles(spark):
     votes = spark.createDataFrame([(1, "c", r, 3.0, i) for i, r in enumerate(rewards)], "item int, context string, reward double, rating double, at int")
     got = recommend.item_ratings(spark.createDataFrame([(1, "c")], "item int, context string"), votes, "item", "context", "reward", "rating", order=["at"]).first()
     assert (got.rating_score, got.stars, got.rating_level, got.rated) == (0.4238, 3.0, "context", 60)
+
+
+def test_similar_components_of_more_vectors_than_one_cell_holds(spark):
+    n = 100_500  # each vector stands twice, so names decide
+    vectors = spark.range(n).selectExpr("concat('c', id) AS component", "transform(sequence(0, 2), i -> cast(xxhash64(id % 50250, i) % 1000 / 1000D as float)) AS embedding")
+    seeds = spark.createDataFrame([(1, "c1"), (1, "c2"), (2, "c1"), (2, "c2"), (2, "c2"), (3, "c7")], "k int, component string")
+    rows = vectors.collect()
+    m, names = np.array([r.embedding for r in rows], float), np.array([r.component for r in rows])
+    want = []
+    for k, own in ((1, ["c1", "c2"]), (2, ["c1", "c2"]), (3, ["c7"])):
+        c = m[[int(o[1:]) for o in own]].mean(axis=0)
+        sim = (m * c).sum(axis=1) / (np.sqrt((m * m).sum(axis=1)) * np.sqrt((c * c).sum()) + 1e-8)
+        sim[[int(o[1:]) for o in own]] = -1
+        best = np.lexsort((names, -sim.round(12)))[:20]
+        want += [(k, names[b], round(float(sim[b]), 4), i + 1) for i, b in enumerate(best[:3])]
+    edges = vectors.select(F.col("component").alias("a"), F.explode(F.array(F.lit("c1"), F.lit("c7"))).alias("b"))
+    none = spark.createDataFrame([], "component string, canonical string")
+    got = recommend.similar_components(seeds, "k", vectors, edges, none).collect()
+    assert sorted((r.k, r.component, r.similarity, r.place) for r in got) == sorted(want)
+
+
+def test_nearest_is_the_same_in_cells_of_any_size(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    m, c = rng.normal(size=(600, 8)), rng.normal(size=(90, 8))
+    own = [[f"c{j}" for j in rng.integers(0, 600, 4)] for _ in range(90)]
+    vectors = spark.createDataFrame([(f"c{i}", v.tolist()) for i, v in enumerate(m)] + [("none", None)], "component string, embedding array<double>")
+    centres = spark.createDataFrame([(i, v.tolist(), o) for i, (v, o) in enumerate(zip(c, own, strict=True))], "k int, _c array<double>, _own array<string>")
+    sim = (c @ m.T) / (np.sqrt((c * c).sum(axis=1))[:, None] * np.sqrt((m * m).sum(axis=1)) + 1e-8)
+    for i, o in enumerate(own):
+        sim[i, [int(x[1:]) for x in o]] = -1
+    want = {(i, f"c{j}", rank + 1) for i, row in enumerate(sim) for rank, j in enumerate(np.argsort(-row)[:5]) if row[j] >= 0.3}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for keys, columns in ((1000, 1000), (20, 1000), (1000, 50), (20, 50)):
+            monkeypatch.setattr(recommend, "CELL_KEYS", keys)
+            monkeypatch.setattr(recommend, "CELL_VECTORS", columns)
+            assert {(r.k, r.component, r["_rank"]) for r in recommend._nearest(centres, "k", vectors, 0.3, 5).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
