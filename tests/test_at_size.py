@@ -8,7 +8,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from siftspark.operators import decisions, recommend
+from siftspark.operators import decisions, ranking, recommend
 
 
 def test_current_doses_of_rows_in_any_order(spark):
@@ -89,3 +89,32 @@ def test_nearest_is_the_same_in_cells_of_any_size(spark, monkeypatch):
             assert {(r.k, r.component, r["_rank"]) for r in recommend._nearest(centres, "k", vectors, 0.3, 5).collect()} == want
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_packs_with_equal_components_share_a_selection(spark, monkeypatch):
+    rng = random.Random(5)
+    offers = [(c, rng.randrange(12), rng.randrange(3), rng.randrange(10) / 10, rng.random() < 0.2) for c in range(6) for _ in range(5)]
+    offers = list({o[:3]: o for o in offers}.values())
+    kinds = [rng.sample(range(7), rng.randrange(1, 5)) for _ in range(12)]  # component 6 has no offers
+    packs = [(i, kinds[i % 12]) for i in range(300)]
+
+    def greedy(components):
+        used, shops, out = set(), [], []
+        for slot, c in enumerate(components, 1):
+            before = list(shops)
+            ranked = sorted((o for o in offers if o[0] == c and not o[4]), key=lambda o: (-(o[3] + 0.06 * max(0.35, 1 - 0.20 * before.count(o[2]))), o[1], o[2]))
+            for o in ranked:
+                if o[1] not in used and sum(x[0] == slot for x in out) < 2:
+                    used.add(o[1])
+                    shops.append(o[2])
+                    out.append((slot, o[1], o[2]))
+        return out
+
+    computed = []
+    one_by_one = ranking.greedy_selection
+    monkeypatch.setattr(ranking, "greedy_selection", lambda c, pack, *a, **k: computed.append(c.select(pack).distinct().count()) or one_by_one(c, pack, *a, **k))
+    df = spark.createDataFrame(packs, "pack long, components array<int>").repartition(3)
+    o = spark.createDataFrame(offers, "component int, product int, shop int, score double, blocked boolean")
+    got = ranking.selection_of_packs(df, "pack", "components", o, "component", "product", "shop", "score", per_slot=2, blocked="blocked").collect()
+    assert sorted(map(tuple, got)) == sorted((p, *x) for p, c in packs for x in greedy(c))
+    assert computed[0] <= 12
