@@ -75,7 +75,8 @@ def x2_lab_lines(t):
     )
     calcium = F.concat(lit("Calcio "), h, lit(",5 mg/dl"), F.when(k == 1, " > 2").when(k == 3, "").otherwise(" 8,5 hasta 10,5"))
     text = F.concat(glucose, lit("\n\n"), calcium, lit("\nCalcio 99 mg/dl"))
-    c = t("customer")
+    c = t("customer").select("c_custkey", "c_nationkey")
+    c = c.repartition(int(c.sparkSession.conf.get("spark.sql.shuffle.partitions")), "c_custkey")  # a small file is one split, reports are long work
     aliases = c.sparkSession.createDataFrame([("glucosa", "glucose"), ("glucosa en ayunas", "glucose"), ("calcio", "calcium")], "alias string, code string")
     return extraction.lab_values(c.select("c_custkey", text.alias("text")), "text", ["c_custkey"], aliases).drop("confidence")
 

@@ -8,7 +8,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from siftspark.operators import decisions, ranking, recommend
+from siftspark.operators import decisions, extraction, ranking, recommend
 
 
 def test_current_doses_of_rows_in_any_order(spark):
@@ -118,3 +118,17 @@ def test_packs_with_equal_components_share_a_selection(spark, monkeypatch):
     got = ranking.selection_of_packs(df, "pack", "components", o, "component", "product", "shop", "score", per_slot=2, blocked="blocked").collect()
     assert sorted(map(tuple, got)) == sorted((p, *x) for p, c in packs for x in greedy(c))
     assert computed[0] <= 12
+
+
+def test_lines_meet_few_aliases_without_a_shuffle_of_their_words(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"Glucosa {90 + i} mg/dl 70 - 100\nCalcio 9,5 mg/dl") for i in range(5)], "k int, text string")
+    aliases = spark.createDataFrame([("glucosa", "glucose"), ("calcio", "calcium")], "alias string, code string")
+    values = lambda: extraction.lab_values(df, "text", ["k"], aliases)
+    few = values()
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    want = [(i, c, v, "mg/dL") for i in range(5) for c, v in (("calcium", 9.5), ("glucose", 90.0 + i))]
+    assert sorted(tuple(r)[:4] for r in few.collect()) == want
+    monkeypatch.setattr(extraction, "MOST_BROADCAST", 1)
+    many = values()
+    assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r)[:4] for r in many.collect()) == want
